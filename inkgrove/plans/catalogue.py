@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from inkgrove.plans import audit_queries, index_queries, retrieval_queries  # noqa: F401
+from inkgrove.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
