@@ -13,7 +13,7 @@ from inkgrove.sources.corpus import audit, blocks, with_sql
 _LOG = with_sql("audit")
 
 
-@query(f"""{_LOG} SELECT seq, actor, action FROM audit WHERE "at" >= TIMESTAMP '2024-01-02' AND "at" <= TIMESTAMP '2024-01-20' AND contains(lower(actor || ' ' || action || ' ' || subject || ' ' || detail), 'click')")
+@query(f"""{_LOG} SELECT seq, actor, action FROM audit WHERE "at" >= TIMESTAMP '2024-01-02' AND "at" <= TIMESTAMP '2024-01-20' AND contains(lower(actor || ' ' || action || ' ' || subject || ' ' || detail), 'click')""")
 def audit_filter(spark, sf_dir):
     return A.audit_filter(audit(spark, sf_dir), since=F.lit("2024-01-02").cast("timestamp"), until=F.lit("2024-01-20").cast("timestamp"), contains="CLICK").select("seq", "actor", "action")
 
