@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import pandas as pd
@@ -133,41 +134,39 @@ def anchors(body: str | None) -> list[tuple[str, int, int]]:
     return out[:MAX_ANCHORS]
 
 
-@F.pandas_udf("array<struct<idx:int,text:string,token_count:int,locator:string,oversized:string>>")
 def _blocks(bodies: pd.Series) -> pd.Series:
     return bodies.map(lambda b: [(i, x.text, x.tokens, x.locator, x.oversized) for i, x in enumerate(split_body(b))])
 
 
-@F.pandas_udf("array<string>")
 def _links(bodies: pd.Series) -> pd.Series:
     return bodies.map(wiki_links)
 
 
-@F.pandas_udf("array<struct<path:string,first:int,last:int>>")
 def _anchors(bodies: pd.Series) -> pd.Series:
     return bodies.map(anchors)
 
 
 def blocks_of(body: Column) -> Column:
-    return _blocks(body)
+    return F.pandas_udf(_blocks, "array<struct<idx:int,text:string,token_count:int,locator:string,oversized:string>>")(body)
 
 
 def links_of(body: Column) -> Column:
-    return F.when(F.contains(body, F.lit("[[")), _links(body)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.contains(body, F.lit("[[")), F.pandas_udf(_links, "array<string>")(body)).otherwise(F.array().cast("array<string>"))
 
 
 def anchors_of(body: Column) -> Column:
-    return _anchors(body)
+    return F.pandas_udf(_anchors, "array<struct<path:string,first:int,last:int>>")(body)
 
 
-@F.pandas_udf("string")
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode normal form C."""
-    import unicodedata
-
+def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def nfc(text: Column) -> Column:
+    """Unicode normal form C."""
+    return F.pandas_udf(_nfc, "string")(text)
+
+
 def _diff(pair: tuple[str | None, str | None], most: int = 2000) -> list[str] | None:
     a, b = ((x or "").split("\n") for x in pair)
     if len(a) > most or len(b) > most:
@@ -190,16 +189,21 @@ def _diff(pair: tuple[str | None, str | None], most: int = 2000) -> list[str] |
     return out
 
 
-@F.pandas_udf("array<string>")
-def line_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Lines of a longest-common-subsequence difference, marked with space, - and +; null over 2000 lines."""
+def _diffs(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([_diff(p) for p in zip(old, new)])
 
 
-@F.pandas_udf("string")
-def clean_page(texts: pd.Series) -> pd.Series:
+def line_diff(old: Column, new: Column) -> Column:
+    """Lines of a longest-common-subsequence difference, marked with space, - and +; null over 2000 lines."""
+    return F.pandas_udf(_diffs, "array<string>")(old, new)
+
+
+def clean_page(text: Column) -> Column:
     """Page text as paragraphs: words broken at a line end joined, blank runs collapsed, a leading # escaped."""
+    return F.pandas_udf(_clean_pages, "string")(text)
+
 
+def _clean_pages(texts: pd.Series) -> pd.Series:
     def clean(t: str | None) -> str | None:
         if t is None:
             return None
