@@ -1,7 +1,7 @@
 """Host-level quality rules.
 
 Each document is held against fixed rules. Failures are then summed per host, and a host's failure rate is
-shrunk towards all hosts' by a beta prior fitted to the corpus (moments of the host rates): hosts with few documents
+shrunk towards all hosts' by a beta prior fitted to the corpus (by moments): hosts with few documents
 lean on the prior, large ones on their own record. A host whose shrunken rate passes HOST_LIMIT is
 rejected, and the verdict is joined back to its documents.
 """
@@ -71,21 +71,27 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", id_col: s
     more = (100 * F.col("n_symbols") > MAX_SIGNS * F.col("n_words")) | (100 * F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines"))
     odd = ~F.col("word_chars").between(WORD_CHARS[0] * F.col("n_words"), WORD_CHARS[1] * F.col("n_words"))
     hosts = cut(found.groupBy("_ink_host").agg(F.count("*").alias("n"), F.count_if(F.col("base_failed") | more | odd).alias("failed")), "hosts")
-    rate = F.col("failed") / F.col("n")
-    moments = hosts.agg(F.count("*").alias("hosts"), F.avg(rate).alias("mean"), F.var_pop(rate).alias("variance"), F.avg(1 / F.col("n")).alias("noise")).first()
-    alpha, beta = prior(moments["mean"] or 0.0, moments["variance"] or 0.0, moments["noise"] or 0.0)
+    n, k = F.col("n").cast("double"), F.col("failed").cast("double")
+    sums = hosts.agg(F.count("*").alias("hosts"), F.sum(n).alias("n"), F.sum(k).alias("k"), F.sum(k * k / n).alias("kk"), F.sum(n * n).alias("nn")).first()
+    alpha, beta = prior(sums["hosts"], sums["n"] or 0.0, sums["k"] or 0.0, sums["kk"] or 0.0, sums["nn"] or 0.0)
     shrunk = (F.col("failed") + alpha) / (F.col("n") + alpha + beta)
     verdicts = hosts.select(F.col("_ink_host").alias("_ink_h"), shrunk.alias("host_rate"))
-    if moments["hosts"] <= BROADCAST_ROWS:
+    if sums["hosts"] <= BROADCAST_ROWS:
         verdicts = F.broadcast(verdicts)
     out = found.join(verdicts, F.col("_ink_host").eqNullSafe(F.col("_ink_h")), "left")
     return out.select(F.col("_ink_id").alias(id_col), *[c for c in _COUNTS if c != "n_lines"], "base_failed", "host_rate", (~F.col("base_failed") & (F.col("host_rate") <= HOST_LIMIT)).alias("kept"))
 
 
-def prior(mean: float, variance: float, noise: float) -> tuple[float, float]:
-    """Beta parameters with the mean of the host rates and their variance less what sampling alone explains
-    (noise: mean of 1 / n). Where hosts differ no more than that, the prior weighs 1000 documents."""
+def prior(hosts: int, n: float, k: float, kk: float, nn: float) -> tuple[float, float]:
+    """Beta parameters from sums over hosts: documents n, failures k, k * k / n and n * n.
+
+    The mean is the overall rate; the variance between hosts is what their rates, weighted by documents, vary beyond what
+    sampling alone explains. Where they vary no more than that, the prior weighs 1000 documents."""
+    if not n:
+        return 1.0, 1.0
+    mean = k / n
     spread = mean * (1 - mean)
-    between = variance - spread * noise
+    room = n - nn / n
+    between = (kk - mean * mean * n - (hosts - 1) * spread) / room if room > 0 else 0.0
     weight = min(1000.0, max(2.0, spread / between - 1)) if between > 0 else 1000.0
     return max(1e-3, mean * weight), max(1e-3, (1 - mean) * weight)

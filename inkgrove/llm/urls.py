@@ -120,10 +120,13 @@ def scores(ratio: np.ndarray, urls: list[bytes | None]) -> np.ndarray:
 
 def threshold_from(allowed: np.ndarray, blocked: np.ndarray) -> float:
     """The score below which to block: the bin edge where missed blocks plus false blocks, as shares, are fewest;
-    of ties the lowest, so that doubt allows."""
+    the middle of the first stretch of such edges."""
     false_block = np.concatenate([[0], np.cumsum(allowed)]) / max(1, allowed.sum())
     missed = 1 - np.concatenate([[0], np.cumsum(blocked)]) / max(1, blocked.sum())
-    return float(np.argmin(np.round(false_block + missed, 12)) / BINS * 2 * SPAN - SPAN)
+    errors = np.round(false_block + missed, 12)
+    best = np.flatnonzero(errors == errors.min())
+    stretch = best[: np.flatnonzero(np.diff(best, append=BINS + 9) > 1)[0] + 1]
+    return float(stretch[len(stretch) // 2] / BINS * 2 * SPAN - SPAN)
 
 
 def judge(pages: DataFrame, url: str = "url", id_col: str = "page_id") -> DataFrame:
