@@ -12,6 +12,7 @@ DEDUP_MIN_CHARS = 80
 SOON_DAYS = 7
 MAX_NAME = 120
 
+# Letters that slugs spell without their accents, and those that the index folds.
 _ACCENTED = "àáâãåèéêëìíîïòóôõøùúûçñÀÁÂÃÅÈÉÊËÌÍÎÏÒÓÔÕØÙÚÛÇÑ"
 _PLAIN = "aaaaaeeeeiiiiooooouuucn" * 2
 _STRIPPED_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
