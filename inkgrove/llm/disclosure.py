@@ -114,6 +114,15 @@ def _around(text: Column, span: Column) -> Column:
     return F.concat_ws(" ", before, after)
 
 
+def _documents_with(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """(term, count) of the documents that hold each term of the cut table wanted."""
+    words = rows.select(F.explode(_terms(F.col("_ink_text"))).alias("term"))
+    if cut_bytes(wanted) <= BROADCAST_BYTES:
+        words = words.join(F.broadcast(wanted), "term", "left_semi")
+        return words.groupBy("term").agg(F.count("*").alias(name))
+    return words.groupBy("term").agg(F.count("*").alias(name)).join(wanted, "term", "left_semi")
+
+
 def disclosing_terms(rows: DataFrame) -> DataFrame | None:
     """(term, share, action) of the terms that reveal an entity of rows (_ink_text, _ink_base), as a cut table.
 
@@ -124,15 +133,20 @@ def disclosing_terms(rows: DataFrame) -> DataFrame | None:
     pairs = cut(per_text.groupBy("term", "entity").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT), "pairs")
     if pairs.isEmpty():
         return None
-    wanted = cut(pairs.select("term").distinct(), "terms")
-    words = rows.select(F.explode(_terms(F.col("_ink_text"))).alias("term"))
-    if cut_bytes(wanted) <= BROADCAST_BYTES:
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
-    n_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    n_entity = rows.where(F.size("_ink_base") > 0).select(F.explode(F.array_distinct(F.transform("_ink_base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["found"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    held = rows.where(F.size("_ink_base") > 0)
+    n_entity = held.select(F.explode(F.array_distinct(F.transform("_ink_base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["found"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = F.lit(float(rows.count()))
-    share = F.try_divide(F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))), F.log2(total / F.col("n_entity")))
-    scored = pairs.join(n_term, "term").join(n_entity, "entity").groupBy("term").agg(F.max(share).alias("share"))
+
+    def share(n_term: str) -> Column:
+        return F.try_divide(F.log2(total * F.col("n_both") / (F.col(n_term) * F.col("n_entity"))), F.log2(total / F.col("n_entity")))
+
+    # n(t) is at least the number of documents with entities that hold t: most pairs fall already by that.
+    first = _documents_with(held, cut(pairs.select("term").distinct(), "terms"), "n_least")
+    pairs = cut(pairs.join(n_entity, "entity").join(first, "term").where(share("n_least") >= GENERALISE_AT), "pairs")
+    if pairs.isEmpty():
+        return None
+    n_term = _documents_with(rows, cut(pairs.select("term").distinct(), "terms"), "n_term")
+    scored = pairs.join(n_term, "term").groupBy("term").agg(F.max(share("n_term")).alias("share"))
     return cut(scored.where(F.col("share") >= GENERALISE_AT).withColumn("action", F.when(F.col("share") >= REMOVE_AT, "remove").otherwise("generalise")), "disclosing")
 
 
