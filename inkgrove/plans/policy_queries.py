@@ -12,7 +12,11 @@ from inkgrove.plans.registry import query
 from inkgrove.session import table
 from inkgrove.sources.corpus import NOW, audit, blocks, notes, with_sql
 
-_NOW = F.timestamp_seconds(F.lit(NOW))
+
+def _now():
+    return F.timestamp_seconds(F.lit(NOW))
+
+
 _EXPIRES = "(to_timestamp(created) AT TIME ZONE 'UTC') + CASE retention WHEN 'P30D' THEN INTERVAL 30 DAY WHEN 'P1Y' THEN INTERVAL 1 YEAR WHEN 'P1M' THEN INTERVAL 1 MONTH END"
 _RETENTION = f"""r AS (SELECT id, name, ring, retention, CASE WHEN retention IN ('P30D', 'P1Y', 'P1M') THEN CAST(epoch({_EXPIRES}) AS BIGINT) END AS expires FROM notes),
     q AS (SELECT *, CASE WHEN retention IS NULL THEN 'indefinite' WHEN expires IS NULL THEN 'invalid' WHEN expires <= {NOW} THEN 'due' ELSE 'pending' END AS status FROM r)"""
@@ -20,13 +24,13 @@ _RETENTION = f"""r AS (SELECT id, name, ring, retention, CASE WHEN retention IN
 
 @query(f"{with_sql('notes')}, {_RETENTION} SELECT id, status, expires FROM q WHERE status <> 'indefinite'")
 def retention_queue(spark, sf_dir):
-    q = Y.retention(notes(spark, sf_dir), _NOW).where("status <> 'indefinite'")
+    q = Y.retention(notes(spark, sf_dir), _now()).where("status <> 'indefinite'")
     return q.orderBy(*Y.retention_order(q)).select("id", "status", F.unix_timestamp("expires").alias("expires"))
 
 
 @query(f"{with_sql('notes')}, {_RETENTION} SELECT status, count(*) AS n FROM q GROUP BY status")
 def retention_totals(spark, sf_dir):
-    return Y.retention(notes(spark, sf_dir), _NOW).groupBy("status").agg(F.count("*").alias("n"))
+    return Y.retention(notes(spark, sf_dir), _now()).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query(f"""{with_sql('notes', 'blocks', 'audit')} SELECT 'block' AS kind, citation AS ref, ring FROM blocks WHERE contains(lower(text), 'example.org')
@@ -79,14 +83,14 @@ def access_window(spark, sf_dir):
     k = F.col("s_suppkey")
     approved = F.when(k % 3 != 0, "2024-02-01T00:00:00Z")
     expires = F.when(k % 5 == 0, F.lit(None)).when(k % 7 == 0, "next week").when(k % 2 == 0, "2024-04-01T00:00:00Z").otherwise("2024-02-20T00:00:00+01:00")
-    return table(spark, sf_dir, "supplier").select(k.alias("id"), S.window_state(approved, expires, _NOW).alias("state"))
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), S.window_state(approved, expires, _now()).alias("state"))
 
 
 @query("""SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN 'open' WHEN 1 THEN 'open' WHEN 2 THEN 'expired' WHEN 3 THEN 'soon' WHEN 4 THEN 'valid' ELSE 'expired' END AS state FROM supplier""")
 def token_expiry(spark, sf_dir):
     k = F.col("s_suppkey") % 6
     raw = F.when(k == 1, "").when(k == 2, "2024-02-29T23:59:59Z").when(k == 3, "2024-03-05").when(k == 4, "2024-12-30T00:00:00Z").when(k == 5, "garbage")
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), S.token_state(raw, _NOW).alias("state"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), S.token_state(raw, _now()).alias("state"))
 
 
 _GRANTS = """g AS (SELECT 'dev-' || (s_suppkey % 4) AS device, 'src' || (s_suppkey % 12) AS bereich, ['in', 'out', 'both'][s_suppkey % 3 + 1] AS direction, s_suppkey % 5 < 2 AS effective, s_suppkey % 5 = 2 AS pending FROM supplier WHERE s_suppkey <= 60)"""
@@ -139,7 +143,7 @@ def fleet_concerns(spark, sf_dir):
         F.when(t == 1, "").when(t == 2, "2024-02-29T23:59:59Z").when(t == 3, "2024-03-05").when(t == 4, "2024-12-30T00:00:00Z").when(t == 5, "garbage").alias("expires_at"),
         F.element_at(F.array(*map(F.lit, ("1.10.0", "1.9.9", "dev", "2.0.0-rc1"))), (k % 4 + 1).cast("int")).alias("version"),
     )
-    return Y.concerns(devices, _NOW, "1.10.0").select("id", F.array_join("concerns", ",").alias("concerns"))
+    return Y.concerns(devices, _now(), "1.10.0").select("id", F.array_join("concerns", ",").alias("concerns"))
 
 
 @query("SELECT 'user-' || user_id AS device, count(*) AS failures FROM events WHERE event_type IN ('click', 'view') AND user_id % 40 < 10 AND ts >= TIMESTAMP '2024-01-03' GROUP BY 1")
@@ -161,7 +165,7 @@ def alerts_due(spark, sf_dir):
     alerts = table(spark, sf_dir, "events").where("event_id % 50 = 1").select(F.concat(F.lit("k"), F.col("event_id") % 300).alias("key")).distinct()
     s = F.col("s_suppkey")
     sent = table(spark, sf_dir, "supplier").select(F.concat(F.lit("k"), s * 2 - 1).alias("key"), F.timestamp_seconds(F.lit(NOW) - s % 40 * 3600).alias("at"))
-    return Y.alerts_due(alerts, sent, _NOW, 24).select("key")
+    return Y.alerts_due(alerts, sent, _now(), 24).select("key")
 
 
 @query("SELECT event_id % 16 AS device, count(*) AS rows FROM events WHERE event_id % 16 IN (2, 4, 6) AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-15' GROUP BY 1")
@@ -169,7 +173,7 @@ def disclosure_window(spark, sf_dir):
     log = audit(spark, sf_dir).withColumn("device", F.col("seq") % 16)
     day = lambda d: F.lit(d).cast("timestamp")
     requests = spark.range(8).select(F.col("id").alias("request_id"), F.col("id").alias("device"), day("2024-01-05").alias("from"), day("2024-01-15").alias("to"), (F.col("id") % 2 == 0).alias("approved"), F.when(F.col("id") == 0, day("2024-02-01")).otherwise(day("2024-06-01")).alias("until"))
-    return Y.disclose(log, requests, _NOW).groupBy("device").agg(F.count("*").alias("rows"))
+    return Y.disclose(log, requests, _now()).groupBy("device").agg(F.count("*").alias("rows"))
 
 
 @query("""WITH i AS (SELECT 'n' || (doc_id % 400) AS name, 'p' || lpad(CAST(doc_id AS VARCHAR), 7, '0') AS path, CASE WHEN doc_id % 400 < 100 THEN 'same' ELSE lang END AS body FROM documents),

@@ -11,7 +11,12 @@ from inkgrove.session import table
 from inkgrove.sources.corpus import NOW, blocks, links, notes, with_sql
 
 TEXT_QUERY, PREFIX_QUERY = "Licensed under the Apache License", "stupid worth the"
-_NOW = F.timestamp_seconds(F.lit(NOW))
+
+
+def _now():
+    return F.timestamp_seconds(F.lit(NOW))
+
+
 _AT = NOW - 2_000_000
 
 
@@ -111,7 +116,7 @@ def _recall_sql(at: int = NOW, where: str = "true", tail: str = "", n: int = 8)
 def _recall(spark, sf_dir, at: int = NOW, visible=None, **options):
     b, n = blocks(spark, sf_dir), notes(spark, sf_dir)
     vectors = b.where("idx = 0").select("citation", "id").join(_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "embedding"), "id").select("citation", "embedding")
-    out = R.recall(b, n, _LEX_QUERY, _NOW, F.timestamp_seconds(F.lit(at)), vectors, _query_vector(spark, sf_dir), visible(n) if visible else None, R.RecallOptions(**options))
+    out = R.recall(b, n, _LEX_QUERY, _now(), F.timestamp_seconds(F.lit(at)), vectors, _query_vector(spark, sf_dir), visible(n) if visible else None, R.RecallOptions(**options))
     return out.select("citation", "id", "ring", "outdated", "replaced_by", "copies", F.round("score", 6).alias("score"))
 
 
@@ -165,7 +170,7 @@ def newer_links(spark, sf_dir):
 
 @query(f"{with_sql('notes')}, {_superseded_sql(NOW)} SELECT name AS old, replaced_by AS new FROM sup")
 def superseded_at(spark, sf_dir):
-    return R.superseded(notes(spark, sf_dir), _NOW)
+    return R.superseded(notes(spark, sf_dir), _now())
 
 
 @query(f"{with_sql('notes')}, {_superseded_sql(_AT)} SELECT id, replaced_by, not_yet, ended, outdated FROM states WHERE outdated")
@@ -175,16 +180,16 @@ def outdated_flags(spark, sf_dir):
 
 @query(f"{with_sql('notes')} SELECT id, round({_RECENCY}, 9) AS weight FROM notes")
 def recency_weight(spark, sf_dir):
-    return notes(spark, sf_dir).select("id", F.round(S.recency_weight(F.col("updated"), _NOW), 9).alias("weight"))
+    return notes(spark, sf_dir).select("id", F.round(S.recency_weight(F.col("updated"), _now()), 9).alias("weight"))
 
 
 @query(f"""{with_sql('notes')} SELECT id, name, {NOW} - updated AS age FROM notes WHERE ring IN (2, 3) AND contains(name, '7') AND (invalid_at IS NULL OR invalid_at > {NOW}) AND {NOW} - updated <= 60 * 86400
     ORDER BY updated > {NOW}, updated DESC, name LIMIT 1""")
 def handoff_latest(spark, sf_dir):
     n = notes(spark, sf_dir)
-    age = F.unix_timestamp(_NOW) - F.unix_timestamp("updated")
-    fits = F.col("ring").isin(2, 3) & F.col("name").contains("7") & (F.col("invalid_at").isNull() | (F.col("invalid_at") > _NOW)) & (age <= 60 * 86400)
-    return n.where(fits).orderBy(F.col("updated") > _NOW, F.desc("updated"), "name").limit(1).select("id", "name", age.alias("age"))
+    age = F.unix_timestamp(_now()) - F.unix_timestamp("updated")
+    fits = F.col("ring").isin(2, 3) & F.col("name").contains("7") & (F.col("invalid_at").isNull() | (F.col("invalid_at") > _now())) & (age <= 60 * 86400)
+    return n.where(fits).orderBy(F.col("updated") > _now(), F.desc("updated"), "name").limit(1).select("id", "name", age.alias("age"))
 
 
 @query("""WITH r AS (SELECT item_id AS query, doc_id AS doc FROM benchmark JOIN documents d ON contains(d.text, benchmark.text)),
