@@ -138,14 +138,15 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = Non
 
     The order runs through the shards as the manifest lists them. folder is a path or URI that all
     executors reach; by default one in the cluster's shared folder. A null text counts as empty; rows that
-    share an id stand in the order of their texts; an empty table gives a manifest without shards. Ids are 64-bit integers."""
+    share an id stand in the order of a hash of their texts; an empty table gives a manifest without shards. Ids are 64-bit integers."""
     spark = docs.sparkSession
     tune_arrow(spark)
     folder = folder or f"{shared_root(spark)}/inkgrove/tokens-{uuid.uuid4().hex}"
     fs, path = _filesystem(folder)
     fs.create_dir(path, recursive=True)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("binary").alias("body"))
-    ordered = rows.repartitionByRange("id", "body").sortWithinPartitions(F.col("id").asc_nulls_first(), "body")
+    rows = rows.withColumn("h", F.xxhash64("body"))  # ranges are sampled by small keys, not by texts
+    ordered = rows.repartitionByRange("id", "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
     ordered = ordered.select("id", "body", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
