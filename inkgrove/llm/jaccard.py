@@ -7,9 +7,9 @@ most prefixes. Documents with the same size and prefix form one group. Postings
 the hash, in compressed blocks; groups of one posting whose sizes allow the similarity become pairs; pairs expand to
 members with different sets, whose whole sets are recomputed and compared exactly.
 
-A posting over LONG groups is not paired off: each group is paired with the first and the next one, and the links
-found join most of it. Whatever groups of it then still lie in different components are paired in a
-second round, so no link between components is missed and no group of near copies is squared.
+A posting over LONG groups is not paired off: each group is paired with a hub (the group with the fewest rarer elements)
+and with the next one, and the links found join most of it. Groups of it that then still lie in different components are
+held against each other in a second round, so no link between components is missed and no group of near copies is squared.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ LONG = 16
 #: Shingles of OFTEN documents at least come later in the order, by powers of two; the MOST_FREQUENT of them at most.
 OFTEN, MOST_FREQUENT = 8, 4_000_000
 #: Shingles a task holds before it hands out blocks; shingles of one hash range, about; bytes of text hashed at once.
-HELD, IN_RANGE, BLOCK = 4_000_000, 4_000_000, 1 << 20
-#: Shingles are counted by the upper bits of their hash, and only those in the lower half, where prefixes come from.
+HELD, IN_RANGE, BLOCK = 1_500_000, 4_000_000, 1 << 20
+#: Shingles are counted by the upper bits of their hash.
 COUNTED_SHIFT = np.uint64(20)
 
 _BASE = 0xD6E8FEB86659FD93
@@ -157,8 +157,7 @@ def _frequent(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
         held = _Ranges(bits)
         for batch in batches:
             for found in shingle_sets([x or b"" for x in batch.column("body").to_pylist()]):
-                low = found[: np.searchsorted(found, np.uint64(1 << 63))]
-                held.add((low >> COUNTED_SHIFT) << COUNTED_SHIFT)
+                held.add((found >> COUNTED_SHIFT) << COUNTED_SHIFT)
                 if held.size >= HELD:
                     yield from map(_block_row, held.flush())
         yield from map(_block_row, held.flush())
@@ -215,16 +214,17 @@ def _mark(rows: DataFrame, bits: int, frequent) -> DataFrame:
                     continue
                 prefix = found
                 if len(keys):
-                    low = found[: np.searchsorted(found, np.uint64(1 << 63))]
-                    key = (low >> COUNTED_SHIFT) << COUNTED_SHIFT
+                    key = (found >> COUNTED_SHIFT) << COUNTED_SHIFT
                     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                     level = np.where(keys[at] == key, levels[at], 0)
                     if level.any():
-                        prefix = found[np.argsort(np.concatenate([level, np.zeros(n - len(low), np.uint8)]), kind="stable")]
-                prefix = np.sort(prefix[: prefix_length(n)])
+                        prefix = found[np.argsort(level, kind="stable")]
+                prefix = prefix[: prefix_length(n)]
+                place = np.argsort(prefix)
+                prefix = prefix[place]
                 group = np.frombuffer(xxhash.xxh3_64_digest(prefix.tobytes(), n), ">u8")[0]
                 groups.append(int(group.astype(np.int64)))
-                held.add(prefix, np.full(len(prefix), group, np.uint64), np.full(len(prefix), n, np.uint64))
+                held.add(prefix, np.full(len(prefix), group, np.uint64), np.full(len(prefix), n, np.uint64), place.astype(np.uint64))
             nothing = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(groups, pa.int64()), *nothing], _MARKED)
             if held.size >= HELD:
@@ -241,21 +241,31 @@ def _mark(rows: DataFrame, bits: int, frequent) -> DataFrame:
     return rows.select("id", "row", "body").mapInArrow(run, f"id {id_type}, row bigint, n bigint, sig binary, grp bigint, range int, block binary")
 
 
+def _can_link(n1: np.ndarray, place1: np.ndarray, n2: np.ndarray, place2: np.ndarray) -> np.ndarray:
+    """Whether two sets whose first common element stands at these places of their orders can have the similarity:
+    what stands before it is not shared. A pair that fails this where it is not the first passes where it is."""
+    least = -(-PERCENT * (n1 + n2) // (100 + PERCENT))
+    return np.minimum(n1 - place1, n2 - place2) >= least
+
+
 def _meet(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a, b) of groups that share a prefix element, and members (posting, grp) of long postings, of one hash range."""
-    element, group, n = (np.concatenate(c) for c in zip(*map(unpack_block, frame["block"])))
-    order = np.lexsort((group, n, element))
-    element, group, n = element[order], group[order], n[order]
+    """Pairs (a, b) of groups that share a prefix element, and members (posting, a: group, b: place, n) of long postings, of one hash range.
+
+    A long posting's groups are paired with its hub, the one with the fewest elements before the shared one, and with the next."""
+    element, group, n, place = (np.concatenate(c) for c in zip(*map(unpack_block, frame["block"])))
+    order = np.lexsort((group, n, place, element))
+    element, group, n, place = element[order], group[order], n[order].astype(np.int64), place[order].astype(np.int64)
     new = np.concatenate([[True], (element[1:] != element[:-1]) | (group[1:] != group[:-1])])
-    element, group, n = element[new], group[new], n[new].astype(np.int64)
+    element, group, n, place = element[new], group[new], n[new], place[new]
     first = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]]))
     size = np.diff(np.append(first, len(element)))
     run_size, run_first = np.repeat(size, size), np.repeat(first, size)
     pairs = []
 
     def pair(i: np.ndarray, j: np.ndarray) -> None:
-        fits = n[i] * 100 >= n[j] * PERCENT  # sizes ascend within a posting
-        pairs.append(np.stack([group[i][fits], group[j][fits]]))
+        fits = _can_link(n[i], place[i], n[j], place[j])
+        i, j = i[fits], j[fits]
+        pairs.append(np.stack([np.minimum(group[i], group[j]), np.maximum(group[i], group[j])]))
 
     for d in range(1, LONG):
         i = np.flatnonzero((run_size > d) & ((run_size <= LONG) | (d == 1)))
@@ -263,17 +273,31 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
         pair(i, i + d)
     far = np.flatnonzero((run_size > LONG) & (np.arange(len(element)) > run_first))
     pair(run_first[far], far)
-    found = np.unique(np.concatenate(pairs, axis=1), axis=1).view(np.int64) if pairs else np.zeros((2, 0), np.int64)
-    long_rows, seen = [], set()
-    for a, k in zip(first[size > LONG], size[size > LONG]):
-        if (posting := xxhash.xxh3_64_intdigest(group[a : a + k].tobytes()) - 2**63) not in seen:
-            seen.add(posting)
-            long_rows.append((np.full(k, posting, np.int64), group[a : a + k].view(np.int64)))
-    rows = [pd.DataFrame({"posting": pd.array([None] * found.shape[1], "Int64"), "a": found[0], "b": found[1]})]
-    rows += [pd.DataFrame({"posting": pd.array(p, "Int64"), "a": g, "b": g}) for p, g in long_rows]
+    found = np.unique(np.concatenate(pairs, axis=1), axis=1).view(np.int64)
+    # A member that cannot link even with the least place and the best size of others is of no use in the second round.
+    least = -(-PERCENT * (n + -(-n * PERCENT // 100)) // (100 + PERCENT))
+    members = (run_size > LONG) & (n - place >= least)
+    columns = {"posting": element[members].view(np.int64), "a": group[members].view(np.int64), "b": place[members], "n": n[members]}
+    rows = [pd.DataFrame({"posting": pd.array([None] * found.shape[1], "Int64"), "a": found[0], "b": found[1], "n": 0})]
+    rows.append(pd.DataFrame(columns | {"posting": pd.array(columns["posting"], "Int64")}))
     return pd.concat(rows)
 
 
+def _apart(frame: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (u, v) of signatures in different components that one posting holds and that can link; postings of one part."""
+    found: set[tuple[bytes, bytes]] = set()
+    for _, own in frame.groupby("posting", sort=False):
+        own = own.sort_values("n")
+        n, place = own["n"].to_numpy(), own["place"].to_numpy()
+        label, sig = pd.factorize(own["label"])[0], own["sig"].to_numpy()
+        for i in range(len(own) - 1):
+            until = np.searchsorted(n, n[i] * 100 // PERCENT, side="right")
+            js = np.arange(i + 1, until)
+            js = js[(label[js] != label[i]) & _can_link(n[i], place[i], n[js], place[js])]
+            found.update((min(sig[i], sig[j]), max(sig[i], sig[j])) for j in js)
+    return pd.DataFrame(list(found), columns=["u", "v"])
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (u, v) of signatures whose sets reach the similarity, compared exactly, as a cut table."""
     needed = pairs.select(F.col("u").alias("sig")).union(pairs.select("v")).distinct().join(classes, "sig").select(F.col("one.id").alias("id2"), F.col("one.row").alias("row2"), "sig")
@@ -317,7 +341,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     frequent = spark.sparkContext.broadcast(_frequent(rows, bits))
     marked = cut(_mark(rows, bits, frequent), "marked")
     members = marked.where("range is null").select("id", "row", "n", "sig", "grp")
-    met = cut(marked.where("range is not null").select("range", "block").groupBy("range").applyInPandas(_meet, "posting bigint, a bigint, b bigint"), "met")
+    met = cut(marked.where("range is not null").select("range", "block").groupBy("range").applyInPandas(_meet, "posting bigint, a bigint, b bigint, n bigint"), "met")
     classes = cut(members.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "row")).alias("one"), F.min("id").alias("least"), F.count("*").alias("rows"), F.first("grp").alias("grp"), F.first("n").alias("n")), "classes")
     groups = cut(classes.groupBy("grp").agg(F.min("sig").alias("sig"), F.count("*").alias("many")), "groups")
 
@@ -330,16 +354,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     # What the first round has not joined: long postings, groups with several sets, and pairs with such a group.
     several = groups.where("many > 1").select("grp")
     mixed = pairs.join(several.select(F.col("grp").alias("a")), "a", "left_semi").unionByName(pairs.join(several.select(F.col("grp").alias("b")), "b", "left_semi")).distinct()
-    mixed = mixed.select(F.xxhash64("a", "b").alias("posting"), F.explode(F.array("a", "b")).alias("grp"))
-    posted = met.where("posting is not null").select("posting", F.col("a").alias("grp")).unionByName(mixed).unionByName(several.select(F.col("grp").alias("posting"), "grp"))
-    held = posted.distinct().join(classes.select("grp", "sig", "n"), "grp").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select("posting", "sig", "n", F.coalesce("label", "sig").alias("label"))
+    mixed = mixed.select(F.xxhash64("a", "b").alias("posting"), F.explode(F.array("a", "b")).alias("grp")).unionByName(several.select(F.col("grp").alias("posting"), "grp"))
+    posted = met.where("posting is not null").select("posting", F.col("a").alias("grp"), F.col("b").alias("place")).unionByName(mixed.withColumn("place", F.lit(0).cast("bigint")))
+    held = posted.join(classes.select("grp", "sig", "n"), "grp").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select("posting", "sig", "n", "place", F.coalesce("label", "sig").alias("label"))
     held = cut(held, "held")
     apart = cut(held.groupBy("posting").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("posting"), "apart")
     if not apart.isEmpty():
-        left = held.join(apart, "posting", "left_semi")
-        other = left.select("posting", *[F.col(c).alias(c + "2") for c in ("sig", "n", "label")])
-        fits = (F.col("label") < F.col("label2")) & (F.col("n") * 100 >= F.col("n2") * PERCENT) & (F.col("n2") * 100 >= F.col("n") * PERCENT)
-        again = left.join(other, "posting").where(fits).select(F.least("sig", "sig2").alias("u"), F.greatest("sig", "sig2").alias("v")).distinct()
+        parts = F.pmod(F.xxhash64("posting"), F.lit(1 << bits)).alias("part")
+        again = held.join(apart, "posting", "left_semi").select(parts, "posting", "sig", "n", "place", "label").groupBy("part").applyInPandas(_apart, "u binary, v binary").distinct()
         tried = across.unionByName(inside).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         more = _verified(cut(again.join(tried, ["u", "v"], "left_anti"), "pairs"), classes, rows)
         if not more.isEmpty():
