@@ -33,7 +33,7 @@ LONG = 16
 #: Shingles of OFTEN documents at least come later in the order, by powers of two; the MOST_FREQUENT of them at most.
 OFTEN, MOST_FREQUENT = 8, 4_000_000
 #: Shingles a task holds before it hands out blocks; shingles of one hash range, about; bytes of text hashed at once.
-HELD, IN_RANGE, BLOCK = 1_500_000, 4_000_000, 1 << 20
+HELD, IN_RANGE, BLOCK = 1_000_000, 1_000_000, 1 << 20
 #: Shingles are counted by the upper bits of their hash.
 COUNTED_SHIFT = np.uint64(20)
 
@@ -265,7 +265,7 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
     def pair(i: np.ndarray, j: np.ndarray) -> None:
         fits = _can_link(n[i], place[i], n[j], place[j])
         i, j = i[fits], j[fits]
-        pairs.append(np.stack([np.minimum(group[i], group[j]), np.maximum(group[i], group[j])]))
+        pairs.append((np.minimum(group[i], group[j]), np.maximum(group[i], group[j])))
 
     for d in range(1, LONG):
         i = np.flatnonzero((run_size > d) & ((run_size <= LONG) | (d == 1)))
@@ -273,7 +273,11 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
         pair(i, i + d)
     far = np.flatnonzero((run_size > LONG) & (np.arange(len(element)) > run_first))
     pair(run_first[far], far)
-    found = np.unique(np.concatenate(pairs, axis=1), axis=1).view(np.int64)
+    left, right = (np.concatenate(side) for side in zip(*pairs))
+    order = np.lexsort((right, left))
+    left, right = left[order], right[order]
+    new = np.concatenate([np.ones(min(1, len(left)), bool), (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+    found = np.stack([left[new], right[new]]).view(np.int64)
     # A member that cannot link even with the least place and the best size of others is of no use in the second round.
     least = -(-PERCENT * (n + -(-n * PERCENT // 100)) // (100 + PERCENT))
     members = (run_size > LONG) & (n - place >= least)
