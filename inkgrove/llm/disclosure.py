@@ -2,11 +2,11 @@
 
 Base detectors find emails, IP addresses, card numbers and phone numbers. Their values are the
 protected entities. From the whole corpus, co-occurrence then estimates how strongly a term reveals an
-entity: with N documents, PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e))), against the entity's
-information content IC(e) = log2(N / n(e)). A term whose PMI / IC reaches REMOVE_AT is removed wherever it
-stands, one that reaches GENERALISE_AT is generalised. n(t, e) counts documents with t in the
-NEAR characters before or after e; a pair counts as evidence only if at least SUPPORT different
-texts hold it, so copies of one document prove nothing.
+entity: over N different texts, PMI(t; e) = log2(p(e | t) / p(e)), against the entity's information content
+IC(e) = -log2 p(e). A term whose PMI / IC reaches REMOVE_AT is removed wherever it stands, one that reaches
+GENERALISE_AT is generalised. p(e) = n(e) / N, and p(e | t) = (n(t, e) + SMOOTHING p(e)) / (n(t) + SMOOTHING): terms
+and entities in few texts are judged as well, with the less trust the fewer they are. All counts are of
+different whole texts, so copies of one document prove nothing; a term counts where it stands outside base spans.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgrove.plans.shared import cut, cut_bytes, BROADCAST_BYTES, join_sized
+from inkgrove.plans.shared import cut, join_sized
 
-NEAR, SUPPORT = 60, 5
+#: As if so many more texts held a term, with the entity as often as in all texts.
+SMOOTHING = 1.0
 REMOVE_AT, GENERALISE_AT = 0.95, 0.9
 #: Terms are runs of so many letters at least.
 TERM_LETTERS = 3
@@ -104,49 +105,47 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= TERM_LETTERS)
 
 
-def _around(text: Column, span: Column) -> Column:
-    """The words near a span, none cut in two."""
-    start = F.greatest(span["start"] - NEAR, F.lit(0))
-    before = F.substring(text, start + 1, span["start"] - start)
-    before = F.when(start > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-    after = F.substring(text, span["end"] + 1, F.lit(NEAR))
-    after = F.when(F.length(after) == NEAR, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-    return F.concat_ws(" ", before, after)
-
-
-def _documents_with(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-    """(term, count) of the documents that hold each term of the cut table wanted."""
-    words = rows.select(F.explode(_terms(F.col("_ink_text"))).alias("term"))
-    if cut_bytes(wanted) <= BROADCAST_BYTES:
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
-        return words.groupBy("term").agg(F.count("*").alias(name))
-    return words.groupBy("term").agg(F.count("*").alias(name)).join(wanted, "term", "left_semi")
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a blank for each base span."""
+    rest = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(" "))).otherwise(acc["out"]).alias("out"),
+        ),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
+    )
+    return F.when(F.size(spans) > 0, rest).otherwise(text)
 
 
 def disclosing_terms(rows: DataFrame) -> DataFrame | None:
     """(term, share, action) of the terms that reveal an entity of rows (_ink_text, _ink_base), as a cut table.
 
-    Counts cover all rows. None if no pair has the support."""
-    near = rows.where(F.size("_ink_base") > 0).select(F.xxhash64("_ink_text").alias("h"), "_ink_text", F.monotonically_increasing_id().alias("row"), F.explode("_ink_base").alias("span"))
-    near = near.select("h", "row", F.concat_ws(":", "span.kind", F.lower("span.found")).alias("entity"), F.explode(_terms(_around(F.col("_ink_text"), F.col("span")))).alias("term"))
-    per_text = near.groupBy("term", "entity", "h").agg(F.count_distinct("row").alias("n"))
-    pairs = cut(per_text.groupBy("term", "entity").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT), "pairs")
-    if pairs.isEmpty():
-        return None
-    held = rows.where(F.size("_ink_base") > 0)
-    n_entity = held.select(F.explode(F.array_distinct(F.transform("_ink_base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["found"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = F.lit(float(rows.count()))
-
-    def share(n_term: str) -> Column:
-        return F.try_divide(F.log2(total * F.col("n_both") / (F.col(n_term) * F.col("n_entity"))), F.log2(total / F.col("n_entity")))
-
-    # n(t) is at least the number of documents with entities that hold t: most pairs fall already by that.
-    first = _documents_with(held, cut(pairs.select("term").distinct(), "terms"), "n_least")
-    pairs = cut(pairs.join(n_entity, "entity").join(first, "term").where(share("n_least") >= GENERALISE_AT), "pairs")
-    if pairs.isEmpty():
+    Counts cover all different texts. None if no text has an entity."""
+    rows = rows.select(F.xxhash64("_ink_text").alias("h"), "_ink_text", "_ink_base")
+    entities = F.array_distinct(F.transform("_ink_base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["found"]))))
+    terms = _terms(_outside(F.col("_ink_text"), F.col("_ink_base")))
+    held = cut(rows.where(F.size("_ink_base") > 0).select("h", terms.alias("terms"), entities.alias("entities")).dropDuplicates(["h"]), "held")
+    if held.isEmpty():
         return None
-    n_term = _documents_with(rows, cut(pairs.select("term").distinct(), "terms"), "n_term")
-    scored = pairs.join(n_term, "term").groupBy("term").agg(F.max(share("n_term")).alias("share"))
+    copies = cut(rows.groupBy("h").agg(F.count("*").alias("copies")).where(F.col("copies") > 1), "copies")
+    n_texts = rows.count() - (copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
+    total = F.lit(float(n_texts))
+    n_entity = cut(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
+    # No share is high enough where even the commonest entity in all its texts is too little for a term's texts.
+    most = n_entity.agg(F.max("n_entity")).first()[0]
+    bound = (most + SMOOTHING) * n_texts ** (1 - GENERALISE_AT) * (1 + 1e-9)
+    words = join_sized(rows, copies, ["h"]).select(F.explode(terms).alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    n_term = words.groupBy("term").agg(F.round(F.sum("weight")).cast("bigint").alias("n_term"))
+    n_term = cut(n_term.where(F.col("n_term") + SMOOTHING <= bound), "terms")
+
+    own = join_sized(held.select("entities", F.explode("terms").alias("term")), n_term, ["term"], "inner")
+    pairs = own.select("term", "n_term", F.explode("entities").alias("entity")).groupBy("term", "n_term", "entity").agg(F.count("*").alias("n_both"))
+    p_entity = F.col("n_entity") / total
+    p_both = (F.col("n_both") + SMOOTHING * p_entity) / (F.col("n_term") + SMOOTHING)
+    share = F.try_divide(F.log2(p_both / p_entity), -F.log2(p_entity))
+    scored = join_sized(pairs, n_entity, ["entity"], "inner").groupBy("term").agg(F.max(share).alias("share"))
     return cut(scored.where(F.col("share") >= GENERALISE_AT).withColumn("action", F.when(F.col("share") >= REMOVE_AT, "remove").otherwise("generalise")), "disclosing")
 
 
