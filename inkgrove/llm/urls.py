@@ -1,9 +1,9 @@
 """URL filter: host and path rules, and a character language-model ratio where no rule fits.
 
-Two smoothed variable-order Markov models over characters, one of URLs that rules allow and one of URLs that
-rules block, give the mean log-likelihood ratio per character of a URL. Its threshold is calibrated on ruled
-URLs held out from the models. Counts come from all ruled URLs; characters are folded to SYMBOLS
-classes, so the models have a fixed size however many URLs there are.
+Two smoothed variable-order Markov models over bytes, one of URLs that rules allow and one of URLs that
+rules block, give the mean log-likelihood ratio per byte of a URL. Contexts of whole bytes are counted
+sparsely, so the models grow with the URLs; where a context is rare they lean on models over SYMBOLS classes of
+bytes. The threshold is calibrated on ruled URLs held out from the models; then these are counted in too.
 """
 
 from __future__ import annotations
@@ -37,6 +37,10 @@ for _i, _c in enumerate(_CLASSES):
     _FOLD[ord(_c)] = _FOLD[ord(_c.upper())] = _i
 _FOLD[ord("0") : ord("9") + 1] = _CLASSES.index("0")
 _EDGE = SYMBOLS - 1
+#: Bits of a symbol in a gram of bytes; a symbol is a byte or the boundary. Classes of the symbols, and how many share each.
+_BITS, _BOUND = 9, 256
+_CLASS_OF = np.append(_FOLD, np.uint8(_EDGE)).astype(np.int64)
+_SHARING = np.bincount(_CLASS_OF, minlength=SYMBOLS)
 
 
 def host_of(url: Column) -> Column:
@@ -59,14 +63,13 @@ def rule_of(host: Column, path: Column) -> Column:
     return out
 
 
-def coded(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of ORDER + 1 classes at each character and the closing boundary, and where each URL's begin."""
-    pad = bytes([_EDGE]) * ORDER
-    data = np.frombuffer(b"".join(pad + _FOLD[np.frombuffer(u, np.uint8)].tobytes() + bytes([_EDGE]) for u in urls), np.uint8).astype(np.int64)
+def _grams(urls: list[bytes], table: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    pad = [np.full(ORDER, table[_BOUND])]
+    data = np.concatenate([x for u in urls for x in (*pad, table[np.frombuffer(u, np.uint8)], table[[_BOUND]])]).astype(np.int64)
     sizes = np.array([len(u) + ORDER + 1 for u in urls])
     grams = np.zeros(len(data), np.int64)
     for back in range(ORDER, -1, -1):
-        grams *= SYMBOLS
+        grams *= base
         grams[ORDER:] += data[ORDER - back : len(data) - back]
     starts = np.cumsum(sizes) - sizes
     keep = np.ones(len(data), bool)
@@ -75,46 +78,91 @@ def coded(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grams[keep], starts - np.arange(len(urls)) * ORDER
 
 
-def log_ratio(counts: dict[int, np.ndarray]) -> np.ndarray:
-    """log p(class | context) of the allowed model less that of the blocked one, for every gram.
+def coded(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of ORDER + 1 classes at each byte and the closing boundary, and where each URL's begin."""
+    return _grams(urls, _CLASS_OF, SYMBOLS)
+
+
+def byte_grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of whole bytes, _BITS bits each."""
+    return _grams(urls, np.arange(_BOUND + 1), 1 << _BITS)
+
+
+def folded(grams: np.ndarray) -> np.ndarray:
+    """The grams of classes of grams of bytes."""
+    out = np.zeros(len(grams), np.int64)
+    for back in range(ORDER, -1, -1):
+        out = out * SYMBOLS + _CLASS_OF[(grams >> (_BITS * back)) & ((1 << _BITS) - 1)]
+    return out
+
+
+def class_chances(counts: np.ndarray) -> np.ndarray:
+    """p(class | context) for every gram of classes.
 
     Orders are blended Witten-Bell fashion: a context trusts its own counts by n / (n + distinct) and leaves
     the rest to the next shorter context, down to the uniform distribution."""
-    logs = []
-    for label in (1, 0):
-        full = counts[label].reshape((SYMBOLS,) * (ORDER + 1)).astype(np.float64)
-        p = np.full(SYMBOLS, 1 / SYMBOLS)
-        for order in range(ORDER + 1):
-            own = full.sum(axis=tuple(range(ORDER - order)))
-            n, kinds = own.sum(axis=-1, keepdims=True), (own > 0).sum(axis=-1, keepdims=True)
-            p = (own + kinds * p) / np.maximum(n + kinds, 1) + (n == 0) * p
-        logs.append(np.log(p).ravel())
-    return (logs[0] - logs[1]).astype(np.float32)
+    full = counts.reshape((SYMBOLS,) * (ORDER + 1)).astype(np.float64)
+    p = np.full(SYMBOLS, 1 / SYMBOLS)
+    for order in range(ORDER + 1):
+        own = full.sum(axis=tuple(range(ORDER - order)))
+        n, kinds = own.sum(axis=-1, keepdims=True), (own > 0).sum(axis=-1, keepdims=True)
+        p = (own + kinds * p) / np.maximum(n + kinds, 1) + (n == 0) * p
+    return p.ravel()
+
+
+def log_ratio(counts: dict[int, np.ndarray]) -> np.ndarray:
+    """log p(class | context) of the allowed classes less that of the blocked ones, for every gram."""
+    return (np.log(class_chances(counts[1])) - np.log(class_chances(counts[0]))).astype(np.float32)
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
+class ByteModel:
+    """p(byte | the ORDER bytes before) from the counts of grams of bytes, which must not be empty.
+
+    A context trusts its own counts Witten-Bell fashion and leaves the rest to p(class | context of classes) times
+    p(byte | class), and that to a uniform one within the class."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        self.keys, where = np.unique(grams, return_inverse=True)
+        self.n = np.bincount(where, weights=n)
+        self.contexts, where = np.unique(self.keys >> _BITS, return_inverse=True)
+        self.total, self.kinds = np.bincount(where, weights=self.n), np.bincount(where)
+        classes = np.zeros(SYMBOLS ** (ORDER + 1))
+        np.add.at(classes, folded(self.keys), self.n)
+        self.classes = class_chances(classes).astype(np.float32)
+        single = np.bincount(self.keys & ((1 << _BITS) - 1), weights=self.n, minlength=_BOUND + 1)
+        of_class, kinds = np.bincount(_CLASS_OF, weights=single), np.bincount(_CLASS_OF, weights=single > 0)
+        known = (single + (kinds / _SHARING)[_CLASS_OF]) / np.maximum(of_class + kinds, 1)[_CLASS_OF]
+        self.within = np.where(of_class[_CLASS_OF] > 0, known, 1 / _SHARING[_CLASS_OF])
+
+    def logs(self, grams: np.ndarray) -> np.ndarray:
+        p = self.classes[folded(grams)] * self.within[grams & ((1 << _BITS) - 1)]
+        total, kinds = _looked_up(self.contexts, self.total, grams >> _BITS), _looked_up(self.contexts, self.kinds, grams >> _BITS)
+        return np.log((_looked_up(self.keys, self.n, grams) + kinds * p) / np.maximum(total + kinds, 1) + (total == 0) * p)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals = {0: np.zeros(SYMBOLS ** (ORDER + 1), np.int64), 1: np.zeros(SYMBOLS ** (ORDER + 1), np.int64)}
     for batch in batches:
-        label = np.array(batch.column("label").to_pylist(), bool)
+        label, held = (np.array(batch.column(c).to_pylist(), bool) for c in ("label", "held"))
         urls = batch.column("url").to_pylist()
-        for k in (0, 1):
-            if own := [u for u, x in zip(urls, label) if x == bool(k)]:
-                grams, n = np.unique(coded(own)[0], return_counts=True)
-                totals[k][grams] += n
-    for k, t in totals.items():
-        cells = np.flatnonzero(t)
-        for at in range(0, len(cells), 10_000):
-            part = cells[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(part), pa.array(t[part])], ["label", "gram", "n"])
-
-
-def scores(ratio: np.ndarray, urls: list[bytes | None]) -> np.ndarray:
-    """Mean log-likelihood ratio per character; 0 for a null or empty URL."""
+        for k, h in ((0, False), (0, True), (1, False), (1, True)):
+            if own := [u for u, x, y in zip(urls, label, held) if x == bool(k) and y == h]:
+                grams, n = np.unique(byte_grams(own)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.array(np.full(len(n), h)), pa.array(grams), pa.array(n)], ["label", "held", "gram", "n"])
+
+
+def scores(model: np.ndarray | dict[int, ByteModel], urls: list[bytes | None]) -> np.ndarray:
+    """Mean log-likelihood ratio per byte, by models of bytes or by log_ratio() of classes; 0 for a null or empty URL."""
     out = np.zeros(len(urls))
     if there := [i for i, u in enumerate(urls) if u]:
-        grams, starts = coded([urls[i] for i in there])
-        sums = np.add.reduceat(ratio[grams].astype(np.float64), starts)
-        out[there] = sums / np.diff(np.append(starts, len(grams)))
+        of_classes = isinstance(model, np.ndarray)
+        grams, starts = (coded if of_classes else byte_grams)([urls[i] for i in there])
+        each = model[grams].astype(np.float64) if of_classes else model[1].logs(grams) - model[0].logs(grams)
+        out[there] = np.add.reduceat(each, starts) / np.diff(np.append(starts, len(grams)))
     return out
 
 
@@ -132,8 +180,8 @@ def threshold_from(allowed: np.ndarray, blocked: np.ndarray) -> float:
 def judge(pages: DataFrame, url: str = "url", id_col: str = "page_id") -> DataFrame:
     """id_col, host, path, rule, verdict (allow or block) and score of every page.
 
-    The verdict is the longest fitting rule's; else the models': block if the score is under the calibrated
-    threshold. Null and empty URLs, and all unruled ones where either kind of ruled URL is missing, are
+    The verdict is the longest fitting rule's; else the models': block if the score, by all ruled URLs, is under
+    the threshold calibrated on the held-out ones (0 where the others are all of one kind). Null and empty URLs, and all unruled ones where either kind of ruled URL is missing, are
     allowed for want of evidence. Repeated rows are judged alike; an empty table gives an empty result;
     other columns are not read."""
     spark = pages.sparkSession
@@ -142,19 +190,22 @@ def judge(pages: DataFrame, url: str = "url", id_col: str = "page_id") -> DataFr
     rows = pages.select(F.col(id_col).alias("_ink_id"), F.col(url).alias("_ink_url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_ink_rule", rule_of(F.col("host"), F.col("path")))
     ruled = rows.where("_ink_rule is not null").select((F.col("_ink_rule.verdict") == "allow").alias("label"), F.col("_ink_url").cast("binary").alias("url"), (F.pmod(F.xxhash64("_ink_url"), F.lit(FOLDS)) == 0).alias("held"))
-    found = ruled.where("not held").select("label", "url").mapInArrow(_count, "label int, gram bigint, n bigint").groupBy("label", "gram").agg(F.sum("n").alias("n"))
-    counts = {0: np.zeros(SYMBOLS ** (ORDER + 1), np.int64), 1: np.zeros(SYMBOLS ** (ORDER + 1), np.int64)}
-    for r in found.toLocalIterator():  # cells of a fixed-size table
-        counts[r.label][r.gram] = r.n
-    ratio = log_ratio(counts) if counts[0].any() and counts[1].any() else None
-    model = spark.sparkContext.broadcast(ratio)
+    counted = ruled.mapInArrow(_count, "label int, held boolean, gram bigint, n bigint").groupBy("label", "held", "gram").agg(F.sum("n").alias("n")).toArrow()
+    label, of_held, gram, n = (counted.column(c).to_numpy() for c in ("label", "held", "gram", "n"))
+
+    def models(of: np.ndarray) -> dict[int, ByteModel] | None:
+        return {k: ByteModel(gram[of & (label == k)], n[of & (label == k)]) for k in (0, 1)} if {0, 1} <= {*label[of]} else None
+
+    trained, final = models(~of_held.astype(bool)), models(np.ones(len(label), bool))
+    model = spark.sparkContext.broadcast(final)
     cut_at = 0.0
-    if ratio is not None:
+    if trained is not None:
+        without_held = spark.sparkContext.broadcast(trained)
 
         def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((2, BINS), np.int64)
             for batch in batches:
-                at = np.clip((scores(model.value, batch.column("url").to_pylist()) + SPAN) / (2 * SPAN) * BINS, 0, BINS - 1).astype(int)
+                at = np.clip((scores(without_held.value, batch.column("url").to_pylist()) + SPAN) / (2 * SPAN) * BINS, 0, BINS - 1).astype(int)
                 np.add.at(total, (np.array(batch.column("label").to_pylist(), int), at), 1)
             label, at = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[label, at])], ["label", "bin", "n"])

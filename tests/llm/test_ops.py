@@ -275,6 +275,28 @@ def test_op6_scores_are_log_ratios():
     assert s[0] > 0 > s[2] and s[1] == s[3] == 0
 
 
+def test_op6_digits_bytes_and_case_stay_apart(spark):
+    us = [f"http://example.org/en/1{i}" for i in range(60)] + [f"http://x{i % 7}.com/fr/2{i}" for i in range(60)]
+    us += [f"http://example.org/es/é{i}" for i in range(60)] + [f"http://x.com/fr/è{i}" for i in range(60)]
+    us += [f"http://example.org/es/Q{i}" for i in range(60)] + [f"http://x.com/fr/q{i}" for i in range(60)]
+    n = len(us)
+    us += ["http://h.net/1", "http://h.net/2", "http://h.net/é", "http://h.net/è", "http://h.net/Q", "http://h.net/q"]
+    got = {r.page_id: r.score for r in urls.judge(spark.createDataFrame(list(enumerate(us)), "page_id long, url string")).collect()}
+    assert got[n] < got[n + 1] and got[n + 2] < got[n + 3] and got[n + 4] < got[n + 5]
+
+
+def test_op6_counts_all_ruled_urls(spark):
+    us = [f"http://x{i}.com/{'fr' if i % 2 else 'de'}/{i}" for i in range(80)]
+    got = [r.score for r in urls.judge(spark.createDataFrame(list(enumerate(us)), "page_id long, url string")).orderBy("page_id").collect()]
+    models = {}
+    for k in (0, 1):
+        grams = urls.byte_grams([u.encode() for i, u in enumerate(us) if i % 2 == k])[0]
+        models[k] = urls.ByteModel(grams, np.ones(len(grams)))
+    assert np.allclose(got, urls.scores(models, [u.encode() for u in us]))
+    every = (ord("n") << 18 | ord("e") << 9 | ord("t")) << 9 | np.arange(257)
+    assert all(abs(np.exp(m.logs(x)).sum() - 1) < 1e-5 for m in models.values() for x in (every, (ord("c") << 18 | ord("o") << 9 | ord("m")) << 9 | np.arange(257)))
+
+
 def test_op7(docs, odd, empty):
     for df in (docs, odd):
         out = Counter(map(tuple, hostrules.quality(df).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()))
