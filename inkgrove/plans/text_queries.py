@@ -46,7 +46,7 @@ _SLUG = r"regexp_replace(regexp_replace(lower(strip_accents(replace(replace(repl
 
 @query(f"SELECT doc_id, CASE WHEN length(s) <= 120 THEN s ELSE regexp_replace(substr(s, 1, 120), '-[^-]*$', '') END AS slug FROM (SELECT doc_id, {_SLUG % 'substr(text, 1, 200)'} AS s FROM documents)")
 def slugify(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", S.slugify(F.substring("text", 1, 200)).alias("slug"))
+    return _docs(spark, sf_dir).select("doc_id", S.slugify(F.col("text")).alias("slug"))
 
 
 @query(f"SELECT doc_id, {_SLUG % 'source'} || '-' || lang || '-' || doc_id AS name FROM documents")

@@ -7,6 +7,7 @@ from inkgrove.operators import blocks as B
 from inkgrove.operators import pii as P
 from inkgrove.operators import symbols as Y
 from inkgrove.sources import readers as R
+from inkgrove.plans.catalogue import QUERIES
 
 
 def one(spark, column, **values):
@@ -131,3 +132,8 @@ def test_ledgers_and_trees(spark, tmp_path):
     (src / "d.md").write_text("# One\nx\n## Two\ny")
     spark.dataSource.register(R.MarkdownSource)
     assert [(r.locator) for r in spark.read.format("inkgrove_documents").load(str(src)).collect()] == ["One", "Two"]
+
+
+def test_slugify_reads_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "!" * 300 + " Späte Wörter"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.slug for r in QUERIES["slugify"](spark, str(tmp_path)).collect()} == {1: "spaete-woerter", 2: None}
