@@ -10,6 +10,9 @@ from inkgrove.plans.registry import query
 from inkgrove.session import table
 from inkgrove.sources.corpus import NOW, blocks, links, notes, with_sql
 
+#: Letters and digits of a passage that can be told from chance.
+CANARY_LEAST = 12
+
 TEXT_QUERY, PREFIX_QUERY = "Licensed under the Apache License", "stupid worth the"
 
 
@@ -207,10 +210,11 @@ def retrieval_metrics(spark, sf_dir):
 
 
 def canary_pairs(spark, sf_dir):
-    """(query, doc): benchmark passages that documents contain; the 40 or so passages are the small side."""
-    marks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    return docs.join(F.broadcast(marks), F.col("text").contains(F.col("passage"))).select("query", "doc")
+    """(query, doc): benchmark passages that documents contain, by letters and digits in lower case; the 40 or so
+    passages are the small side. A passage of fewer than CANARY_LEAST of these is never matched."""
+    marks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), S.canary_form(F.col("text")).alias("passage")).where(F.length("passage") >= CANARY_LEAST)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), S.canary_form(F.col("text")).alias("form"))
+    return docs.join(F.broadcast(marks), F.col("form").contains(F.col("passage"))).select("query", "doc")
 
 
 @query(f"""{with_sql('notes', 'blocks')}, f AS (SELECT id, min(citation) AS citation, any_value(ring) AS ring FROM blocks GROUP BY id)

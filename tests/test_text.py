@@ -137,3 +137,10 @@ def test_ledgers_and_trees(spark, tmp_path):
 def test_slugify_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "!" * 300 + " Späte Wörter"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.slug for r in QUERIES["slugify"](spark, str(tmp_path)).collect()} == {1: "spaete-woerter", 2: None}
+
+
+def test_canaries_match_in_any_case_and_punctuation(spark, tmp_path):
+    docs = [(1, "a copy: THE QUICK,\nbrown fox (jumps)!"), (2, "the quick brown fox stands"), (3, "it is short"), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "The quick brown fox jumps."), (8, "is short"), (9, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in QUERIES["canary_match"](spark, str(tmp_path)).select("query", "doc").collect()] == [(7, 1)]
