@@ -3,45 +3,58 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Bytes on disk up to which a cut table is broadcast; beyond, the join shuffles.
-BROADCAST_BYTES = 4 << 20
+#: Bytes in memory, as cut_bytes() estimates them, up to which a cut table is broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 16 << 20
 #: Rows up to which a counted table is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
 #: A key with more than total / HOT_SHARE rows is hot; there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 1000
+#: How much larger than on disk columns of no fixed width are in memory, about.
+UNPACKED = 4
 
-_paths: dict[int, tuple[DataFrame, str]] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder the cluster shares (spark.checkpoint.dir). Only on this machine alone is a local one used where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        there = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if there.isDefined():
-            return there.get()
-        found = f"file:/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return found
+    if found:
+        return found
+    there = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if there.isDefined():
+        return there.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file:/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there,
-    and a lost executor costs a reread, not a recomputation."""
+    and a lost executor costs a reread, not a recomputation. scratch() deletes such tables."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/inkgrove/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = (out, path)
+    out.cut_path = path
     return out
 
 
 def cut_bytes(df: DataFrame) -> int:
-    """Bytes on disk of a table made by cut()."""
-    return _status(df.sparkSession, _paths[id(df)][1]).getLength()
+    """Bytes in memory, about, of a table made by cut(): its rows by the widths of its fixed columns, and the others by their size on disk."""
+    fixed = sum(8 for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)))
+    on_disk = _status(df.sparkSession, df.cut_path).getLength()
+    if on_disk > BROADCAST_BYTES or fixed == 8 * len(df.schema.fields):
+        return max(on_disk, df.count() * (fixed + 8))
+    return max(on_disk * UNPACKED, df.count() * (fixed + 8))
 
 
 def _status(spark: SparkSession, path: str):
@@ -49,14 +62,20 @@ def _status(spark: SparkSession, path: str):
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jvm_path)
 
 
-def drop_cuts(spark: SparkSession) -> int:
-    """Delete the tables that cut() wrote; results that still read them become invalid."""
-    paths = [p for _, p in _paths.values()]
-    for path in paths:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-    _paths.clear()
-    return len(paths)
+def delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that cut() writes inside, at the end: what still reads them must be written or collected by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
 
 
 def join_sized(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str = "left") -> DataFrame:
