@@ -18,13 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkgrove.llm.vocab import encoder
 from inkgrove.plans.shared import cut, tune_arrow
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces that get their ranks in one task, about.
-RANKED_TOGETHER = 200_000
+RANKED_TOGETHER = 50_000
 
 
 @dataclass
@@ -115,21 +116,23 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run], i
     return runs, sequences
 
 
-def pieces(docs: DataFrame, vocabulary: str, text: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, text: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = False, plain_specials: bool = False) -> DataFrame:
     """id_col, piece, start, length, ids_crc32 (and ids, if with_ids) of each document's pieces.
 
     A document is its ids and END_ID. Only one longer than the capacity is cut, into pieces of the
-    capacity with the shorter piece first. A null text counts as empty."""
+    capacity with the shorter piece first. A null text counts as empty; of a very long one all ids are held at once. Strings of the
+    vocabulary's special tokens become these tokens, unless plain_specials."""
     tune_arrow(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_ink_id"), F.col(text).cast("binary").alias("_ink_body"))
     names = ["_ink_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    schema = f"_ink_id {rows.schema['_ink_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
+    types = (rows.schema["_ink_id"].dataType, T.IntegerType(), *[T.LongType()] * 3, T.ArrayType(T.IntegerType()))
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, types)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = [x or b"" for x in batch.column("_ink_body").to_pylist()]
             of, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, found in enumerate(encoder(vocabulary).encode(bodies)):
+            for row, found in enumerate(encoder(vocabulary, plain_specials).encode(bodies)):
                 whole = np.append(found, np.uint32(END_ID)).astype("<u4")
                 head = len(whole) % capacity or capacity
                 for k, (a, b) in enumerate([(0, head), *((x, x + capacity) for x in range(head, len(whole), capacity))]):
@@ -146,12 +149,13 @@ def pieces(docs: DataFrame, vocabulary: str, text: str = "text", id_col: str = "
     return rows.mapInArrow(run, schema).withColumnRenamed("_ink_id", id_col)
 
 
-def pack(docs: DataFrame, vocabulary: str, text: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, text: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = False, plain_specials: bool = False) -> DataFrame:
     """pieces() with sequence_id and offset: every piece of every document has its place, without gaps.
 
     Repeated rows are packed each for itself, in any order among them; null ids are allowed; an empty table
     gives an empty result; other columns are not read."""
-    found = cut(pieces(docs, vocabulary, text, id_col, capacity, with_ids), "pieces")
+    found = pieces(docs, vocabulary, text, id_col, capacity, with_ids, plain_specials).withColumn("_ink_place", F.monotonically_increasing_id())
+    kept, found = found.columns[:-1], cut(found, "pieces")
     counts = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}
     runs, _ = plan(counts, capacity)
     by_length: dict[int, tuple[np.ndarray, ...]] = {}
@@ -160,16 +164,16 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", id_col: str = "do
         by_length[n] = tuple(np.array([getattr(r, k) for r in own], np.int64) for k in ("first", "sequence", "offset", "each"))
     places = docs.sparkSession.sparkContext.broadcast(by_length)
     spread = max(1, -(-sum(counts.values()) // RANKED_TOGETHER))
-    rows = found.withColumn("_ink_part", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(spread)).cast("int"))
+    rows = found.withColumn("_ink_part", F.pmod(F.xxhash64("_ink_place"), F.lit(spread)).cast("int"))
     group = Window.partitionBy("length", "_ink_part")
-    rows = rows.withColumn("_ink_rank", F.row_number().over(group.orderBy(id_col, "piece")) - 1)
+    rows = rows.withColumn("_ink_rank", F.row_number().over(group.orderBy("_ink_place")) - 1)
     if spread > 1:
         sizes = rows.groupBy("length", "_ink_part").count()
         before = F.sum("count").over(Window.partitionBy("length").orderBy("_ink_part").rowsBetween(Window.unboundedPreceding, -1))
         sizes = sizes.select("length", "_ink_part", F.coalesce(before, F.lit(0)).alias("_ink_before"))
         rows = rows.join(sizes, ["length", "_ink_part"]).withColumn("_ink_rank", F.col("_ink_rank") + F.col("_ink_before"))
-    rows = rows.select(*found.columns, F.col("_ink_rank").cast("bigint").alias("_ink_rank"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
+    rows = rows.select(*[F.col(f"`{c}`") for c in kept], F.col("_ink_rank").cast("bigint").alias("_ink_rank"))
+    schema = T.StructType([*(f for f in found.schema.fields if f.name in kept), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +189,7 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", id_col: str = "do
             names = [x for x in batch.schema.names if x != "_ink_rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return rows.mapInArrow(place, f"{kept}, sequence_id bigint, offset bigint")
+    return rows.mapInArrow(place, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

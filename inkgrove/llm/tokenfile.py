@@ -16,7 +16,6 @@ import json
 import struct
 import uuid
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,9 +33,9 @@ END_ID = 1
 FRAME_IDS = 1 << 16
 #: Fixed values of the zstd seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
-#: Skippable frame of the document table, and the tail that gives its length.
+#: Skippable frame of the document table; it ends with a checksum, the number of documents, and of those without an id, which come first.
 DOCUMENTS_MAGIC = 0x184D2A5D
-_NO_ID = -(2**63)
+_TAIL = struct.Struct("<III")
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -49,14 +48,15 @@ class ShardWriter:
     def __init__(self, sink, level: int = 3):
         self.sink, self.compressor = sink, zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.held: list[bytes] = []
-        self.held_ids = self.ids = self.documents = 0
+        self.held_ids = self.ids = self.documents = self.nulls = 0
         self.entries: list[tuple[int, int, int]] = []
         self.table: list[tuple[int, int, int]] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         if self.held and self.held_ids + len(ids) > FRAME_IDS:
             self._flush()
-        self.table.append((_NO_ID if doc_id is None else doc_id, self.ids, len(self.entries)))
+        self.nulls += doc_id is None
+        self.table.append((doc_id or 0, self.ids, len(self.entries)))
         self.held.append(ids.astype("<u4").tobytes())
         self.held_ids += len(ids)
         self.ids += len(ids)
@@ -73,7 +73,7 @@ class ShardWriter:
         if self.held:
             self._flush()
         table = np.array([*self.table, (0, self.ids, len(self.entries))], "<i8").T.tobytes()
-        packed = self.compressor.compress(table) + struct.pack("<II", xxhash.xxh64_intdigest(table) & 0xFFFFFFFF, len(self.table))
+        packed = self.compressor.compress(table) + _TAIL.pack(xxhash.xxh64_intdigest(table) & 0xFFFFFFFF, len(self.table), self.nulls)
         self.sink.write(struct.pack("<II", DOCUMENTS_MAGIC, len(packed)) + packed)
         seek = b"".join(struct.pack("<III", *e) for e in self.entries)
         # As the seekable format asks, entries cover every frame before the table; the document table is one, of no contents.
@@ -98,8 +98,8 @@ class ShardReader:
         self.entries, tail = entries[:-1], int(entries[-1, 0])
         self.at = np.concatenate([[0], np.cumsum(self.entries[:, 0], dtype=np.int64)])
         magic, length = struct.unpack("<II", (head := self._read(int(self.at[-1]), tail))[:8])
-        check, documents = struct.unpack("<II", head[-8:])
-        table = zstandard.ZstdDecompressor().decompress(head[8:-8])
+        check, documents, self.nulls = _TAIL.unpack(head[-_TAIL.size :])
+        table = zstandard.ZstdDecompressor().decompress(head[8 : -_TAIL.size])
         if magic != DOCUMENTS_MAGIC or length != tail - 8 or xxhash.xxh64_intdigest(table) & 0xFFFFFFFF != check:
             raise ValueError("broken document table")
         self.ids, self.starts, self.frames = np.frombuffer(table, "<i8").reshape(3, documents + 1)
@@ -125,20 +125,23 @@ class ShardReader:
         """Id, first token and ids of the i-th document."""
         ids = self.frame(int(self.frames[i]))
         a, b = int(self.starts[i]) - self._frame[2], int(self.starts[i + 1]) - self._frame[2]
-        return (None if self.ids[i] == _NO_ID else int(self.ids[i])), int(self.starts[i]), ids[a:b]
+        return (None if i < self.nulls else int(self.ids[i])), int(self.starts[i]), ids[a:b]
 
     def find(self, doc_id: int) -> list[np.ndarray]:
         """The documents with this id; only their frames are decompressed."""
-        a, b = np.searchsorted(self.ids[:-1], [doc_id, doc_id + 1])
+        known = self.ids[self.nulls : -1]
+        a, b = self.nulls + np.searchsorted(known, doc_id, "left"), self.nulls + np.searchsorted(known, doc_id, "right")
         return [self.document(i)[2] for i in range(a, b)]
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = None, text: str = "text", id_col: str = "doc_id") -> str:
+def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = None, text: str = "text", id_col: str = "doc_id", plain_specials: bool = False) -> str:
     """Encode every whole text, end it with END_ID and write all in ascending id order, null ids first. Returns the folder.
 
     The order runs through the shards as the manifest lists them. folder is a path or URI that all
     executors reach; by default one in the cluster's shared folder. A null text counts as empty; rows that
-    share an id stand in the order of a hash of their texts; an empty table gives a manifest without shards. Ids are 64-bit integers."""
+    share an id stand in the order of a hash of their texts; an empty table gives a manifest without shards. Ids are 64-bit integers.
+    Of a very long text all ids are held at once, and it makes one frame. Strings of the vocabulary's special tokens become these
+    tokens, unless plain_specials."""
     spark = docs.sparkSession
     tune_arrow(spark)
     folder = folder or f"{shared_root(spark)}/inkgrove/tokens-{uuid.uuid4().hex}"
@@ -150,7 +153,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = Non
     ordered = ordered.select("id", "body", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, name, part, least = None, f"{uuid.uuid4().hex}.tokens", 0, None
+        writer, name, part, least, most = None, f"{uuid.uuid4().hex}.tokens", 0, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -159,16 +162,19 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = Non
                 sink = _filesystem(folder)[0].open_output_stream(f"{path}/{name}")
                 writer = ShardWriter(sink)
             bodies = [x or b"" for x in batch.column("body").to_pylist()]
-            for doc_id, ids in zip(batch.column("id").to_pylist(), encoder(vocabulary).encode(bodies)):
+            for doc_id, ids in zip(batch.column("id").to_pylist(), encoder(vocabulary, plain_specials).encode(bodies)):
                 writer.add(doc_id, np.append(ids, np.uint32(END_ID)))
+                least, most = doc_id if least is None else least, doc_id
         if writer is not None:
             documents, ids = writer.close()
             sink.close()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([documents], pa.int64()), pa.array([ids], pa.int64())], ["part", "name", "documents", "ids"])
+            numbers = [pa.array([x], pa.int64()) for x in (documents, ids, least, most)]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), *numbers], ["part", "name", "documents", "ids", "least", "most"])
 
-    shards = sorted(ordered.mapInArrow(run, "part int, name string, documents bigint, ids bigint").collect())
+    written = ordered.mapInArrow(run, "part int, name string, documents bigint, ids bigint, least bigint, most bigint").collect()  # one row a shard
+    shards = [r.asDict() for r in sorted(written, key=lambda r: r.part)]
     with fs.open_output_stream(f"{path}/manifest.json") as out:
-        out.write(json.dumps({"end_id": END_ID, "shards": [{"name": s.name, "documents": s.documents, "ids": s.ids} for s in shards]}).encode())
+        out.write(json.dumps({"end_id": END_ID, "shards": [{k: v for k, v in s.items() if k != "part"} for s in shards]}).encode())
     return folder
 
 
@@ -211,18 +217,14 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
 
 
 def read_documents(folder: str, doc_ids: Iterable[int]) -> dict[int, list[np.ndarray]]:
-    """The ids of single documents: opens only shards whose id range holds them, and decompresses only their frames."""
+    """The ids of single documents: opens only the shards whose range of ids, by the manifest, holds them, and decompresses only their frames."""
     fs, path = _filesystem(folder)
-    readers, lows = [], []
-    out: dict[int, list[np.ndarray]] = {}
+    out: dict[int, list[np.ndarray]] = {doc_id: [] for doc_id in doc_ids}
     for s in manifest(folder):
-        source = fs.open_input_file(f"{path}/{s['name']}")
-        readers.append(ShardReader(source))
-        lows.append(int(readers[-1].ids[0]))
-    for doc_id in doc_ids:
-        last = bisect_right(lows, doc_id)
-        first = max(0, min((k for k in range(last) if int(readers[k].ids[-2]) >= doc_id), default=last))
-        out[doc_id] = [x for r in readers[first:last] for x in r.find(doc_id)]
-    for r in readers:
-        r.source.close()
+        wanted = [i for i in out if s["most"] is not None and (s["least"] is None or s["least"] <= i) and i <= s["most"]]
+        if wanted:
+            with fs.open_input_file(f"{path}/{s['name']}") as source:
+                reader = ShardReader(source)
+                for doc_id in sorted(wanted):
+                    out[doc_id] += reader.find(doc_id)
     return out

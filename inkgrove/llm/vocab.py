@@ -1,8 +1,9 @@
 """Token ids of whole texts by a public tokenizer, with a piece cache in each Python worker.
 
 A text is cut at blanks into pieces on which the tokenizer gives the same ids as inside the text. Pieces repeat
-often: all of a block's pieces are hashed at once (64-bit polynomial over their bytes) and looked up in an
-open-addressed table of id runs; only pieces the table lacks go through the tokenizer.
+often: all of a block's pieces are hashed at once and looked up in an open-addressed table of id runs, which also holds
+their bytes; what the table lacks, and every long piece, goes through the tokenizer, and so does a piece whose bytes are not
+those found under its hash. Texts that hold the string of a special token go through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ import re
 
 import numpy as np
 
-#: Pieces a worker's cache holds at most; it starts anew beyond.
-CACHE_PIECES = 1_500_000
+from inkgrove.llm.hashing import slice_hashes
+
+#: Pieces a worker's cache holds at most; it starts anew beyond. Pieces of more bytes than CACHE_BYTES are not held.
+CACHE_PIECES, CACHE_BYTES = 1_500_000, 64
 #: Words joined for one call of the tokenizer; bytes of texts handled at once.
 JOINED, BLOCK = 512, 1 << 20
 
-_loaded: dict[str, "PieceEncoder"] = {}
-_BASE = 0x9E3779B97F4A7C15 | 1
+_loaded: dict[tuple[str, bool], "PieceEncoder"] = {}
 _ODD_BLANK = re.compile(r"[^\S\n ]")
 _LETTERS = np.zeros(256, bool)
 _LETTERS[65:91] = _LETTERS[97:123] = True
@@ -29,14 +31,14 @@ _SUSPECT = np.zeros(256, bool)
 _SUSPECT[[9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base & (2**64 - 1), np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of these sizes, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class PieceCache:
-    """uint64 keys to runs of ids."""
+    """uint64 keys to runs of ids, with the bytes that each key stands for."""
 
     def __init__(self, bits: int = 16):
         self.bits, self.count = bits, 0
@@ -44,6 +46,8 @@ class PieceCache:
         self.row_keys = np.zeros(1 << (bits - 1), np.uint64)
         self.starts, self.lengths = np.zeros(1 << (bits - 1), np.int64), np.zeros(1 << (bits - 1), np.int32)
         self.ids, self.used = np.zeros(1 << bits, np.uint32), 0
+        self.bytes, self.bytes_used = np.zeros(1 << bits, np.uint8), 0
+        self.byte_starts, self.byte_sizes = np.zeros(1 << (bits - 1), np.int64), np.zeros(1 << (bits - 1), np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         mask, shift = np.int64((1 << self.bits) - 1), np.uint64(64 - self.bits)
@@ -72,42 +76,74 @@ class PieceCache:
             left = left[~placed[left]]
             at[left] = (at[left] + 1) & mask
 
-    def add(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
-        """Different keys that are not in the table yet, with their ids one after another."""
+    def add(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray, pieces: list[bytes]) -> None:
+        """Different keys that are not in the table yet, with their ids one after another, and their bytes."""
         n = len(keys)
         while (self.count + n) * 2 > len(self.keys):
             self.bits += 1
             self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
-            self.row_keys, self.starts, self.lengths = (np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.row_keys, self.starts, self.lengths))
+            self.row_keys, self.starts, self.lengths, self.byte_starts, self.byte_sizes = (
+                np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.row_keys, self.starts, self.lengths, self.byte_starts, self.byte_sizes)
+            )
             self._place(self.row_keys[: self.count], np.arange(self.count, dtype=np.int32))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        while self.bytes_used + len(raw) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros(len(self.bytes), np.uint8)])
         self.ids[self.used : self.used + len(flat)] = flat
+        self.bytes[self.bytes_used : self.bytes_used + len(raw)] = raw
         new = slice(self.count, self.count + n)
         self.row_keys[new], self.lengths[new] = keys, sizes
         self.starts[new] = self.used + np.cumsum(sizes) - sizes
+        self.byte_sizes[new] = [len(p) for p in pieces]
+        self.byte_starts[new] = self.bytes_used + np.cumsum(self.byte_sizes[new]) - self.byte_sizes[new]
         self._place(keys, np.arange(self.count, self.count + n, dtype=np.int32))
-        self.count, self.used = self.count + n, self.used + len(flat)
+        self.count, self.used, self.bytes_used = self.count + n, self.used + len(flat), self.bytes_used + len(raw)
+
+    def stands_for(self, rows: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Whether each row's bytes are data[start:stop]."""
+        sizes = stops - starts
+        same = self.byte_sizes[rows] == sizes
+        if not same.all():
+            rows, starts, sizes = rows[same], starts[same], sizes[same]
+        equal = self.bytes[_spread(self.byte_starts[rows], sizes)] == data[_spread(starts, sizes)]
+        if equal.all():
+            return same
+        same[np.flatnonzero(same)] = np.logical_and.reduceat(equal, np.cumsum(sizes) - sizes)
+        return same
 
-    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the rows one after another, and where each row's begin (one more for the end)."""
+    def gather(self, rows: np.ndarray, other: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the rows one after another, and where each row's begin (one more for the end); other has the ids of places in rows that are -1."""
         sizes = self.lengths[rows].astype(np.int64)
+        for i, ids in other.items():
+            sizes[i] = len(ids)
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        return self.ids[np.repeat(self.starts[rows] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+        if not other:
+            return self.ids[_spread(self.starts[rows], sizes)], ends
+        out = np.zeros(ends[-1], np.uint32)
+        known = np.flatnonzero(rows >= 0)
+        out[_spread(ends[:-1][known], sizes[known])] = self.ids[_spread(self.starts[rows[known]], sizes[known])]
+        for i, ids in other.items():
+            out[ends[i] : ends[i + 1]] = ids
+        return out, ends
 
 
 class PieceEncoder:
-    """Encodes with add_special_tokens=False; special tokens' strings in a text are ordinary text."""
+    """Encodes with add_special_tokens=False. Special tokens' strings in a text become their ids, as the library does by
+    default, or are ordinary text if plain_specials."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
+        known = self.tokenizer.get_added_tokens_decoder().values()
+        self.specials = [] if plain_specials else [x.content.encode() for x in known]
+        self.caseless = any(x.normalized for x in known)
         self.spaced = self.tokenizer.normalizer is None  # byte-level: a word takes the space before it
         self.cache = PieceCache()
-        self.up, self.down = _powers(_BASE, 2 * BLOCK), _powers(pow(_BASE, -1, 2**64), 2 * BLOCK)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each UTF-8 text as unsigned 32-bit integers."""
@@ -117,6 +153,9 @@ class PieceEncoder:
             if not text:
                 out[i] = np.zeros(0, np.uint32)
                 continue
+            if self._special(text):
+                out[i] = self._whole(text.decode())
+                continue
             held.append(i)
             size += len(text)
             if size >= BLOCK:
@@ -126,6 +165,11 @@ class PieceEncoder:
             self._block(texts, held, out)
         return out
 
+    def _special(self, text: bytes) -> bool:
+        if self.caseless:
+            text = text.lower()
+        return any((x.lower() if self.caseless else x) in text for x in self.specials)
+
     def _block(self, texts: list[bytes], held: list[int], out: list) -> None:
         data = np.frombuffer(b"".join([texts[i] for i in held]), np.uint8)
         sizes = np.array([len(texts[i]) for i in held])
@@ -155,27 +199,28 @@ class PieceEncoder:
             after = last | np.append(mark[1:], False)
             cut, until = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
             slow = set()
-        if len(data) > len(self.up):
-            self.up, self.down = _powers(_BASE, len(data)), _powers(pow(_BASE, -1, 2**64), len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=total[1:])
-        keys = (total[until] - total[cut]) * self.down[cut]
-        keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) | np.uint64(1)
+        keys = slice_hashes(data, cut, until) | np.uint64(1)
         rows = self.cache.find(keys)
-        missing = np.flatnonzero(rows < 0)
+        short = until - cut <= CACHE_BYTES
+        missing = np.flatnonzero((rows < 0) & short)
+        raw = data.tobytes()
         if len(missing):
             new, where = np.unique(keys[missing], return_index=True)
             if self.cache.count + len(new) > CACHE_PIECES:
                 self.cache = PieceCache()
-                new, where = np.unique(keys, return_index=True)
-                missing = np.arange(len(keys))
+                missing = np.flatnonzero(short)
+                rows[:] = -1
+                new, where = np.unique(keys[missing], return_index=True)
             where = missing[where]
-            raw = data.tobytes()
-            order, flat, sizes = self._learn([raw[a:b].decode() for a, b in zip(cut[where].tolist(), until[where].tolist())])
-            self.cache.add(new[order], flat, sizes)
+            pieces = [raw[a:b] for a, b in zip(cut[where].tolist(), until[where].tolist())]
+            order, flat, counts = self._learn([p.decode() for p in pieces])
+            self.cache.add(new[order], flat, counts, [pieces[i] for i in order.tolist()])
             rows[missing] = self.cache.find(keys[missing])
-        ids, at = self.cache.gather(rows)
+        rows[~short] = -1
+        found = np.flatnonzero(rows >= 0)
+        rows[found[~self.cache.stands_for(rows[found], data, cut[found], until[found])]] = -1
+        other = np.flatnonzero(rows < 0).tolist()
+        ids, at = self.cache.gather(rows, dict(zip(other, self._each([raw[cut[i] : until[i]].decode() for i in other]))))
         bounds = at[np.searchsorted(cut, np.append(starts, len(data)))]
         for k, i in enumerate(held):
             out[i] = self._whole(texts[i].decode()) if k in slow else ids[bounds[k] : bounds[k + 1]]
@@ -183,6 +228,9 @@ class PieceEncoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
+    def _each(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for at in range(0, len(pieces), 4096) for x in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
+
     def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """An order of the pieces, their ids in that order, and how many each has. Words of Latin letters are
         encoded many at a time: between such words the tokenizers' own splitting always cuts."""
@@ -205,15 +253,14 @@ class PieceEncoder:
             of = np.array(found.word_ids)  # every other one is a line end
             ids.append(np.array(found.ids, np.uint32)[of % 2 == 0])
             sizes.append(np.bincount(of[of % 2 == 0] // 2, minlength=len(group)))
-        for at in range(0, len(others), 4096):
-            for found in self.tokenizer.encode_batch_fast([pieces[i] for i in others[at : at + 4096]], add_special_tokens=False):
-                ids.append(np.array(found.ids, np.uint32))
-                sizes.append(np.array([len(found)]))
+        for found in self._each([pieces[i] for i in others]):
+            ids.append(found)
+            sizes.append(np.array([len(found)]))
         return np.array(words + bare + others, np.int64), np.concatenate(ids), np.concatenate(sizes).astype(np.int32)
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, plain_specials: bool = False) -> PieceEncoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _loaded:
-        _loaded[path] = PieceEncoder(path)
-    return _loaded[path]
+    if (path, plain_specials) not in _loaded:
+        _loaded[path, plain_specials] = PieceEncoder(path, plain_specials)
+    return _loaded[path, plain_specials]
