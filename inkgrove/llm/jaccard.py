@@ -5,11 +5,12 @@ least PERCENT / 100 share an element among the first n - ceil(n * PERCENT / 100)
 whole corpus; here shingles of many documents come last, so passages that many documents share stay out of
 most prefixes. Documents with the same size and prefix form one group. Postings (prefix element, group) meet by ranges of
 the hash, in compressed blocks; groups of one posting whose sizes allow the similarity become pairs; pairs expand to
-members with different sets, whose whole sets are recomputed and compared exactly.
+members with different sets, whose whole sets are recomputed and compared.
 
 A posting over LONG groups is not paired off: each group is paired with a hub (the group with the fewest rarer elements)
-and with the next one, and the links found join most of it. Groups of it that then still lie in different components are
-held against each other in a second round, so no link between components is missed and no group of near copies is squared.
+and with the next one, and the links found join most of it. Tasks do this to their own part of a posting first and hand on
+its hub alone, so no posting meets whole. Groups of it that then still lie in different components are held against each
+other in a second round, block by block, so no link between components is missed and no group of near copies is squared.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from inkgrove.llm.components import components
+from inkgrove.llm.hashing import mix, slice_hashes
 from inkgrove.plans.shared import cut, join_back, join_sized, tune_arrow
 
 WORDS, PERCENT = 5, 80
@@ -34,32 +38,20 @@ LONG = 16
 OFTEN, MOST_FREQUENT = 8, 4_000_000
 #: Shingles a task holds before it hands out blocks; shingles of one hash range, about; bytes of text hashed at once.
 HELD, IN_RANGE, BLOCK = 1_000_000, 1_000_000, 1 << 20
+#: Bits of the ranges in which tasks hand out blocks; where more are needed, a second pass splits these ranges.
+COARSE_BITS = 12
+#: Members of a posting held against as many others in one group of the second round, about; rows of such groups in one task, about.
+ROUND_BLOCK, ROUND_ROWS = 1000, 50_000
+#: Sets compared with one copy of a set that many are compared with.
+AROUND_HUB = 64
 #: Shingles are counted by the upper bits of their hash.
 COUNTED_SHIFT = np.uint64(20)
 
-_BASE = 0xD6E8FEB86659FD93
 _BLANKS = np.zeros(256, bool)
 _BLANKS[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEPS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 2**64)) for k in range(WORDS)]
-_powers: list[np.ndarray] = []
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        _powers[:] = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            table = np.full(max(n, 2 * BLOCK), base, np.uint64)
-            table[0] = 1
-            _powers.append(np.cumprod(table))
-    return _powers
 
 
 def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -80,21 +72,18 @@ def _block_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
     blank = _BLANKS[data]
     starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     stops = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
-    up, down = _power_tables(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    words = _mix((total[stops] - total[starts]) * down[starts])
+    words = slice_hashes(data, starts, stops)
     bounds = np.concatenate([[0], np.searchsorted(starts, ends)])
     shingles = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
     for k, step in enumerate(_STEPS):
         shingles += words[k : k + len(shingles)] * step
-    shingles = _mix(shingles)
+    shingles = mix(shingles)
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a >= WORDS:
             yield np.unique(shingles[a : b - WORDS + 1])
         elif b > a:
             short = words[a:b]
-            yield _mix(np.array([sum(int(w) * int(s) for w, s in zip(short, _STEPS)) + len(short) & (2**64 - 1)], np.uint64))
+            yield mix(np.array([sum(int(w) * int(s) for w, s in zip(short, _STEPS)) + len(short) & (2**64 - 1)], np.uint64))
         else:
             yield np.zeros(0, np.uint64)
 
@@ -104,10 +93,10 @@ def prefix_length(n: int) -> int:
 
 
 class _Ranges:
-    """Gathers hashes with payload and hands them out as one compressed block per hash range."""
+    """Gathers hashes with payload and hands them out as one compressed block per hash range, after reduce(), if given, has cut them down."""
 
-    def __init__(self, bits: int):
-        self.bits, self.parts, self.size = bits, [], 0
+    def __init__(self, bits: int, reduce=None):
+        self.bits, self.reduce, self.parts, self.size = bits, reduce, [], 0
 
     def add(self, *columns: np.ndarray) -> None:
         self.parts.append(columns)
@@ -118,12 +107,30 @@ class _Ranges:
             return
         columns = [np.concatenate(c) for c in zip(*self.parts)]
         self.parts, self.size = [], 0
+        if self.reduce:
+            columns = self.reduce(*columns)
         order = np.argsort(columns[0])
         columns = [c[order] for c in columns]
-        edges = np.searchsorted(columns[0], np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
-        for k, (a, b) in enumerate(zip(edges, np.append(edges[1:], len(order)))):
-            if b > a:
-                yield k, pack_block([c[a:b] for c in columns])
+        of = columns[0] >> np.uint64(64 - self.bits)
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(of)), bool), of[1:] != of[:-1]]))
+        for a, b in zip(first, np.append(first[1:], len(of))):
+            yield int(of[a]), pack_block([c[a:b] for c in columns])
+
+
+def _finer(blocks: DataFrame, bits: int) -> DataFrame:
+    """Blocks (range, block) of COARSE_BITS bits as blocks of that many bits; range after range, so that they are not torn to single hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = _Ranges(bits), None
+        for batch in batches:
+            for k, block in zip(batch.column("range").to_pylist(), batch.column("block").to_pylist()):
+                if k != now or held.size >= HELD:
+                    yield from map(_block_row, held.flush())
+                now = k
+                held.add(*unpack_block(block))
+        yield from map(_block_row, held.flush())
+
+    return blocks.repartition("range").sortWithinPartitions("range").mapInArrow(run, "range int, block binary")
 
 
 def pack_block(columns: list[np.ndarray]) -> bytes:
@@ -153,8 +160,12 @@ def unpack_block(block: bytes) -> list[np.ndarray]:
 def _frequent(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted counting keys of the shingles of many documents, and their levels. At most MOST_FREQUENT."""
 
+    def counted_once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = np.unique(keys, return_counts=True)
+        return keys, n.astype(np.uint64)
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Ranges(bits)
+        held = _Ranges(min(bits, COARSE_BITS), counted_once)
         for batch in batches:
             for found in shingle_sets([x or b"" for x in batch.column("body").to_pylist()]):
                 held.add((found >> COUNTED_SHIFT) << COUNTED_SHIFT)
@@ -163,16 +174,19 @@ def _frequent(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
         yield from map(_block_row, held.flush())
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, n = np.unique(np.concatenate([unpack_block(b)[0] for b in frame["block"]]), return_counts=True)
+        keys, n = (np.concatenate(c) for c in zip(*map(unpack_block, frame["block"])))
+        keys, where = np.unique(keys, return_inverse=True)
+        n = np.bincount(where, weights=n)
         often = n >= OFTEN
         level = np.minimum(np.log2(n[often]).astype(np.uint64), np.uint64(60))
         out = [(int(v), int((level == v).sum()), pack_block([keys[often][level == v]])) for v in np.unique(level)]
         return pd.DataFrame(out, columns=["level", "n", "keys"])
 
-    counted = rows.select("body").mapInArrow(blocks, "range int, block binary").groupBy("range").applyInPandas(count, "level int, n bigint, keys binary")
-    counted = cut(counted, "frequent")
+    found = rows.select("body").mapInArrow(blocks, "range int, block binary")
+    found = _finer(found, bits) if bits > COARSE_BITS else found
+    counted = cut(found.groupBy("range").applyInPandas(count, "level int, n bigint, keys binary"), "frequent")
     room, least = MOST_FREQUENT, 64
-    for r in counted.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
+    for r in counted.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():  # 61 levels at most
         if r.n > room:
             break
         room, least = room - r.n, r.level
@@ -193,16 +207,38 @@ def _signature(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-_MARKED = ["id", "row", "n", "sig", "grp", "range", "block"]
+_MARKED = ["id", "row", "n", "sig", "grp", "range", "block", "posting", "a", "b"]
+
+
+def _marked_batch(kinds: dict, size: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, kinds[c]) for c in _MARKED], _MARKED)
 
 
 def _mark(rows: DataFrame, bits: int, frequent) -> DataFrame:
-    """A row (id, row, n, sig, grp) for each document, and rows (range, block) of postings (prefix element, group, size)."""
-    id_type = rows.schema["id"].dataType.simpleString()
+    """A row (id, row, n, sig, grp) for each document; rows (range, block) of postings (prefix element, group, size, place, reduced); and
+    for what a task has settled of long postings, pairs (a, b) of groups and members (posting, a: group, b: place, n)."""
+    kinds = {"id": to_arrow_type(rows.schema["id"].dataType), "sig": pa.binary(), "range": pa.int32(), "block": pa.binary()}
+    kinds = {c: kinds.get(c, pa.int64()) for c in _MARKED}
+    shape = T.StructType([T.StructField("id", rows.schema["id"].dataType)] + [T.StructField(c, {"sig": T.BinaryType(), "block": T.BinaryType(), "range": T.IntegerType()}.get(c, T.LongType())) for c in _MARKED[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, levels = frequent.value
-        held = _Ranges(bits)
+        settled: list[pa.RecordBatch] = []
+
+        def hubs_only(element, group, n, place):
+            left, right, members, kept = _starred(element, group, n.astype(np.int64), place.astype(np.int64), np.zeros(len(element), np.uint64), all_short=False)
+            for columns in ({"a": left, "b": right}, members):
+                if size := len(columns["a"]):
+                    settled.append(_marked_batch(kinds, size, **{c: pa.array(v.astype(np.int64)) for c, v in columns.items()}))
+            return kept
+
+        def handed_out() -> Iterator[pa.RecordBatch]:
+            for k, block in held.flush():
+                yield _marked_batch(kinds, 1, range=pa.array([k], pa.int32()), block=pa.array([block], pa.binary()))
+            yield from settled
+            settled.clear()
+
+        held = _Ranges(min(bits, COARSE_BITS), hubs_only)
         for batch in batches:
             sizes, sigs, groups = [], [], []
             for found in shingle_sets([x or b"" for x in batch.column("body").to_pylist()]):
@@ -225,20 +261,12 @@ def _mark(rows: DataFrame, bits: int, frequent) -> DataFrame:
                 group = np.frombuffer(xxhash.xxh3_64_digest(prefix.tobytes(), n), ">u8")[0]
                 groups.append(int(group.astype(np.int64)))
                 held.add(prefix, np.full(len(prefix), group, np.uint64), np.full(len(prefix), n, np.uint64), place.astype(np.uint64))
-            nothing = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(groups, pa.int64()), *nothing], _MARKED)
+            yield _marked_batch(kinds, batch.num_rows, id=batch.column("id"), row=batch.column("row"), n=pa.array(sizes, pa.int64()), sig=pa.array(sigs, pa.binary()), grp=pa.array(groups, pa.int64()))
             if held.size >= HELD:
-                yield from map(block_row, held.flush())
-        yield from map(block_row, held.flush())
+                yield from handed_out()
+        yield from handed_out()
 
-    def block_row(found: tuple[int, bytes]) -> pa.RecordBatch:
-        empty = pa.nulls(1, id_arrow), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64())
-        return pa.RecordBatch.from_arrays([*empty, pa.array([found[0]], pa.int32()), pa.array([found[1]], pa.binary())], _MARKED)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_arrow = to_arrow_type(rows.schema["id"].dataType)
-    return rows.select("id", "row", "body").mapInArrow(run, f"id {id_type}, row bigint, n bigint, sig binary, grp bigint, range int, block binary")
+    return rows.select("id", "row", "body").mapInArrow(run, shape)
 
 
 def _can_link(n1: np.ndarray, place1: np.ndarray, n2: np.ndarray, place2: np.ndarray) -> np.ndarray:
@@ -248,19 +276,25 @@ def _can_link(n1: np.ndarray, place1: np.ndarray, n2: np.ndarray, place2: np.nda
     return np.minimum(n1 - place1, n2 - place2) >= least
 
 
-def _meet(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a, b) of groups that share a prefix element, and members (posting, a: group, b: place, n) of long postings, of one hash range.
+def _starred(element: np.ndarray, group: np.ndarray, n: np.ndarray, place: np.ndarray, reduced: np.ndarray, all_short: bool):
+    """Pairs (a, b) of groups that share an element, members (posting, a: group, b: place, n) of long postings, and the columns of
+    what is left once of each long posting only its hub is.
 
-    A long posting's groups are paired with its hub, the one with the fewest elements before the shared one, and with the next."""
-    element, group, n, place = (np.concatenate(c) for c in zip(*map(unpack_block, frame["block"])))
+    Pairs are, of long postings, each group with the hub, the one with the fewest elements before the shared one, and with
+    the next; of the others, if all_short, all. A posting counts as long if a part of it was reduced before."""
     order = np.lexsort((group, n, place, element))
-    element, group, n, place = element[order], group[order], n[order].astype(np.int64), place[order].astype(np.int64)
+    element, group, n, place, reduced = (c[order] for c in (element, group, n, place, reduced))
+    if not len(element):
+        none = np.zeros(0, np.uint64)
+        return none, none, {"posting": none, "a": none, "b": none, "n": none}, [none] * 5
     new = np.concatenate([[True], (element[1:] != element[:-1]) | (group[1:] != group[:-1])])
+    run = np.cumsum(new) - 1
+    reduced = np.maximum.reduceat(reduced, np.flatnonzero(new))
     element, group, n, place = element[new], group[new], n[new], place[new]
     first = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]]))
     size = np.diff(np.append(first, len(element)))
     run_size, run_first = np.repeat(size, size), np.repeat(first, size)
-    pairs = []
+    pairs = [(np.zeros(0, np.uint64),) * 2]
 
     def pair(i: np.ndarray, j: np.ndarray) -> None:
         fits = _can_link(n[i], place[i], n[j], place[j])
@@ -268,7 +302,7 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
         pairs.append((np.minimum(group[i], group[j]), np.maximum(group[i], group[j])))
 
     for d in range(1, LONG):
-        i = np.flatnonzero((run_size > d) & ((run_size <= LONG) | (d == 1)))
+        i = np.flatnonzero((run_size > d) & ((all_short & (run_size <= LONG)) | ((d == 1) & (run_size > LONG))))
         i = i[i + d < run_first[i] + run_size[i]]
         pair(i, i + d)
     far = np.flatnonzero((run_size > LONG) & (np.arange(len(element)) > run_first))
@@ -277,35 +311,73 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
     order = np.lexsort((right, left))
     left, right = left[order], right[order]
     new = np.concatenate([np.ones(min(1, len(left)), bool), (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
-    found = np.stack([left[new], right[new]]).view(np.int64)
     # A member that cannot link even with the least place and the best size of others is of no use in the second round.
     least = -(-PERCENT * (n + -(-n * PERCENT // 100)) // (100 + PERCENT))
-    members = (run_size > LONG) & (n - place >= least)
-    columns = {"posting": element[members].view(np.int64), "a": group[members].view(np.int64), "b": place[members], "n": n[members]}
-    rows = [pd.DataFrame({"posting": pd.array([None] * found.shape[1], "Int64"), "a": found[0], "b": found[1], "n": 0})]
-    rows.append(pd.DataFrame(columns | {"posting": pd.array(columns["posting"], "Int64")}))
+    before = np.repeat(np.maximum.reduceat(reduced, first), size) > 0
+    member = ((run_size > LONG) | before) & (n - place >= least)
+    members = {"posting": element[member], "a": group[member], "b": place[member], "n": n[member]}
+    kept = (run_size <= LONG) | (np.arange(len(element)) == run_first)
+    reduced = np.maximum(reduced, (run_size > LONG).astype(np.uint64))
+    return left[new], right[new], members, [element[kept], group[kept], n[kept].astype(np.uint64), place[kept].astype(np.uint64), reduced[kept]]
+
+
+def _meet(frame: pd.DataFrame) -> pd.DataFrame:
+    """The pairs (a, b) and members (posting, a, b, n) that _starred() finds in the blocks of one hash range."""
+    element, group, n, place, reduced = (np.concatenate(c) for c in zip(*map(unpack_block, frame["block"])))
+    left, right, members, _ = _starred(element, group, n.astype(np.int64), place.astype(np.int64), reduced, all_short=True)
+    members = {c: v.astype(np.int64) for c, v in members.items()}
+    rows = [pd.DataFrame({"posting": pd.array([None] * len(left), "Int64"), "a": left.astype(np.int64), "b": right.astype(np.int64), "n": 0})]
+    rows.append(pd.DataFrame(members | {"posting": pd.array(members["posting"], "Int64")}))
     return pd.concat(rows)
 
 
 def _apart(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (u, v) of signatures in different components that one posting holds and that can link; postings of one part."""
-    found: set[tuple[bytes, bytes]] = set()
-    for _, own in frame.groupby("posting", sort=False):
-        own = own.sort_values("n")
-        n, place = own["n"].to_numpy(), own["place"].to_numpy()
+    """Pairs (u, v) of signatures in different components that one posting holds and that can link; of pairs of blocks (x, y) of postings."""
+    found = [np.zeros((0, 2), object)]
+    for (_, x, y), own in frame.groupby(["posting", "x", "y"], sort=False):
         label, sig = pd.factorize(own["label"])[0], own["sig"].to_numpy()
-        for i in range(len(own) - 1):
-            until = np.searchsorted(n, n[i] * 100 // PERCENT, side="right")
-            js = np.arange(i + 1, until)
+        n, place, block = (own[c].to_numpy() for c in ("n", "place", "block"))
+        one, two = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        for i in one:
+            js = two[two > i] if x == y else two
             js = js[(label[js] != label[i]) & _can_link(n[i], place[i], n[js], place[js])]
-            found.update((min(sig[i], sig[j]), max(sig[i], sig[j])) for j in js)
-    return pd.DataFrame(list(found), columns=["u", "v"])
+            found.append(np.stack([np.full(len(js), sig[i], object), sig[js]], axis=1))
+    pairs = np.concatenate(found)
+    low = [(min(u, v), max(u, v)) for u, v in pairs.tolist()]
+    return pd.DataFrame(list(dict.fromkeys(low)), columns=["u", "v"])
+
+
+def _between_components(held: DataFrame) -> DataFrame | None:
+    """Pairs (u, v) of members of held (posting, sig, n, place, label), a cut table, that share a posting but no component and can link.
+
+    The members of a posting stand in blocks of about ROUND_BLOCK: a component with more has blocks of its own, the others share
+    some. Only blocks of different components meet, each pair of blocks as one group. None if no posting has two components."""
+    sizes = cut(held.groupBy("posting", "label").agg(F.count("*").alias("members")), "sizes")
+    large = F.col("members") > ROUND_BLOCK
+    apart = sizes.groupBy("posting").agg(F.count("*").alias("labels"), F.sum(F.when(~large, F.col("members"))).alias("_rest")).where("labels > 1")
+    sizes = cut(sizes.join(apart, "posting").select("posting", "label", "members", F.ceil(F.coalesce("_rest", F.lit(0)) / ROUND_BLOCK).alias("_shared")), "sizes")
+    if sizes.isEmpty():
+        return None
+    own = F.concat(F.hex("label"), F.lit("/"), F.pmod(F.xxhash64("sig"), F.ceil(F.col("members") / ROUND_BLOCK)))
+    block = F.when(large, own).otherwise(F.concat(F.lit("/"), F.pmod(F.xxhash64("label"), F.greatest("_shared", F.lit(1)))))
+    members = cut(held.join(sizes, ["posting", "label"]).select("posting", "sig", "n", "place", "label", block.alias("block"), F.when(large, F.col("label")).alias("_whose")), "members")
+    blocks = cut(members.groupBy("posting", "block").agg(F.first("_whose").alias("_whose")), "blocks")
+    one, two = blocks.select("posting", F.col("block").alias("x"), F.col("_whose").alias("_x")), blocks.select("posting", F.col("block").alias("y"), F.col("_whose").alias("_y"))
+    meet = one.join(two, "posting").where((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("_x") == F.col("_y"), F.lit(False))).select("posting", "x", "y")
+    meet = cut(meet, "meet")
+    sides = members.join(meet.select("posting", F.col("x").alias("block"), "x", "y"), ["posting", "block"]).unionByName(members.join(meet.where("x <> y").select("posting", F.col("y").alias("block"), "x", "y"), ["posting", "block"]))
+    sides = cut(sides.select("posting", "x", "y", "sig", "n", "place", "label", "block"), "sides")
+    parts = max(1, sides.count() // ROUND_ROWS)
+    return sides.withColumn("part", F.pmod(F.xxhash64("posting", "x", "y"), F.lit(parts))).groupBy("part").applyInPandas(_apart, "u binary, v binary").distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (u, v) of signatures whose sets reach the similarity, compared exactly, as a cut table."""
-    needed = pairs.select(F.col("u").alias("sig")).union(pairs.select("v")).distinct().join(classes, "sig").select(F.col("one.id").alias("id2"), F.col("one.row").alias("row2"), "sig")
-    needed = cut(needed, "needed")
+    """The pairs (u, v) of signatures whose sets reach the similarity, as a cut table.
+
+    Of a pair, the one in more pairs is the hub: sets of the others are dealt out to groups of about AROUND_HUB with one copy of the hub's, which streams first."""
+    ends = pairs.select(F.col("u").alias("sig"), F.col("v").alias("other")).unionByName(pairs.select(F.col("v").alias("sig"), F.col("u").alias("other")))
+    degrees = cut(ends.groupBy("sig").agg(F.count("*").alias("degree")), "degrees")
+    needed = cut(degrees.join(classes, "sig").select(F.col("one.id").alias("id2"), F.col("one.row").alias("row2"), "sig"), "needed")
     whose = join_sized(rows, needed, rows["id"].eqNullSafe(needed["id2"]) & (rows["row"] == needed["row2"]), "inner").select("sig", "body")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,19 +385,31 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFram
             found = [x.tobytes() for x in shingle_sets([x or b"" for x in batch.column("body").to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(found, pa.binary())], ["sig", "elements"])
 
-    whole = cut(whose.mapInArrow(sets, "sig binary, elements binary"), "sets")
-    one, two = whole.select(F.col("sig").alias("u"), F.col("elements").alias("x")), whole.select(F.col("sig").alias("v"), F.col("elements").alias("y"))
+    whole = cut(whose.mapInArrow(sets, "sig binary, elements binary").dropDuplicates(["sig"]), "sets")
+    side = lambda c: degrees.select(F.col("sig").alias(c), F.col("degree").alias(f"degree_{c}"))
+    sided = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v")
+    first = F.col("degree_u") >= F.col("degree_v")
+    dealt = sided.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("hub"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("leaf"), F.ceil(F.greatest("degree_u", "degree_v") / AROUND_HUB).alias("deals"))
+    dealt = cut(dealt.select("hub", "leaf", F.pmod(F.xxhash64("leaf"), F.col("deals")).alias("deal")), "dealt")
+    leaves = dealt.join(whole.select(F.col("sig").alias("leaf"), "elements"), "leaf").select("hub", "deal", "leaf", "elements")
+    hubs = dealt.select("hub", "deal").distinct().join(whole.select(F.col("sig").alias("hub"), "elements"), "hub").select("hub", "deal", F.lit(None).cast("binary").alias("leaf"), "elements")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for leaf, elements in zip(batch.column("leaf").to_pylist(), batch.column("elements").to_pylist()):
+                b = np.frombuffer(elements, np.uint64)
+                if leaf is None:
+                    a = b
+                    keep.append(False)
+                    continue
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("leaf")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(pairs.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(compare, "u binary, v binary"), "links")
+    groups = leaves.unionByName(hubs).repartition("hub", "deal").sortWithinPartitions("hub", "deal", F.col("leaf").asc_nulls_first())
+    return cut(groups.select("hub", "leaf", "elements").mapInArrow(compare, "u binary, v binary"), "links")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -335,7 +419,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     id that links reach, the own one included. Documents of equal sets form a class and are linked. A text
     without words, or null, has an empty set and is linked with nothing; one of fewer than WORDS words is one
     shingle. Null ids take part, but are no component_id unless all of a component are null. Repeated rows are
-    alike; an empty table gives an empty result; other columns are not read."""
+    alike; an empty table gives an empty result; other columns are not read. Shingles are compared by 64-bit hashes;
+    a text and its set are held in memory whole, one at a time."""
     spark = docs.sparkSession
     tune_arrow(spark)
     body = F.coalesce(F.col(text), F.lit(""))
@@ -344,8 +429,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     bits = max(4, int(np.ceil(np.log2(max(1, volume / 12 / IN_RANGE)))))
     frequent = spark.sparkContext.broadcast(_frequent(rows, bits))
     marked = cut(_mark(rows, bits, frequent), "marked")
-    members = marked.where("range is null").select("id", "row", "n", "sig", "grp")
-    met = cut(marked.where("range is not null").select("range", "block").groupBy("range").applyInPandas(_meet, "posting bigint, a bigint, b bigint, n bigint"), "met")
+    members = marked.where("sig is not null").select("id", "row", "n", "sig", "grp")
+    blocks = marked.where("range is not null").select("range", "block")
+    blocks = _finer(blocks, bits) if bits > COARSE_BITS else blocks
+    met = cut(blocks.groupBy("range").applyInPandas(_meet, "posting bigint, a bigint, b bigint, n bigint"), "met")
+    met = met.select("posting", "a", "b").unionByName(marked.where("a is not null").select("posting", "a", "b"))
     classes = cut(members.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "row")).alias("one"), F.min("id").alias("least"), F.count("*").alias("rows"), F.first("grp").alias("grp"), F.first("n").alias("n")), "classes")
     groups = cut(classes.groupBy("grp").agg(F.min("sig").alias("sig"), F.count("*").alias("many")), "groups")
 
@@ -361,11 +449,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     mixed = mixed.select(F.xxhash64("a", "b").alias("posting"), F.explode(F.array("a", "b")).alias("grp")).unionByName(several.select(F.col("grp").alias("posting"), "grp"))
     posted = met.where("posting is not null").select("posting", F.col("a").alias("grp"), F.col("b").alias("place")).unionByName(mixed.withColumn("place", F.lit(0).cast("bigint")))
     held = posted.join(classes.select("grp", "sig", "n"), "grp").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select("posting", "sig", "n", "place", F.coalesce("label", "sig").alias("label"))
-    held = cut(held, "held")
-    apart = cut(held.groupBy("posting").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("posting"), "apart")
-    if not apart.isEmpty():
-        parts = F.pmod(F.xxhash64("posting"), F.lit(1 << bits)).alias("part")
-        again = held.join(apart, "posting", "left_semi").select(parts, "posting", "sig", "n", "place", "label").groupBy("part").applyInPandas(_apart, "u binary, v binary").distinct()
+    held = cut(held.distinct(), "held")
+    again = _between_components(held)
+    if again is not None:
         tried = across.unionByName(inside).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         more = _verified(cut(again.join(tried, ["u", "v"], "left_anti"), "pairs"), classes, rows)
         if not more.isEmpty():
