@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkgrove.plans.shared import cut, tune_arrow
 
@@ -52,8 +53,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_digest(rows: DataFrame, text: str) -> DataFrame:
     """rows with _ink_digest: SHA-256 of the text in UTF-8 with A-Z lower-cased; a null text counts as empty."""
     tune_arrow(rows.sparkSession)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.select("*", F.col(text).cast("binary").alias("_ink_body")).mapInArrow(_digests, f"{kept}, _ink_digest binary")
+    shape = T.StructType([*rows.schema.fields, T.StructField("_ink_digest", T.BinaryType())])
+    return rows.select("*", F.col(text).cast("binary").alias("_ink_body")).mapInArrow(_digests, shape)
 
 
 def frequent_digests(digests: DataFrame) -> list[bytes]:
@@ -73,49 +74,50 @@ def frequent_digests(digests: DataFrame) -> list[bytes]:
     return list(misra_gries((bytes(r._ink_digest), r.n) for r in merged.toLocalIterator()))
 
 
-def _winners(digests: DataFrame, order: str) -> tuple[DataFrame, int]:
-    """(_ink_digest, _ink_win, _ink_size) of the heavy digests, verified by exact counts; all rows."""
+def _placed_digests(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(_ink_id, _ink_digest, _ink_place) of docs as a cut table; the place tells repeated rows apart."""
+    rows = with_digest(docs.select(F.col(id_col).alias("_ink_id"), F.col(text).alias("_ink_text")), "_ink_text").drop("_ink_text")
+    return cut(rows.withColumn("_ink_place", F.monotonically_increasing_id()), "digests")
+
+
+def _winners(digests: DataFrame) -> DataFrame:
+    """(_ink_digest, _ink_win, _ink_size) of the heavy digests, verified by exact counts; _ink_win is a struct of id and place."""
     spark = digests.sparkSession
     total = digests.count()
     candidates = spark.createDataFrame([(x,) for x in frequent_digests(digests)], "_ink_digest binary")
-    exact = digests.join(F.broadcast(candidates), "_ink_digest").groupBy("_ink_digest").agg(F.max(order).alias("_ink_win"), F.count("*").alias("_ink_size"))
-    rows = exact.where(F.col("_ink_size") > total / (COUNTERS + 1)).collect()
-    shape = f"_ink_digest binary, _ink_win {digests.schema[order].dataType.simpleString()}, _ink_size bigint"
-    return spark.createDataFrame([tuple(r) for r in rows], shape), total
+    win = F.max(F.struct("_ink_id", "_ink_place"))
+    exact = digests.join(F.broadcast(candidates), "_ink_digest").groupBy("_ink_digest").agg(win.alias("_ink_win"), F.count("*").alias("_ink_size"))
+    heavy = exact.where(F.col("_ink_size") > total / (COUNTERS + 1))
+    return spark.createDataFrame(heavy.collect(), heavy.schema)  # at most COUNTERS rows
 
 
 def duplicate_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: id_col, keep_id, group_size, kept, text_sha256 (hex).
 
     Of equal texts the row with the largest id stays, null ids counting as smallest; of rows that share
-    that id one is kept. A null text counts as empty. An empty table gives an empty result; other
-    columns are not read."""
-    digests = cut(with_digest(docs.select(F.col(id_col).alias("_ink_id"), F.col(text).alias("_ink_text")), "_ink_text").drop("_ink_text"), "digests")
-    winners, _ = _winners(digests, "_ink_id")
-    marked = digests.join(F.broadcast(winners.withColumn("_ink_heavy", F.lit(True))), "_ink_digest", "left")
-    is_win = F.col("_ink_id").eqNullSafe(F.col("_ink_win"))
-    losers = marked.where(F.col("_ink_heavy") & ~is_win).withColumn("_ink_kept", F.lit(False))
-    twin = Window.partitionBy("_ink_digest").orderBy(F.lit(0))
-    won = marked.where(F.col("_ink_heavy") & is_win).withColumn("_ink_kept", F.row_number().over(twin) == 1)
+    that id one is kept. A null text counts as empty. Very long texts are hashed whole. An empty table gives an empty
+    result; other columns are not read."""
+    digests = _placed_digests(docs, text, id_col)
+    marked = digests.join(F.broadcast(_winners(digests)), "_ink_digest", "left")
+    heavy = marked.where("_ink_size is not null")
     group = Window.partitionBy("_ink_digest")
-    best = group.orderBy(F.col("_ink_id").desc_nulls_last())
-    rest = marked.where("_ink_heavy is null").withColumn("_ink_kept", F.row_number().over(best) == 1)
-    rest = rest.withColumn("_ink_win", F.max("_ink_id").over(group)).withColumn("_ink_size", F.count("*").over(group))
-    return losers.unionByName(won).unionByName(rest).select(
-        F.col("_ink_id").alias(id_col), F.col("_ink_win").alias("keep_id"), F.col("_ink_size").alias("group_size"), F.col("_ink_kept").alias("kept"), F.lower(F.hex("_ink_digest")).alias("text_sha256")
+    rest = marked.where("_ink_size is null").withColumn("_ink_win", F.max(F.struct("_ink_id", "_ink_place")).over(group)).withColumn("_ink_size", F.count("*").over(group))
+    kept = F.col("_ink_place") == F.col("_ink_win._ink_place")
+    return heavy.unionByName(rest).select(
+        F.col("_ink_id").alias(id_col), F.col("_ink_win._ink_id").alias("keep_id"), F.col("_ink_size").alias("group_size"), kept.alias("kept"), F.lower(F.hex("_ink_digest")).alias("text_sha256")
     )
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows that duplicate_groups() does not keep; columns stay as they are.
+    """docs without the rows that duplicate_groups() does not keep; columns stay as they are, whatever their names.
 
-    Copies of heavy texts other than the winner go before the shuffle; the text rides through one shuffle."""
+    Copies of heavy texts other than the winner go before the shuffle, and so do, in each task, all but one of rows
+    alike in id and text; the text rides through one shuffle."""
     if docs.isEmpty():
         return docs
-    digests = cut(with_digest(docs.select(F.col(id_col).alias("_ink_id"), F.col(text).alias("_ink_text")), "_ink_text").drop("_ink_text"), "digests")
-    winners, _ = _winners(digests, "_ink_id")
+    winners = _winners(_placed_digests(docs, text, id_col))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_ink_row"), F.col(id_col).alias("_ink_id"), F.col(text).alias("_ink_text"))
     marked = with_digest(rows, "_ink_text").drop("_ink_text").join(F.broadcast(winners), "_ink_digest", "left")
-    left = marked.where(F.col("_ink_size").isNull() | F.col("_ink_id").eqNullSafe(F.col("_ink_win")))
+    left = marked.where(F.col("_ink_size").isNull() | F.col("_ink_id").eqNullSafe(F.col("_ink_win._ink_id")))
     best = Window.partitionBy("_ink_digest").orderBy(F.col("_ink_id").desc_nulls_last())
     return left.withColumn("_ink_rank", F.row_number().over(best)).where("_ink_rank = 1").select("_ink_row.*")
