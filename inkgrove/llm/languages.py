@@ -17,12 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkgrove.plans.shared import tune_arrow
 
 #: Bytes of context at most.
 ORDER = 4
-#: The bound of the training sample: texts of a language, bytes of a text, languages.
+#: The bound of the training sample: texts of a language, bytes of a text, languages (the most frequent ones).
 TEXTS_PER_LANGUAGE, TEXT_BYTES, MAX_LANGUAGES = 256, 1 << 16, 256
 #: Code lengths are counted in 1/UNIT bits.
 UNIT = 1024
@@ -171,20 +172,23 @@ class PpmModel:
 
 
 def training_sample(docs: DataFrame, text: str = "text", label: str = "lang") -> dict[str, list[bytes]]:
-    """Up to TEXTS_PER_LANGUAGE different texts of each label, chosen by hash so that copies count once.
+    """Up to TEXTS_PER_LANGUAGE different texts of each of the MAX_LANGUAGES most frequent labels, chosen by hash so that copies count once.
 
-    Short texts come first; of texts over TEXT_BYTES only as many characters are learned from.
-    Raises ValueError beyond MAX_LANGUAGES labels."""
+    Short texts come first; of texts over TEXT_BYTES only as many characters are learned from. Candidates are those under a
+    bound on the hash that lets four times as many through as are needed, so no task meets a whole language."""
     rows = docs.select(F.col(label).alias("lang"), F.col(text).alias("text")).where("lang is not null and length(text) > 0")
     rows = rows.withColumn("long", F.octet_length("text") > TEXT_BYTES).withColumn("h", F.xxhash64("text"))
+    kinds = rows.groupBy("lang", "long").agg(F.approx_count_distinct("h").alias("kinds"), F.count("*").alias("n"))
+    labels = kinds.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    bounds = kinds.join(labels.select("lang"), "lang").select("lang", "long", "kinds")  # at most 2 * MAX_LANGUAGES rows
+    let_through = F.col("h") / float(1 << 64) + 0.5 <= 4.0 * TEXTS_PER_LANGUAGE / F.col("kinds")
+    candidates = rows.join(F.broadcast(bounds), ["lang", "long"]).where(let_through).select("lang", "long", "h")
     order = Window.partitionBy("lang").orderBy("long", "h")
-    picked = rows.select("lang", "long", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= TEXTS_PER_LANGUAGE).drop("r").limit(TEXTS_PER_LANGUAGE * MAX_LANGUAGES + 1)
+    picked = candidates.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= TEXTS_PER_LANGUAGE).drop("r")
     sample = rows.join(F.broadcast(picked), ["lang", "long", "h"]).groupBy("lang", "long", "h").agg(F.first(F.substring("text", 1, TEXT_BYTES)).alias("text"))
     out: dict[str, list[bytes]] = {}
-    for row in sample.orderBy("lang", "long", "h").toLocalIterator():
+    for row in sample.orderBy("lang", "long", "h").toLocalIterator():  # at most MAX_LANGUAGES * TEXTS_PER_LANGUAGE rows
         out.setdefault(row.lang, []).append(row.text.encode())
-        if len(out) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return out
 
 
@@ -195,8 +199,8 @@ def identify(docs: DataFrame, train: Column | None = None, text: str = "text", l
     null, has no letter, or nothing could be learned), score (probability of that language among the
     learned ones, 0 for "und") and bits_per_byte (code length under it, null for "und").
     train limits the rows that may be learned from; only text and label of those are used. Equal code
-    lengths go to the alphabetically first label. Repeated rows are predicted alike; an empty table
-    gives an empty result; other columns, whatever their names, are not touched."""
+    lengths go to the alphabetically first label. Repeated rows are predicted alike; very long texts are coded whole, in steps;
+    an empty table gives an empty result; other columns, whatever their names, are not touched."""
     spark = docs.sparkSession
     tune_arrow(spark)
     texts = training_sample(docs if train is None else docs.where(train), text, label)
@@ -204,7 +208,7 @@ def identify(docs: DataFrame, train: Column | None = None, text: str = "text", l
     body = F.col(text)
     rows = docs.select(F.col(id_col), *carry, F.when(body.rlike(r"\p{L}"), body).cast("binary").alias("_ink_body"))
     kept = [f for f in rows.schema.fields if f.name != "_ink_body"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, bits_per_byte double"
+    found = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +225,7 @@ def identify(docs: DataFrame, train: Column | None = None, text: str = "text", l
             columns = [batch.column(f.name) for f in kept] + [pa.array(lang, pa.string()), pa.array(score), pa.array(rate, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + ["lang_pred", "score", "bits_per_byte"])
 
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(predict, T.StructType([*kept, *found]))
 
 
 #: A document stays if its language is determined with at least this probability.
