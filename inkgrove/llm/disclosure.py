@@ -7,6 +7,9 @@ IC(e) = -log2 p(e). A term whose PMI / IC reaches REMOVE_AT is removed wherever
 GENERALISE_AT is generalised. p(e) = n(e) / N, and p(e | t) = (n(t, e) + SMOOTHING p(e)) / (n(t) + SMOOTHING): terms
 and entities in few texts are judged as well, with the less trust the fewer they are. All counts are of
 different whole texts, so copies of one document prove nothing; a term counts where it stands outside base spans.
+
+To generalise a term is to name only the longest beginning that CLASS_TERMS different terms of the corpus share: what is left tells one
+of these at most.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ SMOOTHING = 1.0
 REMOVE_AT, GENERALISE_AT = 0.95, 0.9
 #: Terms are runs of so many letters at least.
 TERM_LETTERS = 3
+#: Terms that a generalised one could be, at least.
+CLASS_TERMS = 20
 KINDS = ("email", "ip", "card", "phone", "term")
 
 # The detectors' shapes are fixed values. A match starts where a run of its first class starts or where
@@ -119,8 +124,22 @@ def _outside(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, rest).otherwise(text)
 
 
+def beginnings(term: Column) -> Column:
+    """The proper beginnings of a term, shortest first."""
+    return F.transform(F.sequence(F.lit(1), F.length(term) - 1), lambda n: F.substring(term, F.lit(1), n))
+
+
+def generalised(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, shown) of terms (term): the longest beginning with a star that CLASS_TERMS terms of the vocabulary (term), all different, share;
+    terms that share none stay out."""
+    asked = terms.select("term", F.explode(beginnings(F.col("term"))).alias("begin"))
+    common = vocabulary.select(F.explode(beginnings(F.col("term"))).alias("begin")).groupBy("begin").agg(F.count("*").alias("n")).where(F.col("n") >= CLASS_TERMS)
+    longest = asked.join(common, "begin").groupBy("term").agg(F.max_by("begin", F.length("begin")).alias("begin"))
+    return longest.select("term", F.concat("begin", F.lit("*")).alias("shown"))
+
+
 def disclosing_terms(rows: DataFrame) -> DataFrame | None:
-    """(term, share, action) of the terms that reveal an entity of rows (_ink_text, _ink_base), as a cut table.
+    """(term, share, shown) of the terms that reveal an entity of rows (_ink_text, _ink_base), as a cut table; shown stands in for the term.
 
     Counts cover all different texts. None if no text has an entity."""
     rows = rows.select(F.xxhash64("_ink_text").alias("h"), "_ink_text", "_ink_base")
@@ -146,7 +165,10 @@ def disclosing_terms(rows: DataFrame) -> DataFrame | None:
     p_both = (F.col("n_both") + SMOOTHING * p_entity) / (F.col("n_term") + SMOOTHING)
     share = F.try_divide(F.log2(p_both / p_entity), -F.log2(p_entity))
     scored = join_sized(pairs, n_entity, ["entity"], "inner").groupBy("term").agg(F.max(share).alias("share"))
-    return cut(scored.where(F.col("share") >= GENERALISE_AT).withColumn("action", F.when(F.col("share") >= REMOVE_AT, "remove").otherwise("generalise")), "disclosing")
+    found = cut(scored.where(F.col("share") >= GENERALISE_AT), "scored")
+    classes = cut(generalised(found.where(F.col("share") < REMOVE_AT), n_term), "classes")
+    shown = F.when(F.col("share") >= REMOVE_AT, "removed").otherwise(F.coalesce("shown", F.lit("word")))
+    return cut(join_sized(found, classes, ["term"]).select("term", "share", shown.alias("shown")), "disclosing")
 
 
 def sanitise(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -154,25 +176,25 @@ def sanitise(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
 
     Returns id_col, spans (array of start, rank, end, kind, found; code points, end exclusive, by start,
     then kind as in KINDS; term spans are added to the base ones) and sanitised (the text with base spans as
-    "[kind]", removed terms as "[removed]", generalised ones as "[word]"; overlaps become one replacement).
-    A null text counts as empty. Repeated rows are treated alike; an empty table gives an empty result;
-    other columns are not read."""
+    "[kind]", removed terms as "[removed]", generalised ones as their beginning, like "[zan*]", or as "[word]" where none is common
+    enough; overlaps become one replacement). A null text counts as empty; a very long one is judged whole. Repeated rows are
+    treated alike; an empty table gives an empty result; other columns are not read."""
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_ink_text")).withColumn("_ink_base", base_spans(F.col("_ink_text")))
     terms = disclosing_terms(rows)
-    none = F.array().cast("array<struct<term:string,action:string>>")
+    none = F.array().cast("array<struct<term:string,shown:string>>")
     if terms is None:
         rows = rows.withColumn("_ink_terms", none)
     else:
         words = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_ink_text")).select(F.xxhash64("_ink_text").alias("_ink_h"), F.explode(_terms(F.col("_ink_text"))).alias("term"))
-        hits = join_sized(words, terms, ["term"], "inner").groupBy("_ink_h").agg(F.collect_set(F.struct("term", "action")).alias("_ink_found"))
+        hits = join_sized(words, terms, ["term"], "inner").groupBy("_ink_h").agg(F.collect_set(F.struct("term", "shown")).alias("_ink_found"))
         rows = join_sized(rows.withColumn("_ink_h", F.xxhash64("_ink_text")), cut(hits, "hits"), ["_ink_h"]).withColumn("_ink_terms", F.coalesce("_ink_found", none))
     words = F.array_join(F.transform(F.array_sort("_ink_terms"), lambda x: x["term"]), "|")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), words, F.lit(r")(?!\p{L})"))
     extra = F.transform(located(F.col("_ink_text"), pattern), _labelled("term"))
     spans = F.when(F.size("_ink_terms") > 0, F.array_sort(F.concat("_ink_base", extra))).otherwise(F.col("_ink_base"))
     rows = rows.withColumn("spans", spans)
-    removed = F.transform(F.filter("_ink_terms", lambda x: x["action"] == "remove"), lambda x: x["term"])
-    put = lambda s: F.when(s["kind"] != "term", F.concat(F.lit("["), s["kind"], F.lit("]"))).when(F.array_contains(removed, F.lower(s["found"])), "[removed]").otherwise("[word]")
+    shown = F.map_from_entries("_ink_terms")
+    put = lambda s: F.concat(F.lit("["), F.when(s["kind"] != "term", s["kind"]).otherwise(F.coalesce(F.element_at(shown, F.lower(s["found"])), F.lit("word"))), F.lit("]"))
     body = F.col("_ink_text")
     clean = F.aggregate(
         "spans",

@@ -11,7 +11,7 @@ from inkgrove.session import table
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     found = languages.identify(table(spark, sf_dir, "documents"), train=~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -24,7 +24,7 @@ def op2_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("spans", lambda s: s["kind"] != "term")
     counts = [F.size(F.filter("spans", _is_kind(k))).cast("bigint").alias(f"n_{k}") for k in disclosure.KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.sha2("sanitised", 256).alias("sanitised_sha256"))
 
 
 def _is_kind(kind: str):
@@ -77,25 +77,38 @@ ORACLES = {
     "op5_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]', '', 'g')) AS size,
-                   ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13))::BIGINT AS u
+                   (('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
             FROM documents),
         s AS (
             SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS w
             FROM d GROUP BY source),
         r AS (
             SELECT *, 2.0 * source_size / w AS ratio,
-                   (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER (ORDER BY 2.0 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-                   / sum(w) OVER (ORDER BY 2.0 * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+                   CAST(1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER (ORDER BY 2.0 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+                   / CAST(sum(w) OVER (ORDER BY 2.0 * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
             FROM s),
         t AS (
-            SELECT source, source_size, CAST(least(2.0 * source_size, w * (SELECT arg_min(level, ratio) FILTER (level <= ratio) FROM r)) AS DOUBLE) AS target FROM r),
+            SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), w * (SELECT arg_min(level, ratio) FILTER (level <= ratio) FROM r)) AS target FROM r),
         c AS (
-            SELECT d.*, source_size, target, CAST(floor(target / nullif(source_size, 0) + 1e-12) AS BIGINT) AS whole,
-                   sum(size) OVER (PARTITION BY d.source ORDER BY u, size, doc_id ROWS UNBOUNDED PRECEDING) AS reached
-            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+            SELECT source, length(bin(size)) AS odds, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY 1, 2),
+        e AS (
+            SELECT c.*, source_size, target,
+                   (target - CAST(2 * coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY odds DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+                   / CAST(nullif(sum(words * odds) OVER (PARTITION BY c.source ORDER BY odds DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS DOUBLE) AS scale
+            FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+        x AS (
+            SELECT *, coalesce(least(2::DOUBLE, arg_max(scale, odds) FILTER (scale * odds <= 2) OVER (PARTITION BY source) * odds), 2::DOUBLE) AS expected FROM e),
+        p AS (
+            SELECT *, floor(expected) AS whole, (expected - floor(expected)) / (1 - (expected - floor(expected))) AS ratio,
+                   target - CAST(sum(CAST(floor(expected) AS BIGINT) * words) OVER (PARTITION BY source) AS DOUBLE) AS rest FROM x),
+        v AS (
+            SELECT doc_id, size, u, p.source, source_size, target, whole, rest, (u / (1 - u)) / (CASE WHEN ratio > 0 AND size > 0 THEN ratio END) AS q
+            FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND p.odds = length(bin(d.size))),
+        k AS (
+            SELECT *, sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q / (1 + q) NULLS LAST, u, size ROWS UNBOUNDED PRECEDING) AS reached FROM v)
         SELECT doc_id, size, source_size, target,
-               CASE WHEN size = 0 THEN 0 ELSE CAST(size * (whole + CASE WHEN 2 * reached - size <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END) AS BIGINT) END AS taken
-        FROM c""",
+               CASE WHEN size = 0 THEN 0 ELSE CAST(size * (whole + CASE WHEN q IS NOT NULL AND 2 * reached - size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) END AS taken
+        FROM k""",
     "op8_lines": rf"""
         WITH l AS (
             SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], E' \t\n\x0b\x0c\r'), {_AZ}) AS key

@@ -22,6 +22,11 @@ BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokeniz
 BLANKS = r"[^\x20\x09-\x0D]+"
 
 
+def thue_morse(n, a, b):
+    """A word that polynomial hashes modulo powers of two take for the one with a and b exchanged."""
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
 def az(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text)
 
@@ -30,9 +35,10 @@ def az(text):
 def odd(spark):
     """Documents with every oddity, under columns whose names the operators might use themselves."""
     rows = [(None, None), (None, "x"), (1, ""), (2, "Same Text"), (2, "Same Text"), (3, "same text"), (4, "É same"), (5, "é same"), (6, " \n\t"), (7, "lone\u00a0space\x1c word " * 3000), (8, "0 +1 (2) 3" * 40)]
+    rows += [(9, "hello <|endoftext|> world"), (10, thue_morse(1024, "a", "b")), (11, thue_morse(1024, "b", "a")), (-(2**63), "least id")]
     rows += [(100 + i, f"copy of one text that many rows share, number {i % 2}") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    more = {c: F.lit("clash") for c in ("size", "id", "row", "score", "kept", "length", "piece", "h1", "label", "n", "sig", "body", "target", "copies", "_p")}
+    more = {c: F.lit("clash") for c in ("size", "id", "row", "score", "kept", "length", "piece", "h1", "label", "n", "sig", "body", "target", "copies", "_p", "a b", "my-col", "x.y")}
     return df.withColumns({**more, "lang": F.when(F.col("doc_id") % 2 == 0, "en"), "source": F.when(F.col("doc_id") % 3 > 0, "s"), "n_chars": F.lit(None).cast("long")})
 
 
@@ -126,6 +132,10 @@ def test_op2_terms(spark, empty):
     assert all(not out[100 + i].spans for i in range(200)) and disclosure.sanitise(empty).count() == 0
 
 
+def sanitised_query(spark, out):
+    return spark.createDataFrame([(r.sanitised,) for r in out.values()], "sanitised string").select(F.sha2("sanitised", 256).alias("sanitised_sha256")).collect()
+
+
 def test_op2_terms_at_any_distance_and_entities_in_few_texts(spark):
     gap = " plain words" * 40
     rows = [(i, f"Querbach{gap} mail q@firma.de") for i in range(6)] + [(10 + i, f"Duodez number {i}{gap} mail d@firma.de") for i in range(2)]
@@ -133,6 +143,7 @@ def test_op2_terms_at_any_distance_and_entities_in_few_texts(spark):
     rows += [(100 + i, f"plain words and mail and number {i}") for i in range(2500)]
     out = {r.doc_id: r for r in disclosure.sanitise(spark.createDataFrame([(i, t + f" {i}" * (i < 6)) for i, t in rows], "doc_id long, text string")).collect()}
     terms = {i: {s.found for s in r.spans if s.kind == "term"} for i, r in out.items()}
+    assert {r.sanitised_sha256 for r in sanitised_query(spark, out)} == {hashlib.sha256(r.sanitised.encode()).hexdigest() for r in out.values()}
     assert "Querbach" in terms[0] and "Duodez" in terms[10] and "Singulet" in terms[20] and "Kopiert" in terms[30]
     assert "[removed]" in out[0].sanitised and "[word] with" not in out[0].sanitised
     assert out[30].sanitised.startswith("[word]")  # nine copies are one text
@@ -166,11 +177,14 @@ def test_vocabulary_matches_the_tokenizer(docs):
     rnd = random.Random(1)
     bits = ["a", "B", "é", "ß", " ", "  ", "\n", "\t", "'s", "'", "1", "23", ".", ",", "!", "\xa0", "\u3000", "😀", "İ", "Σ", "-", "_", "<|endoftext|>", "don't", "word", "\r\n", "\x1c", "日本", "÷", "e\u0301"]
     texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) for _ in range(4000)] + [r.text for r in docs.limit(50).collect()]
+    twisted = [thue_morse(n, *ab) for n in (64, 1024) for ab in ("ab", "ba")]
+    texts += [*twisted, " ".join(twisted), "<|EndOfText|> <|startoftext|>x", "hello <|endoftext|> world", "y" * 65 + " " + "y" * 65]
     for path in (BYTE_BPE, WORD_BPE):
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
-        assert [x.tolist() for x in encoder(path).encode([x.encode() for x in texts])] == want
+        for plain in (False, True):
+            t = Tokenizer.from_file(path)
+            t.encode_special_tokens = plain
+            want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+            assert [x.tolist() for x in encoder(path, plain).encode([x.encode() for x in texts])] == want
 
 
 def test_op4_plan():
@@ -196,7 +210,6 @@ def test_op4_plan():
 
 def check_packing(out, rows, cap=packing.CAPACITY):
     t = Tokenizer.from_file(BYTE_BPE)
-    t.encode_special_tokens = True
     want = Counter()
     for r in rows:
         ids = np.array(t.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4")
@@ -234,8 +247,8 @@ def test_op5(spark, odd, empty):
     assert Counter(map(tuple, out)) == Counter(map(tuple, mixing.mix(odd).collect()))
     assert {(r.doc_id, r.size) for r in out} == {(r.doc_id, len(re.findall(BLANKS, r.text or ""))) for r in odd.collect()}
     assert mixing.mix(empty).count() == 0 and mixing.apply_mix(odd).columns == odd.columns and mixing.apply_mix(empty).count() == 0
-    goal = mixing.targets([10, 100, 1000], [5, 2, 1])
-    assert sum(goal) == 1665 and goal[:2] == [20, 200]
+    sizes = spark.createDataFrame([("0a", 10), ("0b", 100), ("0c", 1000)], "_ink_s string, source_size bigint")
+    assert sorted(r.target for r in mixing.source_targets(sizes).collect()) == [20, 200, 1445]
 
 
 def test_op5_edge_bucket_agrees_with_one_sort(docs):
@@ -341,7 +354,6 @@ def test_op8(spark, docs, odd, empty):
 
 def test_op9(spark, docs, odd, empty, tmp_path):
     t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
     for k, df in enumerate((docs, odd)):
         folder = tokenfile.write_token_files(df, WORD_BPE, str(tmp_path / str(k)))
         want = Counter()
@@ -430,17 +442,30 @@ def test_blocks_round_trip():
     assert all((a == b).all() for a, b in zip(columns, jaccard.unpack_block(jaccard.pack_block(columns))))
 
 
-def test_pipeline(spark, docs):
+def test_pipeline(spark, docs, monkeypatch):
     import corpus_pipeline
 
+    kept = {}
+
+    def watched(name, stage):
+        def run(spark, docs, sf_dir):
+            kept[name] = docs.collect()
+            return stage(spark, docs, sf_dir)
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, watched(n, f)) for n, f in corpus_pipeline.STAGES])
     out = corpus_pipeline.run(spark, SF).collect()
-    rows = [r for r in docs.collect() if r.text]
-    last = {}
-    for r in sorted(rows, key=lambda r: r.doc_id):
-        last[az(r.text)] = r.doc_id
-    alive = {i for i in last.values()}
-    whole = components([(r.doc_id, r.text) for r in rows if r.doc_id in alive])
-    clean = {j for j, _, c in whole if j == c}
-    assert {r.doc_id for r in out} <= clean and len({r.doc_id for r in out}) > 0.4 * len(clean)
-    assert max(Counter((r.doc_id, r.piece) for r in out).values()) <= 2
-    assert connection().execute("select 1").fetchall()
+    pairs = lambda rows: Counter((r.doc_id, r.text) for r in rows)
+    whole = {r.doc_id: r for r in languages.identify(docs).collect()}
+    assert pairs(kept["exact_copies"]) == pairs(r for r in docs.collect() if whole[r.doc_id].lang_pred != "und" and whole[r.doc_id].score >= languages.MIN_SCORE)
+    last = {az(r.text): r for r in sorted(kept["exact_copies"], key=lambda r: r.doc_id)}
+    assert pairs(kept["near_copies"]) == pairs(last.values())
+    least = {j for j, _, c in components([(r.doc_id, r.text) for r in kept["near_copies"]]) if j == c}
+    assert pairs(kept["mix"]) == pairs(r for r in kept["near_copies"] if r.doc_id in least)
+    c = connection()
+    c.execute("DROP VIEW documents; CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(r.doc_id, r.text, r.source) for r in kept["mix"]])
+    taken = {r[0]: r[4] // max(1, r[1]) for r in c.execute(queries.ORACLES["op5_mixing"]).fetchall()}
+    assert pairs(kept["pack"]) == Counter({(r.doc_id, r.text): taken[r.doc_id] for r in kept["mix"] if taken[r.doc_id]})
+    check_packing(out, kept["pack"])
