@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from inkgrove.llm import exact, jaccard, languages, mixing, packing
-from inkgrove.plans.shared import shared_root
+from inkgrove.plans.shared import scratch, shared_root
 from inkgrove.session import table
 
 
@@ -50,9 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the table documents."""
+    """The last stage's rows for the table documents. A stage's own intermediate tables go once its result is written."""
     docs, root = table(spark, sf_dir, "documents"), f"{shared_root(spark)}/inkgrove/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
     return docs
