@@ -15,8 +15,8 @@ MAX_NAME = 120
 # Letters that slugs spell without their accents, and those that the index folds.
 _ACCENTED = "àáâãåèéêëìíîïòóôõøùúûçñÀÁÂÃÅÈÉÊËÌÍÎÏÒÓÔÕØÙÚÛÇÑ"
 _PLAIN = "aaaaaeeeeiiiiooooouuucn" * 2
-_STRIPPED_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_STRIPPED_TO = "aaaaaaceeeeiiiinooooouuuuyy"
+STRIPPED_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+STRIPPED_TO = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def approx_tokens(text: Column) -> Column:
@@ -28,7 +28,7 @@ def approx_tokens(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case without diacritics, as the full-text index sees it."""
-    return F.translate(F.lower(text), _STRIPPED_FROM, _STRIPPED_TO)
+    return F.translate(F.lower(text), STRIPPED_FROM, STRIPPED_TO)
 
 
 def tokens(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Hybrid retrieval: lexical and vector candidates, rank fusion, trust and recency weights, validity, duplicates.
 
 Filters stand below every top-k, never after it. Statistics of the lexical ranking cover all rows, hidden
-ones too. A ranking costs one pass over the blocks for statistics and one for scores; only k rows are sorted.
+ones too. A ranking reads the postings of its terms from an index; blocks are read only for the notes of the candidates.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgrove.functions.scalars import cosine, dedup_key, fold, recency_weight, ring_weight, tokens
+from inkgrove.functions.scalars import STRIPPED_FROM, STRIPPED_TO, cosine, dedup_key, recency_weight, ring_weight, tokens
+from inkgrove.plans.shared import cut
 
 #: Fixed values of the retrieval model.
 RRF_K, K_LEXICAL, K_SEMANTIC, TOP_N, MAX_N, MAX_TERMS, PREFIX_CHARS, NEWER_LINKS = 60, 50, 50, 8, 1000, 32, 4, 3
@@ -27,44 +28,89 @@ def compile_query(query: str) -> list[tuple[str, bool]]:
     return [(w, len(w) >= PREFIX_CHARS) for w in words]
 
 
-def in_scope(df: DataFrame, scope: list[str] | None = None, bereich: str | None = None, ring: int | None = None) -> DataFrame:
-    """Rows of a ring, a department and a list of departments; an empty list admits nothing, nor does any list a null."""
+def admits(scope: list[str] | None = None, bereich: str | None = None, ring: int | None = None) -> Column:
+    """Condition on rows (ring, bereich) of a ring, a department and a list of departments; an empty list admits nothing, nor does any list a null."""
+    out = F.lit(True)
     if ring is not None:
-        df = df.where(F.col("ring") == ring)
+        out = out & (F.col("ring") == ring)
     if bereich is not None:
-        df = df.where(F.col("bereich") == bereich)
+        out = out & (F.col("bereich") == bereich)
     if scope is not None:
-        df = df.where(F.col("bereich").isin(scope) if scope else F.lit(False))
-    return df
+        out = out & (F.col("bereich").isin(scope) if scope else F.lit(False))
+    return out
+
+
+def in_scope(df: DataFrame, scope: list[str] | None = None, bereich: str | None = None, ring: int | None = None) -> DataFrame:
+    return df.where(admits(scope, bereich, ring))
+
+
+#: Columns of blocks that the index keeps, as far as there are any.
+PLACE = ("citation", "id", "idx", "ring", "bereich")
+#: Parts that a term's postings are dealt to, so that a frequent term does not fill one task.
+TERM_PARTS = 16
+
+
+@dataclass
+class LexicalIndex:
+    """postings (term, citation, id, idx, ring, bereich, tf, dl) sorted by term within files, so that a reader skips what its terms do not
+    need; places (citation, id, idx, ring, bereich, dl) of all blocks; their number and mean length."""
+
+    postings: DataFrame
+    places: DataFrame
+    rows: float
+    mean: float
+
+
+def build_index(blocks: DataFrame) -> LexicalIndex:
+    """Two tables in the shared folder. Blocks are tokenised for each; postings take one shuffle."""
+    kept = [c for c in PLACE if c in blocks.columns]
+    words = blocks.select(*kept, tokens(F.col("text")).alias("_w")).withColumn("dl", F.size("_w"))
+    places = cut(words.drop("_w"), "places")
+    each = words.select(*kept, "dl", F.explode("_w").alias("term")).withColumn("_part", F.pmod(F.xxhash64("citation"), F.lit(TERM_PARTS)))
+    counted = each.repartition("term", "_part").groupBy("term", "_part", *kept, "dl").agg(F.count("*").alias("tf"))
+    postings = cut(counted.sortWithinPartitions("term").drop("_part"), "postings")
+    total = places.agg(F.count("*").cast("double"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+    return LexicalIndex(postings, places, total[0], total[1])
+
 
+def bm25(index: LexicalIndex | DataFrame, query: str, k: int = K_LEXICAL, admitted: Column | None = None, visible: DataFrame | None = None) -> DataFrame:
+    """(citation, id, idx, score) of the k best blocks, by score, then citation. Nothing for a query without terms.
 
-def bm25(blocks: DataFrame, query: str, k: int = K_LEXICAL, admitted: Column | None = None) -> DataFrame:
-    """The k best blocks with score, by score, then citation. Nothing for a query without terms."""
+    index may be a table of blocks, which is then indexed for this query alone. admitted is a condition on ring and bereich, visible the (id) of notes to admit; neither changes the statistics."""
     terms = compile_query(query)
+    index = index if isinstance(index, LexicalIndex) else build_index(index)
+    place = [c for c in PLACE if c in index.places.columns]
+    shown = [c for c in place if c not in ("ring", "bereich")]
+    own = index.postings
     if not terms:
-        return blocks.withColumn("score", F.lit(0.0)).limit(0)
-    words = tokens(F.col("text"))
-    rows = blocks.withColumn("_w", words).withColumn("_dl", F.size("_w").cast("double"))
-    for i, (term, prefix) in enumerate(terms):
-        rows = rows.withColumn(f"_tf{i}", F.size(F.filter("_w", _matcher(term, prefix))).cast("double"))
-    rows = rows.drop("_w")
-    n = [F.sum((F.col(f"_tf{i}") > 0).cast("double")).alias(f"_n{i}") for i in range(len(terms))]
-    stats = rows.agg(F.count("*").cast("double").alias("_rows"), F.avg("_dl").alias("_avg"), *n)
+        return own.select(*shown, F.lit(0.0).alias("score")).limit(0)
+    hits = [_matching(term, prefix) for term, prefix in terms]
+    any_hit = hits[0]
+    for hit in hits[1:]:
+        any_hit = any_hit | hit
+    tf = [F.sum(F.when(hit, F.col("tf")).otherwise(0)).cast("double").alias(f"_tf{i}") for i, hit in enumerate(hits)]
+    rows = own.where(any_hit).groupBy(*place, "dl").agg(*tf)
+    stats = rows.agg(*[F.sum((F.col(f"_tf{i}") > 0).cast("double")).alias(f"_n{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.greatest(F.log((F.col("_rows") - F.col(f"_n{i}") + 0.5) / (F.col(f"_n{i}") + 0.5)), F.lit(LEAST_IDF))
-        tf = F.col(f"_tf{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
-    hit = F.greatest(*[F.col(f"_tf{i}") for i in range(len(terms))], F.lit(0.0)) > 0
-    if admitted is not None:
-        hit = hit & admitted
-    scored = rows.where(hit).crossJoin(F.broadcast(stats)).withColumn("score", score)  # stats is one row
-    return scored.select(*blocks.columns, "score").orderBy(F.desc("score"), "citation").limit(k)
+        idf = F.greatest(F.log((index.rows - F.col(f"_n{i}") + 0.5) / (F.col(f"_n{i}") + 0.5)), F.lit(LEAST_IDF))
+        f = F.col(f"_tf{i}")
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl").cast("double") / index.mean))
+    found = rows if admitted is None else rows.where(admitted)
+    if visible is not None:
+        found = found.join(visible.select("id"), "id", "left_semi")
+    scored = found.crossJoin(F.broadcast(stats)).select(*shown, score.alias("score"))  # stats is one row
+    return scored.orderBy(F.desc("score"), "citation").limit(k)
+
+
+def _matching(term: str, prefix: bool) -> Column:
+    folded = _fold_word(term)
+    return F.col("term").startswith(folded) if prefix else F.col("term") == folded
 
 
-def _matcher(term: str, prefix: bool):
-    folded = fold(F.lit(term))
-    return lambda w: w.startswith(folded) if prefix else w == folded
+def _fold_word(term: str) -> str:
+    """A query word as the index holds it."""
+    return term.lower().translate(str.maketrans(STRIPPED_FROM, STRIPPED_TO))
 
 
 def vector_top_k(vectors: DataFrame, query: list[float], k: int = K_SEMANTIC, min_cosine: float = 0.0, vector: str = "embedding", key: str = "citation") -> DataFrame:
@@ -88,39 +134,54 @@ def rrf(*lists: DataFrame, key: str = "citation") -> DataFrame:
     return union.groupBy(key).agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("fused"))
 
 
-def superseded(notes: DataFrame, at: Column) -> DataFrame:
-    """(old, new): notes replaced as of at. A note's own superseded_by always counts; a successor's claim counts only if
-    its ring is as trusted; from the successor's valid_from, else created; an unknown successor always. First by name wins."""
-    own = notes.where("superseded_by is not null").select(F.col("name").alias("old"), F.col("superseded_by").alias("new"), F.lit(False).alias("claimed"))
-    claims = notes.select(F.explode("supersedes").alias("old"), F.col("name").alias("new"), F.lit(True).alias("claimed"))
-    successor = notes.select(F.col("name").alias("new"), F.col("ring").alias("s_ring"), F.coalesce("valid_from", "created").alias("since"))
-    before = notes.select(F.col("name").alias("old"), F.col("ring").alias("o_ring"))
-    pairs = own.unionByName(claims).join(successor, "new", "left").join(before, "old", "left")
-    counts = ~F.col("claimed") | F.col("s_ring").isNull() | F.col("o_ring").isNull() | (F.col("s_ring") <= F.col("o_ring"))
-    valid = pairs.where(counts & (F.col("old") != F.col("new")) & (F.col("since").isNull() | (F.col("since") <= at)))
-    return valid.groupBy("old").agg(F.min("new").alias("new"))
+def superseded(notes: DataFrame, at: Column, names: list[str] | None = None) -> DataFrame:
+    """(old, new): notes replaced as of at, of all or of those named; the first successor by name wins.
 
+    What a note says of itself (superseded_by) counts once its successor has begun, or if that is unknown. What a successor claims
+    (supersedes) counts once it has begun and if it is as trusted as the note it replaces, or that is unknown. A note begins at valid_from, else at created."""
+    begun = F.coalesce("valid_from", "created")
+    wanted = (lambda c: F.col(c).isin(names)) if names is not None else (lambda c: F.lit(True))
+    said = notes.where(wanted("name")).select(F.col("name").alias("old"), F.col("superseded_by").alias("new")).where("new is not null")
+    later = notes.where(begun > at).select(F.col("name").alias("new"))
+    said = said.join(later, "new", "left_anti").select("old", "new")
+    claimed = notes.where(F.coalesce(begun <= at, F.lit(True))).select(F.explode("supersedes").alias("old"), F.col("name").alias("new"), F.col("ring").alias("trust")).where(wanted("old"))
+    rings = notes.where(wanted("name")).select(F.col("name").alias("old"), "ring")
+    claimed = claimed.join(rings, "old", "left").where(F.coalesce(F.col("trust") <= F.col("ring"), F.lit(True))).select("old", "new")
+    return said.unionByName(claimed).where("old <> new").groupBy("old").agg(F.min("new").alias("new"))
 
-def outdated(notes: DataFrame, at: Column) -> DataFrame:
-    """notes with replaced_by, not_yet, ended and outdated as of at."""
-    gone = superseded(notes, at).select(F.col("old").alias("name"), F.col("new").alias("replaced_by"))
-    flagged = notes.join(gone, "name", "left").withColumn("not_yet", F.coalesce(F.col("valid_from") > at, F.lit(False))).withColumn("ended", F.coalesce(F.col("invalid_at") <= at, F.lit(False)))
-    return flagged.withColumn("outdated", F.col("replaced_by").isNotNull() | F.col("not_yet") | F.col("ended"))
+
+def outdated(notes: DataFrame, at: Column, ids: list | None = None, admitted: DataFrame | None = None) -> DataFrame:
+    """notes, or those with the ids, with replaced_by, not_yet, ended, outdated and demoted as of at.
+
+    With admitted (name), a successor that is not among them is not named, and alone does not show the note as outdated; it only demotes it."""
+    own = notes if ids is None else notes.where(F.col("id").isin(ids))
+    names = None if ids is None else [r[0] for r in own.select("name").collect()]  # as many as ids
+    gone = superseded(notes, at, names).select(F.col("old").alias("name"), F.col("new").alias("_new"))
+    if admitted is not None:
+        gone = gone.join(admitted.select(F.col("name").alias("_new"), F.lit(True).alias("_seen")), "_new", "left")
+    else:
+        gone = gone.withColumn("_seen", F.lit(True))
+    flagged = own.join(gone, "name", "left").withColumn("replaced_by", F.when(F.col("_seen"), F.col("_new")))
+    flagged = flagged.withColumn("not_yet", F.coalesce(F.col("valid_from") > at, F.lit(False))).withColumn("ended", F.coalesce(F.col("invalid_at") <= at, F.lit(False)))
+    flagged = flagged.withColumn("outdated", F.col("replaced_by").isNotNull() | F.col("not_yet") | F.col("ended"))
+    return flagged.withColumn("demoted", F.col("outdated") | F.col("_new").isNotNull()).drop("_new", "_seen")
 
 
 def weighted(hits: DataFrame, now: Column) -> DataFrame:
-    """hits (fused, ring, updated, outdated) with score: the fused score times ring weight, recency and, once, OUTDATED_FACTOR."""
-    factor = ring_weight(F.col("ring")) * recency_weight(F.col("updated"), now) * F.when(F.col("outdated"), OUTDATED_FACTOR).otherwise(1.0)
+    """hits (fused, ring, updated, demoted) with score: the fused score times ring weight, recency and, once, OUTDATED_FACTOR."""
+    factor = ring_weight(F.col("ring")) * recency_weight(F.col("updated"), now) * F.when(F.col("demoted"), OUTDATED_FACTOR).otherwise(1.0)
     return hits.withColumn("score", F.col("fused") * factor)
 
 
 def collapse_duplicates(hits: DataFrame) -> DataFrame:
-    """One hit for each long text: the most trusted, then newest copy, with the best score of the group. Short texts stay apart."""
-    keyed = hits.withColumn("_key", F.coalesce(dedup_key(F.col("text")), F.col("citation")))
-    group = Window.partitionBy("_key")
-    best = group.orderBy("ring", F.desc("updated"), F.desc("score"), "citation")
-    out = keyed.withColumn("_best", F.max("score").over(group)).withColumn("copies", F.count("*").over(group)).withColumn("_r", F.row_number().over(best))
-    return out.where("_r = 1").withColumn("score", F.col("_best")).drop("_key", "_best", "_r")
+    """One hit for each long text: the most trusted, then newest copy, with the best score of the group. Short texts stay apart.
+
+    An aggregation, so that copies of a frequent text combine map-side."""
+    key = F.coalesce(dedup_key(F.col("text")), F.col("citation"))
+    age = F.coalesce(-F.unix_micros("updated"), F.lit((1 << 63) - 1))
+    row = F.struct("ring", age.alias("_age"), (-F.col("score")).alias("_low"), "citation", F.struct(*[c for c in hits.columns if c != "score"]).alias("_row"))
+    best = hits.groupBy(key.alias("_key")).agg(F.min(row).alias("_best"), F.max("score").alias("score"), F.count("*").alias("copies"))
+    return best.select("_best._row.*", "score", "copies")
 
 
 @dataclass
@@ -135,35 +196,43 @@ class RecallOptions:
     with_residents: bool = True
 
 
-def recall(blocks: DataFrame, notes: DataFrame, query: str, now: Column, at: Column | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None, visible: DataFrame | None = None, options: RecallOptions | None = None) -> DataFrame:
-    """Ranked hits: citation, id, name, ring, text, score, outdated, replaced_by, copies.
+def recall(index: LexicalIndex, blocks: DataFrame, notes: DataFrame, query: str, now: Column, at: Column | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None, visible: DataFrame | None = None, options: RecallOptions | None = None) -> DataFrame:
+    """Ranked hits: the columns of blocks, score, outdated, replaced_by, demoted, copies.
 
-    visible (id) admits notes before anything is ranked; at judges validity and supersession, now recency; vectors
-    (citation, embedding) take part if given with a query vector. The order is score, then citation; n is held to 1..MAX_N."""
+    visible (id) admits notes before anything is ranked; a note that it or the scope leaves out is not named as a successor
+    either. at judges validity and supersession, now recency; vectors (citation, embedding) take part if given with a query
+    vector. The order is score, then citation; n is held to 1..MAX_N. The candidates, k of each list at most, pass through the driver, and
+    only their notes' rows of blocks are read."""
     o = options or RecallOptions()
-    pool = in_scope(blocks, o.scope, o.bereich, o.ring)
-    scoped = pool is not blocks
-    if visible is not None:
-        pool = pool.join(visible, "id", "left_semi")
-    admitted = F.lit(True)
-    if scoped or visible is not None:  # statistics still cover all blocks
-        marked = blocks.join(pool.select("citation").distinct().withColumn("_in", F.lit(True)), "citation", "left")
-        lexical = bm25(marked, query, o.k_lexical, F.coalesce(F.col("_in"), F.lit(False)))
-    else:
-        lexical = bm25(blocks, query, o.k_lexical, admitted)
-    lists = [ranked(lexical, "score")]
+    fits = admits(o.scope, o.bereich, o.ring)
+    lists = [ranked(bm25(index, query, o.k_lexical, fits, visible), "score")]
     if vectors is not None and query_vector:
+        pool = index.places.where(fits)
+        pool = pool if visible is None else pool.join(visible.select("id"), "id", "left_semi")
         near = vectors.join(pool.select("citation"), "citation", "left_semi")
         lists.append(ranked(vector_top_k(near, query_vector, o.k_semantic, o.min_cosine), "cosine"))
-    fused = rrf(*lists)
-    states = outdated(notes, at if at is not None else now).select("id", "outdated", "replaced_by")
-    hits = pool.join(F.broadcast(fused), "citation").join(states, "id")
+    found = index.places.join(F.broadcast(rrf(*lists)), "citation").select("citation", "id", "fused").collect()
+    spark, ids = blocks.sparkSession, sorted({r["id"] for r in found})
+    fused = spark.createDataFrame([(r["citation"], r["fused"]) for r in found], "citation string, fused double")
+    admitted = None
+    if o.scope is not None or visible is not None:
+        admitted = notes.where(admits(o.scope)) if visible is None else notes.where(admits(o.scope)).join(visible.select("id"), "id", "left_semi")
+    states = outdated(notes, at if at is not None else now, ids, admitted).select("id", "outdated", "replaced_by", "demoted")
+    hits = blocks.where(F.col("id").isin(ids)).join(F.broadcast(fused), "citation").join(states, "id")
     hits = collapse_duplicates(weighted(hits, now))
     if not o.with_residents:
         hits = hits.where("ring > 1")
     return hits.orderBy(F.desc("score"), "citation").limit(min(MAX_N, max(1, o.n)))
 
 
+def caveats(hits: DataFrame, all_hits: DataFrame, uncovered: int = 0) -> DataFrame:
+    """(caveat, n) of what a reader should know: hits demoted for a successor that is not named, resident hits left out of all_hits, blocks without vectors."""
+    hidden = all_hits.agg(F.lit("successor-not-shown").alias("caveat"), F.count_if(F.col("demoted") & ~F.col("outdated")).alias("n"))
+    left_out = all_hits.where("ring <= 1").join(hits.select("citation"), "citation", "left_anti").agg(F.lit("residents-left-out").alias("caveat"), F.count("*").alias("n"))
+    missing = hits.sparkSession.createDataFrame([("blocks-without-vector", uncovered)], "caveat string, n bigint")
+    return hidden.unionByName(left_out).unionByName(missing).where("n > 0")
+
+
 def newer_links(hits: DataFrame, notes: DataFrame, links: DataFrame) -> DataFrame:
     """(name, linked_by, linked_updated): the NEWER_LINKS newest notes that link to a hit's note and are newer than it."""
     target = hits.select(F.col("id").alias("hit_id"), F.col("name").alias("hit_name"), F.col("updated").alias("hit_updated")).distinct()

@@ -7,15 +7,31 @@ from pyspark.sql import functions as F
 from inkgrove.functions import scalars as S
 from inkgrove.operators import retrieval as R
 from inkgrove.plans.registry import query
+from inkgrove.plans.shared import BROADCAST_BYTES, cut, cut_bytes, join_sized, modified
 from inkgrove.session import table
 from inkgrove.sources.corpus import NOW, blocks, links, notes, with_sql
 
 #: Letters and digits of a passage that can be told from chance.
 CANARY_LEAST = 12
+#: Passages up to which each is looked for in every document.
+CANARY_BROADCAST = 200
 
 TEXT_QUERY, PREFIX_QUERY = "Licensed under the Apache License", "stupid worth the"
 
 
+_indexes: dict[tuple, R.LexicalIndex] = {}
+
+
+def index_of(spark, sf_dir) -> R.LexicalIndex:
+    """The lexical index of the documents, built once for a session and a state of the table."""
+    files = sorted(table(spark, sf_dir, "documents").inputFiles())
+    status = [modified(spark, f) for f in files[:1] + files[-1:]]
+    key = (spark.sparkContext.applicationId, sf_dir, len(files), *status)
+    if key not in _indexes:
+        _indexes[key] = R.build_index(blocks(spark, sf_dir))
+    return _indexes[key]
+
+
 def _now():
     return F.timestamp_seconds(F.lit(NOW))
 
@@ -36,12 +52,12 @@ def _bm25_sql(text: str, k: int, where: str = "true") -> str:
 
 @query(f"{with_sql('notes', 'blocks')}, {_bm25_sql(TEXT_QUERY, 50)} SELECT citation, id, idx, round(score, 6) AS score FROM lex")
 def bm25_topk(spark, sf_dir):
-    return R.bm25(blocks(spark, sf_dir), TEXT_QUERY).select("citation", "id", "idx", F.round("score", 6).alias("score"))
+    return R.bm25(index_of(spark, sf_dir), TEXT_QUERY).select("citation", "id", "idx", F.round("score", 6).alias("score"))
 
 
 @query(f"{with_sql('notes', 'blocks')}, {_bm25_sql(PREFIX_QUERY, 20)} SELECT citation, id, idx, round(score, 6) AS score FROM lex")
 def bm25_prefix_topk(spark, sf_dir):
-    return R.bm25(blocks(spark, sf_dir), PREFIX_QUERY, 20).select("citation", "id", "idx", F.round("score", 6).alias("score"))
+    return R.bm25(index_of(spark, sf_dir), PREFIX_QUERY, 20).select("citation", "id", "idx", F.round("score", 6).alias("score"))
 
 
 def _vectors(spark, sf_dir):
@@ -85,26 +101,23 @@ _FUSED = """fused AS (SELECT citation, sum(1.0 / (60 + rank)) AS fused FROM (
         UNION ALL SELECT citation, row_number() OVER (ORDER BY cosine DESC, citation) FROM sem) GROUP BY citation)"""
 
 
-def _superseded_sql(at: int) -> str:
-    return f"""sup AS (
-        SELECT p.old AS name, min(p.new) AS replaced_by FROM (
-            SELECT name AS old, superseded_by AS new, 0 AS claimed FROM notes WHERE superseded_by IS NOT NULL
-            UNION ALL SELECT unnest(supersedes), name, 1 FROM notes) p
-        LEFT JOIN notes s ON s.name = p.new LEFT JOIN notes o ON o.name = p.old
-        WHERE (claimed = 0 OR s.ring IS NULL OR o.ring IS NULL OR s.ring <= o.ring) AND p.old <> p.new
-          AND (coalesce(s.valid_from, s.created) IS NULL OR coalesce(s.valid_from, s.created) <= {at})
-        GROUP BY p.old),
-    states AS (
-        SELECT n.id, n.name, sup.replaced_by, coalesce(n.valid_from > {at}, false) AS not_yet, coalesce(n.invalid_at <= {at}, false) AS ended,
-               sup.replaced_by IS NOT NULL OR coalesce(n.valid_from > {at}, false) OR coalesce(n.invalid_at <= {at}, false) AS outdated
-        FROM notes n LEFT JOIN sup USING (name))"""
+def _superseded_sql(at: int, seen: str = "true") -> str:
+    """seen is a condition on notes s whose names may be told."""
+    return f"""begun AS (SELECT name, ring, supersedes, coalesce(valid_from, created) AS since FROM notes),
+    said AS (SELECT name, superseded_by AS successor FROM notes WHERE superseded_by NOT IN (SELECT name FROM begun WHERE since > {at})),
+    claims AS (SELECT unnest(supersedes) AS name, name AS successor, ring AS trust FROM begun WHERE since <= {at}),
+    trusted AS (SELECT claims.name, successor FROM claims LEFT JOIN begun ON begun.name = claims.name WHERE begun.ring IS NULL OR trust <= begun.ring),
+    sup AS (SELECT name, min(successor) AS successor FROM (SELECT * FROM said UNION ALL SELECT * FROM trusted) WHERE name <> successor GROUP BY name),
+    told AS (SELECT sup.*, CASE WHEN {"true" if seen == "true" else f"successor IN (SELECT name FROM notes WHERE {seen})"} THEN successor END AS replaced_by FROM sup),
+    marks AS (SELECT id, name, coalesce(valid_from > {at}, false) AS not_yet, coalesce(invalid_at <= {at}, false) AS ended FROM notes),
+    states AS (SELECT marks.*, replaced_by, replaced_by IS NOT NULL OR not_yet OR ended AS outdated, successor IS NOT NULL OR not_yet OR ended AS demoted FROM marks LEFT JOIN told USING (name))"""
 
 
 _RECENCY = f"(1 - 0.015 + 0.03 * pow(0.5, greatest(({NOW} - updated) / 86400.0, 0.0) / 90.0))"
 _COLLAPSED = r"lower(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\s+', ' ', 'g'))"
 _HITS = f"""hits AS (
-        SELECT b.*, outdated, replaced_by, fused * [1.15, 1.10, 1.00, 0.92, 0.80][ring + 1] * {_RECENCY} * CASE WHEN outdated THEN 0.5 ELSE 1.0 END AS score
-        FROM blocks b JOIN fused USING (citation) JOIN (SELECT id, outdated, replaced_by FROM states) USING (id)),
+        SELECT b.*, outdated, replaced_by, fused * [1.15, 1.10, 1.00, 0.92, 0.80][ring + 1] * {_RECENCY} * CASE WHEN demoted THEN 0.5 ELSE 1.0 END AS score
+        FROM blocks b JOIN fused USING (citation) JOIN (SELECT id, outdated, demoted, replaced_by FROM states) USING (id)),
     keyed AS (SELECT *, CASE WHEN length({_COLLAPSED}) >= 80 THEN {_COLLAPSED} ELSE citation END AS key FROM hits),
     shown AS (SELECT citation, id, ring, outdated, replaced_by, max(score) OVER (PARTITION BY key) AS score, count(*) OVER (PARTITION BY key) AS copies,
               row_number() OVER (PARTITION BY key ORDER BY ring, updated DESC, score DESC, citation) AS r FROM keyed)"""
@@ -112,22 +125,22 @@ _LEX_QUERY = "Licensed thor reserved rights"
 
 
 def _recall_sql(at: int = NOW, where: str = "true", tail: str = "", n: int = 8) -> str:
-    return f"""{with_sql('notes', 'blocks')}, {_bm25_sql(_LEX_QUERY, 50, where)}, {_SEM % where}, {_FUSED}, {_superseded_sql(at)}, {_HITS}
+    return f"""{with_sql('notes', 'blocks')}, {_bm25_sql(_LEX_QUERY, 50, where)}, {_SEM % where}, {_FUSED}, {_superseded_sql(at, where)}, {_HITS}
         SELECT citation, id, ring, outdated, replaced_by, copies, round(score, 6) AS score FROM shown WHERE r = 1 {tail} ORDER BY shown.score DESC, citation LIMIT {n}"""
 
 
 def _recall(spark, sf_dir, at: int = NOW, visible=None, **options):
-    b, n = blocks(spark, sf_dir), notes(spark, sf_dir)
-    vectors = b.where("idx = 0").select("citation", "id").join(_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "embedding"), "id").select("citation", "embedding")
-    out = R.recall(b, n, _LEX_QUERY, _now(), F.timestamp_seconds(F.lit(at)), vectors, _query_vector(spark, sf_dir), visible(n) if visible else None, R.RecallOptions(**options))
+    index, b, n = index_of(spark, sf_dir), blocks(spark, sf_dir), notes(spark, sf_dir)
+    vectors = index.places.where("idx = 0").select("citation", "id").join(_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "embedding"), "id").select("citation", "embedding")
+    out = R.recall(index, b, n, _LEX_QUERY, _now(), F.timestamp_seconds(F.lit(at)), vectors, _query_vector(spark, sf_dir), visible(n) if visible else None, R.RecallOptions(**options))
     return out.select("citation", "id", "ring", "outdated", "replaced_by", "copies", F.round("score", 6).alias("score"))
 
 
 @query(f"{with_sql('notes', 'blocks')}, {_bm25_sql(_LEX_QUERY, 50)}, {_SEM % 'true'}, {_FUSED} SELECT citation, round(fused, 9) AS fused FROM fused")
 def rrf_fuse(spark, sf_dir):
-    b = blocks(spark, sf_dir)
-    near = b.where("idx = 0").join(_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "embedding"), "id")
-    lists = R.ranked(R.bm25(b, _LEX_QUERY), "score"), R.ranked(R.vector_top_k(near, _query_vector(spark, sf_dir)), "cosine")
+    index = index_of(spark, sf_dir)
+    near = index.places.where("idx = 0").select("citation", "id").join(_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "embedding"), "id")
+    lists = R.ranked(R.bm25(index, _LEX_QUERY), "score"), R.ranked(R.vector_top_k(near, _query_vector(spark, sf_dir)), "cosine")
     return R.rrf(*lists).select("citation", F.round("fused", 9).alias("fused"))
 
 
@@ -171,7 +184,7 @@ def newer_links(spark, sf_dir):
     return R.newer_links(n, n, links(spark, sf_dir)).withColumn("linked_updated", F.unix_timestamp("linked_updated"))
 
 
-@query(f"{with_sql('notes')}, {_superseded_sql(NOW)} SELECT name AS old, replaced_by AS new FROM sup")
+@query(f"{with_sql('notes')}, {_superseded_sql(NOW)} SELECT name AS old, successor AS new FROM sup")
 def superseded_at(spark, sf_dir):
     return R.superseded(notes(spark, sf_dir), _now())
 
@@ -210,11 +223,20 @@ def retrieval_metrics(spark, sf_dir):
 
 
 def canary_pairs(spark, sf_dir):
-    """(query, doc): benchmark passages that documents contain, by letters and digits in lower case; the 40 or so
-    passages are the small side. A passage of fewer than CANARY_LEAST of these is never matched."""
-    marks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), S.canary_form(F.col("text")).alias("passage")).where(F.length("passage") >= CANARY_LEAST)
+    """(query, doc): benchmark passages that documents contain, by letters and digits in lower case. A passage of fewer than CANARY_LEAST of
+    these is never matched. Passages meet the documents that hold their first CANARY_LEAST letters, then are looked for whole; only
+    where the passages are few and short enough for a broadcast of proven size are they looked for in every document at once."""
+    marks = cut(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), S.canary_form(F.col("text")).alias("passage")).where(F.length("passage") >= CANARY_LEAST), "marks")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), S.canary_form(F.col("text")).alias("form"))
-    return docs.join(F.broadcast(marks), F.col("form").contains(F.col("passage"))).select("query", "doc")
+    begins = marks.withColumn("begin", F.substring("passage", 1, CANARY_LEAST))
+    if cut_bytes(marks) <= BROADCAST_BYTES and marks.count() <= CANARY_BROADCAST:
+        return docs.join(F.broadcast(marks), F.col("form").contains(F.col("passage"))).select("query", "doc")
+    places = F.sequence(F.lit(1), F.length("form") - CANARY_LEAST + 1)
+    grams = F.array_distinct(F.transform(places, lambda i: F.substring(F.col("form"), i, F.lit(CANARY_LEAST))))
+    held = docs.where(F.length("form") >= CANARY_LEAST).select("doc", "form", F.explode(grams).alias("begin"))
+    known = join_sized(held.select("doc", "begin"), cut(begins.select("begin").distinct(), "begins"), ["begin"], "left_semi")
+    meet = cut(known.join(begins.select("begin", "query", "passage"), "begin").select("doc", "query", "passage").distinct(), "meet")
+    return join_sized(docs, meet, ["doc"], "inner").where(F.col("form").contains(F.col("passage"))).select("query", "doc").distinct()
 
 
 @query(f"""{with_sql('notes', 'blocks')}, f AS (SELECT id, min(citation) AS citation, any_value(ring) AS ring FROM blocks GROUP BY id)
