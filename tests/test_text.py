@@ -58,6 +58,47 @@ def test_splitter_random():
         assert len(held) <= len(letters(marks))
 
 
+def test_splitter_is_verbatim():
+    assert [b.text for b in B.split_body("a\n\n\n\nb")] == ["a\n\n\n\nb"] and [b.text for b in B.split_body("a\r\nb\r\n\r\nc\r\n")] == ["a\r\nb\r\n\r\nc"]
+    assert [(b.text, b.locator, b.line) for b in B.split_body("# h\n<!-- at: p 1 -->\ntext\n\n<!-- at: p 2 -->\nmore")] == [("# h\n\ntext", "p 1", 1), ("more", "p 2", 6)]
+    long = "\n".join(f"line {i} " + "word " * 60 for i in range(30))
+    assert all(b.text in long and b.text.startswith("line") and b.tokens <= B.BLOCK_TOKENS for b in B.split_body(long))
+    rnd = random.Random(8)
+    pieces = ["# h\n", "```\n", "~~~\n", "text ", "\n", "\n\n", "é" * 50, "word " * 200, "a b\n" * 90, "x" * 3000, "\r\n", "\u00a0", "<!-- at: p -->\n"]
+    for _ in range(500):
+        body = "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 25)))
+        whole = B.segments(body)
+        marks = {(s.start, s.end) for s in whole if s.kind == "locator"}
+        shown = "".join(c for i, c in enumerate(body) if not any(a <= i < b for a, b in marks))
+        blocks, at = B.split_body(body), 0
+        for b in blocks:
+            at = shown.index(b.text, at) + len(b.text)  # every block is a slice, in order
+            assert b.tokens == B.count_tokens(b.text) and (b.tokens <= B.BLOCK_TOKENS or b.oversized)
+        assert "".join("".join(b.text for b in blocks).split()) == "".join(shown.split())
+        lines = body.split("\n")
+        assert all(b.text.split("\n")[0].strip() in lines[b.line - 1] for b in blocks if not marks)
+
+
+def test_splitter_against_a_plain_packing():
+    """Bodies of one-line paragraphs: blocks are what adding one paragraph after another gives."""
+    rnd = random.Random(3)
+    for _ in range(100):
+        lines = [" ".join(rnd.choice(["w", "word", "é", "longerword"]) for _ in range(rnd.randint(1, 120))) for _ in range(rnd.randint(1, 20))]
+        want, now = [], []
+        for line in lines:
+            if now and B.count_tokens("\n\n".join([*now, line])) > B.BLOCK_TOKENS:
+                want.append("\n\n".join(now))
+                now = []
+            now.append(line)
+        assert [b.text for b in B.split_body("\n\n".join(lines))] == [*want, "\n\n".join(now)]
+
+
+def test_diff_of_long_texts_with_one_change():
+    a = "\n".join(f"line {i}" for i in range(1900))
+    out = B._diff((a, a.replace("line 700\n", "new\nlines\n")))
+    assert [x for x in out if x[0] != " "] == ["-line 700", "+new", "+lines"] and len(out) == 1902 and B._diff((a, "x\n" * 3000)) is None
+
+
 def test_links_and_anchors():
     assert B.wiki_links("[[a]] `[[no]]` [[b|x]] [[a#p]]\n```\n[[c]]\n```") == ["a", "b"]
     assert B.anchors("see src/a.rs:12-30, https://x.org/a.rs:3 and b.py:7") == [("src/a.rs", 12, 30), ("b.py", 7, 7)]
