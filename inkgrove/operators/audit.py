@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkgrove.functions.scalars import chain_hash
 
@@ -52,11 +54,11 @@ def row_hash(prev: Column) -> Column:
     return chain_hash(prev, *[F.col(c) for c in CHAINED])
 
 
-def seal(log: DataFrame, partition: str = "device") -> DataFrame:
-    """log with prev and hash, each log chained in seq order. Sealing is sequential by nature: rows stream
-    through one task per log in sorted order, and only the last hash is held."""
+def seal(log: DataFrame, partition: str = "device", after: str | None = None) -> DataFrame:
+    """log with prev and hash, each log chained in seq order, from the hash in the column after if given. Sealing is sequential by
+    nature: rows stream through one task per log in sorted order, and only the last hash is held."""
     fields = [*log.schema.fields]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    shape = T.StructType([*fields, T.StructField("prev", T.StringType()), T.StructField("hash", T.StringType())])
     ordered = log.repartition(partition).sortWithinPartitions(partition, "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,9 +66,10 @@ def seal(log: DataFrame, partition: str = "device") -> DataFrame:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in CHAINED]
             prevs, hashes = [], []
-            for whose, *values in zip(batch.column(partition).to_pylist(), *columns):
+            starts = batch.column(after).to_pylist() if after else [None] * batch.num_rows
+            for whose, start, *values in zip(batch.column(partition).to_pylist(), starts, *columns):
                 if not hashes and now is None or whose != now:
-                    now, last = whose, None
+                    now, last = whose, start
                 text = "".join(f"{len(v.encode())}:{v}" for v in ("" if x is None else str(x) for x in values))
                 prevs.append(last)
                 last = hashlib.sha256(f"{last or ''}|{text}".encode()).hexdigest()
@@ -74,7 +77,7 @@ def seal(log: DataFrame, partition: str = "device") -> DataFrame:
             names = [f.name for f in fields]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], [*names, "prev", "hash"])
 
-    return ordered.mapInArrow(run, f"{kept}, prev string, hash string")
+    return ordered.mapInArrow(run, shape)
 
 
 def verify_each(log: DataFrame) -> DataFrame:
@@ -144,12 +147,87 @@ def detail_departments(detail: Column) -> Column:
     return F.array_sort(both)
 
 
-def export_lines(log: DataFrame) -> DataFrame:
-    """(value): a header, one JSON line for each row in order, and a footer with count and digest of the hashes.
+#: Digests hashed together at each level of a bundle's digest.
+DIGEST_RANGE = 10_000
+BUNDLE_FORMAT, BUNDLE_ROW = 1, "seq bigint, device string, actor string, action string, subject string, detail string, prev string, hash string"
+
+
+def bundle_digest(log: DataFrame) -> DataFrame:
+    """(digest): one digest for each range of DIGEST_RANGE sequence numbers, one for each such range of digests, and so on up to one."""
+    top = log.agg(F.max("seq")).first()[0]
+    level = log.select(F.col("seq").alias("k"), F.col("hash").alias("d"))
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), "")
+        level = level.groupBy(F.floor(F.col("k") / DIGEST_RANGE).alias("k")).agg(F.sha2(joined, 256).alias("d"))
+        top = (top or 0) // DIGEST_RANGE
+        if not top:
+            return level.agg(F.max("d").alias("digest"))
 
-    The digest hashes one digest for each range of seq, so no task gathers the whole log."""
+
+def export_lines(log: DataFrame) -> DataFrame:
+    """(value): a header, one JSON line for each row in order, and a footer with count and digest of the hashes."""
     body = log.select(F.lit(1).alias("o"), F.col("seq").alias("k"), F.to_json(F.struct(*log.columns)).alias("value"))
-    ranges = log.groupBy(F.floor(F.col("seq") / 10_000).alias("r")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "hash"))), lambda x: x["hash"]), ""), 256).alias("d"))
-    footer = ranges.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "d"))), lambda x: x["d"]), ""), 256).alias("digest")).crossJoin(log.agg(F.count("*").alias("rows")))
-    head = log.sparkSession.createDataFrame([(0, 0, '{"format":1}')], "o int, k bigint, value string")
+    footer = bundle_digest(log).crossJoin(log.agg(F.count("*").alias("rows")))  # one row each
+    head = log.sparkSession.createDataFrame([(0, 0, json.dumps({"format": BUNDLE_FORMAT}, separators=(",", ":")))], "o int, k bigint, value string")
     return head.unionByName(body).unionByName(footer.select(F.lit(2).alias("o"), F.lit(0).cast("bigint").alias("k"), F.to_json(F.struct("rows", "digest")).alias("value"))).orderBy("o", "k").select("value")
+
+
+def verify_bundle(lines: DataFrame, row: str = BUNDLE_ROW) -> DataFrame:
+    """One row of what the (value) lines of a bundle show: format, rows, broken_rows (unreadable or not matching their hash), counted, digest_ok, and whole, if all is right."""
+    value = F.col("value")
+    parsed = lines.select(value, F.from_json(value, row).alias("r"), F.get_json_object(value, "$.format").try_cast("int").alias("format"), F.get_json_object(value, "$.digest").alias("digest"), F.get_json_object(value, "$.rows").try_cast("bigint").alias("n"))
+    is_row = F.col("r.seq").isNotNull()
+    known = is_row | F.col("format").isNotNull() | F.col("digest").isNotNull()
+    rows = parsed.where(is_row).select("r.*")
+    facts = parsed.agg(
+        F.max("format").alias("format"), F.count_if(is_row).alias("rows"), F.max("n").alias("counted"), F.max(F.when(~is_row, F.col("digest"))).alias("_told"), F.count_if(~known).alias("_unread"),
+        F.count_if(F.col("value").isNull()).alias("_null"),
+    )
+    broken = verify_each(rows).agg(F.count("*").alias("_broken"))
+    out = facts.crossJoin(broken).crossJoin(bundle_digest(rows))  # one row each
+    out = out.select("format", "rows", (F.col("_broken") + F.col("_unread")).alias("broken_rows"), "counted", F.col("_told").eqNullSafe(F.col("digest")).alias("digest_ok"))
+    right = F.col("format").eqNullSafe(BUNDLE_FORMAT) & (F.col("broken_rows") == 0) & F.col("counted").eqNullSafe(F.col("rows")) & F.col("digest_ok")
+    return out.withColumn("whole", right)
+
+
+def unsealed_heads(log: DataFrame, partition: str = "device") -> DataFrame:
+    """(partition, seq, hash) of each log's last row: what an append must continue."""
+    return log.groupBy(partition).agg(F.max(F.struct("seq", "hash")).alias("_h")).select(partition, "_h.seq", "_h.hash")
+
+
+def append(log: DataFrame, rows: DataFrame, expected: DataFrame | None = None, partition: str = "device") -> tuple[DataFrame, DataFrame]:
+    """(log with rows sealed after each log's head, rows refused).
+
+    expected (partition, hash) is the head a writer saw: where it has moved since, its rows are refused, to be offered again against the new
+    head. Sequence numbers continue the head's. Refusing is all or nothing for a log, so nothing is half written."""
+    heads = unsealed_heads(log, partition).select(partition, F.col("seq").alias("_seq"), F.col("hash").alias("_head"))
+    asked = rows.join(heads, partition, "left")
+    if expected is not None:
+        seen = expected.select(partition, F.col("hash").alias("_seen"))
+        asked = asked.join(seen, partition, "left").withColumn("_moved", ~F.col("_head").eqNullSafe(F.col("_seen")))
+    else:
+        asked = asked.withColumn("_seen", F.lit(None).cast("string")).withColumn("_moved", F.lit(False))
+    refused = asked.where("_moved").select(*rows.columns)
+    first = Window.partitionBy(partition).orderBy("seq")
+    numbered = asked.where("not _moved").withColumn("seq", F.coalesce("_seq", F.lit(0)) + F.row_number().over(first)).drop("_seq", "_seen", "_moved")
+    sealed = seal(numbered, partition, "_head").drop("_head")
+    return log.unionByName(sealed.select(*log.columns)), refused
+
+
+def continues(log: DataFrame, partition: str = "device") -> DataFrame:
+    """(partition, seq, state) of rows that do not continue the row before: fork where an earlier row is already continued by another, else gap."""
+    order = Window.partitionBy(partition).orderBy("seq")
+    rows = log.withColumn("_before", F.lag("hash").over(order)).withColumn("_first", F.row_number().over(order) == 1)
+    loose = rows.where(~F.col("prev").eqNullSafe(F.col("_before")) & ~(F.col("_first") & F.col("prev").isNull())).select(partition, "seq", "prev")
+    known = log.select(partition, F.col("hash").alias("prev")).distinct().withColumn("_known", F.lit(True))
+    return loose.join(known, [partition, "prev"], "left").select(partition, "seq", F.when(F.col("_known"), "fork").otherwise("gap").alias("state"))
+
+
+def pruned_digest(log: DataFrame, boundary: Column, partition: str = "device") -> DataFrame:
+    """(partition, rows, digest) over the rows before boundary that a purge takes: what the purge row keeps of them. Digests of ranges of rows
+    combine as in a bundle, within each log."""
+    gone = log.where(F.col("seq") < boundary)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), "")
+    ranges = gone.groupBy(partition, F.floor(F.col("seq") / DIGEST_RANGE).alias("k")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "hash"))), lambda x: x["hash"]), ""), 256).alias("d"), F.count("*").alias("n"))
+    wider = ranges.groupBy(partition, F.floor(F.col("k") / DIGEST_RANGE).alias("k")).agg(F.sha2(joined, 256).alias("d"), F.sum("n").alias("n"))
+    return wider.groupBy(partition).agg(F.sum("n").alias("rows"), F.sha2(joined, 256).alias("digest"))

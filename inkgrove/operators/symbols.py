@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LANGUAGES = {"rs": "rust", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "sql": "sql", "toml": "toml", "yaml": "yaml", "yml": "yaml", "json": "json", "md": "markdown"}
-#: Kinds by rank in results.
-KIND_RANK = ("class", "struct", "enum", "trait", "interface", "type", "function", "method", "const", "variable", "module", "macro", "table", "view", "index", "section", "key", "heading")
+#: Kinds that stand behind definitions of code in results, by rank; fixed values.
+LATER_KINDS = {"key": 2, "section": 2, "heading": 3}
 MIN_PART = 3
 
 _I = r"^(?P<indent>\s*)"
 _PATTERNS: dict[str, list[tuple[str, str]]] = {
-    "rust": [("function", _I + r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(?P<name>\w+)"), *[(k, _I + rf"(?:pub(?:\([^)]*\))?\s+)?{w}\s+(?P<name>\w+)") for k, w in (("struct", "struct"), ("enum", "enum"), ("trait", "trait"), ("type", "type"), ("module", "mod"), ("const", "(?:const|static)"))], ("macro", _I + r"macro_rules!\s*(?P<name>\w+)"), ("impl", _I + r"impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(?P<name>\w+)")],
+    "rust": [("function", _I + r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(?P<name>\w+)"), *[(k, _I + rf"(?:pub(?:\([^)]*\))?\s+)?{w}\s+(?P<name>\w+)") for k, w in (("struct", "struct"), ("union", "union"), ("enum", "enum"), ("trait", "trait"), ("type", "type"), ("module", "mod"), ("const", "(?:const|static)"))], ("macro", _I + r"macro_rules!\s*(?P<name>\w+)"), ("impl", _I + r"impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(?P<name>\w+)")],
     "python": [("function", _I + r"(?:async\s+)?def\s+(?P<name>\w+)"), ("class", _I + r"class\s+(?P<name>\w+)"), ("const", r"^(?P<indent>)(?P<name>[A-Z][A-Z0-9_]+)\s*(?::[^=]+)?=")],
     "javascript": [("function", _I + r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)"), ("class", _I + r"(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>[\w$]+)"), ("interface", _I + r"(?:export\s+)?interface\s+(?P<name>\w+)"), ("enum", _I + r"(?:export\s+)?(?:const\s+)?enum\s+(?P<name>\w+)"), ("type", _I + r"(?:export\s+)?type\s+(?P<name>\w+)\s*[=<]"), ("variable", _I + r"(?:export\s+)?(?:const|let|var)\s+(?P<name>[\w$]+)\s*[=:]"), ("method", r"^(?P<indent>\s+)(?:async\s+|static\s+)*(?P<name>(?!(?:if|for|while|switch|catch|function|return)\b)[\w$]+)\([^)]*\)\s*(?::[^{]+)?\{")],
     "go": [("function", _I + r"func\s+(?P<name>\w+)"), ("method", _I + r"func\s+\(\s*\w+\s+\*?(?P<scope>\w+)[^)]*\)\s*(?P<name>\w+)"), ("struct", _I + r"type\s+(?P<name>\w+)\s+struct"), ("interface", _I + r"type\s+(?P<name>\w+)\s+interface"), ("type", _I + r"type\s+(?P<name>\w+)\s+(?!struct|interface)"), ("const", _I + r"(?:const|var)\s+(?P<name>\w+)")],
@@ -30,6 +30,10 @@ _PATTERNS["typescript"] = _PATTERNS["javascript"]
 _COMPILED = {k: [(kind, re.compile(p)) for kind, p in v] for k, v in _PATTERNS.items()}
 
 
+#: Lines that belong to the definition below them.
+_ABOVE = {"rust": re.compile(r"\s*(?:///|#\[)"), "python": re.compile(r"\s*@"), "go": re.compile(r"//"), "javascript": re.compile(r"\s*(?:/\*\*|\*|@)"), "typescript": re.compile(r"\s*(?:/\*\*|\*|@)"), "sql": re.compile(r"\s*--")}
+
+
 def _braces_end(lines: list[str], at: int) -> int:
     depth, seen = 0, False
     for k in range(at, len(lines)):
@@ -52,7 +56,8 @@ def _indent_end(lines: list[str], at: int) -> int:
 
 
 def definitions(path: str, text: str) -> Iterator[tuple]:
-    """(path, language, kind, name, scope, line, end_line, snippet) of a file's definitions; lines from 1."""
+    """(path, language, kind, name, scope, line, end_line, snippet, from_line) of a file's definitions; lines from 1. from_line is where the
+    documentation and attributes directly above begin. An impl block is listed under the type it is for."""
     language = LANGUAGES.get(path.rsplit(".", 1)[-1].lower())
     if language is None:
         return
@@ -82,9 +87,11 @@ def definitions(path: str, text: str) -> Iterator[tuple]:
                 end = next((k - 1 for k in range(at + 1, len(lines)) if _COMPILED[language][0][1].match(lines[k])), len(lines) - 1) if kind in ("section", "heading") else at
             scope = m.groupdict().get("scope") or "::".join(o[0] for o in open_)
             real = "method" if kind == "function" and scope and language in ("rust", "python") else kind
-            if kind != "impl":
-                yield path, language, real, m["name"], scope, at + 1, end + 1, line.strip()[:200]
-            if kind in ("impl", "class", "struct", "trait", "module", "interface", "enum", "function", "section", "heading") or language == "yaml":
+            above = at
+            while above and _ABOVE.get(language) and _ABOVE[language].match(lines[above - 1]):
+                above -= 1
+            yield path, language, real, m["name"], scope, at + 1, end + 1, line.strip()[:200], above + 1
+            if kind in ("impl", "union", "class", "struct", "trait", "module", "interface", "enum", "function", "section", "heading") or language == "yaml":
                 open_.append((m["name"], end if language != "markdown" else -1))
             break
 
@@ -98,10 +105,10 @@ def _json_keys(path: str, text: str) -> Iterator[tuple]:
         lines = text.split("\n")
         for key in data:
             at = next((k for k, x in enumerate(lines) if f'"{key}"' in x), 0)
-            yield path, "json", "key", key, "", at + 1, at + 1, lines[at].strip()[:200]
+            yield path, "json", "key", key, "", at + 1, at + 1, lines[at].strip()[:200], at + 1
 
 
-_SHAPE = "path string, language string, kind string, name string, scope string, line int, end_line int, snippet string"
+_SHAPE = "path string, language string, kind string, name string, scope string, line int, end_line int, snippet string, from_line int"
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -116,20 +123,27 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 def find(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Definitions that a query names, best first: exact, then any case, then containing it (MIN_PART letters or more); what stands
-    before ::, # or . must end the scope, and counts for nothing if no definition fits. With matched, the number of all that fit."""
+    """Definitions that a query names, best first: exact, then any case, then containing it (MIN_PART letters or more), code before keys and sections before
+    headings, by path and line. What stands before ::, # or . must end the scope, in any case; if no definition fits it, it counts for nothing and
+    scope_ignored tells so. matched is the number of all that fit, truncated whether there are more than are shown."""
     parts = [p for p in re.split(r"::|#|\.", query) if p]
-    name, scope = parts[-1], "::".join(parts[:-1])
+    if not parts:
+        return symbols.limit(0).withColumns({"tier": F.lit(0), "scope_ignored": F.lit(False), "matched": F.lit(0).cast("bigint"), "truncated": F.lit(False)})
+    name, scope = parts[-1], ".".join(parts[:-1]).lower()
     low = F.lower("name")
     tier = F.when(F.col("name") == name, 0).when(low == name.lower(), 1)
     if len(name) >= MIN_PART:
         tier = tier.when(F.contains(low, F.lit(name.lower())), 2)
     hits = symbols.withColumn("tier", tier).where("tier is not null")
+    ignored = False
     if scope:
-        fits: Column = (F.col("scope") == scope) | F.col("scope").endswith("::" + scope)
-        if not hits.where(fits).isEmpty():
-            hits = hits.where(fits)
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, KIND_RANK)), F.col("kind")), F.lit(0))
-    rank = F.when(rank == 0, len(KIND_RANK) + 1).otherwise(rank)
+        have = F.lower(F.replace("scope", F.lit("::"), F.lit(".")))
+        fits: Column = (have == scope) | have.endswith("." + scope)
+        ignored = hits.where(fits).isEmpty()
+        hits = hits if ignored else hits.where(fits)
+    rank = F.lit(1)
+    for kind, place in LATER_KINDS.items():
+        rank = F.when(F.col("kind") == kind, place).otherwise(rank)
     matched = hits.agg(F.count("*").alias("matched"))
-    return hits.orderBy("tier", rank, "path", "line").limit(limit).crossJoin(F.broadcast(matched))
+    shown = hits.withColumn("scope_ignored", F.lit(ignored)).orderBy("tier", rank, "path", "line").limit(limit)
+    return shown.crossJoin(F.broadcast(matched)).withColumn("truncated", F.col("matched") > limit)  # matched is one row

@@ -92,9 +92,9 @@ def config_diff(spark, sf_dir):
     return A.config_changes(s, "client").select("client", "seq", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
 
 
-@query("SELECT event_id AS seq, 'a,' || CASE WHEN user_id % 2 = 0 THEN 'b' ELSE 'a1' END AS departments FROM events WHERE event_id % 20 = 0")
+@query("SELECT event_id AS seq, 'a,' || CASE WHEN user_id % 2 = 0 THEN 'b' ELSE 'a1' END AS departments FROM events")
 def detail_departments(spark, sf_dir):
-    log = table(spark, sf_dir, "events").where("event_id % 20 = 0")
+    log = table(spark, sf_dir, "events")
     detail = F.to_json(F.struct(F.when(F.col("user_id") % 2 == 0, "b").otherwise("a1").alias("bereich"), F.array(F.lit("a"), F.when(F.col("user_id") % 2 == 0, "b").otherwise("a1")).alias("bereiche")))
     return log.select(F.col("event_id").alias("seq"), F.array_join(A.detail_departments(detail), ",").alias("departments"))
 

@@ -25,15 +25,16 @@ def notes_per_ring(spark, sf_dir):
     return notes(spark, sf_dir).groupBy("ring").agg(F.count("*").alias("notes"))
 
 
-@query(f"""{with_sql('notes', 'blocks', 'links')}
-    SELECT 'blocks-without-note' AS "check", 0 AS problems UNION ALL SELECT 'links-without-note', 0
-    UNION ALL SELECT 'links-unresolved', count(*) FROM links WHERE to_name NOT IN (SELECT name FROM notes)
-    UNION ALL SELECT 'vectors-without-block', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT id FROM blocks)
-    UNION ALL SELECT 'notes-without-block', count(*) FROM notes WHERE id NOT IN (SELECT id FROM blocks)
-    UNION ALL SELECT 'ring-mismatch', 0 UNION ALL SELECT 'citation-twice', count(*) FROM (SELECT id FROM blocks GROUP BY id HAVING count(*) > 1)""")
+@query(f"""{with_sql('notes', 'blocks', 'links')}, n AS (SELECT * FROM notes WHERE id % 10 <> 3), b AS (SELECT id, CASE WHEN id % 13 = 5 THEN ring + 1 ELSE ring END AS ring FROM blocks WHERE id % 8 <> 1)
+    SELECT 'blocks-without-note' AS "check", (SELECT count(*) FROM b WHERE id NOT IN (SELECT id FROM n)) AS problems UNION ALL SELECT 'links-without-note', count(*) FROM links WHERE from_id NOT IN (SELECT id FROM n)
+    UNION ALL SELECT 'links-unresolved', count(*) FROM links WHERE to_name NOT IN (SELECT name FROM n)
+    UNION ALL SELECT 'vectors-without-block', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT id FROM b)
+    UNION ALL SELECT 'notes-without-block', count(*) FROM n WHERE id NOT IN (SELECT id FROM b)
+    UNION ALL SELECT 'ring-mismatch', count(*) FROM b JOIN n USING (id) WHERE b.ring <> n.ring UNION ALL SELECT 'citation-twice', count(*) FROM (SELECT id FROM b GROUP BY id HAVING count(*) > 1)""")
 def integrity_checks(spark, sf_dir):
-    b = blocks(spark, sf_dir).withColumn("citation", F.col("id"))
-    return I.integrity(notes(spark, sf_dir), b, links(spark, sf_dir), table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "citation"))
+    i = F.col("id")
+    b = blocks(spark, sf_dir).where(i % 8 != 1).withColumn("citation", i).withColumn("ring", F.when(i % 13 == 5, F.col("ring") + 1).otherwise(F.col("ring")))
+    return I.integrity(notes(spark, sf_dir).where(i % 10 != 3), b, links(spark, sf_dir), table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "citation"))
 
 
 @query(f"{with_sql('notes', 'links')} SELECT from_id, pos, to_name FROM links WHERE to_name NOT IN (SELECT name FROM notes)")
@@ -116,13 +117,13 @@ def upsert_notes(spark, sf_dir):
     return I.upsert(d.where("id % 4 <> 0"), d.where("id % 6 = 0").withColumn("h", F.lit("new"))).groupBy((F.col("h") == "new").alias("fresh")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT doc_id AS id, 'src/' || (doc_id % 60) || '.md' AS path, md5('v' || doc_id % 60) AS sha256 FROM documents WHERE doc_id % 9 = 0),
+@query("""WITH a AS (SELECT doc_id AS id, 'src/' || (doc_id % 60) || '.md' AS path, md5('v' || doc_id % 60) AS sha256 FROM documents),
     f AS (SELECT 'src/' || i || '.md' AS path, md5(CASE WHEN i % 4 = 0 THEN 'w' ELSE 'v' END || i) AS sha256 FROM range(50) t(i))
     SELECT id, path, CASE WHEN f.sha256 IS NULL THEN 'missing' WHEN f.sha256 = a.sha256 THEN 'same' ELSE 'changed' END AS state FROM a LEFT JOIN f USING (path)""")
 def anchor_drift(spark, sf_dir):
     i = F.col("doc_id")
     path = lambda k: F.concat(F.lit("src/"), k, F.lit(".md"))
-    a = table(spark, sf_dir, "documents").where("doc_id % 9 = 0").select(i.alias("id"), path(i % 60).alias("path"), F.md5(F.concat(F.lit("v"), i % 60)).alias("sha256"))
+    a = table(spark, sf_dir, "documents").select(i.alias("id"), path(i % 60).alias("path"), F.md5(F.concat(F.lit("v"), i % 60)).alias("sha256"))
     k = F.col("id")
     f = spark.range(50).select(path(k).alias("path"), F.md5(F.concat(F.when(k % 4 == 0, "w").otherwise("v"), k)).alias("sha256"))
     return I.anchor_drift(a, f)

@@ -11,6 +11,7 @@ from inkgrove.operators import index as I
 from inkgrove.operators import ingest as G
 from inkgrove.operators import pii as P
 from inkgrove.plans.registry import query
+from inkgrove.plans.shared import cut
 from inkgrove.session import table
 from inkgrove.sources import readers as R
 from inkgrove.sources.corpus import audit, blocks, notes, with_sql
@@ -29,11 +30,12 @@ def note_parse(spark, sf_dir):
     return R.parse_notes(files).select(F.col("path").cast("bigint").alias("id"), (F.col("path").cast("bigint") % 5).cast("int").alias("ring"), "error", F.md5("body").alias("body_md5"))
 
 
-@query("SELECT count(*) + 2 AS lines, count(*) AS rows FROM events WHERE event_id % 7 = 0")
+@query("SELECT count(*) + 2 AS lines, count(*) AS rows, true AS whole FROM events")
 def audit_bundle(spark, sf_dir):
-    log = A.seal(audit(spark, sf_dir).where("seq % 7 = 0").drop("at", "value").withColumn("device", F.lit("d")))
-    lines = A.export_lines(log)
-    return lines.agg(F.count("*").alias("lines"), F.max(F.get_json_object("value", "$.rows").try_cast("bigint")).alias("rows"))
+    log = A.seal(audit(spark, sf_dir).drop("at", "value").withColumn("device", F.concat(F.lit("dev-"), F.col("seq") % 16)))
+    lines = cut(A.export_lines(log), "bundle")
+    found = A.verify_bundle(lines)
+    return lines.agg(F.count("*").alias("lines"), F.max(F.get_json_object("value", "$.rows").try_cast("bigint")).alias("rows")).crossJoin(found.select("whole"))
 
 
 @query("SELECT doc_id, md5(nfc_normalize(source || 'ü' || lang)) AS form FROM documents")
@@ -42,12 +44,14 @@ def nfc_names(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(B.nfc(decomposed)).alias("form"))
 
 
-@query("SELECT doc_id, 2 AS added, 1 AS removed FROM documents WHERE doc_id % 10 = 0")
+@query("""SELECT doc_id, CASE WHEN n <= 1999 THEN 1 END AS added, CASE WHEN n <= 1999 THEN CAST(gone AS INT) END AS removed
+    FROM (SELECT doc_id, len(l) AS n, len(list_filter(l, lambda x: contains(x, 'sh'))) AS gone FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
 def line_diffs(spark, sf_dir):
-    d = _docs(spark, sf_dir).where("doc_id % 10 = 0")
-    old, new = F.concat(F.lit("first\ngone\nlast "), "source"), F.concat(F.lit("first\nnew one\nnew two\nlast "), "source")
-    diff = B.line_diff(old, new)
-    return d.select("doc_id", F.size(F.filter(diff, lambda x: x.startswith("+"))).alias("added"), F.size(F.filter(diff, lambda x: x.startswith("-"))).alias("removed"))
+    kept = F.filter(F.split("text", "\n"), lambda x: ~F.contains(x, F.lit("sh")))
+    new = F.array_join(F.concat(F.array(F.concat(F.lit("# document "), "doc_id")), kept), "\n")
+    d = _docs(spark, sf_dir).select("doc_id", B.line_diff(F.col("text"), new).alias("diff"))
+    counted = lambda sign: F.when(F.col("diff").isNotNull(), F.size(F.filter("diff", lambda x: x.startswith(sign))))
+    return d.select("doc_id", counted("+").alias("added"), counted("-").alias("removed"))
 
 
 @query("SELECT c_custkey AS request, s.s_name AS requester, a.s_name AS approver FROM customer JOIN supplier s ON s.s_suppkey = c_custkey % 80 LEFT JOIN supplier a ON a.s_suppkey = CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 70 END")
@@ -81,42 +85,52 @@ def glob_match(spark, sf_dir):
     return _docs(spark, sf_dir).where(path.rlike(S.glob_regex("b/src1?/*.md"))).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, 3 AS parts, length(text) + 15 AS chars FROM documents")
+@query("""SELECT doc_id, CAST(len(list_filter(l, lambda x: starts_with(x, 'T'))) + CASE WHEN starts_with(text, 'T') THEN 0 ELSE 1 END AS INT) AS parts, length(text) + 2 * len(list_filter(l, lambda x: starts_with(x, 'T'))) AS chars
+    FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)""")
 def import_sections(spark, sf_dir):
-    files = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("pre\n# One\n"), F.regexp_replace("text", "(?m)^#", "."), F.lit("\n# x\n")).alias("content"))
+    files = _docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", "(?m)^T", "# T").alias("content"))
     return G.cut_sections(files).groupBy("doc_id").agg(F.count("*").cast("int").alias("parts"), F.sum(F.length("part")).alias("chars"))
 
 
-@query("SELECT doc_id, source || ',' || lang AS targets FROM documents")
+_LONG_WORD = r"(?<!\p{L})([a-z]{9,})(?!\p{L})"
+
+
+@query(r"SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[^\pL]+'), lambda x: regexp_full_match(x, '[a-z]{9,}')))), ','), '') AS targets FROM documents")
 def wiki_links(spark, sf_dir):
-    body = F.concat(F.lit("[["), "source", F.lit("|shown]] `[[code]]` [["), "lang", F.lit("#part]] [["), "source", F.lit("]]\n```\n[[fenced]]\n```\n"))
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(B.links_of(body), ",").alias("targets"))
+    body = F.concat(F.regexp_replace("text", _LONG_WORD, "[[$1|shown]]"), F.lit("\n`[[code]]`\n```\n[[fenced]]\n```\n"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(B.links_of(body)), ",").alias("targets"))
 
 
-@query("SELECT doc_id, 'src/' || source || '.rs' AS path, doc_id + 1 AS first, doc_id + 3 AS last FROM documents")
+@query(r"""WITH w AS (SELECT doc_id, unnest(l) AS word, unnest(range(len(l))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\pL]+'), lambda x: regexp_full_match(x, '[a-z]{9,}')) AS l FROM documents)),
+    f AS (SELECT doc_id, word, min(i) AS i FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f)
+    SELECT doc_id, 'src/' || word || '.rs' AS path, doc_id + 1 AS first, doc_id + 3 AS last FROM r WHERE r <= 16""")
 def code_anchors(spark, sf_dir):
     i = F.col("doc_id")
-    body = F.concat(F.lit("see src/"), "source", F.lit(".rs:"), i + 1, F.lit("-"), i + 3, F.lit(" and https://x.org/a.rs:9"))
-    found = _docs(spark, sf_dir).select("doc_id", F.explode(B.anchors_of(body)).alias("a"))
+    place = F.concat(F.lit("src/$1.rs:"), i + 1, F.lit("-"), i + 3, F.lit(" https://x.org/a.rs:9"))
+    found = _docs(spark, sf_dir).select("doc_id", F.explode(B.anchors_of(F.regexp_replace(F.col("text"), F.lit(_LONG_WORD), place))).alias("a"))
     return found.select("doc_id", "a.path", F.col("a.first").cast("bigint").alias("first"), F.col("a.last").cast("bigint").alias("last"))
 
 
-@query("SELECT doc_id, 'brokenword ' || source || chr(10) || chr(10) || '\\# end' AS page FROM documents")
+@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, '><', '>-' || chr(10) || chr(10) || chr(10) || '#<'), '(\pL)-\n([a-zà-ÿ])', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), '(?m)^#', '\\#', 'g'), E' \t\n\r\x0b\x0c')) AS page FROM pages""")
 def page_cleaning(spark, sf_dir):
-    raw = F.concat(F.lit("broken-\nword   "), "source", F.lit("\n\n\n\n# end\n"))
-    return _docs(spark, sf_dir).select("doc_id", B.clean_page(raw).alias("page"))
+    raw = F.replace("html", F.lit("><"), F.lit(">-\n\n\n#<"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(B.clean_page(raw)).alias("page"))
+
+
+_ADDRESS = r"[A-Za-z0-9][A-Za-z0-9._%+''-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}"
 
 
-@query("SELECT doc_id, 'email' AS kind, 2 AS line, 4 AS \"column\" FROM documents")
+@query(rf"""WITH e AS (SELECT DISTINCT doc_id, text, unnest(regexp_extract_all(text, '{_ADDRESS}')) AS found FROM documents)
+    SELECT doc_id, 'email' AS kind, length(head) - length(replace(head, chr(10), '')) + 1 AS line, length(string_split(head, chr(10))[-1]) + 1 AS "column", substr(found, 1, 2) || repeat('*', greatest(length(found) - 4, 0)) || right(found, 2) AS shown
+    FROM (SELECT *, substr(text, 1, strpos(text, found) - 1) AS head FROM e)""")
 def masked_findings(spark, sf_dir):
-    text = F.concat(F.lit("one\nto "), "source", F.lit("@firma.de"))
-    found = _docs(spark, sf_dir).select("doc_id", F.explode(P.masked(P.findings(text), text)).alias("m"))
-    return found.select("doc_id", "m.kind", "m.line", "m.column")
+    found = _docs(spark, sf_dir).select("doc_id", F.explode(P.masked(P.findings(F.col("text")), F.col("text"))).alias("m")).where("m.kind = 'email'")
+    return found.select("doc_id", "m.kind", F.col("m.line").cast("bigint").alias("line"), F.col("m.column").cast("bigint").alias("column"), "m.shown")
 
 
-@query("SELECT event_id AS seq, json_extract_string(props, '$.k') AS k FROM events WHERE event_id % 11 = 0")
+@query("SELECT event_id AS seq, json_extract_string(props, '$.k') AS k FROM events")
 def detail_flatten(spark, sf_dir):
-    return audit(spark, sf_dir).where("seq % 11 = 0").select("seq", F.to_json(F.variant_get(F.parse_json("detail"), "$.k", "variant")).alias("k"))
+    return audit(spark, sf_dir).select("seq", F.to_json(F.variant_get(F.parse_json("detail"), "$.k", "variant")).alias("k"))
 
 
 @query("SELECT CAST(sum(CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS unreadable, CAST(sum(CASE WHEN event_id % 5 <> 0 THEN event_id ELSE 0 END) AS BIGINT) AS returned FROM events")

@@ -33,10 +33,10 @@ def retention_totals(spark, sf_dir):
     return Y.retention(notes(spark, sf_dir), _now()).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(f"""{with_sql('notes', 'blocks', 'audit')} SELECT 'block' AS kind, citation AS ref, ring FROM blocks WHERE contains(lower(text), 'example.org')
-    UNION ALL SELECT 'audit', CAST(seq AS VARCHAR), NULL FROM audit WHERE contains(lower(actor || ' ' || action || ' ' || subject || ' ' || detail), 'example.org')""")
+@query(f"""{with_sql('notes', 'blocks', 'audit')} SELECT 'block' AS kind, citation AS ref, ring FROM blocks WHERE contains(lower(text), '@mail')
+    UNION ALL SELECT 'audit', CAST(seq AS VARCHAR), NULL FROM audit WHERE contains(lower(actor || ' ' || action || ' ' || subject || ' ' || detail), '@mail')""")
 def subject_access(spark, sf_dir):
-    return Y.subject_access(blocks(spark, sf_dir), audit(spark, sf_dir), "example.org").select("kind", "ref", "ring")
+    return Y.subject_access(blocks(spark, sf_dir), audit(spark, sf_dir), "@mail").select("kind", "ref", "ring")
 
 
 @query(f"{with_sql('notes', 'blocks')} SELECT citation, lower(substr(text, greatest(1, strpos(lower(text), 'license') - 60), strpos(lower(text), 'license') - greatest(1, strpos(lower(text), 'license') - 60) + 67)) AS excerpt FROM blocks WHERE contains(lower(text), 'license')")
@@ -79,22 +79,23 @@ def write_gate(spark, sf_dir):
 
 
 
-@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'pending' WHEN s_suppkey % 5 = 0 THEN 'closed' WHEN s_suppkey % 7 = 0 THEN 'closed' WHEN s_suppkey % 2 = 0 THEN 'open' ELSE 'closed' END AS state FROM supplier""")
+@query(f"""SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'pending' WHEN event_id % 7 = 0 THEN 'closed' WHEN epoch(date_trunc('second', ts)) + 60 * 86400 >= {NOW} THEN 'open' ELSE 'closed' END AS state FROM events""")
 def access_window(spark, sf_dir):
-    k = F.col("s_suppkey")
-    approved = F.when(k % 3 != 0, "2024-02-01T00:00:00Z")
-    expires = F.when(k % 5 == 0, F.lit(None)).when(k % 7 == 0, "next week").when(k % 2 == 0, "2024-04-01T00:00:00Z").otherwise("2024-02-20T00:00:00+01:00")
-    return table(spark, sf_dir, "supplier").select(k.alias("id"), S.window_state(approved, expires, _now()).alias("state"))
+    k = F.col("event_id")
+    approved = F.when(k % 3 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    expires = F.when(k % 7 == 0, F.col("event_type")).otherwise(F.date_format(F.expr("ts + INTERVAL 60 DAY"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return table(spark, sf_dir, "events").select(k.alias("id"), S.window_state(approved, expires, _now()).alias("state"))
 
 
-@query("""SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN 'open' WHEN 1 THEN 'open' WHEN 2 THEN 'expired' WHEN 3 THEN 'soon' WHEN 4 THEN 'valid' ELSE 'expired' END AS state FROM supplier""")
+@query(f"""SELECT event_id AS id, CASE WHEN event_id % 6 <= 1 THEN 'open' WHEN event_id % 6 = 5 OR ahead <= 0 THEN 'expired' WHEN ahead <= 7 * 86400 THEN 'soon' ELSE 'valid' END AS state
+    FROM (SELECT event_id, CASE WHEN event_id % 6 = 3 THEN epoch(date_trunc('day', ts)) ELSE epoch(date_trunc('second', ts)) END + 50 * 86400 - {NOW} AS ahead FROM events)""")
 def token_expiry(spark, sf_dir):
-    k = F.col("s_suppkey") % 6
-    raw = F.when(k == 1, "").when(k == 2, "2024-02-29T23:59:59Z").when(k == 3, "2024-03-05").when(k == 4, "2024-12-30T00:00:00Z").when(k == 5, "garbage")
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), S.token_state(raw, _now()).alias("state"))
+    k, until = F.col("event_id") % 6, F.expr("ts + INTERVAL 50 DAY")
+    raw = F.when(k == 0, F.lit(None)).when(k == 1, "").when(k == 3, F.date_format(until, "yyyy-MM-dd")).when(k == 5, F.col("props")).otherwise(F.date_format(until, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), S.token_state(raw, _now()).alias("state"))
 
 
-_GRANTS = """g AS (SELECT 'dev-' || (s_suppkey % 4) AS device, 'src' || (s_suppkey % 12) AS bereich, ['in', 'out', 'both'][s_suppkey % 3 + 1] AS direction, s_suppkey % 5 < 2 AS effective, s_suppkey % 5 = 2 AS pending FROM supplier WHERE s_suppkey <= 60)"""
+_GRANTS = """g AS (SELECT 'dev-' || (s_suppkey % 4) AS device, 'src' || (s_suppkey % 12) AS bereich, ['in', 'out', 'both'][s_suppkey % 3 + 1] AS direction, s_suppkey % 5 < 2 AS effective, s_suppkey % 5 = 2 AS pending FROM supplier)"""
 
 
 @query(f"""{with_sql('notes')}, {_GRANTS}, o AS (SELECT 'dev-' || (id % 4) AS device, name, ring, bereich, CASE WHEN id % 2 = 0 THEN 'in' ELSE 'out' END AS direction FROM notes),
@@ -103,7 +104,7 @@ _GRANTS = """g AS (SELECT 'dev-' || (s_suppkey % 4) AS device, 'src' || (s_suppk
     SELECT name, CASE WHEN ring <= 1 THEN 'ring-never-leaves' WHEN bereich IS NULL THEN 'no-department' WHEN n = 0 THEN 'no-grant' WHEN ok THEN 'allowed' WHEN e THEN 'wrong-direction' WHEN p THEN 'awaiting' ELSE 'revoked' END AS decision FROM f""")
 def may_move(spark, sf_dir):
     s = F.col("s_suppkey")
-    grants = table(spark, sf_dir, "supplier").where(s <= 60).select(F.concat(F.lit("dev-"), s % 4).alias("device"), F.concat(F.lit("src"), s % 12).alias("bereich"), F.element_at(F.array(*map(F.lit, ("in", "out", "both"))), (s % 3 + 1).cast("int")).alias("direction"), (s % 5 < 2).alias("effective"), (s % 5 == 2).alias("pending"))
+    grants = table(spark, sf_dir, "supplier").select(F.concat(F.lit("dev-"), s % 4).alias("device"), F.concat(F.lit("src"), s % 12).alias("bereich"), F.element_at(F.array(*map(F.lit, ("in", "out", "both"))), (s % 3 + 1).cast("int")).alias("direction"), (s % 5 < 2).alias("effective"), (s % 5 == 2).alias("pending"))
     offers = notes(spark, sf_dir).select(F.concat(F.lit("dev-"), F.col("id") % 4).alias("device"), "name", "ring", "bereich", F.when(F.col("id") % 2 == 0, "in").otherwise("out").alias("direction"))
     return Y.may_move(offers, grants).select("name", "decision")
 
@@ -160,10 +161,10 @@ def seats_distinct(spark, sf_dir):
     return table(spark, sf_dir, "orders").agg(F.count_distinct(F.coalesce(machine, F.concat(F.lit("c"), k))).alias("seats"))
 
 
-@query("""WITH a AS (SELECT 'k' || (event_id % 300) AS key FROM events WHERE event_id % 50 = 1 GROUP BY 1), s AS (SELECT 'k' || (s_suppkey * 2 - 1) AS key, max(s_suppkey % 40) AS ago FROM supplier GROUP BY 1)
+@query("""WITH a AS (SELECT 'k' || (event_id % 300) AS key FROM events GROUP BY 1), s AS (SELECT 'k' || (s_suppkey * 2 - 1) AS key, max(s_suppkey % 40) AS ago FROM supplier GROUP BY 1)
     SELECT a.key FROM a LEFT JOIN s USING (key) WHERE ago IS NULL OR ago >= 24""")
 def alerts_due(spark, sf_dir):
-    alerts = table(spark, sf_dir, "events").where("event_id % 50 = 1").select(F.concat(F.lit("k"), F.col("event_id") % 300).alias("key")).distinct()
+    alerts = table(spark, sf_dir, "events").select(F.concat(F.lit("k"), F.col("event_id") % 300).alias("key")).distinct()
     s = F.col("s_suppkey")
     sent = table(spark, sf_dir, "supplier").select(F.concat(F.lit("k"), s * 2 - 1).alias("key"), F.timestamp_seconds(F.lit(NOW) - s % 40 * 3600).alias("at"))
     return Y.alerts_due(alerts, sent, _now(), 24).select("key")
@@ -209,8 +210,8 @@ def resident_projection(spark, sf_dir):
     return G.resident_projection(notes(spark, sf_dir), F.length("text"))
 
 
-@query("SELECT 'note-' || doc_id AS name, source FROM documents WHERE doc_id % 3 = 0 AND source IN ('src3', 'src4')")
+@query("SELECT 'note-' || doc_id AS name, source FROM documents WHERE source IN ('src3', 'src4')")
 def stale_notes(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("note-"), "doc_id").alias("name"), F.array(F.lit("x"), F.concat(F.lit("src:"), "source")).alias("tags"))
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("note-"), "doc_id").alias("name"), F.array(F.lit("x"), F.concat(F.lit("src:"), "source")).alias("tags"))
     live = table(spark, sf_dir, "documents").select("source").where("source not in ('src3', 'src4')").distinct()
     return G.stale(d, live)

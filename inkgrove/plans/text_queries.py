@@ -35,16 +35,16 @@ def citations(spark, sf_dir):
     return blocks(spark, sf_dir).select("id", "idx", "citation", S.citation_ring(F.col("citation")).alias("ring"))
 
 
-@query(f"{with_sql('notes', 'blocks')} SELECT id, count(*) AS mentioned FROM (SELECT DISTINCT id, citation FROM blocks WHERE idx < 3) GROUP BY id")
+@query(f"{with_sql('notes', 'blocks')} SELECT id, count(*) AS mentioned FROM (SELECT DISTINCT id, citation FROM blocks) GROUP BY id")
 def citation_mentions(spark, sf_dir):
-    text = blocks(spark, sf_dir).where("idx < 3").groupBy("id").agg(F.concat_ws(" and ", F.collect_list("citation"), F.collect_list("citation"), F.lit("xr1-0123456789abf, r9-0123456789ab")).alias("t"))
+    text = blocks(spark, sf_dir).groupBy("id").agg(F.concat_ws(" and ", F.collect_list("citation"), F.collect_list("citation"), F.lit("xr1-0123456789abf, r9-0123456789ab")).alias("t"))
     return text.select("id", F.size(S.mentions(F.col("t"))).cast("bigint").alias("mentioned"))
 
 
 _SLUG = r"regexp_replace(regexp_replace(lower(strip_accents(replace(replace(replace(replace(replace(replace(replace(%s, 'ä', 'ae'), 'Ä', 'ae'), 'ö', 'oe'), 'Ö', 'oe'), 'ü', 'ue'), 'Ü', 'ue'), 'ß', 'ss'))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
 
 
-@query(f"SELECT doc_id, CASE WHEN length(s) <= 120 THEN s ELSE regexp_replace(substr(s, 1, 120), '-[^-]*$', '') END AS slug FROM (SELECT doc_id, {_SLUG % 'substr(text, 1, 200)'} AS s FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN length(s) <= 120 THEN s ELSE regexp_replace(substr(s, 1, 120), '-[^-]*$', '') END AS slug FROM (SELECT doc_id, {_SLUG % 'text'} AS s FROM documents)")
 def slugify(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", S.slugify(F.col("text")).alias("slug"))
 
@@ -75,10 +75,12 @@ def subject_occurrences(spark, sf_dir):
     return _docs(spark, sf_dir).where(F.contains(F.lower(t), F.lit("license"))).select("doc_id", S.occurrences(t, "license").cast("bigint").alias("n"), S.whole_word(t, "license").alias("whole"))
 
 
-@query("SELECT s_suppkey AS id, s_suppkey % 4 = 1 AS older FROM supplier")
+_V = "CASE WHEN p_partkey % 11 = 0 THEN p_brand ELSE p_size || '.' || p_partkey % 17 || '.' || CAST(p_retailprice AS BIGINT) % 9 || CASE WHEN p_partkey % 5 = 0 THEN '-rc1' ELSE '' END END"
+
+
+@query("SELECT p_partkey AS id, p_partkey % 11 <> 0 AND [p_size, p_partkey % 17, CAST(p_retailprice AS BIGINT) % 9] < [20, 5, 4] AS older FROM part")
 def version_compare(spark, sf_dir):
-    v = F.element_at(F.array(*map(F.lit, ("1.10.0", "1.9.9", "dev", "2.0.0-rc1"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), S.older_version(v, F.lit("1.10.0")).alias("older"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.older_version(F.expr(_V), F.lit("20.5.4")).alias("older"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'unspecified' WHEN doc_id % 4 = 1 THEN source END AS origin FROM documents")
@@ -88,18 +90,22 @@ def untrusted_sources(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", S.untrusted_source(tags).alias("origin"))
 
 
-@query("SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'edge-hyphen' WHEN 2 THEN 'double-hyphen' WHEN 3 THEN 'characters' WHEN 4 THEN 'long' WHEN 5 THEN 'empty' END AS problem FROM documents")
+_NAME = "CASE doc_id % 4 WHEN 0 THEN substr(text, 1, 14) WHEN 1 THEN lower(replace(substr(text, 1, 60), ' ', '-')) WHEN 2 THEN source || '-' || lang ELSE lower(replace(text, ' ', '-')) END"
+
+
+@query(f"""SELECT doc_id, CASE WHEN n = '' THEN 'empty' WHEN length(n) > 120 THEN 'long' WHEN strlen(n) > 240 THEN 'bytes' WHEN starts_with(n, '-') OR ends_with(n, '-') THEN 'edge-hyphen' WHEN contains(n, '--') THEN 'double-hyphen'
+    WHEN NOT regexp_full_match(n, '[a-z0-9\\-\\x{{DF}}-\\x{{F6}}\\x{{F8}}-\\x{{FF}}\\x{{100}}-\\x{{24F}}\\x{{1E00}}-\\x{{1EFF}}]*') OR lower(n) <> n THEN 'characters' END AS problem FROM (SELECT doc_id, {_NAME} AS n FROM documents)""")
 def name_problems(spark, sf_dir):
-    i = F.col("doc_id") % 6
-    name = F.when(i == 0, "für-alle-2").when(i == 1, "-x").when(i == 2, "a--b").when(i == 3, "Große Datei").when(i == 4, F.repeat(F.lit("ab-c"), 40)).otherwise("")
-    return _docs(spark, sf_dir).select("doc_id", S.name_problem(name).alias("problem"))
+    return _docs(spark, sf_dir).select("doc_id", S.name_problem(F.expr(_NAME)).alias("problem"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'space' WHEN 2 THEN 'separator' WHEN 3 THEN 'long' END AS problem FROM documents")
+_SCOPE = "CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN substr(text, 1, 20) WHEN 2 THEN source || '/' || lang ELSE replace(substr(text, 1, 90), ' ', '_') END"
+
+
+@query(rf"""SELECT doc_id, CASE WHEN s = '' THEN 'empty' WHEN length(s) > 64 THEN 'long' WHEN regexp_matches(s, '\s') THEN 'space' WHEN contains(s, '/') OR contains(s, chr(92)) THEN 'separator' WHEN regexp_matches(s, '[[:cntrl:]]') THEN 'control' END AS problem
+    FROM (SELECT doc_id, {_SCOPE} AS s FROM documents)""")
 def scope_problems(spark, sf_dir):
-    i = F.col("doc_id") % 4
-    scope = F.when(i == 0, "30-Assets").when(i == 1, "a b").when(i == 2, "a/b").otherwise(F.repeat(F.lit("x"), 65))
-    return _docs(spark, sf_dir).select("doc_id", S.scope_problem(scope).alias("problem"))
+    return _docs(spark, sf_dir).select("doc_id", S.scope_problem(F.expr(_SCOPE)).alias("problem"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings")
@@ -121,16 +127,16 @@ def days_of(spark, sf_dir):
     return table(spark, sf_dir, "events").select(day_of(raw).alias("day")).where("day is not null").groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS turns, CAST(sum(length(trim(text)) + 1 + length(trim(text))) AS BIGINT) AS chars FROM conversations WHERE role <> 'system' GROUP BY conv_id")
 def transcripts(spark, sf_dir):
-    marked = F.concat(F.lit("<system-reminder>a\nb</system-reminder>"), "text")
+    marked = F.concat(F.lit("<system-reminder>"), "text", F.lit("</system-reminder>"), F.trim("text"), F.lit("|"), F.trim("text"), F.lit("<system-reminder>a\nb</system-reminder> "))
     t = table(spark, sf_dir, "conversations").where("role <> 'system'").withColumn("clean", S.clean_turn(marked))
     return t.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("clean")).alias("chars"))
 
 
-@query("SELECT conv_id, CAST(2 * count(*) AS BIGINT) AS points FROM conversations GROUP BY conv_id")
+@query(r"""SELECT conv_id, CAST(sum(len(list_filter(string_split(replace(replace(text, '. ', chr(10) || '- [ ] '), ', ', chr(10) || ' * todo '), chr(10)), lambda x: regexp_matches(x, '(?i)^\s*(?:[-*]\s*)?(?:\[ \]|(?:todo|pending|open|next)\b)')))) AS BIGINT) AS points FROM conversations GROUP BY conv_id""")
 def open_points(spark, sf_dir):
-    text = F.concat(F.lit("- [ ] first\nTODO: second\n- [x] done\nnot pending\n "), F.lit("end"))
+    text = F.replace(F.replace("text", F.lit(". "), F.lit("\n- [ ] ")), F.lit(", "), F.lit("\n * todo "))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.size(S.open_points(text))).alias("points"))
 
 
@@ -139,15 +145,18 @@ def query_hashes(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", S.query_hash(F.concat(F.lit("  "), F.upper("source"), F.lit("   Q ")), "k").alias("hashed"))
 
 
-@query("SELECT s_suppkey AS id, s_suppkey % 2 = 0 AS ok FROM supplier")
+@query("SELECT c_custkey AS id, CAST(lpad(CAST(c_custkey * 7919 AS VARCHAR), 18, '0') || '1314' || lpad(CAST(c_custkey % 98 AS VARCHAR), 2, '0') AS HUGEINT) % 97 = 1 AS ok FROM customer")
 def iban_checks(spark, sf_dir):
-    good, bad = "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33"
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), S.iban_ok(F.when(F.col("s_suppkey") % 2 == 0, good).otherwise(bad)).alias("ok"))
+    k = F.col("c_custkey")
+    account = F.concat(F.lit("DE"), F.lpad((k % 98).cast("string"), 2, "0"), F.lpad((k * 7919).cast("string"), 18, "0"))
+    spaced = F.regexp_replace(account, "(.{4})", "$1 ")
+    return table(spark, sf_dir, "customer").select(k.alias("id"), S.iban_ok(F.when(k % 2 == 0, account).otherwise(spaced)).alias("ok"))
 
 
-@query("SELECT doc_id, round(CASE WHEN doc_id % 2 = 0 THEN 2.0 ELSE 0.0 END, 6) AS bits FROM documents")
+@query("""SELECT doc_id, round(list_sum(list_transform(list_distinct(string_split(text, '')), lambda c: -(length(text) - length(replace(text, c, ''))) / length(text) * log2((length(text) - length(replace(text, c, ''))) / length(text)))), 6) AS bits
+    FROM documents""")
 def entropy(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.round(S.shannon_bits(F.when(F.col("doc_id") % 2 == 0, "abcdabcd").otherwise("aaaa")), 6).alias("bits"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(S.shannon_bits(F.col("text")), 6).alias("bits"))
 
 
 @query()
@@ -156,8 +165,11 @@ def split_blocks(spark, sf_dir):
     return found.select("id", "b.idx", "b.token_count", "b.oversized", F.sha2("b.text", 256).alias("sha256"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line, x FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+    d AS (SELECT 'src/' || doc_id || '.py' AS path, regexp_extract(x[line], '^[A-Za-z]+') AS name, line FROM l),
+    t AS (SELECT *, CASE WHEN name = 'Then' THEN 0 WHEN lower(name) = 'then' THEN 1 ELSE 2 END AS tier FROM d WHERE contains(lower(name), 'then'))
+    SELECT path, 'function' AS kind, name, line, (SELECT count(*) FROM t) AS matched, (SELECT count(*) FROM t) > 50 AS truncated FROM t ORDER BY tier, path, line LIMIT 50""")
 def find_symbols(spark, sf_dir):
-    code = "class Box:\n    def open(self):\n        return 1\n\nLIMIT = 3\n"
-    files = table(spark, sf_dir, "nation").select(F.concat(F.lit("src/"), F.lower("n_name"), F.lit(".py")).alias("path"), F.lit(code).alias("content"))
-    return Y.find(Y.extract(files), "Box.open", 10).select("path", "kind", "name", "scope", "line", "end_line", "matched")
+    code = F.regexp_replace("text", "(?m)^([A-Za-z]+).*$", "def $1(): return 1")
+    files = _docs(spark, sf_dir).select(F.concat(F.lit("src/"), "doc_id", F.lit(".py")).alias("path"), code.alias("content"))
+    return Y.find(Y.extract(files), "Then", 50).select("path", "kind", "name", F.col("line").cast("bigint").alias("line"), "matched", "truncated")

@@ -62,15 +62,16 @@ BLOCKS_SQL = """blocks AS (
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(from_id, pos, to_name): two links from every third note, some to notes that do not exist."""
-    to = lambda a, b: F.concat(F.lit("note-"), (F.col("doc_id") * a + b) % 1300)
-    docs = table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
-    return docs.select(F.col("doc_id").alias("from_id"), F.posexplode(F.array(to(7, 3), to(13, 5))).alias("pos", "to_name"))
+    """(from_id, pos, to_name): two links from every note to names over the whole table and a little beyond, where no note is."""
+    d = table(spark, sf_dir, "documents")
+    n = d.count() * 13 // 10 + 1
+    to = lambda a, b: F.concat(F.lit("note-"), (F.col("doc_id") * a + b) % n)
+    return d.select(F.col("doc_id").alias("from_id"), F.posexplode(F.array(to(7, 3), to(13, 5))).alias("pos", "to_name"))
 
 
 LINKS_SQL = """links AS (
-    SELECT doc_id AS from_id, p.pos, 'note-' || CASE p.pos WHEN 0 THEN (doc_id * 7 + 3) % 1300 ELSE (doc_id * 13 + 5) % 1300 END AS to_name
-    FROM documents, (VALUES (0), (1)) p(pos) WHERE doc_id % 3 = 0)"""
+    SELECT doc_id AS from_id, p.pos, 'note-' || (CASE p.pos WHEN 0 THEN doc_id * 7 + 3 ELSE doc_id * 13 + 5 END % n) AS to_name
+    FROM documents, (VALUES (0), (1)) p(pos), (SELECT count(*) * 13 // 10 + 1 AS n FROM documents))"""
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,14 +131,18 @@ def test_redaction(spark):
 def test_symbols(spark):
     rust = "pub struct Store {\n    x: u8,\n}\nimpl Store {\n    pub fn open(&self) {\n        if x {}\n    }\n}\n"
     found = list(Y.definitions("a.rs", rust))
-    assert [(f[2], f[3], f[4], f[5], f[6]) for f in found] == [("struct", "Store", "", 1, 3), ("method", "open", "Store", 5, 7)]
+    assert [(f[2], f[3], f[4], f[5], f[6]) for f in found] == [("struct", "Store", "", 1, 3), ("impl", "Store", "", 4, 8), ("method", "open", "Store", 5, 7)]
+    documented = list(Y.definitions("a.rs", "/// Doc\n#[inline]\nfn f() {}\n\nunion U { a: u8 }"))
+    assert [(f[2], f[3], f[5], f[8]) for f in documented] == [("function", "f", 3, 1), ("union", "U", 5, 5)]
     assert [d[3] for d in Y.definitions("a.sql", "CREATE TABLE IF NOT EXISTS notes (\n id int);")] == ["notes"]
     assert [d[3] for d in Y.definitions("a.md", "# One\n```\n# no\n```\n## Two")] == ["One", "Two"]
     assert [d[3] for d in Y.definitions("a.json", '{"k": 1}')] == ["k"] and list(Y.definitions("a.bin", "x")) == []
     files = spark.createDataFrame([("a.rs", rust), ("b.py", "def open():\n    pass\n")], "path string, content string")
     hits = Y.find(Y.extract(files), "Store::open").collect()
     assert [(h.path, h.matched) for h in hits] == [("a.rs", 1)]
-    assert Y.find(Y.extract(files), "ope").count() == 2 and Y.find(Y.extract(files), "op").count() == 0
+    both = Y.find(Y.extract(files), "nowhere.open", 1).collect()
+    assert [(h.scope_ignored, h.truncated, h.matched) for h in both] == [(True, True, 2)] and Y.find(Y.extract(files), "STORE.open").first().scope_ignored is False
+    assert Y.find(Y.extract(files), "::").count() == 0 and Y.find(Y.extract(files), "ope").count() == 2 and Y.find(Y.extract(files), "op").count() == 0
 
 
 def test_notes_round_trip(spark, tmp_path):
