@@ -381,18 +381,20 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFram
     whose = join_sized(rows, needed, rows["id"].eqNullSafe(needed["id2"]) & (rows["row"] == needed["row2"]), "inner").select("sig", "body")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # rows alike in id and text give one set a task
         for batch in batches:
-            found = [x.tobytes() for x in shingle_sets([x or b"" for x in batch.column("body").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(found, pa.binary())], ["sig", "elements"])
+            new = [i for i, sig in enumerate(batch.column("sig").to_pylist()) if not (sig in seen or seen.add(sig))]
+            found = [x.tobytes() for x in shingle_sets([x or b"" for x in batch.column("body").take(pa.array(new, pa.int64())).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([batch.column("sig").take(pa.array(new, pa.int64())), pa.array(found, pa.binary())], ["sig", "elements"])
 
-    whole = cut(whose.mapInArrow(sets, "sig binary, elements binary").dropDuplicates(["sig"]), "sets")
+    whole = cut(whose.mapInArrow(sets, "sig binary, elements binary"), "sets")
     side = lambda c: degrees.select(F.col("sig").alias(c), F.col("degree").alias(f"degree_{c}"))
     sided = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v")
     first = F.col("degree_u") >= F.col("degree_v")
     dealt = sided.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("hub"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("leaf"), F.ceil(F.greatest("degree_u", "degree_v") / AROUND_HUB).alias("deals"))
     dealt = cut(dealt.select("hub", "leaf", F.pmod(F.xxhash64("leaf"), F.col("deals")).alias("deal")), "dealt")
-    leaves = dealt.join(whole.select(F.col("sig").alias("leaf"), "elements"), "leaf").select("hub", "deal", "leaf", "elements")
-    hubs = dealt.select("hub", "deal").distinct().join(whole.select(F.col("sig").alias("hub"), "elements"), "hub").select("hub", "deal", F.lit(None).cast("binary").alias("leaf"), "elements")
+    hubs = dealt.groupBy("hub", "deal").agg(F.lit(None).cast("binary").alias("leaf"))
+    asked = dealt.select("hub", "deal", "leaf", F.col("leaf").alias("sig")).unionByName(hubs.select("hub", "deal", "leaf", F.col("hub").alias("sig")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = np.zeros(0, np.uint64)
@@ -408,7 +410,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFram
                 keep.append(100 * both >= PERCENT * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("leaf")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    groups = leaves.unionByName(hubs).repartition("hub", "deal").sortWithinPartitions("hub", "deal", F.col("leaf").asc_nulls_first())
+    groups = asked.join(whole, "sig").repartition("hub", "deal").sortWithinPartitions("hub", "deal", F.col("leaf").asc_nulls_first())
     return cut(groups.select("hub", "leaf", "elements").mapInArrow(compare, "u binary, v binary"), "links")
 
 
@@ -449,7 +451,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     mixed = mixed.select(F.xxhash64("a", "b").alias("posting"), F.explode(F.array("a", "b")).alias("grp")).unionByName(several.select(F.col("grp").alias("posting"), "grp"))
     posted = met.where("posting is not null").select("posting", F.col("a").alias("grp"), F.col("b").alias("place")).unionByName(mixed.withColumn("place", F.lit(0).cast("bigint")))
     held = posted.join(classes.select("grp", "sig", "n"), "grp").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select("posting", "sig", "n", "place", F.coalesce("label", "sig").alias("label"))
-    held = cut(held.distinct(), "held")
+    held = cut(held, "held")
     again = _between_components(held)
     if again is not None:
         tried = across.unionByName(inside).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
