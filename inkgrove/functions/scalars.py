@@ -104,6 +104,33 @@ def untrusted_source(tags: Column) -> Column:
     return F.when(F.array_contains(tags, "trust:untrusted"), F.coalesce(F.substring(first, 5, 1 << 30), F.lit("unspecified")))
 
 
+def tag_problem(tags: Column) -> Column:
+    """Why tags on trust and source contradict themselves or are empty (null if they do not)."""
+    trust = F.filter(tags, lambda t: t.startswith("trust:"))
+    empty = F.exists(tags, lambda t: t.startswith("src:") & (F.btrim(F.substring(t, 5, 1 << 30), F.lit(":")) == ""))
+    return F.when(F.exists(trust, lambda t: ~t.isin("trust:trusted", "trust:untrusted")), "unknown-trust").when(F.size(F.array_distinct(trust)) > 1, "both-trusts").when(empty, "no-source")
+
+
+def stamp_untrusted(tags: Column, client: Column) -> Column:
+    """tags marked as from outside: trust:untrusted in place of any other trust, and a source, the client, where none is named."""
+    kept = F.filter(tags, lambda t: ~t.startswith("trust:"))
+    named = F.exists(kept, lambda t: t.startswith("src:"))
+    source = F.when(named, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("src:"), client)))
+    return F.concat(kept, F.array(F.lit("trust:untrusted")), source)
+
+
+def short_hash(text: Column) -> Column:
+    """Eight hex digits of a hash of the text, to tell names apart; equal texts have the same."""
+    return F.substring(F.lower(F.lpad(F.hex(F.xxhash64(text)), 16, "0")), 1, 8)
+
+
+def located_part(locator: Column, text: Column) -> Column:
+    """A part of a body under a line that names its place; without a line where the place is empty, over lines, or would end the comment."""
+    place = F.btrim(locator)
+    usable = place.isNotNull() & (place != "") & ~place.rlike("[\\r\\n]") & ~F.contains(place, F.lit("-->"))
+    return F.when(usable, F.concat(F.lit("<!-- at: "), place, F.lit(" -->\n"), text)).otherwise(text)
+
+
 def moment(text: Column) -> Column:
     """RFC 3339 or a bare date (midnight UTC); null if neither."""
     return F.when(text.rlike(r"^\d{4}-\d\d-\d\d(T\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d))?$"), F.try_to_timestamp(text))
@@ -112,19 +139,19 @@ def moment(text: Column) -> Column:
 _DURATION = r"^P(?=.)(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)W)?(?:(\d+)D)?(?:T(?=.)(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?$"
 
 
-def _duration_parts(text: Column) -> list[Column]:
+def duration_parts(text: Column) -> list[Column]:
     return [F.coalesce(F.regexp_extract(text, _DURATION, k).try_cast("int"), F.lit(0)) for k in range(1, 8)]
 
 
 def duration_ok(text: Column) -> Column:
     """A positive ISO 8601 duration in calendar and clock units."""
-    total = _duration_parts(text)
+    total = duration_parts(text)
     return text.rlike(_DURATION) & (F.greatest(*total) > 0)
 
 
 def expires_at(created: Column, duration: Column) -> Column:
     """created plus a duration, by the UTC calendar; null for an invalid duration."""
-    years, months, weeks, days, hours, minutes, seconds = _duration_parts(duration)
+    years, months, weeks, days, hours, minutes, seconds = duration_parts(duration)
     span = F.make_interval(years, months, weeks, days, hours, minutes, seconds)
     return F.when(duration_ok(duration), created + span)
 

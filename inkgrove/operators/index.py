@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrove.functions.scalars import dedup_key
-from inkgrove.plans.shared import cut
+from inkgrove.plans.shared import cut, join_back
 
 SHARED_PERCENT = 50
 
@@ -65,17 +65,27 @@ def shared_blocks(blocks: DataFrame, min_percent: int = SHARED_PERCENT) -> DataF
     """(a, b, shared, smaller): notes of which at least min_percent of the smaller one's different long blocks are the other's too.
 
     Notes with the same keys are one class: pairs are found between the classes' least notes, and each other note
-    of a class is paired with that one, so a block in very many copies is not squared."""
+    of a class is paired with that one, so a block in very many copies is not squared. Of different notes, the smaller of a pair shares one of its
+    rarest blocks: only these look for partners, so a line of many different notes meets the notes that hold little else. The partners found are then counted whole."""
     keys = blocks.select("name", dedup_key(F.col("text")).alias("key")).where("key is not null").distinct()
-    bags = keys.groupBy("name").agg(F.xxhash64(F.array_sort(F.collect_list("key"))).alias("bag"), F.count("*").alias("n"))
-    least = bags.groupBy("bag").agg(F.min("name").alias("least"), F.first("n").alias("n"))
+    bags = cut(keys.groupBy("name").agg(F.array_sort(F.collect_list("key")).alias("keys")).withColumn("bag", F.sha2(F.concat_ws(",", "keys"), 256)).withColumn("n", F.size("keys").cast("bigint")), "bags")
+    least = cut(bags.groupBy("bag").agg(F.min("name").alias("least"), F.first("n").alias("n")), "least")
     twins = bags.join(least.select("bag", "least"), "bag").where("name <> least").select(F.col("least").alias("a"), F.col("name").alias("b"), F.col("n").alias("shared"), F.col("n").alias("smaller"))
-    keys = keys.join(least.select(F.col("least").alias("name")), "name", "left_semi")
-    size = least.select(F.col("least").alias("name"), "n")
-    pairs = keys.withColumnRenamed("name", "a").join(keys.withColumnRenamed("name", "b"), "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    sized = pairs.join(size.select(F.col("name").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("name").alias("b"), F.col("n").alias("nb")), "b")
-    found = sized.withColumn("smaller", F.least("na", "nb")).where(F.col("shared") * 100 >= F.col("smaller") * min_percent).select("a", "b", "shared", "smaller")
-    return found.unionByName(twins)
+    held = bags.join(least.select(F.col("least").alias("name")), "name", "left_semi")
+    each = cut(held.select("name", "n", F.explode("keys").alias("key")), "keys")
+    often = cut(each.groupBy("key").agg(F.count("*").alias("often")), "often")
+    ranked = join_back(each, often, ["key"], "often", each.count()).where("often > 1")
+    # An own block that no other note holds takes a place among the rarest all the same.
+    rarest = Window.partitionBy("name").orderBy("often", "key")
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("name"))
+    need = F.ceil(F.col("n") * min_percent / 100)
+    asking = ranked.withColumn("_place", F.row_number().over(rarest) + alone).where(F.col("_place") <= F.col("n") - need + 1)
+    one = asking.select("key", F.col("name").alias("x"), F.col("n").alias("nx"))
+    met = one.join(each.select("key", F.col("name").alias("y"), F.col("n").alias("ny")), "key").where("x <> y and nx <= ny")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    of = lambda side: held.select(F.col("name").alias(side), F.col("keys").alias(f"k{side}"))
+    counted = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.size(F.array_intersect("ka", "kb")).cast("bigint").alias("shared"), F.least(F.size("ka"), F.size("kb")).cast("bigint").alias("smaller"))
+    return counted.where(F.col("shared") * 100 >= F.col("smaller") * min_percent).unionByName(twins)
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,16 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgrove.functions.scalars import duration_ok, excerpt, expires_at, older_version, token_state, whole_word
+from inkgrove.functions.scalars import duration_ok, duration_parts, excerpt, older_version, token_state, whole_word
+from inkgrove.plans.shared import cut, join_sized
 
 QUIET_HOURS = 48
 
 
 def retention(notes: DataFrame, now: Column) -> DataFrame:
-    """notes with status (due, pending, invalid, indefinite) and expires; the clock starts at created."""
-    expires = expires_at(F.col("created"), F.col("retention"))
-    status = F.when(F.col("retention").isNull(), "indefinite").when(~duration_ok(F.col("retention")), "invalid").when(expires <= now, "due").otherwise("pending")
-    return notes.withColumn("status", status).withColumn("expires", F.when(status.isin("due", "pending"), expires))
+    """notes with status (due, pending, invalid, indefinite) and expires; the clock starts at created.
+
+    Each different duration is parsed once."""
+    kinds = cut(notes.select("retention").where("retention is not null").distinct().select("retention", duration_ok(F.col("retention")).alias("_ok"), *[p.alias(f"_{k}") for k, p in enumerate(duration_parts(F.col("retention")))]), "durations")
+    rows = join_sized(notes, kinds, ["retention"])
+    span = F.make_interval(*[F.col(f"_{k}") for k in range(7)])
+    expires = F.when(F.col("_ok"), F.col("created") + span)
+    status = F.when(F.col("retention").isNull(), "indefinite").when(~F.col("_ok"), "invalid").when(expires <= now, "due").otherwise("pending")
+    return rows.withColumns({"status": status, "expires": expires}).select(*notes.columns, "status", "expires")
+
+
+def retention_apply(queue: DataFrame, actor: str, dry_run: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(audit rows, ids to erase) for the due notes of a queue made by retention().
+
+    Each due note has a row (actor, action, subject, detail) that stands whether or not it is erased; with dry_run nothing is to be erased."""
+    due = queue.where("status = 'due'")
+    detail = F.to_json(F.struct("name", "ring", "retention", "created", F.col("expires").alias("expired_at"), F.lit(dry_run).alias("dry_run")))
+    rows = due.select(F.lit(actor).alias("actor"), F.lit("retention.expired").alias("action"), F.concat(F.lit("note:"), "id").alias("subject"), detail.alias("detail"))
+    return rows, due.select("id").limit(0) if dry_run else due.select("id")
+
+
+def erasure_rows(targets: DataFrame, found: DataFrame, removed: DataFrame, actor: str, note: str | None = None) -> DataFrame:
+    """(id, step, actor, action, subject, detail): for each target (id) what an erasure writes: a request first, then completed with the counts of
+    removed (id, kind, n), or failed where no note is found (id). note says what may be left elsewhere."""
+    counts = removed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("removed"))  # a few kinds a note
+    known = found.select("id").distinct().withColumn("_known", F.lit(True))
+    rows = targets.select("id").distinct().join(known, "id", "left").join(counts, "id", "left")
+    asked = rows.select("id", F.lit(0).alias("step"), F.lit("erasure.requested").alias("action"), F.lit("{}").alias("detail"))
+    done = rows.select("id", F.lit(1).alias("step"), F.when(F.col("_known"), "erasure.completed").otherwise("erasure.failed").alias("action"), F.to_json(F.struct("removed", F.when(F.col("_known"), F.lit(note)).alias("residue"))).alias("detail"))
+    return asked.unionByName(done).select("id", "step", F.lit(actor).alias("actor"), "action", F.concat(F.lit("note:"), "id").alias("subject"), "detail")
 
 
 def retention_order(queue: DataFrame) -> list[Column]:

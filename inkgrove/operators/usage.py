@@ -51,10 +51,18 @@ def percentiles(rows: DataFrame, value: str, *points: float, by: str | None = No
 
 
 def rounded_percentile(rows: DataFrame, value: str, p: float, by: str) -> DataFrame:
-    """The other rule: the value at index round((n - 1) * p), per group; groups must fit a sort."""
-    group = Window.partitionBy(by)
-    placed = rows.withColumn("_n", F.count("*").over(group)).withColumn("_i", F.row_number().over(group.orderBy(value)) - 1)
-    return placed.where(F.col("_i") == F.round((F.col("_n") - 1) * p).cast("bigint")).select(by, F.col(value).alias(f"p{round(p * 100)}"))
+    """The other rule: the value at index round((n - 1) * p), per group. Values are counted first, map-side, so a group's different values must fit a sort, not its rows."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(by).orderBy(value)
+    placed = counted.withColumn("_end", F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(by)))
+    index = F.round((F.col("_n") - 1) * p).cast("bigint")
+    return placed.where((index < F.col("_end")) & (index >= F.col("_end") - F.col("_c"))).select(by, F.col(value).alias(f"p{round(p * 100)}"))
+
+
+def last_sample(rows: DataFrame, by: str, at: str = "at") -> DataFrame:
+    """The newest row of each group, by at; an aggregation."""
+    whole = F.struct(at, *[c for c in rows.columns if c != at])
+    return rows.groupBy(F.col(by).alias("_k")).agg(F.max(whole).alias("_row")).select("_row.*")
 
 
 def transcript_tail(turns: DataFrame, budget: int) -> DataFrame:

@@ -92,16 +92,16 @@ def import_sections(spark, sf_dir):
     return G.cut_sections(files).groupBy("doc_id").agg(F.count("*").cast("int").alias("parts"), F.sum(F.length("part")).alias("chars"))
 
 
-_LONG_WORD = r"(?<!\p{L})([a-z]{9,})(?!\p{L})"
+_LONG_WORD = r"(?<![\p{L}\p{N}])([a-z]{9,})(?![\p{L}\p{N}])"
 
 
-@query(r"SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[^\pL]+'), lambda x: regexp_full_match(x, '[a-z]{9,}')))), ','), '') AS targets FROM documents")
+@query(r"SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[^\pL\pN]+'), lambda x: regexp_full_match(x, '[a-z]{9,}')))), ','), '') AS targets FROM documents")
 def wiki_links(spark, sf_dir):
     body = F.concat(F.regexp_replace("text", _LONG_WORD, "[[$1|shown]]"), F.lit("\n`[[code]]`\n```\n[[fenced]]\n```\n"))
     return _docs(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(B.links_of(body)), ",").alias("targets"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(l) AS word, unnest(range(len(l))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\pL]+'), lambda x: regexp_full_match(x, '[a-z]{9,}')) AS l FROM documents)),
+@query(r"""WITH w AS (SELECT doc_id, unnest(l) AS word, unnest(range(len(l))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\pL\pN]+'), lambda x: regexp_full_match(x, '[a-z]{9,}')) AS l FROM documents)),
     f AS (SELECT doc_id, word, min(i) AS i FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f)
     SELECT doc_id, 'src/' || word || '.rs' AS path, doc_id + 1 AS first, doc_id + 3 AS last FROM r WHERE r <= 16""")
 def code_anchors(spark, sf_dir):
@@ -120,9 +120,9 @@ def page_cleaning(spark, sf_dir):
 _ADDRESS = r"[A-Za-z0-9][A-Za-z0-9._%+''-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}"
 
 
-@query(rf"""WITH e AS (SELECT DISTINCT doc_id, text, unnest(regexp_extract_all(text, '{_ADDRESS}')) AS found FROM documents)
+@query(rf"""WITH e AS (SELECT DISTINCT doc_id, text, unnest(regexp_extract_all(text, '{_ADDRESS}')) AS found FROM documents), p AS (SELECT *, string_split(text, found) AS parts, unnest(range(1, len(string_split(text, found)))) AS k FROM e)
     SELECT doc_id, 'email' AS kind, length(head) - length(replace(head, chr(10), '')) + 1 AS line, length(string_split(head, chr(10))[-1]) + 1 AS "column", substr(found, 1, 2) || repeat('*', greatest(length(found) - 4, 0)) || right(found, 2) AS shown
-    FROM (SELECT *, substr(text, 1, strpos(text, found) - 1) AS head FROM e)""")
+    FROM (SELECT *, substr(text, 1, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) AS BIGINT) + (k - 1) * length(found)) AS head FROM p)""")
 def masked_findings(spark, sf_dir):
     found = _docs(spark, sf_dir).select("doc_id", F.explode(P.masked(P.findings(F.col("text")), F.col("text"))).alias("m")).where("m.kind = 'email'")
     return found.select("doc_id", "m.kind", F.col("m.line").cast("bigint").alias("line"), F.col("m.column").cast("bigint").alias("column"), "m.shown")
