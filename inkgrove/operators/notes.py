@@ -9,6 +9,10 @@ from inkgrove.functions.scalars import name_problem
 from inkgrove.plans.shared import cut, join_sized
 
 
+#: Hits that a reading list is made from at most.
+MOST_READ = 1000
+
+
 def lookup(notes: DataFrame, ids: list | None = None, names: list[str] | None = None, prefix: str | None = None) -> DataFrame:
     """Notes by id, by name, or by the beginning of the name; a literal list, so that the scan is pruned."""
     fits: Column = F.lit(False)
@@ -74,8 +78,9 @@ def delete(tables: dict[str, DataFrame], ids: DataFrame) -> tuple[dict[str, Data
 
 
 def within_budget(hits: DataFrame, budget: int, tokens: str = "token_count", score: str = "score", key: str = "citation") -> DataFrame:
-    """hits, a short list, with shown: best first, each as long as the tokens of those before leave room for it; one that is too long is passed over
+    """The best hits, MOST_READ at most, with shown: each as long as the tokens of those before leave room for it; one that is too long is passed over
     only together with all after it."""
+    hits = hits.orderBy(F.desc(score), key).limit(MOST_READ)
     best = Window.orderBy(F.desc(score), key).rowsBetween(Window.unboundedPreceding, 0)
     return hits.withColumn("shown", F.sum(tokens).over(best) <= budget)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkgrove.operators import index as I
 from inkgrove.plans.registry import query
-from inkgrove.plans.retrieval_queries import canary_pairs
+from inkgrove.plans.retrieval_queries import CANARIES_SQL, canary_pairs
 from inkgrove.session import table
 from inkgrove.sources.corpus import blocks, links, notes, with_sql
 
@@ -129,10 +129,10 @@ def anchor_drift(spark, sf_dir):
     return I.anchor_drift(a, f)
 
 
-@query(f"""{with_sql('notes', 'links')} SELECT CASE WHEN n = 0 THEN 'ok' ELSE 'problem' END AS severity, "check", n || ' found' AS detail FROM (
+@query(f"""{with_sql('notes', 'links')}, {CANARIES_SQL} SELECT CASE WHEN n = 0 THEN 'ok' ELSE 'problem' END AS severity, "check", n || ' found' AS detail FROM (
     SELECT 'dangling-links' AS "check", (SELECT count(*) FROM links WHERE to_name NOT IN (SELECT name FROM notes)) AS n
     UNION ALL SELECT 'no-department', (SELECT count(*) FROM notes WHERE bereich IS NULL) UNION ALL SELECT 'bad-retention', (SELECT count(*) FROM notes WHERE retention = 'soon')
-    UNION ALL SELECT 'empty-text', (SELECT count(*) FROM notes WHERE coalesce(text, '') = '') UNION ALL SELECT 'contaminated', (SELECT count(DISTINCT doc_id) FROM documents d JOIN benchmark b ON contains(d.text, b.text)))""")
+    UNION ALL SELECT 'empty-text', (SELECT count(*) FROM notes WHERE coalesce(text, '') = '') UNION ALL SELECT 'contaminated', (SELECT count(DISTINCT doc_id) FROM canaries))""")
 def doctor(spark, sf_dir):
     n = notes(spark, sf_dir)
     return I.doctor(

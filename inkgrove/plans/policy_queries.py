@@ -66,6 +66,19 @@ def pii_counts(spark, sf_dir):
     return found.groupBy("f.kind", "f.confidence").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 
+_LOCAL = r"[A-Za-z0-9][A-Za-z0-9._%+''-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+
+@query(rf"""WITH e AS (SELECT 'email' AS kind, lower(unnest(regexp_extract_all(text, '{_LOCAL}'))) AS found FROM documents),
+    i AS (SELECT 'ipv4' AS kind, unnest(regexp_extract_all(text, '\b{_OCTET}(?:\.{_OCTET}){{3}}\b')) AS found FROM documents)
+    SELECT kind, CASE WHEN regexp_matches(found, '@example\.(com|org|net)$|\.(example|invalid|test)$|^git@|^noreply|^no-reply@') THEN 'low' ELSE 'high' END AS confidence, count(*) AS n FROM e GROUP BY 1, 2
+    UNION ALL SELECT kind, CASE WHEN regexp_matches(found, '^(10\.|127\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.0\.2\.|198\.51\.100\.|203\.0\.113\.|0\.0\.0\.0$|255\.255\.255\.255$)') THEN 'low' ELSE 'high' END, count(*) FROM i GROUP BY 1, 2""")
+def pii_addresses(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select(F.explode(P.findings(F.col("text"))).alias("f")).where(F.col("f.kind").isin("email", "ipv4"))
+    return found.groupBy("f.kind", "f.confidence").agg(F.count("*").alias("n"))
+
+
 @query()
 def redact(spark, sf_dir):
     clean = table(spark, sf_dir, "documents").select("doc_id", P.redact(F.col("text")).alias("clean"))

@@ -208,7 +208,11 @@ def handoff_latest(spark, sf_dir):
     return n.where(fits).orderBy(F.col("updated") > _now(), F.desc("updated"), "name").limit(1).select("id", "name", age.alias("age"))
 
 
-@query("""WITH r AS (SELECT item_id AS query, doc_id AS doc FROM benchmark JOIN documents d ON contains(d.text, benchmark.text)),
+CANARIES_SQL = """marks AS (SELECT item_id, regexp_replace(lower(text), '[^\\pL\\pN]+', '', 'g') AS passage FROM benchmark), forms AS (SELECT doc_id, regexp_replace(lower(text), '[^\\pL\\pN]+', '', 'g') AS form FROM documents),
+    canaries AS (SELECT item_id, doc_id FROM marks JOIN forms ON length(passage) >= 12 AND contains(form, passage))"""
+
+
+@query(f"""WITH {CANARIES_SQL}, r AS (SELECT item_id AS query, doc_id AS doc FROM canaries),
     k AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY (doc * 7919) % 1000, doc) AS rank FROM r),
     q AS (SELECT query, count(*) AS m, min(rank) AS first, count(*) FILTER (rank <= 10) AS in10, sum(1 / log2(rank + 1)) FILTER (rank <= 10) AS dcg FROM k GROUP BY query)
     SELECT count(*) AS n, avg(CAST(first <= 1 AS DOUBLE)) AS r_at_1, avg(CAST(first <= 3 AS DOUBLE)) AS r_at_3, avg(CAST(first <= 5 AS DOUBLE)) AS r_at_5, avg(CAST(first <= 10 AS DOUBLE)) AS r_at_10,

@@ -8,7 +8,7 @@ from inkgrove.functions import scalars as S
 from inkgrove.operators import blocks as B
 from inkgrove.operators import symbols as Y
 from inkgrove.plans.registry import query
-from inkgrove.plans.retrieval_queries import canary_pairs
+from inkgrove.plans.retrieval_queries import CANARIES_SQL, canary_pairs
 from inkgrove.session import table
 from inkgrove.sources.corpus import blocks, notes, with_sql
 
@@ -59,7 +59,7 @@ def previews(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", S.preview(F.col("text")).alias("preview"))
 
 
-@query(r"SELECT item_id AS query, doc_id AS doc FROM benchmark JOIN documents d ON contains(d.text, benchmark.text)")
+@query(f"WITH {CANARIES_SQL} SELECT item_id AS query, doc_id AS doc FROM canaries")
 def canary_match(spark, sf_dir):
     return canary_pairs(spark, sf_dir)
 
@@ -165,6 +165,16 @@ def split_blocks(spark, sf_dir):
     return found.select("id", "b.idx", "b.token_count", "b.oversized", F.sha2("b.text", 256).alias("sha256"))
 
 
+@query(r"""SELECT doc_id AS id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: ceil(length(x) / 4.0))), 0) + length(regexp_replace(text, '[A-Za-z0-9\s]', '', 'g')) AS BIGINT) AS tokens,
+    md5(regexp_replace(text, '\s+', '', 'g')) AS letters, 0 AS "over" FROM documents""")
+def split_conserves(spark, sf_dir):
+    """What the blocks of a note hold together: all its tokens and letters, in order, none of more than a block's tokens."""
+    found = notes(spark, sf_dir).select("id", F.explode(B.blocks_of(F.col("text"))).alias("b")).select("id", "b.*")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "")
+    letters = F.md5(F.regexp_replace(whole, r"\s+", ""))
+    return found.groupBy("id").agg(F.sum("token_count").alias("tokens"), letters.alias("letters"), F.count_if(F.col("token_count") > B.BLOCK_TOKENS).alias("over"))
+
+
 @query(r"""WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line, x FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
     d AS (SELECT 'src/' || doc_id || '.py' AS path, regexp_extract(x[line], '^[A-Za-z]+') AS name, line FROM l),
     t AS (SELECT *, CASE WHEN name = 'Then' THEN 0 WHEN lower(name) = 'then' THEN 1 ELSE 2 END AS tier FROM d WHERE contains(lower(name), 'then'))

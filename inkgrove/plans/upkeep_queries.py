@@ -15,7 +15,7 @@ from inkgrove.operators import policy as Y
 from inkgrove.operators import usage as U
 from inkgrove.plans.policy_queries import _RETENTION
 from inkgrove.plans.registry import query
-from inkgrove.plans.retrieval_queries import canary_pairs, index_of
+from inkgrove.plans.retrieval_queries import CANARIES_SQL, canary_pairs, index_of
 from inkgrove.plans.shared import cut
 from inkgrove.session import table
 from inkgrove.sources import readers as R
@@ -81,7 +81,7 @@ def replace_notes(spark, sf_dir):
     return counted("notes", F.col("text") == "new").unionByName(counted("blocks", F.col("text") == "new")).unionByName(counted("links", F.col("to_name").endswith("-new")))
 
 
-@query(f"{with_sql('notes', 'blocks')} SELECT id, sum(length(text)) OVER (PARTITION BY 1 ORDER BY length(text) DESC, citation ROWS UNBOUNDED PRECEDING) <= 20000 AS shown FROM blocks WHERE contains(lower(text), 'apache')")
+@query(f"{with_sql('notes', 'blocks')} SELECT id, sum(length(text)) OVER (ORDER BY length(text) DESC, citation ROWS UNBOUNDED PRECEDING) <= 20000 AS shown FROM blocks WHERE contains(lower(text), 'apache') ORDER BY length(text) DESC, citation LIMIT 1000")
 def reading_budget(spark, sf_dir):
     hits = I.blocks_containing(blocks(spark, sf_dir), "apache").withColumns({"score": F.length("text"), "token_count": F.length("text")})
     return N.within_budget(hits, 20000).select("id", "shown")
@@ -136,7 +136,7 @@ def fleet_order(spark, sf_dir):
     return spark.createDataFrame([(r["name"], k + 1) for k, r in enumerate(first)], "name string, place bigint")
 
 
-@query("SELECT 'dev-' || (doc_id % 4) AS device, source AS subject, count(DISTINCT item_id) AS canaries, count(*) AS hits, max(doc_id) AS last_hit FROM benchmark JOIN documents d ON contains(regexp_replace(lower(d.text), '[^\\pL\\pN]+', '', 'g'), regexp_replace(lower(benchmark.text), '[^\\pL\\pN]+', '', 'g')) GROUP BY 1, 2")
+@query(f"WITH {CANARIES_SQL} SELECT 'dev-' || (doc_id % 4) AS device, source AS subject, count(DISTINCT item_id) AS canaries, count(*) AS hits, max(doc_id) AS last_hit FROM canaries JOIN documents USING (doc_id) GROUP BY 1, 2")
 def canary_summary(spark, sf_dir):
     found = canary_pairs(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source"), "doc")
     return L.canary_summary(found.select(F.concat(F.lit("dev-"), F.col("doc") % 4).alias("device"), F.col("source").alias("subject"), F.col("query").alias("canary"), F.col("doc").alias("at")))
