@@ -60,6 +60,11 @@ def mentions(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\br[0-4]-[0-9a-f]{12}\b"), F.lit(0)))
 
 
+def mentions_newest(text: Column) -> Column:
+    """The same, the last named first."""
+    return F.array_distinct(F.reverse(F.regexp_extract_all(text, F.lit(r"\br[0-4]-[0-9a-f]{12}\b"), F.lit(0))))
+
+
 def preview(text: Column) -> Column:
     """First line without leading #, 80 characters."""
     return F.substring(F.trim(F.regexp_replace(F.substring_index(text, "\n", 1), "^#+", "")), 1, 80)
@@ -247,6 +252,20 @@ def occurrences(text: Column, needle: str) -> Column:
     return F.regexp_count(text, F.lit("(?iu)" + re.escape(needle)))
 
 
+def occurrence_spans(text: Column, needle: str) -> Column:
+    """array of (start, end, whole) of the occurrences, any case, without overlap; characters from 0, end exclusive; whole if no letter or digit stands beside it. A null text has none."""
+    import re
+
+    pattern = F.lit("(?iu)" + re.escape(needle))
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    upto = lambda parts, k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x))
+    start = lambda k: upto(gaps, k) + upto(found, k - 1)
+    beside = lambda at: F.substring(text, at, F.lit(1)).rlike(r"[\p{L}\p{N}]")
+    ends = F.transform(F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>")), lambda k: F.struct(start(k).alias("start"), (start(k) + F.length(F.element_at(found, k))).alias("end")))
+    return F.transform(ends, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (~((s["start"] > 0) & beside(s["start"])) & ~beside(s["end"] + 1)).alias("whole")))
+
+
 def whole_word(text: Column, needle: str) -> Column:
     import re
 

@@ -38,6 +38,13 @@ def latest_page(log: DataFrame, limit: int, before: int | None = None) -> DataFr
     return rows.orderBy(F.desc("seq")).limit(min(1000, max(1, limit)))
 
 
+def page(log: DataFrame, limit: int, before: int | None = None) -> DataFrame:
+    """latest_page() with total, the number of rows below before, and more, whether there are further ones."""
+    rows = log if before is None else log.where(F.col("seq") < before)
+    total = rows.agg(F.count("*").alias("total"))
+    return latest_page(rows, limit).crossJoin(F.broadcast(total)).withColumn("more", F.col("total") > min(1000, max(1, limit)))  # total is one row
+
+
 def latest_ascending(log: DataFrame, limit: int) -> DataFrame:
     return latest_page(log, limit).orderBy("seq")
 
@@ -131,6 +138,12 @@ def standing_signoffs(log: DataFrame, signed: str, withdrawn: str) -> DataFrame:
     return latest_per(log.where(F.col("action").isin(signed, withdrawn)), "subject").where(F.col("action") == signed)
 
 
+def signed(notes: DataFrame, signoffs: DataFrame) -> DataFrame:
+    """notes (name, body_hash) whose standing sign-off (subject, actor, body_hash) is of the text as it is now, with signed_by."""
+    of = signoffs.select(F.col("subject").alias("name"), F.col("actor").alias("signed_by"), F.col("body_hash").alias("_signed"))
+    return notes.join(of, "name").where(F.col("_signed") == F.col("body_hash")).drop("_signed")
+
+
 def config_changes(states: DataFrame, partition: str, items: str = "items") -> DataFrame:
     """(partition, seq, added, removed) against the state before, where anything changed."""
     order = Window.partitionBy(partition).orderBy("seq")

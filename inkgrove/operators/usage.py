@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """(op, ops, returned, full, hits) per operation of rows (op, returned, full, hits)."""
-    return rows.groupBy("op").agg(F.count("*").alias("ops"), F.sum("returned").alias("returned"), F.sum("full").alias("full"), F.sum("hits").alias("hits"))
+    """(op, ops, returned, full, hits, first, unreadable) per operation of rows (op, at, returned, full, hits); lines that could not be read (_corrupt, if there is
+    such a column) are counted apart, under an op of null."""
+    corrupt = F.col("_corrupt").isNotNull() if "_corrupt" in rows.columns else F.lit(False)
+    return rows.groupBy(F.when(~corrupt, F.col("op")).alias("op")).agg(
+        F.count_if(~corrupt).alias("ops"), F.sum("returned").alias("returned"), F.sum("full").alias("full"), F.sum("hits").alias("hits"), F.min("at").alias("first"), F.count_if(corrupt).alias("unreadable")
+    )
 
 
 def by_day(rows: DataFrame, days: int, until: Column, at: str = "at") -> DataFrame:
@@ -25,10 +29,12 @@ def day_of(text: Column) -> Column:
 
 
 def inference_by_task(rows: DataFrame) -> DataFrame:
-    """Per task: calls, failed, prompt and completion tokens, calls without counts, first and last. Unknown counts add nothing."""
+    """Per task: calls, failed, prompt, completion and cached tokens, calls without counts, calls that report no cache, first and last. Unknown counts add nothing."""
+    cached = F.col("cached") if "cached" in rows.columns else F.lit(None).cast("bigint")
     return rows.groupBy("task").agg(
         F.count("*").alias("calls"), F.count_if(F.col("outcome") != "ok").alias("failed"), F.coalesce(F.sum("prompt"), F.lit(0)).alias("prompt"), F.coalesce(F.sum("completion"), F.lit(0)).alias("completion"),
-        F.count_if(F.col("prompt").isNull()).alias("without_counts"), F.min("at").alias("first"), F.max("at").alias("last"),
+        F.coalesce(F.sum(cached), F.lit(0)).alias("cached"), F.count_if(F.col("prompt").isNull()).alias("without_counts"), F.count_if(F.col("prompt").isNotNull() & cached.isNull()).alias("without_cache_report"),
+        F.min("at").alias("first"), F.max("at").alias("last"),
     )
 
 

@@ -23,9 +23,9 @@ def audit_action_family(spark, sf_dir):
     return A.audit_filter(audit(spark, sf_dir), action="note", family=True).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query(f"{_LOG} SELECT seq, action FROM audit WHERE seq < 900 ORDER BY seq DESC LIMIT 50")
+@query(f"{_LOG} SELECT seq, action, (SELECT count(*) FROM audit WHERE action = 'note.view' AND seq < 900) AS total, (SELECT count(*) FROM audit WHERE action = 'note.view' AND seq < 900) > 50 AS more FROM audit WHERE action = 'note.view' AND seq < 900 ORDER BY seq DESC LIMIT 50")
 def audit_page(spark, sf_dir):
-    return A.latest_page(audit(spark, sf_dir), 50, before=900).select("seq", "action")
+    return A.page(A.audit_filter(audit(spark, sf_dir), action="note.view"), 50, before=900).select("seq", "action", "total", "more")
 
 
 @query(f"{_LOG} SELECT count(*) AS n, max(seq) AS last FROM audit WHERE seq > 500")
@@ -104,9 +104,9 @@ def _usage(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("at"), F.col("event_type").alias("op"), k.alias("returned"), (k * 3).alias("full"), (k % 9).alias("hits"), "value", "user_id")
 
 
-@query("SELECT event_type AS op, count(*) AS ops, CAST(sum(k) AS BIGINT) AS returned, CAST(sum(3 * k) AS BIGINT) AS \"full\", CAST(sum(k % 9) AS BIGINT) AS hits FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1")
+@query("SELECT event_type AS op, count(*) AS ops, CAST(sum(k) AS BIGINT) AS returned, CAST(sum(3 * k) AS BIGINT) AS \"full\", CAST(sum(k % 9) AS BIGINT) AS hits, CAST(epoch(date_trunc('second', min(ts))) AS BIGINT) AS \"first\", 0 AS unreadable FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1")
 def usage_summary(spark, sf_dir):
-    return U.summary(_usage(spark, sf_dir))
+    return U.summary(_usage(spark, sf_dir)).withColumn("first", F.unix_timestamp("first"))
 
 
 @query("""WITH axis AS (SELECT CAST(DATE '2024-01-31' - CAST(i AS INT) AS DATE) AS day FROM range(45) t(i))
@@ -116,11 +116,11 @@ def usage_by_day(spark, sf_dir):
     return out.select(F.col("day").cast("string").alias("day"), "ops", F.round("total", 4).alias("total"))
 
 
-@query("""SELECT event_type AS task, count(*) AS calls, count(*) FILTER (user_id % 7 = 0) AS failed, CAST(coalesce(sum(k) FILTER (k % 4 <> 0), 0) AS BIGINT) AS prompt, CAST(sum(k % 9) AS BIGINT) AS completion, count(*) FILTER (k % 4 = 0) AS without_counts,
+@query("""SELECT event_type AS task, count(*) AS calls, count(*) FILTER (user_id % 7 = 0) AS failed, CAST(coalesce(sum(k) FILTER (k % 4 <> 0), 0) AS BIGINT) AS prompt, CAST(sum(k % 9) AS BIGINT) AS completion, CAST(coalesce(sum(k % 5) FILTER (k % 3 = 0), 0) AS BIGINT) AS cached, count(*) FILTER (k % 4 = 0) AS without_counts, count(*) FILTER (k % 4 <> 0 AND k % 3 <> 0) AS without_cache_report,
     min(event_id) AS first, max(event_id) AS last FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1""")
 def inference_by_task(spark, sf_dir):
     u = _usage(spark, sf_dir)
-    rows = u.select(F.col("op").alias("task"), F.when(F.col("user_id") % 7 == 0, "error").otherwise("ok").alias("outcome"), F.when(F.col("returned") % 4 != 0, F.col("returned")).alias("prompt"), F.col("hits").alias("completion"), F.col("event_id").alias("at"))
+    rows = u.select(F.col("op").alias("task"), F.when(F.col("user_id") % 7 == 0, "error").otherwise("ok").alias("outcome"), F.when(F.col("returned") % 4 != 0, F.col("returned")).alias("prompt"), F.col("hits").alias("completion"), F.when(F.col("returned") % 3 == 0, F.col("returned") % 5).alias("cached"), F.col("event_id").alias("at"))
     return U.inference_by_task(rows)
 
 

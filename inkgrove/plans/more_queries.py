@@ -72,11 +72,13 @@ def resident_diff(spark, sf_dir):
     return I.snapshot_diff(before, after).where("state in ('new', 'gone', 'changed')").select(F.col("id").alias("name"), change.alias("change"))
 
 
-@query(f"""{with_sql('notes', 'blocks', 'audit')}, s AS (SELECT subject, actor, row_number() OVER (PARTITION BY subject ORDER BY seq DESC) AS r FROM audit WHERE action = 'note.click')
-    SELECT citation, actor AS signed_by FROM blocks JOIN s ON s.subject = blocks.name AND r = 1 WHERE idx = 0""")
+@query(f"""{with_sql('notes', 'audit')}, s AS (SELECT subject, actor, row_number() OVER (PARTITION BY subject ORDER BY seq DESC) AS r FROM audit WHERE action = 'note.click')
+    SELECT name, actor AS signed_by FROM notes JOIN s ON s.subject = notes.name AND r = 1 WHERE id % 3 <> 0""")
 def signed_hits(spark, sf_dir):
-    signed = A.latest_per(audit(spark, sf_dir).where("action = 'note.click'"), "subject").select(F.col("subject").alias("name"), F.col("actor").alias("signed_by"))
-    return blocks(spark, sf_dir).where("idx = 0").join(signed, "name").select("citation", "signed_by")
+    n = notes(spark, sf_dir).select("id", "name", F.md5("text").alias("body_hash"))
+    last = A.latest_per(audit(spark, sf_dir).where("action = 'note.click'"), "subject")
+    told = last.join(n.select(F.col("name").alias("subject"), F.when(F.col("id") % 3 == 0, "older").otherwise(F.col("body_hash")).alias("body_hash")), "subject")
+    return A.signed(n, told).select("name", "signed_by")
 
 
 @query("SELECT source, count(*) AS n FROM documents WHERE source LIKE 'src1_' GROUP BY source")

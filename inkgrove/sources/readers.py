@@ -6,11 +6,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from inkgrove.functions.scalars import glob_regex
+
 MAX_FILE_BYTES = 1 << 20
 #: Keys a note's head may have.
 HEAD_KEYS = ("id", "name", "ring", "kind", "created", "updated", "tags", "links", "bereich", "retention", "supersedes", "superseded_by", "valid_from", "invalid_at", "pii", "anchors")
@@ -87,11 +89,41 @@ def note_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.decode("content", "UTF-8").alias("content"), reason.alias("skipped"))
 
 
-def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content, skipped): files of a source tree; too large, lock and binary files with the reason."""
+def _ignore_pattern(rule: str) -> str:
+    folder = rule.rstrip("/")
+    folder = "/" + folder.lstrip("/") if "/" in folder else folder  # a rule with a / inside starts at the root
+    inside = f"(?:{glob_regex(folder + '/**')})"
+    return inside if rule.endswith("/") else f"(?:{glob_regex(folder)})|{inside}"
+
+
+def ignored(path: Column, rules: list[str]) -> Column:
+    """Whether ignore rules leave a path out: the last rule that matches decides, one with ! takes back; a rule that ends in / is of a folder and all in it."""
+    out = F.lit(False)
+    for rule in (r.strip() for r in rules):
+        if rule and not rule.startswith("#"):
+            out = F.when(path.rlike(_ignore_pattern(rule.removeprefix("!"))), F.lit(not rule.startswith("!"))).otherwise(out)
+    return out
+
+
+def source_files(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
+    """(path, content, skipped): files of a source tree; ignored, too large, lock and binary files with the reason. Contents of files
+    that are too large are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    reason = F.when(F.col("length") > MAX_FILE_BYTES, "too large").when(F.col("path").rlike(_LOCKFILES), "lock file").when(F.instr(F.decode(F.substring("content", 1, 8000), "ISO-8859-1"), "\x00") > 0, "binary")
-    return files.select("path", F.when(reason.isNull(), F.decode("content", "UTF-8")).alias("content"), reason.alias("skipped"))
+    inside = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").removeprefix("file:")) + "/", "")
+    left_out = F.when(ignored(inside, rules or []), "ignored")
+    large = files.where(F.col("length") > MAX_FILE_BYTES).select("path", F.lit(None).cast("string").alias("content"), F.coalesce(left_out, F.lit("too large")).alias("skipped"))
+    reason = left_out.when(F.col("path").rlike(_LOCKFILES), "lock file").when(F.instr(F.decode(F.substring("content", 1, 8000), "ISO-8859-1"), "\x00") > 0, "binary")
+    small = files.where(F.col("length") <= MAX_FILE_BYTES).select("path", F.when(reason.isNull(), F.decode("content", "UTF-8")).alias("content"), reason.alias("skipped"))
+    return small.unionByName(large)
+
+
+def counted_apart(spark: SparkSession, root: str) -> int:
+    """How many files a tree has by the file system's own listing, to hold an import's ledger against."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listing, n = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), 0
+    while listing.hasNext():
+        n += not listing.next().getPath().getName().startswith(("_", "."))
+    return n
 
 
 def skip_counts(files: DataFrame) -> DataFrame:

@@ -11,7 +11,10 @@ from inkgrove.operators import fleet as L
 from inkgrove.operators import index as I
 from inkgrove.operators import ingest as G
 from inkgrove.operators import notes as N
+from inkgrove.functions import scalars as S
+from inkgrove.operators import usage as U
 from inkgrove.plans.shared import cut
+from inkgrove.sources import readers as R
 
 
 def log(spark, n=30, devices=2):
@@ -117,3 +120,49 @@ def test_collisions_of_one_hot_name(spark):
     assert out["p000"] == ("written", "same") and out["p049"] == ("duplicate", "same") and out["q1"] == ("collided", None) and out["r"] == ("written", "one")
     hashed = {r.path: r.final_name for r in G.resolve_collisions(spark.createDataFrame(rows, "name string, path string, body string"), "hash").collect()}
     assert hashed["q1"] != hashed["q2"] and hashed["q1"].startswith("two-")
+
+
+def test_pages_tell_what_there_is(spark):
+    rows = A.page(log(spark), 10, before=21).collect()
+    assert [r.seq for r in rows] == list(range(20, 10, -1)) and rows[0].total == 20 and rows[0].more
+    assert not A.page(log(spark), 50).first().more
+
+
+def test_signed_text_must_be_the_present_one(spark):
+    notes = spark.createDataFrame([("a", "h1"), ("b", "h2")], "name string, body_hash string")
+    told = spark.createDataFrame([("a", "u", "h1"), ("b", "u", "old")], "subject string, actor string, body_hash string")
+    assert [(r.name, r.signed_by) for r in A.signed(notes, told).collect()] == [("a", "u")]
+
+
+def test_occurrences_with_places(spark):
+    df = spark.createDataFrame([("An(n) ANN, annä xann ann",), ("none",), (None,), ("ann",)], "t string")
+    out = [r[0] and [tuple(x) for x in r[0]] for r in df.select(S.occurrence_spans(F.col("t"), "ann")).collect()]
+    assert out == [[(6, 9, True), (11, 14, False), (17, 20, False), (21, 24, True)], [], [], [(0, 3, True)]]
+    cited = spark.createDataFrame([("r1-0123456789ab then r2-0123456789ab and r1-0123456789ab",)], "t string")
+    assert cited.select(S.mentions_newest(F.col("t"))).first()[0] == ["r1-0123456789ab", "r2-0123456789ab"]
+
+
+def test_tags_hashes_and_places(spark):
+    tags = spark.createDataFrame([(1, ["trust:trusted", "trust:untrusted"]), (2, ["trust:maybe"]), (3, ["src::"]), (4, ["src:mail", "x"]), (5, [])], "i int, tags array<string>")
+    assert [r[0] for r in tags.orderBy("i").select(S.tag_problem(F.col("tags"))).collect()] == ["both-trusts", "unknown-trust", "no-source", None, None]
+    assert [r[0] for r in tags.orderBy("i").select(S.stamp_untrusted(F.col("tags"), F.lit("c"))).collect()][3:] == [["src:mail", "x", "trust:untrusted"], ["trust:untrusted", "src:c"]]
+    hashes = spark.createDataFrame([("a",), ("a",), ("b",)], "t string").select(S.short_hash(F.col("t")).alias("h")).collect()
+    assert hashes[0] == hashes[1] != hashes[2] and len(hashes[0].h) == 8
+    parts = spark.createDataFrame([(" p 1 ", "x"), ("a\nb", "x"), ("a --> b", "x"), (None, "x")], "p string, t string").select(S.located_part(F.col("p"), F.col("t")).alias("b"))
+    assert [r.b for r in parts.collect()] == ["<!-- at: p 1 -->\nx", "x", "x", "x"]
+
+
+def test_usage_with_damaged_lines(spark):
+    rows = spark.createDataFrame([("recall", "2024-01-02", 1, 2, 3, None), ("recall", "2024-01-01", 4, 5, 6, None), (None, None, None, None, None, "{broken")], "op string, at string, returned int, full int, hits int, _corrupt string")
+    assert {r.op: r[1:] for r in U.summary(rows).collect()} == {"recall": (2, 5, 7, 9, "2024-01-01", 0), None: (0, None, None, None, None, 1)}
+
+
+def test_source_walk_keeps_to_ignore_rules(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "MAX_FILE_BYTES", 100)
+    for name, text in {"a.py": "x = 1", "target/b.py": "y", "deep/target/c.py": "z", "docs/keep.log": "k", "docs/no.log": "n", "big.txt": "b" * 500, "Cargo.lock": "l", "bin.dat": "\0"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    rules = ["# comment", "target/", "*.log", "!docs/keep.log"]
+    out = {r.path.split(str(tmp_path) + "/")[1]: (r.skipped, r.content) for r in R.source_files(spark, str(tmp_path), rules).collect()}
+    assert {k: v[0] for k, v in out.items()} == {"a.py": None, "target/b.py": "ignored", "deep/target/c.py": "ignored", "docs/keep.log": None, "docs/no.log": "ignored", "big.txt": "too large", "Cargo.lock": "lock file", "bin.dat": "binary"}
+    assert out["a.py"][1] == "x = 1" and out["big.txt"][1] is None and R.counted_apart(spark, str(tmp_path)) == len(out)
