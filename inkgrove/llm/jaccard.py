@@ -36,8 +36,8 @@ WORDS, PERCENT = 5, 80
 LONG = 16
 #: Shingles of OFTEN documents at least come later in the order, by powers of two; the MOST_FREQUENT of them at most.
 OFTEN, MOST_FREQUENT = 8, 4_000_000
-#: Shingles a task holds before it hands out blocks; shingles of one hash range, about; bytes of text hashed at once.
-HELD, IN_RANGE, BLOCK = 1_000_000, 1_000_000, 1 << 20
+#: Shingles, and postings, a task holds before it hands out blocks; shingles of one hash range, about; bytes of text hashed at once.
+HELD, HELD_POSTINGS, IN_RANGE, BLOCK = 1_000_000, 300_000, 1_000_000, 1 << 20
 #: Bits of the ranges in which tasks hand out blocks; where more are needed, a second pass splits these ranges.
 COARSE_BITS = 12
 #: Members of a posting held against as many others in one group of the second round, about; rows of such groups in one task, about.
@@ -262,7 +262,7 @@ def _mark(rows: DataFrame, bits: int, frequent) -> DataFrame:
                 groups.append(int(group.astype(np.int64)))
                 held.add(prefix, np.full(len(prefix), group, np.uint64), np.full(len(prefix), n, np.uint64), place.astype(np.uint64))
             yield _marked_batch(kinds, batch.num_rows, id=batch.column("id"), row=batch.column("row"), n=pa.array(sizes, pa.int64()), sig=pa.array(sigs, pa.binary()), grp=pa.array(groups, pa.int64()))
-            if held.size >= HELD:
+            if held.size >= HELD_POSTINGS:
                 yield from handed_out()
         yield from handed_out()
 

@@ -272,7 +272,7 @@ def test_op10_words_that_polynomials_take_for_one(spark):
 
 
 def test_op10_small_ranges_blocks_and_hubs(spark, monkeypatch, shuffled):
-    for name, value in {"IN_RANGE": 40, "COARSE_BITS": 2, "HELD": 300, "ROUND_BLOCK": 3, "ROUND_ROWS": 20, "AROUND_HUB": 2}.items():
+    for name, value in {"IN_RANGE": 40, "COARSE_BITS": 2, "HELD": 300, "HELD_POSTINGS": 300, "ROUND_BLOCK": 3, "ROUND_ROWS": 20, "AROUND_HUB": 2}.items():
         monkeypatch.setattr(jaccard, name, value)
     rnd = random.Random(9)
     long = [f"v{i}" for i in range(120)]
