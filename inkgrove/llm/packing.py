@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkgrove.llm.vocab import encoder
-from inkgrove.plans.shared import cut, tune_arrow
+from inkgrove.plans.shared import cut, join_sized, tune_arrow
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces that get their ranks in one task, about.
@@ -163,15 +163,18 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", id_col: str = "do
         own = [r for r in runs if r.length == n]
         by_length[n] = tuple(np.array([getattr(r, k) for r in own], np.int64) for k in ("first", "sequence", "offset", "each"))
     places = docs.sparkSession.sparkContext.broadcast(by_length)
-    spread = max(1, -(-sum(counts.values()) // RANKED_TOGETHER))
-    rows = found.withColumn("_ink_part", F.pmod(F.xxhash64("_ink_place"), F.lit(spread)).cast("int"))
+    # A length with many pieces is ranked in as many parts as keep each within a task's share.
+    share = max(1, min(RANKED_TOGETHER, sum(counts.values()) // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = [(n, -(-c // share)) for n, c in counts.items()]  # at most capacity rows
+    dealt = docs.sparkSession.createDataFrame(parts, "length bigint, _ink_parts bigint")
+    rows = found.join(F.broadcast(dealt), "length").withColumn("_ink_part", F.pmod(F.xxhash64("_ink_place"), F.col("_ink_parts")))
     group = Window.partitionBy("length", "_ink_part")
     rows = rows.withColumn("_ink_rank", F.row_number().over(group.orderBy("_ink_place")) - 1)
-    if spread > 1:
-        sizes = rows.groupBy("length", "_ink_part").count()
+    if any(k > 1 for _, k in parts):
+        sizes = found.join(F.broadcast(dealt), "length").groupBy("length", F.pmod(F.xxhash64("_ink_place"), F.col("_ink_parts")).alias("_ink_part")).count()
         before = F.sum("count").over(Window.partitionBy("length").orderBy("_ink_part").rowsBetween(Window.unboundedPreceding, -1))
-        sizes = sizes.select("length", "_ink_part", F.coalesce(before, F.lit(0)).alias("_ink_before"))
-        rows = rows.join(sizes, ["length", "_ink_part"]).withColumn("_ink_rank", F.col("_ink_rank") + F.col("_ink_before"))
+        sizes = cut(sizes.select("length", "_ink_part", F.coalesce(before, F.lit(0)).alias("_ink_before")), "ranks")
+        rows = join_sized(rows, sizes, ["length", "_ink_part"]).withColumn("_ink_rank", F.col("_ink_rank") + F.col("_ink_before"))
     rows = rows.select(*[F.col(f"`{c}`") for c in kept], F.col("_ink_rank").cast("bigint").alias("_ink_rank"))
     schema = T.StructType([*(f for f in found.schema.fields if f.name in kept), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
