@@ -16,7 +16,9 @@ import numpy as np
 from inkgrove.llm.hashing import slice_hashes
 
 #: Pieces a worker's cache holds at most; it starts anew beyond. Pieces of more bytes than CACHE_BYTES are not held.
-CACHE_PIECES, CACHE_BYTES = 1_500_000, 64
+CACHE_PIECES, CACHE_BYTES = 300_000, 64
+#: Pieces whose bytes are compared at once.
+COMPARED = 1 << 15
 #: Words joined for one call of the tokenizer; bytes of texts handled at once.
 JOINED, BLOCK = 512, 1 << 20
 
@@ -102,15 +104,15 @@ class PieceCache:
         self.count, self.used, self.bytes_used = self.count + n, self.used + len(flat), self.bytes_used + len(raw)
 
     def stands_for(self, rows: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Whether each row's bytes are data[start:stop]."""
+        """Whether each row's bytes are data[start:stop]; COMPARED rows at a time, to need little memory."""
         sizes = stops - starts
         same = self.byte_sizes[rows] == sizes
-        if not same.all():
-            rows, starts, sizes = rows[same], starts[same], sizes[same]
-        equal = self.bytes[_spread(self.byte_starts[rows], sizes)] == data[_spread(starts, sizes)]
-        if equal.all():
-            return same
-        same[np.flatnonzero(same)] = np.logical_and.reduceat(equal, np.cumsum(sizes) - sizes)
+        for at in range(0, len(rows), COMPARED):
+            own = at + np.flatnonzero(same[at : at + COMPARED])
+            if len(own):
+                equal = self.bytes[_spread(self.byte_starts[rows[own]], sizes[own])] == data[_spread(starts[own], sizes[own])]
+                if not equal.all():
+                    same[own] = np.logical_and.reduceat(equal, np.cumsum(sizes[own]) - sizes[own])
         return same
 
     def gather(self, rows: np.ndarray, other: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
