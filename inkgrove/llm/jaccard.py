@@ -37,7 +37,7 @@ LONG = 16
 #: Shingles of OFTEN documents at least come later in the order, by powers of two; the MOST_FREQUENT of them at most.
 OFTEN, MOST_FREQUENT = 8, 4_000_000
 #: Shingles, and postings, a task holds before it hands out blocks; shingles of one hash range, about; bytes of text hashed at once.
-HELD, HELD_POSTINGS, IN_RANGE, BLOCK = 1_000_000, 300_000, 1_000_000, 1 << 20
+HELD, HELD_POSTINGS, IN_RANGE, BLOCK = 500_000, 200_000, 1_000_000, 1 << 20
 #: Bits of the ranges in which tasks hand out blocks; where more are needed, a second pass splits these ranges.
 COARSE_BITS = 12
 #: Members of a posting held against as many others in one group of the second round, about; rows of such groups in one task, about.
@@ -431,6 +431,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     bits = max(4, int(np.ceil(np.log2(max(1, volume / 12 / IN_RANGE)))))
     frequent = spark.sparkContext.broadcast(_frequent(rows, bits))
     marked = cut(_mark(rows, bits, frequent), "marked")
+    frequent.unpersist()  # the table is written
     members = marked.where("sig is not null").select("id", "row", "n", "sig", "grp")
     blocks = marked.where("range is not null").select("range", "block")
     blocks = _finer(blocks, bits) if bits > COARSE_BITS else blocks
