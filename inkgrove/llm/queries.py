@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrove.llm import disclosure, exact, hostrules, jaccard, languages, lines, mixing, packing, tokenfile, urls
+from inkgrove.llm import disclosure, exact, hostrules, jaccard, languages, lines, mixing, packing, phrases, secrets, tokenfile, urls, whitening
 from inkgrove.session import table
 
 
@@ -18,13 +18,18 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = disclosure.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(*_span_columns(disclosure.KINDS), F.sha2("sanitised", 256).alias("sanitised_sha256"))
+
+
+def _span_columns(kinds: tuple[str, ...]) -> list:
+    """The digest columns of spans: the last kind is the method's, the others the base's."""
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    base = F.filter("spans", lambda s: s["kind"] != "term")
-    counts = [F.size(F.filter("spans", _is_kind(k))).cast("bigint").alias(f"n_{k}") for k in disclosure.KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.sha2("sanitised", 256).alias("sanitised_sha256"))
+    base = F.filter("spans", lambda s: s["kind"] != kinds[-1])
+    counts = [F.size(F.filter("spans", _is_kind(k))).cast("bigint").alias(f"n_{k}") for k in kinds[:-1]]
+    return ["doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")]
 
 
 def _is_kind(kind: str):
@@ -65,7 +70,19 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_sanitise, op3_exact_dedup, op4_packing, op5_mixing, op6_urls, op7_quality, op8_lines, op9_tokenfile, op10_jaccard)}
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).select(*_span_columns(secrets.KINDS))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_sanitise, op3_exact_dedup, op4_packing, op5_mixing, op6_urls, op7_quality, op8_lines, op9_tokenfile, op10_jaccard, op11_secrets, op12_whitening, op13_phrases)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -118,4 +135,28 @@ ORACLES = {
         SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(dropped AS INT)) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op13_phrases": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+        m AS (SELECT lang, piece, count(*) AS m FROM p GROUP BY ALL),
+        w AS (SELECT row_number() OVER () AS id, lang, m, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM m),
+        t AS (SELECT lang, CAST(sum(m * len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        u AS (SELECT id, lang, m, unnest(w) AS x, unnest(range(len(w))) AS i FROM w),
+        v AS (SELECT lang, m, x, lead(x) OVER p AS y, lead(x, 2) OVER p AS z FROM u WINDOW p AS (PARTITION BY id ORDER BY i)),
+        g AS (
+            SELECT lang, 1 AS k, m, x AS phrase FROM v
+            UNION ALL SELECT lang, 2, m, x || ' ' || y FROM v WHERE y IS NOT NULL
+            UNION ALL SELECT lang, 3, m, x || ' ' || y || ' ' || z FROM v WHERE z IS NOT NULL),
+        f AS (SELECT lang, phrase, k, CAST(sum(m) AS BIGINT) AS f FROM g GROUP BY ALL),
+        c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+        s AS (
+            SELECT c.*, j, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+            FROM c JOIN range(1, 3) r(j) ON j < c.k
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1:], ' ')),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        o AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS f FROM c, range(1, 3) r(i) WHERE k = 3 GROUP BY ALL),
+        z AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE o.f IS NULL OR 100 * o.f < 50 * a),
+        q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM q JOIN t USING (lang) WHERE rank <= 2000""",
 }
