@@ -2,7 +2,7 @@
 
 Identical pieces (between punctuation) are collapsed into one with a multiplicity. Tasks turn pieces into n-grams
 weighted by it and add up what they hold; the partial counts are dealt to hash buckets, and a task counts its bucket out of core in
-duckdb. A phrase and its parts lie in different buckets: each candidate sends lookup requests for the counts of its parts, which are shuffled to
+duckdb. The longest n-grams follow in a second pass, only where their parts were frequent. A phrase and its parts lie in different buckets: each candidate sends lookup requests for the counts of its parts, which are shuffled to
 where the counts are, and the answers are shuffled back.
 """
 
@@ -16,11 +16,13 @@ from collections.abc import Iterator
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkgrove.llm.hashing import slice_hashes
 from inkgrove.plans.shared import cut, join_back, tune_arrow
 
 MIN_COUNT, LONGEST, TOP = 10, 3, 2000
@@ -28,6 +30,8 @@ MIN_COUNT, LONGEST, TOP = 10, 3, 2000
 CONTAINED = 50
 #: Words of the pieces that are turned into n-grams at once.
 WORDS_AT_ONCE = 1 << 20
+#: The filter of frequent phrases has so many bits for each, in all FILTER_BITS at most; it is made in chunks.
+FILTER_BITS_EACH, FILTER_BITS, CHUNK_BITS = 16, 1 << 29, 1 << 20
 #: Memory of duckdb in a task; beyond, it spills to the task's own folder, which goes with the task.
 COUNTING_MB = 256
 #: At each step of the ranking a task ranks so many groups of TOP phrases of a language at most.
@@ -52,10 +56,11 @@ def pieces(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
 _PARTIAL = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
 
 
-def weighted_ngrams(lang: pa.Array, piece: pa.Array, copies: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, size, f) of all n-grams of the pieces, each once with its weight.
+def weighted_ngrams(lang: pa.Array, piece: pa.Array, copies: np.ndarray, sizes: tuple[int, ...], frequent: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, size, f) of all n-grams of these sizes in the pieces, each once with its weight. With frequent, a filter of the phrases one word shorter, only
+    those that may be frequent at both ends.
 
-    An n-gram is a path: its number is that of the pair (number of its beginning, last word), so no string is made before the counts are added up."""
+    An n-gram is a path: its number is that of the pair (number of its beginning, last word), so strings are made of different n-grams only."""
     split = pc.split_pattern(piece, " ")
     words = pc.dictionary_encode(split.flatten())
     codes, texts = words.indices.to_numpy().astype(np.int64), words.dictionary
@@ -64,42 +69,86 @@ def weighted_ngrams(lang: pa.Array, piece: pa.Array, copies: np.ndarray) -> Iter
     weights = np.repeat(copies, lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # words up to the end of the piece
     grams, names = np.repeat(langs.indices.to_numpy().astype(np.int64), lengths), None
-    spoken = np.arange(len(langs.dictionary))
-    for size in range(1, LONGEST + 1):
-        starts = np.flatnonzero(left >= size)
+    spoken, open_at = np.arange(len(langs.dictionary)), np.ones(len(codes), bool)
+    for size in range(1, max(sizes) + 1):
+        starts = np.flatnonzero((left >= size) & open_at)
         if not len(starts):
             return
-        numbers, first, inverse = np.unique(grams[starts] * len(texts) + codes[starts + size - 1], return_index=True, return_inverse=True)
+        numbers, inverse = np.unique(grams[starts] * len(texts) + codes[starts + size - 1], return_inverse=True)
         before, last = numbers // len(texts), pa.array(numbers % len(texts))
         spoken = spoken[before]
         names = texts.take(last) if names is None else pc.binary_join_element_wise(names.take(pa.array(before)), texts.take(last), " ")
-        sums = np.zeros(len(numbers), np.int64)
-        np.add.at(sums, inverse, weights[starts])
-        yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(spoken)), names, pa.array(np.full(len(numbers), size, np.int32)), pa.array(sums)], schema=_PARTIAL)
+        tongues = langs.dictionary.take(pa.array(spoken))
+        if size in sizes:
+            sums = np.zeros(len(numbers), np.int64)
+            np.add.at(sums, inverse, weights[starts])
+            yield pa.RecordBatch.from_arrays([tongues, names, pa.array(np.full(len(numbers), size, np.int32)), pa.array(sums)], schema=_PARTIAL)
         grams = np.full(len(codes), -1, np.int64)
         grams[starts] = inverse
-
-
-def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, words = [], 0
-    for batch in batches:
-        for i in range(0, batch.num_rows, 4096):
-            part = batch.slice(i, 4096)
-            held.append(part)
-            words += pc.sum(part.column("words")).as_py()
-            if words >= WORDS_AT_ONCE:
-                yield from _partial(held)
-                held, words = [], 0
-    if held:
-        yield from _partial(held)
-
-
-def _partial(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(held).combine_chunks()
-    column = lambda name: table.column(name).chunk(0)
-    for batch in weighted_ngrams(column("lang"), column("piece"), column("copies").to_numpy()):
-        for i in range(0, batch.num_rows, 1 << 16):
-            yield batch.slice(i, 1 << 16)
+        if frequent is not None and size == max(sizes) - 1:
+            at = places(tongues, names, 8 * len(frequent))
+            hit = (frequent[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            open_at = (grams >= 0) & hit[grams]
+            open_at[:-1] &= open_at[1:]  # of the last word of a piece, left decides
+
+
+def places(lang: pa.Array, phrase: pa.Array, bits: int) -> np.ndarray:
+    """The place of each phrase in a filter of so many bits, a power of two."""
+    joined = pc.binary_join_element_wise(lang, phrase, "\n").cast(pa.large_binary())
+    offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
+    data = np.frombuffer(joined.buffers()[2] or b"", np.uint8)
+    return (slice_hashes(data, offsets[:-1], offsets[1:]) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def frequent_filter(counts: DataFrame) -> np.ndarray:
+    """A filter, FILTER_BITS at most, of the phrases of counts: none is missed, and what passes by chance is only counted in vain."""
+    bits = CHUNK_BITS
+    wanted = FILTER_BITS_EACH * counts.count()
+    while bits < min(wanted, FILTER_BITS):
+        bits *= 2
+
+    def placed(batches):
+        for batch in batches:
+            if batch.num_rows:
+                at = np.unique(places(batch.column("lang"), batch.column("phrase"), bits))
+                yield pa.RecordBatch.from_arrays([pa.array(at // CHUNK_BITS), pa.array(at % CHUNK_BITS)], ["chunk", "at"])
+
+    def packed(key, group):
+        held = np.zeros(CHUNK_BITS, bool)
+        held[group["at"]] = True
+        return pd.DataFrame({"chunk": [key[0]], "held": [np.packbits(held, bitorder="little").tobytes()]})
+
+    chunks = counts.select("lang", "phrase").mapInArrow(placed, "chunk bigint, at bigint").distinct().groupBy("chunk").applyInPandas(packed, "chunk bigint, held binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for r in chunks.toLocalIterator():  # bits in all
+        out[r.chunk * CHUNK_BITS // 8 : (r.chunk + 1) * CHUNK_BITS // 8] = np.frombuffer(r.held, np.uint8)
+    return out
+
+
+def _ngrams_of(sizes: tuple[int, ...], frequent):
+    """Pieces to partial counts, WORDS_AT_ONCE at a time."""
+
+    def partial(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        column = lambda name: table.column(name).chunk(0)
+        for batch in weighted_ngrams(column("lang"), column("piece"), column("copies").to_numpy(), sizes, frequent and frequent.value):
+            for i in range(0, batch.num_rows, 1 << 16):
+                yield batch.slice(i, 1 << 16)
+
+    def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, words = [], 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                held.append(part)
+                words += pc.sum(part.column("words")).as_py()
+                if words >= WORDS_AT_ONCE:
+                    yield from partial(held)
+                    held, words = [], 0
+        if held:
+            yield from partial(held)
+
+    return in_turn
 
 
 def _counted_out_of_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,12 +169,22 @@ def _counted_out_of_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def phrase_counts(different: DataFrame) -> DataFrame:
-    """(lang, phrase, size, f) as a cut table: all phrases of up to LONGEST words with MIN_COUNT occurrences at least."""
-    tune_arrow(different.sparkSession)
-    schema = "lang string, phrase string, size int, f bigint"
-    partial = different.select("lang", "piece", "words", "copies").mapInArrow(_in_turn, schema)
-    buckets = partial.repartition(int(different.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lang", "phrase")
-    return cut(buckets.mapInArrow(_counted_out_of_core, schema), "phrases")
+    """(lang, phrase, size, f) out of cut tables: all phrases of up to LONGEST words with MIN_COUNT occurrences at least.
+
+    The longest ones, most of which are rare, are counted in a second pass, where both ends passed the first."""
+    spark, schema = different.sparkSession, "lang string, phrase string, size int, f bigint"
+    tune_arrow(spark)
+
+    def counted(sizes: tuple[int, ...], frequent=None) -> DataFrame:
+        partial = different.select("lang", "piece", "words", "copies").mapInArrow(_ngrams_of(sizes, frequent), schema)
+        buckets = partial.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "lang", "phrase")
+        return cut(buckets.mapInArrow(_counted_out_of_core, schema), "phrases")
+
+    shorter = counted(tuple(range(1, LONGEST)))
+    frequent = spark.sparkContext.broadcast(frequent_filter(shorter.where(F.col("size") == LONGEST - 1)))
+    longest = counted((LONGEST,), frequent)
+    frequent.unpersist()
+    return shorter.unionByName(longest)
 
 
 def _part(words: Column, start: Column | int, size: Column) -> Column:

@@ -203,6 +203,13 @@ def test_op13_small_steps_and_hot_requests(spark, spoken, monkeypatch):
     assert sorted(map(tuple, phrases.collocations(df, top=7).collect())) == plain_phrases(spoken, 7)
 
 
+def test_op13_saturated_filter(spark, spoken, monkeypatch):
+    """A filter of one chunk with fewer bits than phrases lets more pass, and changes nothing."""
+    monkeypatch.setattr(phrases, "CHUNK_BITS", 8)
+    monkeypatch.setattr(phrases, "FILTER_BITS", 16)
+    assert sorted(map(tuple, phrases.collocations(spark.createDataFrame(spoken, "lang string, text string"), top=50).collect())) == plain_phrases(spoken, 50)
+
+
 def test_op13_products_beyond_64_bits(spark):
     counts = spark.createDataFrame([("en", "a", 1, 3 * 10**12), ("en", "b", 1, 7 * 10**12), ("en", "a b", 2, 2999999999999)], "lang string, phrase string, size int, f bigint")
     row = phrases.cut_scores(counts).first()
