@@ -19,6 +19,8 @@ FOUND = {
     "IBAN GB82 WEST 1234 5698 7654 32.": [("iban", "high")], "GB82 WEST 1234 5698 7654 33": [], "AE070331234567890123456": [("iban", "high")],
     "VAT DE136695976": [("vat-id", "high")], "DE136695975": [], "65 170839 J 008": [], "65 170839 J 003": [("social-security", "high")], "65 999939 J 003": [],
     "86095742719": [("tax-id", "medium")], "86095742718": [], "born on 1.2.1980": [("birth-date", "high")], "geb. 01.02.80": [("birth-date", "high")], "on 1.2.1980": [],
+    "token = aaaaaaaaaaaaaaaa": [], "secret: ./keys/file/name1": [], "api_key = abcdefghijklmnopqrs": [], "api_key = abcdefghijklmnopqrst": [("api-key", "high")], "pwd='your-password-12'": [], "ftp://u:$PASS1@h/x": [], "ftp://u:xxx***@h": [], "ftp://u:a1@h": [("api-key", "high")],
+    "Bearer /path/to/the/file1": [], "x_aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0_a_b": [], "Ab1" * 11: [], "550e8400-e29b-41d4-a716-446655440000": [], "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eFé": [], "b3d6g9j2m5p8s1v4y7c0f3h6k9n2q5t8w1z4a7e0": [("api-key", "medium")], "b3d6g9j2m5p8s1v4y7c0f3h6k9n2q5t8": [],
     "write a@firma.de": [("email", "high")], "pa\u017f\u017fword = hunter2hunter2": [("api-key", "high")], "B\u0130RTH dob: 1/2/1980": [("birth-date", "high")], "to\u212aen: abcdefghij1234": [("api-key", "high")], "x@example.org": [("email", "low")], "git@host.de": [("email", "low")], "a@b.12": [], "ü@x": [], "_a.b@x.de": [],
 }
 
