@@ -53,12 +53,13 @@ TERM_PARTS = 16
 @dataclass
 class LexicalIndex:
     """postings (term, citation, id, idx, ring, bereich, tf, dl) sorted by term within files, so that a reader skips what its terms do not
-    need; places (citation, id, idx, ring, bereich, dl) of all blocks; their number and mean length."""
+    need; places (citation, id, idx, ring, bereich, dl) of all blocks; their number and mean length; the generation of an index that grows by segments."""
 
     postings: DataFrame
     places: DataFrame
     rows: float
     mean: float
+    generation: int = 0
 
 
 def build_index(blocks: DataFrame) -> LexicalIndex:

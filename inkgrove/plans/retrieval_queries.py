@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import functions as F
 
 from inkgrove.functions import scalars as S
 from inkgrove.operators import retrieval as R
+from inkgrove.operators import segments as SEG
+from inkgrove.plans import manifests
 from inkgrove.plans.registry import query
-from inkgrove.plans.shared import BROADCAST_BYTES, cut, cut_bytes, join_sized, modified
+from inkgrove.plans.shared import BROADCAST_BYTES, cut, cut_bytes, join_sized, shared_root, table_state
 from inkgrove.session import table
-from inkgrove.sources.corpus import NOW, blocks, links, notes, with_sql
+from inkgrove.sources.corpus import NOW, blocks, blocks_of, links, notes, with_sql
 
 #: Letters and digits of a passage that can be told from chance.
 CANARY_LEAST = 12
@@ -19,17 +24,25 @@ CANARY_BROADCAST = 200
 TEXT_QUERY, PREFIX_QUERY = "Licensed under the Apache License", "stupid worth the"
 
 
-_indexes: dict[tuple, R.LexicalIndex] = {}
+#: The index opened last; what a generation names never changes.
+_opened: dict[tuple, R.LexicalIndex] = {}
 
 
 def index_of(spark, sf_dir) -> R.LexicalIndex:
-    """The lexical index of the documents, built once for a session and a state of the table."""
-    files = sorted(table(spark, sf_dir, "documents").inputFiles())
-    status = [modified(spark, f) for f in files[:1] + files[-1:]]
-    key = (spark.sparkContext.applicationId, sf_dir, len(files), *status)
-    if key not in _indexes:
-        _indexes[key] = R.build_index(blocks(spark, sf_dir))
-    return _indexes[key]
+    """The lexical index of the documents, kept in the shared folder outside of any scratch(). A change of any of the table's files
+    makes the index catch up: only documents whose text is new or changed are indexed."""
+    root = f"{shared_root(spark)}/inkgrove/lexical-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    state = table_state(spark, table(spark, sf_dir, "documents").inputFiles())
+    _, body = manifests.latest(spark, root)
+    if (body.get("mark") or {}).get("source") != state:
+        SEG.refresh(root, notes(spark, sf_dir).select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash")), blocks(spark, sf_dir), {"source": state})
+        if SEG.compaction_due(manifests.latest(spark, root)[1]):
+            SEG.compact(spark, root)
+    key = (spark.sparkContext.applicationId, root, manifests.latest(spark, root)[0])
+    if key not in _opened:
+        _opened.clear()
+        _opened[key] = SEG.open_index(spark, root)
+    return _opened[key]
 
 
 def _now():
@@ -60,6 +73,22 @@ def bm25_prefix_topk(spark, sf_dir):
     return R.bm25(index_of(spark, sf_dir), PREFIX_QUERY, 20).select("citation", "id", "idx", F.round("score", 6).alias("score"))
 
 
+_LATER = "CASE WHEN doc_id % 50 = 7 THEN 'Licensed afresh. ' || text ELSE text END"
+_UPSERTED = f"""WITH documents2 AS (SELECT * REPLACE ({_LATER} AS text) FROM documents WHERE doc_id % 50 <> 9), {with_sql('notes', 'blocks')[5:].replace('FROM documents)', 'FROM documents2)')}"""
+
+
+@query(f"{_UPSERTED}, {_bm25_sql(TEXT_QUERY, 50)} SELECT citation, id, idx, round(score, 6) AS score FROM lex")
+def index_upsert(spark, sf_dir):
+    """The index of the documents after one in fifty was changed and one in fifty removed: ranks as an index built anew."""
+    root = f"{shared_root(spark)}/inkgrove/upsert-{uuid.uuid4().hex}"
+    held = blocks(spark, sf_dir)
+    SEG.upsert(root, held, held.select("id").limit(0))
+    changed = notes(spark, sf_dir).where("id % 50 = 7").withColumn("text", F.concat(F.lit("Licensed afresh. "), "text"))
+    ids = notes(spark, sf_dir).where("id % 50 in (7, 9)").select("id")
+    SEG.upsert(root, blocks_of(changed), ids)
+    return R.bm25(SEG.open_index(spark, root), TEXT_QUERY).select("citation", "id", "idx", F.round("score", 6).alias("score"))
+
+
 def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label", (F.col("vec_id") % 5).cast("int").alias("ring"), F.col("vec_id").alias("citation"))
 

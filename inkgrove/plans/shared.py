@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -62,10 +63,15 @@ def _status(spark: SparkSession, path: str):
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jvm_path)
 
 
-def modified(spark: SparkSession, path: str) -> int:
-    """When a file was last changed, in milliseconds."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jvm_path).getModificationTime()
+def table_state(spark: SparkSession, files: list[str]) -> str:
+    """A hash of the path, time and size of every file of a table: it changes with any of them. Folders are listed once."""
+    folders = sorted({f.rsplit("/", 1)[0] for f in files})
+    state, wanted = hashlib.sha256(), {f.rsplit("/", 1)[1] for f in files}
+    for folder in folders:
+        there = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        found = [(s.getPath().toString(), s.getModificationTime(), s.getLen()) for s in there.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(there) if s.isFile()]
+        state.update(repr(sorted(x for x in found if x[0].rsplit("/", 1)[1] in wanted)).encode())
+    return state.hexdigest()
 
 
 def delete(spark: SparkSession, path: str) -> None:

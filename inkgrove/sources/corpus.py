@@ -49,8 +49,12 @@ NOTES_SQL = f"""notes AS (
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per non-empty line, with ring, department and name carried along so filters need no join."""
-    n = notes(spark, sf_dir)
-    lines = n.select("id", "name", "ring", "bereich", "created", "updated", F.posexplode(F.split("text", "\n")).alias("idx", "text")).where("text <> ''")
+    return blocks_of(notes(spark, sf_dir))
+
+
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """The blocks of notes."""
+    lines = rows.select("id", "name", "ring", "bereich", "created", "updated", F.posexplode(F.split("text", "\n")).alias("idx", "text")).where("text <> ''")
     return lines.withColumn("citation", citation(F.col("ring"), F.col("id"), F.col("idx"), F.col("text")))
 
 
