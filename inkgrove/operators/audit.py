@@ -7,11 +7,13 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkgrove.functions.scalars import chain_hash
+from inkgrove.plans.shared import cut, join_sized
 
 
 def audit_filter(log: DataFrame, since: Column | None = None, until: Column | None = None, actor: str | None = None, action: str | None = None, family: bool = False, subject: str | None = None, contains: str | None = None) -> DataFrame:
@@ -87,6 +89,50 @@ def seal(log: DataFrame, partition: str = "device", after: str | None = None) ->
     return ordered.mapInArrow(run, shape)
 
 
+def preceded(log: DataFrame, value: str, partition: str = "device") -> DataFrame:
+    """log with _before, the value of the row before it in its log by seq (of equal seq by value), and _first, whether it is its log's first.
+
+    Rows are dealt out by ranges of log and seq, so one log of all rows is spread over all tasks. Within a range a row finds its predecessor beside it; the first
+    row of a range takes it from the last row of the range before, and only these last rows, one for each range, meet in one place."""
+    kind = log.schema[value].dataType
+    shape = T.StructType([*log.schema.fields, T.StructField("_log", T.StringType()), T.StructField("_before", kind), T.StructField("_first", T.BooleanType()), T.StructField("_edge", T.BooleanType()), T.StructField("_last", T.BooleanType()), T.StructField("_range", T.IntegerType())])
+    named = log.withColumn("_log", F.coalesce(F.concat(F.lit("="), F.col(partition).cast("string")), F.lit("")))
+    ranged = named.repartitionByRange("_log", "seq").sortWithinPartitions("_log", "seq", value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        place, whose, what, held = TaskContext.get().partitionId(), None, None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            if held is not None:
+                yield _with_last(held, False)
+            logs, values = batch.column("_log"), batch.column(value)
+            before = pa.concat_arrays([pa.array([what], values.type), values.slice(0, n - 1)])
+            same = pc.fill_null(pc.equal(logs, pa.concat_arrays([pa.array([whose], logs.type), logs.slice(0, n - 1)])), False)
+            shown = pc.if_else(same, pa.array(range(n), pa.int32()), pa.scalar(None, pa.int32()))
+            edge = pa.array([held is None, *[False] * (n - 1)])
+            columns = [*batch.columns, before.take(shown), pc.invert(same), edge, pa.array([place] * n, pa.int32())]
+            held, whose, what = pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_before", "_first", "_edge", "_range"]), logs[-1].as_py(), values[-1].as_py()
+        if held is not None:
+            yield _with_last(held, True)
+
+    def _with_last(batch: pa.RecordBatch, last: bool) -> pa.RecordBatch:
+        flags = pa.array([*[False] * (batch.num_rows - 1), last])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], flags, batch.columns[-1]], [*batch.schema.names[:-1], "_last", "_range"])
+
+    rows = cut(ranged.mapInArrow(run, shape), "ranges")
+    ends = rows.where("_last").select("_range", F.col("_log").alias("_end_log"), F.col(value).alias("_end"))
+    order = Window.orderBy("_range")  # one row for each range
+    ends = ends.select("_range", *[F.lag(c).over(order).alias(c) for c in ("_end_log", "_end")]).withColumn("_edge", F.lit(True))
+    joined = rows.join(F.broadcast(ends), ["_range", "_edge"], "left")
+    goes_on = F.col("_edge") & F.col("_log").eqNullSafe(F.col("_end_log"))
+    found = joined.withColumn("_before", F.when(goes_on, F.col("_end")).otherwise(F.col("_before"))).withColumn("_first", F.col("_first") & ~goes_on)
+    return found.select(*log.columns, "_before", "_first")
+
+
 def verify_each(log: DataFrame) -> DataFrame:
     """Rows whose hash does not match their fields; rows stand for themselves, so any selection can be checked."""
     return log.where(row_hash(F.col("prev")) != F.col("hash"))
@@ -95,12 +141,12 @@ def verify_each(log: DataFrame) -> DataFrame:
 def verify_chain(log: DataFrame, partition: str = "device", anchors: DataFrame | None = None) -> DataFrame:
     """(partition, rows, first_break): the least seq whose hash or predecessor is wrong, null for a whole chain.
 
-    anchors (partition, floor_hash) is what the first row must continue after a purge. Checking is parallel: every row
-    is recomputed on its own, its predecessor comes from a lag."""
-    order = Window.partitionBy(partition).orderBy("seq")
-    rows = log.withColumn("_before", F.lag("hash").over(order)).withColumn("_first", F.row_number().over(order) == 1)
+    anchors (partition, floor_hash) is what the first row must continue after a purge. Checking is parallel, also within a log: every row
+    is recomputed on its own, its predecessor comes by preceded()."""
+    rows = preceded(log, "hash", partition)
     if anchors is not None:
-        rows = rows.join(anchors, partition, "left").withColumn("_before", F.when(F.col("_first"), F.col("floor_hash")).otherwise(F.col("_before")))
+        firsts = rows.where("_first").join(anchors, partition, "left").withColumn("_before", F.col("floor_hash")).drop("floor_hash")
+        rows = rows.where("not _first").unionByName(firsts)
     right = row_hash(F.col("prev")) == F.col("hash")
     broken = ~right | ~F.col("prev").eqNullSafe(F.col("_before"))
     return rows.groupBy(partition).agg(F.count("*").alias("rows"), F.min(F.when(broken, F.col("seq"))).alias("first_break"))
@@ -113,8 +159,8 @@ def forks(log: DataFrame, partition: str = "device") -> DataFrame:
 
 def unsigned_after_signed(log: DataFrame, partition: str = "device") -> DataFrame:
     """Rows without a signature after one with."""
-    before = Window.partitionBy(partition).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("_s", F.max("signed").over(before)).where(F.col("_s") & ~F.col("signed")).drop("_s")
+    since = cut(log.where("signed").groupBy(partition).agg(F.min("seq").alias("_since")), "signed")
+    return join_sized(log.where("not signed"), since, [partition], "inner").where(F.col("seq") > F.col("_since")).select(*log.columns)
 
 
 def purge_plan(log: DataFrame, cutoff: Column, partition: str = "device") -> DataFrame:
@@ -146,18 +192,28 @@ def signed(notes: DataFrame, signoffs: DataFrame) -> DataFrame:
 
 def config_changes(states: DataFrame, partition: str, items: str = "items") -> DataFrame:
     """(partition, seq, added, removed) against the state before, where anything changed."""
-    order = Window.partitionBy(partition).orderBy("seq")
-    old = F.coalesce(F.lag(items).over(order), F.array().cast("array<string>"))
-    rows = states.withColumn("_old", old).select(partition, "seq", F.array_sort(F.array_except(items, "_old")).alias("added"), F.array_sort(F.array_except("_old", items)).alias("removed"))
+    old = F.coalesce("_before", F.array().cast("array<string>"))
+    rows = preceded(states, items, partition).withColumn("_old", old).select(partition, "seq", F.array_sort(F.array_except(items, "_old")).alias("added"), F.array_sort(F.array_except("_old", items)).alias("removed"))
     return rows.where((F.size("added") > 0) | (F.size("removed") > 0))
 
 
+def _texts(values: Column) -> Column:
+    """The texts among the values of a JSON array, given as array<variant>."""
+    return F.transform(F.filter(values, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.variant_get(v, "$", "string"))
+
+
 def detail_departments(detail: Column) -> Column:
-    """Different department labels in a detail object's bereich (text) and bereiche (array), sorted."""
-    one = F.get_json_object(detail, "$.bereich")
-    many = F.from_json(F.get_json_object(detail, "$.bereiche"), "array<string>")
-    both = F.array_union(F.array_compact(F.array(one)), F.coalesce(many, F.array().cast("array<string>")))
-    return F.array_sort(both)
+    """Different department labels that a row's detail names, sorted: what a search returned (bereiche) and asked for (requested_bereich), a single bereich, and
+    the lists of each client that a change of configuration added, removed or left in force (added, removed, after.bereiche). Other types of values name none; text that is no JSON object neither."""
+    held = F.try_parse_json(detail)
+    at = lambda path, kind: F.try_variant_get(held, path, kind)
+    singles = [F.when(F.schema_of_variant(at(p, "variant")) == "STRING", at(p, "string")) for p in ("$.requested_bereich", "$.bereich")]
+    many = [_texts(at("$.bereiche", "array<variant>"))]
+    for path in ("$.added", "$.removed", "$.after.bereiche"):
+        lists = F.transform(F.map_values(at(path, "map<string,variant>")), lambda v: _texts(F.try_variant_get(v, "$", "array<variant>")))
+        many.append(F.flatten(F.filter(lists, lambda x: x.isNotNull())))
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*singles)), *[F.coalesce(m, none) for m in many])))
 
 
 #: Digests hashed together at each level of a bundle's digest.
@@ -229,8 +285,7 @@ def append(log: DataFrame, rows: DataFrame, expected: DataFrame | None = None, p
 
 def continues(log: DataFrame, partition: str = "device") -> DataFrame:
     """(partition, seq, state) of rows that do not continue the row before: fork where an earlier row is already continued by another, else gap."""
-    order = Window.partitionBy(partition).orderBy("seq")
-    rows = log.withColumn("_before", F.lag("hash").over(order)).withColumn("_first", F.row_number().over(order) == 1)
+    rows = preceded(log, "hash", partition)
     loose = rows.where(~F.col("prev").eqNullSafe(F.col("_before")) & ~(F.col("_first") & F.col("prev").isNull())).select(partition, "seq", "prev")
     known = log.select(partition, F.col("hash").alias("prev")).distinct().withColumn("_known", F.lit(True))
     return loose.join(known, [partition, "prev"], "left").select(partition, "seq", F.when(F.col("_known"), "fork").otherwise("gap").alias("state"))
@@ -238,9 +293,13 @@ def continues(log: DataFrame, partition: str = "device") -> DataFrame:
 
 def pruned_digest(log: DataFrame, boundary: Column, partition: str = "device") -> DataFrame:
     """(partition, rows, digest) over the rows before boundary that a purge takes: what the purge row keeps of them. Digests of ranges of rows
-    combine as in a bundle, within each log."""
+    combine level by level as in a bundle, within each log."""
     gone = log.where(F.col("seq") < boundary)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), "")
-    ranges = gone.groupBy(partition, F.floor(F.col("seq") / DIGEST_RANGE).alias("k")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "hash"))), lambda x: x["hash"]), ""), 256).alias("d"), F.count("*").alias("n"))
-    wider = ranges.groupBy(partition, F.floor(F.col("k") / DIGEST_RANGE).alias("k")).agg(F.sha2(joined, 256).alias("d"), F.sum("n").alias("n"))
-    return wider.groupBy(partition).agg(F.sum("n").alias("rows"), F.sha2(joined, 256).alias("digest"))
+    top = gone.agg(F.max("seq")).first()[0]
+    level = gone.select(partition, F.col("seq").alias("k"), F.col("hash").alias("d"), F.lit(1).cast("bigint").alias("n"))
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), "")
+        level = level.groupBy(partition, F.floor(F.col("k") / DIGEST_RANGE).alias("k")).agg(F.sha2(joined, 256).alias("d"), F.sum("n").alias("n"))
+        top = (top or 0) // DIGEST_RANGE
+        if not top:
+            return level.select(partition, F.col("n").alias("rows"), F.col("d").alias("digest"))

@@ -122,14 +122,29 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, _SHAPE)
 
 
+#: What parts a scope from a name, in the order tried, and whether both sides must be like identifiers.
+_PARTED = (("::", False, False), ("#", False, True), (".", True, True))
+_IDENTIFIER = re.compile(r"[\w$-]+")
+
+
+def asked(query: str) -> tuple[str, str]:
+    """(name, scope) of a query, parted at the last sign of the first kind that fits: a :: always does, a # before an identifier, a dot only between
+    identifiers, so that a heading like "10. Code index" stays whole. The scope is in lower case with dots."""
+    text = query.strip()
+    for sign, scope_too, name_too in _PARTED:
+        scope, found, name = text.rpartition(sign)
+        if found and (not name_too or scope and _IDENTIFIER.fullmatch(name)) and (not scope_too or all(map(_IDENTIFIER.fullmatch, scope.split(".")))):
+            return name.strip(), scope.strip().removeprefix("::").replace("::", ".").replace("#", ".").lower()
+    return text, ""
+
+
 def find(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Definitions that a query names, best first: exact, then any case, then containing it (MIN_PART letters or more), code before keys and sections before
-    headings, by path and line. What stands before ::, # or . must end the scope, in any case; if no definition fits it, it counts for nothing and
+    headings, by path and line. What asked() takes for a scope must end the definition's, in any case; if no definition fits it, it counts for nothing and
     scope_ignored tells so. matched is the number of all that fit, truncated whether there are more than are shown."""
-    parts = [p for p in re.split(r"::|#|\.", query) if p]
-    if not parts:
+    name, scope = asked(query)
+    if not name:
         return symbols.limit(0).withColumns({"tier": F.lit(0), "scope_ignored": F.lit(False), "matched": F.lit(0).cast("bigint"), "truncated": F.lit(False)})
-    name, scope = parts[-1], ".".join(parts[:-1]).lower()
     low = F.lower("name")
     tier = F.when(F.col("name") == name, 0).when(low == name.lower(), 1)
     if len(name) >= MIN_PART:

@@ -92,11 +92,15 @@ def config_diff(spark, sf_dir):
     return A.config_changes(s, "client").select("client", "seq", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
 
 
-@query("SELECT event_id AS seq, 'a,' || CASE WHEN user_id % 2 = 0 THEN 'b' ELSE 'a1' END AS departments FROM events")
+@query("""SELECT event_id AS seq, array_to_string(list_sort(list_distinct(list_concat(['a', CASE WHEN user_id % 2 = 0 THEN 'b' ELSE 'a1' END, 'x' || user_id % 4, 'y', 'z' || user_id % 7],
+    CASE WHEN user_id % 3 = 0 THEN ['r' || event_id % 5] ELSE [] END))), ',') AS departments FROM events""")
 def detail_departments(spark, sf_dir):
-    log = table(spark, sf_dir, "events")
-    detail = F.to_json(F.struct(F.when(F.col("user_id") % 2 == 0, "b").otherwise("a1").alias("bereich"), F.array(F.lit("a"), F.when(F.col("user_id") % 2 == 0, "b").otherwise("a1")).alias("bereiche")))
-    return log.select(F.col("event_id").alias("seq"), F.array_join(A.detail_departments(detail), ",").alias("departments"))
+    user, own = F.col("user_id"), F.when(F.col("user_id") % 2 == 0, "b").otherwise("a1")
+    named = lambda prefix, number: F.concat(F.lit(prefix), number)
+    added = F.create_map(F.lit("c1"), F.array(named("x", user % 4)), F.lit("c2"), F.array().cast("array<string>"))
+    after = F.struct(F.create_map(F.lit("c1"), F.array(F.lit("y"), named("x", user % 4))).alias("bereiche"))
+    fields = [own.alias("bereich"), F.array(F.lit("a"), own).alias("bereiche"), F.when(user % 3 == 0, named("r", F.col("event_id") % 5)).alias("requested_bereich"), added.alias("added"), F.create_map(user.cast("string"), F.array(named("z", user % 7))).alias("removed"), after.alias("after")]
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.array_join(A.detail_departments(F.to_json(F.struct(*fields))), ",").alias("departments"))
 
 
 def _usage(spark, sf_dir):

@@ -213,10 +213,24 @@ def session_states(spark, sf_dir):
     return L.session_states(states, F.lit("2024-02-05").cast("timestamp")).select("session", "state")
 
 
-@query("SELECT 'dev-' || (event_id % 16) AS device, count(*) AS rows, true AS digest FROM events WHERE event_id < 5000 GROUP BY 1")
+_FIELD = "strlen({0}) || ':' || {0}"
+_CHAINED_SQL = f"""l AS (SELECT 'dev-' || (event_id % 16) AS device, row_number() OVER (PARTITION BY event_id % 16 ORDER BY event_id) AS i, event_id AS seq,
+        {" || ".join(_FIELD.format(x) for x in ("CAST(event_id AS VARCHAR)", "('user-' || user_id)", "('note.' || event_type)", "('note-' || (user_id % 40))", "coalesce(props, '')"))} AS fields FROM events WHERE event_id < 5000),
+    chain AS (SELECT device, i, seq, sha256('|' || fields) AS hash FROM l WHERE i = 1 UNION ALL SELECT l.device, l.i, l.seq, sha256(chain.hash || '|' || l.fields) FROM chain JOIN l ON l.device = chain.device AND l.i = chain.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {_CHAINED_SQL} SELECT device, count(*) AS rows, sha256(string_agg(hash, '' ORDER BY seq)) AS digest FROM chain GROUP BY device")
 def pruned_digests(spark, sf_dir):
     log = cut(A.seal(_device_log(spark, sf_dir)), "sealed")
-    return A.pruned_digest(log, F.lit(5000)).select("device", "rows", F.col("digest").rlike("^[0-9a-f]{64}$").alias("digest"))
+    return A.pruned_digest(log, F.lit(5000)).select("device", "rows", "digest")
+
+
+@query("SELECT 'all' AS device, count(*) AS rows, (SELECT min(event_id) FROM events WHERE event_id % 1000 = 337 AND event_id > 2000) AS first_break FROM events HAVING count(*) > 0")
+def chain_verify_one(spark, sf_dir):
+    """One device that has all rows: its chain is checked in ranges, by all tasks."""
+    log = cut(A.seal(_device_log(spark, sf_dir).withColumn("device", F.lit("all"))), "sealed")
+    edited = (F.col("seq") % 1000 == 337) & (F.col("seq") > 2000)
+    return A.verify_chain(log.withColumn("subject", F.when(edited, "other").otherwise(F.col("subject"))))
 
 
 _STALE = """s AS (SELECT doc_id AS id, md5(text) AS hash FROM documents WHERE doc_id % 10 <> 3), f AS (SELECT doc_id AS id, CASE WHEN doc_id % 17 = 0 THEN 'x' ELSE md5(text) END AS hash FROM documents WHERE doc_id % 11 <> 4)"""
