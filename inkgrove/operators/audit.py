@@ -264,6 +264,20 @@ def unsealed_heads(log: DataFrame, partition: str = "device") -> DataFrame:
     return log.groupBy(partition).agg(F.max(F.struct("seq", "hash")).alias("_h")).select(partition, "_h.seq", "_h.hash")
 
 
+def _sealed_after(rows: DataFrame, partition: str) -> DataFrame:
+    """rows numbered and chained in seq order after the head (_seq, _head) of their log, null where there is none."""
+    first = Window.partitionBy(partition).orderBy("seq")
+    numbered = rows.withColumn("seq", F.coalesce("_seq", F.lit(0)) + F.row_number().over(first)).drop("_seq")
+    return seal(numbered, partition, "_head").drop("_head")
+
+
+def seal_after(rows: DataFrame, heads: DataFrame | None, partition: str = "device") -> DataFrame:
+    """rows with prev and hash, continuing heads (partition, seq, hash)."""
+    if heads is None:
+        return _sealed_after(rows.withColumns({"_seq": F.lit(None).cast("bigint"), "_head": F.lit(None).cast("string")}), partition)
+    return _sealed_after(rows.join(heads.select(partition, F.col("seq").alias("_seq"), F.col("hash").alias("_head")), partition, "left"), partition)
+
+
 def append(log: DataFrame, rows: DataFrame, expected: DataFrame | None = None, partition: str = "device") -> tuple[DataFrame, DataFrame]:
     """(log with rows sealed after each log's head, rows refused).
 
@@ -277,9 +291,7 @@ def append(log: DataFrame, rows: DataFrame, expected: DataFrame | None = None, p
     else:
         asked = asked.withColumn("_seen", F.lit(None).cast("string")).withColumn("_moved", F.lit(False))
     refused = asked.where("_moved").select(*rows.columns)
-    first = Window.partitionBy(partition).orderBy("seq")
-    numbered = asked.where("not _moved").withColumn("seq", F.coalesce("_seq", F.lit(0)) + F.row_number().over(first)).drop("_seq", "_seen", "_moved")
-    sealed = seal(numbered, partition, "_head").drop("_head")
+    sealed = _sealed_after(asked.where("not _moved").drop("_seen", "_moved"), partition)
     return log.unionByName(sealed.select(*log.columns)), refused
 
 

@@ -1,14 +1,19 @@
-"""A static embedder as joins and sums: tokens look their vectors up, a text's vector is their mean of length one."""
+"""A static embedder: tokens look their vectors up, a text's vector is their mean of length one. Whole words meet a table of any size by joins; pieces of
+words, cut by the longest match, meet a model that every task holds."""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrove.functions.scalars import dot, tokens
-from inkgrove.plans.shared import cut, join_sized
+from inkgrove.plans.shared import cut, cut_bytes, join_sized
 
 
 def profile_id(model: str, dims: int, revision: str = "") -> str:
@@ -31,6 +36,119 @@ def embed(texts: DataFrame, vocabulary: DataFrame, dims: int, key: str = "id", t
     return texts.select(key).join(scaled, key, "left").select(key, F.coalesce("vector", zero).alias("vector"), F.coalesce("known", F.lit(0)).alias("known"))
 
 
+#: Pieces of a vocabulary, which every task holds, at most.
+MAX_PIECES = 1 << 20
+#: Before a piece that goes on within a word.
+GOES_ON = "##"
+
+
+def held_pieces(vocabulary: DataFrame) -> list[str]:
+    """The pieces of a vocabulary (piece), sorted; a piece's place is its id. ValueError beyond MAX_PIECES."""
+    rows = vocabulary.select("piece").where("piece is not null").distinct().orderBy("piece").limit(MAX_PIECES + 1).collect()
+    if len(rows) > MAX_PIECES:
+        raise ValueError(f"a vocabulary has {MAX_PIECES} pieces at most")
+    return [r.piece for r in rows]
+
+
+def _tries(pieces: list[str]) -> tuple[dict, dict]:
+    """Pieces at the beginning of words and those within, each as nested dictionaries by character; the id stands under the empty string."""
+    roots: tuple[dict, dict] = ({}, {})
+    for number, piece in enumerate(pieces):
+        inner = piece.startswith(GOES_ON)
+        node = roots[inner]
+        for c in piece[len(GOES_ON) * inner :]:
+            node = node.setdefault(c, {})
+        node[""] = number
+    return roots
+
+
+def _cut_word(word: str, tries: tuple[dict, dict]) -> list[int]:
+    """Ids of the longest piece at each place; a word that cannot be cut to its end is one unknown, -1."""
+    out, at = [], 0
+    while at < len(word):
+        node, end, found = tries[at > 0], at, None
+        for i in range(at, len(word)):
+            node = node.get(word[i])
+            if node is None:
+                break
+            if "" in node:
+                found, end = node[""], i + 1
+        if found is None or end == at:
+            return [-1]
+        out.append(found)
+        at = end
+    return out
+
+
+def _cut_words(words: pa.ListArray, tries: tuple[dict, dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many of each row); every different word is cut once a batch."""
+    coded = pc.dictionary_encode(words.flatten())
+    cuts = [_cut_word(w, tries) for w in coded.dictionary.to_pylist()]
+    sizes = np.array([len(c) for c in cuts], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    ids = np.array([i for c in cuts for i in c], np.int32)
+    codes = coded.indices.to_numpy()
+    each = sizes[codes]
+    within = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+    per_row = np.add.reduceat(np.append(each, 0), np.minimum(words.offsets.to_numpy()[:-1] - words.offsets[0].as_py(), len(each))) if len(words) else each
+    per_row = np.where(pc.list_value_length(words).to_numpy(zero_copy_only=False) > 0, per_row, 0)
+    return ids[np.repeat(starts[codes], each) + within], per_row
+
+
+def _asked(texts: DataFrame, key: str, text: str) -> DataFrame:
+    return texts.select(F.col(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
+
+
+def subword_ids(texts: DataFrame, pieces: list[str], key: str = "id", text: str = "text") -> DataFrame:
+    """(key, ids array<int>) of every text: its words cut into the longest pieces of a vocabulary from the left, an unknown word as -1.
+
+    Pieces are held in every task, MAX_PIECES at most. A null or empty text has no ids."""
+    shared = texts.sparkSession.sparkContext.broadcast(pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tries = _tries(shared.value)
+        for batch in batches:
+            ids, sizes = _cut_words(batch.column("_words"), tries)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], [key, "ids"])
+
+    return _asked(texts, key, text).mapInArrow(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, ids array<int>")
+
+
+def embed_subwords(texts: DataFrame, vocabulary: DataFrame, dims: int, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, vector, known, seen) of every text in one pass: the mean of its pieces' vectors, scaled to length one; known pieces and all, an unknown word being one.
+
+    vocabulary (piece, vector) is a cut table of MODEL_BYTES at most, or ValueError: a static model's table of vectors does not grow with the texts.
+    A text without known pieces, or null, has the zero vector."""
+    if cut_bytes(vocabulary) > MODEL_BYTES:
+        raise ValueError(f"a model of {MODEL_BYTES} bytes at most is held in every task")
+    pieces = held_pieces(vocabulary)
+    rows = {r.piece: r.vector for r in vocabulary.where("piece is not null").groupBy("piece").agg(F.min("vector").alias("vector")).collect()}
+    shared = texts.sparkSession.sparkContext.broadcast((pieces, np.array([rows[p] for p in pieces], np.float64).reshape(len(pieces), dims)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tries, (_, matrix) = _tries(shared.value[0]), shared.value
+        for batch in batches:
+            ids, sizes = _cut_words(batch.column("_words"), tries)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            there = ids >= 0
+            known = np.bincount(row[there], minlength=len(sizes))
+            total = np.zeros((len(sizes), dims))
+            for i in range(0, len(ids), ROWS_AT_ONCE):  # bounded memory for a very long text
+                part = slice(i, i + ROWS_AT_ONCE)
+                np.add.at(total, row[part][there[part]], matrix[ids[part][there[part]]])
+            size = np.sqrt((total * total).sum(axis=1))
+            vector = np.divide(total, size[:, None], out=np.zeros_like(total), where=size[:, None] > 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * dims, pa.int32()), pa.array(vector.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(known.astype(np.int64)), pa.array(sizes.astype(np.int64))], [key, "vector", "known", "seen"])
+
+    return _asked(texts, key, text).mapInArrow(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, vector array<double>, known bigint, seen bigint")
+
+
+#: A model in every task, and vectors added up at once.
+MODEL_BYTES, ROWS_AT_ONCE = 512 << 20, 1 << 14
+
+
 def usable(vectors: DataFrame, profile: str) -> tuple[DataFrame, DataFrame]:
     """(vectors of the profile, one row (other, missing) with the number of those of other profiles and of those without one).
 

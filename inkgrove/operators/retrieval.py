@@ -6,10 +6,14 @@ ones too. A ranking reads the postings of its terms from an index; blocks are re
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from inkgrove.functions.scalars import STRIPPED_FROM, STRIPPED_TO, cosine, dedup_key, recency_weight, ring_weight, tokens
@@ -226,6 +230,24 @@ def recall(index: LexicalIndex, blocks: DataFrame, notes: DataFrame, query: str,
     return hits.orderBy(F.desc("score"), "citation").limit(min(MAX_N, max(1, o.n)))
 
 
+def logged_search(hits: DataFrame, query: str, key: str, requested: str | None = None) -> tuple[DataFrame, Callable[[], dict]]:
+    """(hits to run, a function that gives the search's log row once they were run).
+
+    The row's counts are observed while the hits, MAX_N at most, are made, so nothing runs twice. It holds a keyed hash instead of the query: detail is JSON of query,
+    hits, bereiche (sorted), per_bereich and, if one was asked for, requested_bereich; hits without a department count under no name."""
+    seen = Observation()
+    watched = hits.observe(seen, F.count(F.lit(1)).alias("hits"), F.collect_list(F.coalesce("bereich", F.lit(""))).alias("bereiche"))
+
+    def row() -> dict:
+        found = seen.get
+        counts = Counter(b for b in found["bereiche"] if b)
+        hashed = hashlib.sha256(f"{key}|{' '.join(query.split()).lower()}".encode()).hexdigest()
+        detail = {"query": hashed, "hits": found["hits"], "bereiche": sorted(counts), "per_bereich": dict(sorted(counts.items())), **({"requested_bereich": requested} if requested is not None else {})}
+        return {"action": "search", "subject": None, "detail": json.dumps(detail, ensure_ascii=False)}
+
+    return watched, row
+
+
 def caveats(hits: DataFrame, all_hits: DataFrame, uncovered: int = 0) -> DataFrame:
     """(caveat, n) of what a reader should know: hits demoted for a successor that is not named, resident hits left out of all_hits, blocks without vectors."""
     hidden = all_hits.agg(F.lit("successor-not-shown").alias("caveat"), F.count_if(F.col("demoted") & ~F.col("outdated")).alias("n"))

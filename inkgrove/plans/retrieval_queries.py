@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from inkgrove.functions import scalars as S
+from inkgrove.operators import ledger as LEDGER
 from inkgrove.operators import retrieval as R
 from inkgrove.operators import segments as SEG
 from inkgrove.plans import manifests
@@ -89,6 +90,36 @@ def index_upsert(spark, sf_dir):
     return R.bm25(SEG.open_index(spark, root), TEXT_QUERY).select("citation", "id", "idx", F.round("score", 6).alias("score"))
 
 
+_SEARCHES = (TEXT_QUERY, PREFIX_QUERY, "no such words zzzz")
+
+
+def _search_sql(i: int) -> str:
+    text = _SEARCHES[i]
+    hashed = hashlib.sha256(f"k|{text.lower()}".encode()).hexdigest()
+    return f"""SELECT {i + 1} AS seq, '{hashed}' AS query, (SELECT count(*) FROM ({_only_lex(text)})) AS hits,
+        (SELECT coalesce(string_agg(bereich || '=' || n, ',' ORDER BY bereich), '') FROM (SELECT bereich, count(*) AS n FROM ({_only_lex(text)}) WHERE bereich IS NOT NULL GROUP BY bereich)) AS departments"""
+
+
+def _only_lex(text: str) -> str:
+    return f"{with_sql('notes', 'blocks')}, {_bm25_sql(text, 50)} SELECT * FROM lex"
+
+
+@query(" UNION ALL ".join(_search_sql(i) for i in range(len(_SEARCHES))))
+def search_log(spark, sf_dir):
+    """A row of the log for each search, counted within the search's own run, chained in a ledger and read back."""
+    index, root = index_of(spark, sf_dir), f"{shared_root(spark)}/inkgrove/searches-{uuid.uuid4().hex}"
+    for i, text in enumerate(_SEARCHES):
+        found = R.bm25(index, text).join(index.places.select("citation", "bereich"), "citation")
+        watched, row = R.logged_search(found, text, "k")
+        watched.write.format("noop").mode("overwrite").save()
+        log = spark.createDataFrame([("here", i, "user-1", *row().values())], "device string, seq bigint, actor string, action string, subject string, detail string")
+        LEDGER.append_chained(root, log)
+    detail = lambda path: F.get_json_object("detail", path)
+    counts = F.from_json(detail("$.per_bereich"), "map<string,bigint>")
+    departments = F.array_join(F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return LEDGER.read(spark, root).select(F.col("seq").cast("int").alias("seq"), detail("$.query").alias("query"), detail("$.hits").cast("bigint").alias("hits"), departments.alias("departments"))
+
+
 def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label", (F.col("vec_id") % 5).cast("int").alias("ring"), F.col("vec_id").alias("citation"))
 

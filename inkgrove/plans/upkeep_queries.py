@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from inkgrove.functions import scalars as S
@@ -10,13 +12,14 @@ from inkgrove.operators import embedding as E
 from inkgrove.operators import fleet as L
 from inkgrove.operators import index as I
 from inkgrove.operators import ingest as G
+from inkgrove.operators import ledger as LEDGER
 from inkgrove.operators import notes as N
 from inkgrove.operators import policy as Y
 from inkgrove.operators import usage as U
 from inkgrove.plans.policy_queries import _RETENTION
 from inkgrove.plans.registry import query
 from inkgrove.plans.retrieval_queries import CANARIES_SQL, canary_pairs, index_of
-from inkgrove.plans.shared import cut
+from inkgrove.plans.shared import cut, shared_root
 from inkgrove.session import table
 from inkgrove.sources import readers as R
 from inkgrove.sources.corpus import NOW, audit, blocks, links, notes, with_sql
@@ -48,6 +51,68 @@ def embed_documents(spark, sf_dir):
     return out.select("doc_id", "known", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[DIMS - 1], 6).alias("last"))
 
 
+def _piece_table(spark, sf_dir):
+    """Pieces of the words of benchmark: beginnings of up to four letters, and what follows within a word in up to three."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(S.tokens(F.coalesce("text", F.lit("")))).alias("w")).distinct()
+    begin = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.substring("w", F.lit(1), k))).alias("piece"))
+    places = F.explode(F.sequence(F.lit(2), F.length("w"))).alias("p")
+    within = words.where(F.length("w") > 1).select("w", places).select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.concat(F.lit("##"), F.substring(F.col("w"), F.col("p"), k)))).alias("piece"))
+    return begin.unionByName(within).distinct()
+
+
+_PIECES_SQL = rf"""bw AS (SELECT DISTINCT unnest({_WORDS.replace("text", "coalesce(text, '')")}) AS w FROM benchmark),
+    pieces AS (SELECT DISTINCT substr(w, 1, k) AS piece FROM bw, range(1, 5) r(k) UNION SELECT DISTINCT '##' || substr(w, p, k) FROM (SELECT w, unnest(range(2, length(w) + 1)) AS p FROM bw), range(1, 4) r(k)),
+    dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM (SELECT doc_id, {_WORDS.replace("text", "coalesce(text, '')")} AS w FROM documents)),
+    steps(word, pos, out) AS (
+        SELECT DISTINCT word, 1::BIGINT, []::VARCHAR[] FROM dw
+        UNION ALL SELECT word, pos + k, list_append(out, piece) FROM (
+            SELECT word, pos, out, k, piece FROM steps, range(1, 5) r(k) JOIN pieces ON piece = CASE WHEN pos > 1 THEN '##' ELSE '' END || substr(word, pos, k)
+            WHERE pos <= length(word) AND pos + k - 1 <= length(word) QUALIFY row_number() OVER (PARTITION BY word, pos ORDER BY k DESC) = 1)),
+    whole AS (SELECT word, out FROM steps WHERE pos = length(word) + 1),
+    told AS (SELECT doc_id, i, coalesce(out, ['?']) AS out FROM dw LEFT JOIN whole USING (word))"""
+
+
+@query(f"""WITH RECURSIVE {_PIECES_SQL}, s AS (SELECT doc_id, CAST(sum(len(out)) AS BIGINT) AS n, count(*) FILTER (out = ['?']) AS unknown, md5(string_agg(array_to_string(out, ' '), ' ' ORDER BY i)) AS cuts FROM told GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n, coalesce(unknown, 0) AS unknown, coalesce(cuts, md5('')) AS cuts FROM documents LEFT JOIN s USING (doc_id)""")
+def subword_pieces(spark, sf_dir):
+    """Every document's words in the longest pieces of a vocabulary."""
+    pieces = E.held_pieces(_piece_table(spark, sf_dir))
+    ids = E.subword_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces, "doc_id")
+    named = ids.select("doc_id", F.posexplode_outer("ids").alias("i", "id")).join(F.broadcast(spark.createDataFrame([*enumerate(pieces), (-1, "?")], "id int, piece string")), "id", "left")  # MAX_PIECES at most
+    cuts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "piece")))), lambda x: x["piece"]), " ")
+    return named.groupBy("doc_id").agg(F.count("i").alias("n"), F.count_if(F.col("id") == -1).alias("unknown"), F.md5(cuts).alias("cuts"))
+
+
+@query("""WITH l AS (SELECT event_id % 16 AS d, event_id AS seq, max(event_id) FILTER (event_id <= 2000) OVER (PARTITION BY event_id % 16) AS top FROM events)
+    SELECT 'dev-' || d AS device, count(*) AS rows, true AS whole, count(*) AS head FROM l GROUP BY d""")
+def ledger_appends(spark, sf_dir):
+    """The events as two appends to a ledger: one chain a device, numbered without gaps."""
+    root = f"{shared_root(spark)}/inkgrove/ledger-{uuid.uuid4().hex}"
+    for half in ("seq <= 2000", "seq > 2000"):
+        LEDGER.append_chained(root, _device_log(spark, sf_dir).where(half))
+    told = A.verify_chain(LEDGER.read(spark, root)).select("device", "rows", F.col("first_break").isNull().alias("whole"))
+    return told.join(LEDGER.heads(spark, root).select("device", F.col("seq").alias("head")), "device")
+
+
+@query("""WITH l AS (SELECT event_id % 16 AS d, event_id AS seq, (event_id // 1000) AS batch FROM events), f AS (SELECT d, min(seq) AS broken FROM l WHERE d < 4 AND seq % 1000 BETWEEN 300 AND 315 AND seq > 1000 GROUP BY d)
+    SELECT 'dev-' || d AS device, count(*) FILTER (broken IS NULL OR seq < broken) AS taken, count(*) FILTER (seq >= broken) AS refused FROM l LEFT JOIN f USING (d) GROUP BY d""")
+def hub_deliveries(spark, sf_dir):
+    """Sealed logs delivered in batches, each of them twice: edited rows, and what would follow them, are refused."""
+    root = f"{shared_root(spark)}/inkgrove/hub-{uuid.uuid4().hex}"
+    sealed = cut(A.seal(_device_log(spark, sf_dir)), "sealed")
+    k = F.col("seq")
+    edited = (k % 16 < 4) & (k % 1000).between(300, 315) & (k > 1000)
+    sent = cut(sealed.withColumn("detail", F.when(edited, "{}x").otherwise(F.col("detail"))), "sent")
+    take, top = LEDGER.deliver(root, "hub"), sent.agg(F.max("seq")).first()[0] or 0
+    size = top // 4 + 1
+    for i in range(4):
+        for _ in range(2):
+            take(sent.where(F.floor(k / size) == i), i)
+    taken = LEDGER.read(spark, root).groupBy("device").agg(F.count("*").alias("taken"))
+    refused = spark.read.parquet(f"{root}/refused/hub").groupBy("device").agg(F.count("*").alias("refused"))
+    return taken.join(refused, "device", "left").select("device", "taken", F.coalesce("refused", F.lit(0)).alias("refused"))
+
+
 @query("SELECT count(*) FILTER (label % 4 <> 0) AS usable, count(*) FILTER (label % 4 = 0) AS other, 0 AS missing FROM embeddings")
 def vector_profiles(spark, sf_dir):
     mine, old = E.profile_id("static", DIMS, "2"), E.profile_id("static", DIMS, "1")
