@@ -1,12 +1,12 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Base detectors find emails, IP addresses, card numbers and phone numbers. Their values are the
-protected entities. From the whole corpus, co-occurrence then estimates how strongly a term reveals an
-entity: over N different texts, PMI(t; e) = log2(p(e | t) / p(e)), against the entity's information content
-IC(e) = -log2 p(e). A term whose PMI / IC reaches REMOVE_AT is removed wherever it stands, one that reaches
-GENERALISE_AT is generalised. p(e) = n(e) / N, and p(e | t) = (n(t, e) + SMOOTHING p(e)) / (n(t) + SMOOTHING): terms
-and entities in few texts are judged as well, with the less trust the fewer they are. All counts are of
-different whole texts, so copies of one document prove nothing; a term counts where it stands outside base spans.
+Base detectors find emails, IP addresses, card numbers and phone numbers. Their values, and the parts that several share (an address's
+domain, a number's beginning), are the protected entities. From the whole corpus, co-occurrence then estimates how strongly a term reveals an
+entity: its disclosure is -log2 p(e | t), the bits that are left to guess once the term is known. p(e | t) is estimated low, as
+k / (n(t) + own + DISCOUNT), where k = n(t, e) + own and own is 1 if the term stands in the address itself: few texts prove little, and one text proves
+nothing (k must reach LEAST_EVIDENCE). A term that leaves REMOVE_BITS at most is removed wherever it stands, one that leaves GENERALISE_BITS
+generalised, if it also gains LEAST_GAIN bits over -log2 p(e): what everybody shares is no secret. Nothing here moves with the number of texts: the same evidence has the same verdict
+in a small corpus and in a large one. All counts are of different whole texts, so copies of one document prove nothing; a term counts where it stands outside base spans.
 
 To generalise a term is to name only the longest beginning that CLASS_TERMS different terms of the corpus share: what is left tells one
 of these at most.
@@ -19,9 +19,14 @@ from pyspark.sql import functions as F
 
 from inkgrove.plans.shared import cut, join_sized
 
-#: As if so many more texts held a term, with the entity as often as in all texts.
-SMOOTHING = 1.0
-REMOVE_AT, GENERALISE_AT = 0.95, 0.9
+#: As if so many more texts held a term, without the entity.
+DISCOUNT = 2.0
+#: Bits left to guess of an entity, from which on a term is removed or generalised.
+REMOVE_BITS, GENERALISE_BITS = 0.5, 1.0
+#: Texts that hold both, the address's own words counting as one, and bits that the term must gain.
+LEAST_EVIDENCE, LEAST_GAIN = 2, 3.0
+#: Of a phone or card number, the digits that its region or issuer has.
+PHONE_REGION, CARD_ISSUER = 5, 6
 #: Terms are runs of so many letters at least.
 TERM_LETTERS = 3
 #: Terms that a generalised one could be, at least.
@@ -138,37 +143,50 @@ def generalised(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return longest.select("term", F.concat("begin", F.lit("*")).alias("shown"))
 
 
+def _protected(spans: Column) -> Column:
+    """array<struct<entity, own>> of base spans: each value and the part of it that others share; own are the words of an address's local part."""
+
+    def entities(s: Column) -> Column:
+        value = F.lower(s["found"])
+        words = F.filter(F.split(F.substring_index(value, "@", 1), r"[^\p{L}]+"), lambda w: F.length(w) >= TERM_LETTERS)
+        part = F.when(s["kind"] == "email", F.substring_index(value, "@", -1)).when(s["kind"] == "ip", F.substring_index(value, ".", 2))
+        part = part.when(s["kind"] == "card", F.left(_digits(value), F.lit(CARD_ISSUER))).otherwise(F.left(_digits(value), F.lit(PHONE_REGION)))
+        own = F.when(s["kind"] == "email", words).otherwise(F.array().cast("array<string>"))
+        none = F.array().cast("array<string>")
+        return F.array(F.struct(F.concat_ws(":", s["kind"], value).alias("entity"), own.alias("own")), F.struct(F.concat_ws(":", s["kind"], F.lit("part"), part).alias("entity"), none.alias("own")))
+
+    return F.array_distinct(F.flatten(F.transform(spans, entities)))
+
+
 def disclosing_terms(rows: DataFrame) -> DataFrame | None:
-    """(term, share, shown) of the terms that reveal an entity of rows (_ink_text, _ink_base), as a cut table; shown stands in for the term.
+    """(term, bits, shown) of the terms that reveal an entity of rows (_ink_text, _ink_base), as a cut table; shown stands in for the term.
 
     Counts cover all different texts. None if no text has an entity."""
     rows = rows.select(F.xxhash64("_ink_text").alias("h"), "_ink_text", "_ink_base")
-    entities = F.array_distinct(F.transform("_ink_base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["found"]))))
     terms = _terms(_outside(F.col("_ink_text"), F.col("_ink_base")))
-    held = cut(rows.where(F.size("_ink_base") > 0).select("h", terms.alias("terms"), entities.alias("entities")).dropDuplicates(["h"]), "held")
+    held = cut(rows.where(F.size("_ink_base") > 0).select("h", terms.alias("terms"), _protected(F.col("_ink_base")).alias("entities")).dropDuplicates(["h"]), "held")
     if held.isEmpty():
         return None
     copies = cut(rows.groupBy("h").agg(F.count("*").alias("copies")).where(F.col("copies") > 1), "copies")
     n_texts = rows.count() - (copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
-    total = F.lit(float(n_texts))
-    n_entity = cut(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
-    # No share is high enough where even the commonest entity in all its texts is too little for a term's texts.
+    n_entity = cut(held.select(F.explode(F.array_distinct(F.transform("entities", lambda e: e["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
+    # No chance is high enough where even the commonest entity in all its texts is too little for a term's texts.
     most = n_entity.agg(F.max("n_entity")).first()[0]
-    bound = (most + SMOOTHING) * n_texts ** (1 - GENERALISE_AT) * (1 + 1e-9)
+    bound = (most + 1) * 2**GENERALISE_BITS
     words = join_sized(rows, copies, ["h"]).select(F.explode(terms).alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
     n_term = words.groupBy("term").agg(F.round(F.sum("weight")).cast("bigint").alias("n_term"))
-    n_term = cut(n_term.where(F.col("n_term") + SMOOTHING <= bound), "terms")
+    n_term = cut(n_term.where(F.col("n_term") + DISCOUNT <= bound), "terms")
 
     own = join_sized(held.select("entities", F.explode("terms").alias("term")), n_term, ["term"], "inner")
-    pairs = own.select("term", "n_term", F.explode("entities").alias("entity")).groupBy("term", "n_term", "entity").agg(F.count("*").alias("n_both"))
-    p_entity = F.col("n_entity") / total
-    p_both = (F.col("n_both") + SMOOTHING * p_entity) / (F.col("n_term") + SMOOTHING)
-    share = F.try_divide(F.log2(p_both / p_entity), -F.log2(p_entity))
-    scored = join_sized(pairs, n_entity, ["entity"], "inner").groupBy("term").agg(F.max(share).alias("share"))
-    found = cut(scored.where(F.col("share") >= GENERALISE_AT), "scored")
-    classes = cut(generalised(found.where(F.col("share") < REMOVE_AT), n_term), "classes")
-    shown = F.when(F.col("share") >= REMOVE_AT, "removed").otherwise(F.coalesce("shown", F.lit("word")))
-    return cut(join_sized(found, classes, ["term"]).select("term", "share", shown.alias("shown")), "disclosing")
+    each = own.select("term", "n_term", F.explode("entities").alias("e")).select("term", "n_term", "e.entity", F.array_contains("e.own", F.col("term")).cast("int").alias("own"))
+    pairs = each.groupBy("term", "n_term", "entity").agg(F.count("*").alias("n_both"), F.max("own").alias("own")).where(F.col("n_both") + F.col("own") >= LEAST_EVIDENCE)
+    left = -F.log2((F.col("n_both") + F.col("own")) / (F.col("n_term") + F.col("own") + DISCOUNT))
+    gain = -F.log2(F.col("n_entity") / F.lit(float(n_texts))) - F.col("bits")
+    scored = join_sized(pairs.withColumn("bits", left).where(F.col("bits") <= GENERALISE_BITS), n_entity, ["entity"], "inner").where(gain >= LEAST_GAIN)
+    found = cut(scored.groupBy("term").agg(F.min("bits").alias("bits")), "scored")
+    classes = cut(generalised(found.where(F.col("bits") > REMOVE_BITS), n_term), "classes")
+    shown = F.when(F.col("bits") <= REMOVE_BITS, "removed").otherwise(F.coalesce("shown", F.lit("word")))
+    return cut(join_sized(found, classes, ["term"]).select("term", "bits", shown.alias("shown")), "disclosing")
 
 
 def sanitise(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -471,8 +471,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component of near_duplicates() stays, that of the smallest id; columns stay as they are.
 
-    Rows alike in id and text are one document here. Where all ids of a component are null, all stay."""
+    Rows alike in id and text are one document here. Where all ids of a component are null, all stay. Other columns may have any names."""
     found = near_duplicates(docs)
     lost = cut(found.where("component_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("_ink_id"), F.col("row").alias("_ink_row")).distinct(), "lost")
-    same = docs["doc_id"].eqNullSafe(F.col("_ink_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_ink_row"))
-    return join_sized(docs, lost, same, "left_anti")
+    boxed = docs.select(F.struct("*").alias("_ink_doc"))  # whatever the columns' names
+    same = F.col("_ink_doc.doc_id").eqNullSafe(F.col("_ink_id")) & (F.xxhash64(F.coalesce("_ink_doc.text", F.lit(""))) == F.col("_ink_row"))
+    return join_sized(boxed, lost, same, "left_anti").select("_ink_doc.*")

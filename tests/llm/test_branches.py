@@ -61,26 +61,29 @@ def test_op1_sample_of_a_hot_language(spark, monkeypatch):
 
 
 def brute_terms(texts):
-    """(term, best share) over different texts with the smoothed PMI of the module's docstring."""
+    """(term, fewest bits left) over different texts with mails, by the module's docstring."""
     import re
 
     held = {}
     for t in set(texts):
         spans = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", t)]
         rest = "".join(" " if any(a <= i < b for a, b in spans) else c for i, c in enumerate(t))
-        held[t] = {w for w in re.split(r"[^a-zäöüß]+", rest.lower()) if len(w) >= disclosure.TERM_LETTERS}, {t[a:b].lower() for a, b in spans}
-    n = len(held)
-    n_term, n_entity, both = Counter(), Counter(), Counter()
+        words = lambda x: {w for w in re.split(r"[^a-zäöüß]+", x.lower()) if len(w) >= disclosure.TERM_LETTERS}
+        mails = [t[a:b].lower() for a, b in spans]
+        held[t] = words(rest), {(m, frozenset(words(m.split("@")[0]))) for m in mails} | {("@" + m.split("@")[1], frozenset()) for m in mails}
+    n_term, n_entity, both, own = Counter(), Counter(), Counter(), set()
     for words, names in held.values():
         n_term.update(words)
-        n_entity.update(names)
-        both.update((w, e) for w in words for e in names)
+        n_entity.update(e for e, _ in names)
+        both.update((w, e) for w in words for e, _ in names)
+        own |= {(w, e) for w in words for e, mine in names if w in mine}
     best = {}
     for (w, e), k in both.items():
-        p = n_entity[e] / n
-        share = math.log2(((k + disclosure.SMOOTHING * p) / (n_term[w] + disclosure.SMOOTHING)) / p) / -math.log2(p)
-        best[w] = max(best.get(w, -9), share)
-    return {w: s for w, s in best.items() if s >= disclosure.GENERALISE_AT}
+        mine = (w, e) in own
+        bits = -math.log2((k + mine) / (n_term[w] + mine + disclosure.DISCOUNT))
+        if k + mine >= disclosure.LEAST_EVIDENCE and bits <= disclosure.GENERALISE_BITS and -math.log2(n_entity[e] / len(held)) - bits >= disclosure.LEAST_GAIN:
+            best[w] = min(best.get(w, 9), bits)
+    return best
 
 
 @pytest.mark.parametrize("joins", ["broadcast", "shuffled"])
@@ -89,10 +92,10 @@ def test_op2_terms_by_brute_force(spark, request, joins):
         request.getfixturevalue("shuffled")
     rnd = random.Random(2)
     words = [f"{a}{b}{c}" for a in "klmn" for b in "aeiou" for c in ("rt", "st", "nd", "mp", "lk", "sch")]
-    texts = [" ".join(rnd.choices(words, k=12)) + (f" rare{chr(97 + i % 26)}name writes to p{i % 17}@x.de" if i % 9 == 0 else "") for i in range(1500)] + ["same text, mail y@z.org"] * 30
+    texts = [" ".join(rnd.choices(words, k=12)) + (f" rare{chr(97 + i % 26)}name writes to p{i % 17}.rare{chr(97 + i % 13)}name@x{i % 26 if i % 4 else i % 31}.de" if i % 9 == 0 else "") for i in range(1500)] + ["same text, mail y@z.org"] * 30
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = df.select(F.col("text").alias("_ink_text"), disclosure.base_spans(F.col("text")).alias("_ink_base"))
-    got = {r.term: r.share for r in disclosure.disclosing_terms(rows).collect()}
+    got = {r.term: r.bits for r in disclosure.disclosing_terms(rows).collect()}
     want = brute_terms(texts)
     assert got.keys() == want.keys() and want and all(abs(got[w] - want[w]) < 1e-9 for w in want)
     out = {r.doc_id: r for r in disclosure.sanitise(df).collect()}
@@ -107,12 +110,26 @@ def test_op2_generalises_to_a_common_beginning(spark):
     assert {tuple(r) for r in disclosure.generalised(terms, many).collect()} == {("querbach", "quer*")}
 
 
-def test_op2_finds_terms_on_a_driver_table(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    found = disclosure.disclosing_terms(docs.select(F.col("text").alias("_ink_text"), disclosure.base_spans(F.col("text")).alias("_ink_base")))
-    assert found.where("shown like '%*'").count() > 0
-    out = queries.op2_sanitise(spark, SF).collect()
-    assert len({r.sanitised_sha256 for r in out}) > len(out) / 2
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_op2_planted_terms_and_rare_words_at_any_size(spark, size):
+    """On driver tables below and far above a thousand texts: planted names are found, planted rare words beside one address are not, nor are the table's own words."""
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text")
+    names = [f"quill{chr(97 + i)}{chr(97 + i * 7 % 26)}mond" for i in range(20)]
+    rare = [f"zwetsch{chr(97 + i)}{chr(97 + i * 5 % 26)}ken" for i in range(40)]
+    rows = [(10**7 + 10 * i + k, f"Word {k} of {n} who can be reached, mail {n}{k % 2}@firma{i}.de, number {k}") for i, n in enumerate(names) for k in range(6)]
+    rows += [(2 * 10**7 + i, f"Please write about {w} and cake, x{i}@mail{i % 3}.example.com now {i}") for i, w in enumerate(rare)]
+    both = docs.union(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r.term: r.shown for r in disclosure.disclosing_terms(both.select(F.col("text").alias("_ink_text"), disclosure.base_spans(F.col("text")).alias("_ink_base"))).collect()}
+    assert set(names) <= found.keys() and not found.keys() & {*rare, "please", "write", "about", "cake", "and", "now", "number", "word"}
+    assert len(found.keys() - set(names)) <= 5, sorted(found.keys() - set(names))
+
+
+def test_op2_a_verdict_does_not_move_with_the_corpus(spark):
+    rows = [(i, f"Alpha{chr(97 + i)}mann meets Querbach, mail a{i}@firma.de and {i}") for i in range(6)]
+    for plain in (60, 3000):
+        more = [(1000 + i, f"plain text number {i}") for i in range(plain)]
+        df = spark.createDataFrame(rows + more, "doc_id long, text string").select(F.col("text").alias("_ink_text"), disclosure.base_spans(F.col("text")).alias("_ink_base"))
+        assert {r.term for r in disclosure.disclosing_terms(df).collect()} == {"querbach", "meets", "mail", "and"}
 
 
 @pytest.mark.parametrize("counters", [2, 10**6])

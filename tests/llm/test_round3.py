@@ -151,6 +151,15 @@ def test_op12_never_forms_all_in_one_task(spark):
     assert r.shape == (6, 6) and np.allclose(r.T @ r, c.T @ c)
 
 
+def test_op10_clashing_names(spark):
+    from inkgrove.llm import jaccard
+
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, text), (2, text), (3, "other words entirely here now and then")], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("_ink_id", "_ink_row", "row", "a.b")})
+    out = jaccard.drop_near_duplicates(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
 def plain_phrases(rows, top=2000):
     n, f = {}, {}
     for lang, text in rows:
