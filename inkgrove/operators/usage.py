@@ -75,3 +75,29 @@ def transcript_tail(turns: DataFrame, budget: int) -> DataFrame:
     """The newest turns of each conversation whose lengths, with two characters between, stay within the budget."""
     newest = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
     return turns.withColumn("_sum", F.sum(F.length("text") + 2).over(newest)).where(F.col("_sum") <= budget).drop("_sum")
+
+
+#: How long a measured check speaks for the next one.
+CHECK_FRESH_SECONDS = 86_400
+
+
+def check_plans(calls: DataFrame, checks: DataFrame) -> DataFrame:
+    """calls with plan and last_ms: whether the check beside a search is worth starting within budget_ms, by how the endpoint's last one before it ended.
+
+    calls (endpoint, at, seq, budget_ms), checks (endpoint, at, seq, took_ms, completed); earlier is earlier by (at, seq). A budget of 0 means "run-unbounded". Else a
+    last check that was cut off means "skip-abandoned", one that took longer than the budget "skip-slow", and no check, or none of the last CHECK_FRESH_SECONDS,
+    "run". An as-of lookup: as only a day's checks count, it needs a day's rows of an endpoint at a time, and the last check of the day before."""
+    day = F.floor(F.unix_timestamp("at") / CHECK_FRESH_SECONDS)
+    ended = F.struct("at", "took_ms", "completed")
+    measured = checks.select("endpoint", "at", "seq", ended.alias("_check"), day.alias("_day"))
+    asked = calls.withColumn("_day", day)
+    both = asked.withColumn("_check", F.lit(None).cast(measured.schema["_check"].dataType)).unionByName(measured, allowMissingColumns=True)
+    earlier = Window.partitionBy("endpoint", "_day").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    within = both.withColumn("_is_call", F.col("_check").isNull()).withColumn("_last", F.last("_check", ignorenulls=True).over(earlier)).where("_is_call")
+    before = measured.groupBy("endpoint", (F.col("_day") + 1).alias("_day")).agg(F.max_by("_check", F.struct("at", "seq")).alias("_before"))
+    found = within.join(before, ["endpoint", "_day"], "left").withColumn("_last", F.coalesce("_last", "_before"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    fresh = micros("at") - micros("_last.at") <= CHECK_FRESH_SECONDS * 1_000_000
+    last = F.when(fresh, F.col("_last"))
+    plan = F.when(F.col("budget_ms") == 0, "run-unbounded").when(~last["completed"], "skip-abandoned").when(last["took_ms"] > F.col("budget_ms"), "skip-slow").otherwise("run")
+    return found.withColumns({"plan": plan, "last_ms": last["took_ms"]}).select(*calls.columns, "plan", "last_ms")

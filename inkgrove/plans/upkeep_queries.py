@@ -113,6 +113,18 @@ def hub_deliveries(spark, sf_dir):
     return taken.join(refused, "device", "left").select("device", "taken", F.coalesce("refused", F.lit(0)).alias("refused"))
 
 
+@query("""WITH e AS (SELECT event_id AS seq, ts, 'e' || user_id % 3 AS endpoint, event_id % 3 = 0 AS checked, CAST(json_extract(props, '$.k') AS BIGINT) * 60 AS took, event_id % 4 <> 0 AS completed, user_id % 4 * 1500 AS budget FROM events),
+    f AS (SELECT c.seq, c.budget, CASE WHEN c.ts - k.ts <= INTERVAL 1 DAY THEN k.took END AS took, CASE WHEN c.ts - k.ts <= INTERVAL 1 DAY THEN k.completed END AS completed
+        FROM (SELECT * FROM e WHERE NOT checked) c ASOF LEFT JOIN (SELECT * FROM e WHERE checked) k ON k.endpoint = c.endpoint AND k.seq < c.seq)
+    SELECT seq, CASE WHEN budget = 0 THEN 'run-unbounded' WHEN NOT completed THEN 'skip-abandoned' WHEN took > budget THEN 'skip-slow' ELSE 'run' END AS plan, took AS last_ms FROM f""")
+def check_plans(spark, sf_dir):
+    """A third of the events as measured checks of three endpoints, the others as searches that may start one."""
+    k = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(k.alias("seq"), F.col("ts").alias("at"), F.concat(F.lit("e"), F.col("user_id") % 3).alias("endpoint"), (F.get_json_object("props", "$.k").cast("bigint") * 60).alias("took_ms"), (k % 4 != 0).alias("completed"), (F.col("user_id") % 4 * 1500).alias("budget_ms"))
+    found = U.check_plans(rows.where("seq % 3 <> 0").select("endpoint", "at", "seq", "budget_ms"), rows.where("seq % 3 = 0").select("endpoint", "at", "seq", "took_ms", "completed"))
+    return found.select("seq", "plan", "last_ms")
+
+
 @query("SELECT count(*) FILTER (label % 4 <> 0) AS usable, count(*) FILTER (label % 4 = 0) AS other, 0 AS missing FROM embeddings")
 def vector_profiles(spark, sf_dir):
     mine, old = E.profile_id("static", DIMS, "2"), E.profile_id("static", DIMS, "1")
