@@ -29,6 +29,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from inkgrove.llm.components import components
 from inkgrove.llm.hashing import mix, slice_hashes
+from inkgrove.llm.vocab import forget_encoders
+from inkgrove.llm.worker import frugal
 from inkgrove.plans.shared import cut, join_back, join_sized, tune_arrow
 
 WORDS, PERCENT = 5, 80
@@ -130,7 +132,7 @@ def _finer(blocks: DataFrame, bits: int) -> DataFrame:
                 held.add(*unpack_block(block))
         yield from map(_block_row, held.flush())
 
-    return blocks.repartition("range").sortWithinPartitions("range").mapInArrow(run, "range int, block binary")
+    return blocks.repartition("range").sortWithinPartitions("range").mapInArrow(frugal(run), "range int, block binary")
 
 
 def pack_block(columns: list[np.ndarray]) -> bytes:
@@ -182,7 +184,7 @@ def _frequent(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
         out = [(int(v), int((level == v).sum()), pack_block([keys[often][level == v]])) for v in np.unique(level)]
         return pd.DataFrame(out, columns=["level", "n", "keys"])
 
-    found = rows.select("body").mapInArrow(blocks, "range int, block binary")
+    found = rows.select("body").mapInArrow(frugal(blocks, forget_encoders), "range int, block binary")
     found = _finer(found, bits) if bits > COARSE_BITS else found
     counted = cut(found.groupBy("range").applyInPandas(count, "level int, n bigint, keys binary"), "frequent")
     room, least = MOST_FREQUENT, 64
@@ -266,7 +268,7 @@ def _mark(rows: DataFrame, bits: int, frequent) -> DataFrame:
                 yield from handed_out()
         yield from handed_out()
 
-    return rows.select("id", "row", "body").mapInArrow(run, shape)
+    return rows.select("id", "row", "body").mapInArrow(frugal(run, forget_encoders), shape)
 
 
 def _can_link(n1: np.ndarray, place1: np.ndarray, n2: np.ndarray, place2: np.ndarray) -> np.ndarray:
@@ -387,7 +389,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFram
             found = [x.tobytes() for x in shingle_sets([x or b"" for x in batch.column("body").take(pa.array(new, pa.int64())).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column("sig").take(pa.array(new, pa.int64())), pa.array(found, pa.binary())], ["sig", "elements"])
 
-    whole = cut(whose.mapInArrow(sets, "sig binary, elements binary"), "sets")
+    whole = cut(whose.mapInArrow(frugal(sets), "sig binary, elements binary"), "sets")
     side = lambda c: degrees.select(F.col("sig").alias(c), F.col("degree").alias(f"degree_{c}"))
     sided = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v")
     first = F.col("degree_u") >= F.col("degree_v")
@@ -411,7 +413,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("leaf")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     groups = asked.join(whole, "sig").repartition("hub", "deal").sortWithinPartitions("hub", "deal", F.col("leaf").asc_nulls_first())
-    return cut(groups.select("hub", "leaf", "elements").mapInArrow(compare, "u binary, v binary"), "links")
+    return cut(groups.select("hub", "leaf", "elements").mapInArrow(frugal(compare), "u binary, v binary"), "links")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkgrove.llm.vocab import forget_encoders
+from inkgrove.llm.worker import frugal
 from inkgrove.plans.shared import tune_arrow
 
 #: Bytes of context at most.
@@ -225,7 +227,7 @@ def identify(docs: DataFrame, train: Column | None = None, text: str = "text", l
             columns = [batch.column(f.name) for f in kept] + [pa.array(lang, pa.string()), pa.array(score), pa.array(rate, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + ["lang_pred", "score", "bits_per_byte"])
 
-    return rows.mapInArrow(predict, T.StructType([*kept, *found]))
+    return rows.mapInArrow(frugal(predict, forget_encoders), T.StructType([*kept, *found]))
 
 
 #: A document stays if its language is determined with at least this probability.

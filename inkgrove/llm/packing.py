@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkgrove.llm.vocab import encoder
+from inkgrove.llm.worker import frugal
 from inkgrove.plans.shared import cut, join_sized, tune_arrow
 
 CAPACITY, END_ID = 2048, 0
@@ -146,7 +147,7 @@ def pieces(docs: DataFrame, vocabulary: str, text: str = "text", id_col: str = "
             columns = [batch.column("_ink_id").take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names)
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("_ink_id", id_col)
+    return rows.mapInArrow(frugal(run), schema).withColumnRenamed("_ink_id", id_col)
 
 
 def pack(docs: DataFrame, vocabulary: str, text: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = False, plain_specials: bool = False) -> DataFrame:

@@ -261,6 +261,11 @@ class PieceEncoder:
         return np.array(words + bare + others, np.int64), np.concatenate(ids), np.concatenate(sizes).astype(np.int32)
 
 
+def forget_encoders() -> None:
+    """Let the worker's encoders and the pieces they hold go; the next use loads them anew."""
+    _loaded.clear()
+
+
 def encoder(path: str, plain_specials: bool = False) -> PieceEncoder:
     """The worker's encoder for a vocabulary file."""
     if (path, plain_specials) not in _loaded:
