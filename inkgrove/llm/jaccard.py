@@ -10,7 +10,8 @@ members with different sets, whose whole sets are recomputed and compared.
 A posting over LONG groups is not paired off: each group is paired with a hub (the group with the fewest rarer elements)
 and with the next one, and the links found join most of it. Tasks do this to their own part of a posting first and hand on
 its hub alone, so no posting meets whole. Groups of it that then still lie in different components are held against each
-other in a second round, block by block, so no link between components is missed and no group of near copies is squared.
+other in a second round, block by block, so no link between components is missed and no group of near copies is squared. There the
+parities of the sets' elements by hash bucket tell most pairs apart: two sets differ in at least as many elements as buckets.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ COARSE_BITS = 12
 ROUND_BLOCK, ROUND_ROWS = 1000, 50_000
 #: Sets compared with one copy of a set that many are compared with.
 AROUND_HUB = 64
+#: Bits of a set's parities.
+PARITIES = 1024
 #: Shingles are counted by the upper bits of their hash.
 COUNTED_SHIFT = np.uint64(20)
 
@@ -209,7 +212,12 @@ def _signature(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-_MARKED = ["id", "row", "n", "sig", "grp", "range", "block", "posting", "a", "b"]
+def _parities(found: np.ndarray) -> bytes:
+    """For each of PARITIES hash buckets, whether an odd number of the elements falls there."""
+    return np.packbits(np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) % 2 == 1).tobytes()
+
+
+_MARKED = ["id", "row", "n", "sig", "odd", "grp", "range", "block", "posting", "a", "b"]
 
 
 def _marked_batch(kinds: dict, size: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -219,9 +227,9 @@ def _marked_batch(kinds: dict, size: int, **columns: pa.Array) -> pa.RecordBatch
 def _mark(rows: DataFrame, bits: int, frequent) -> DataFrame:
     """A row (id, row, n, sig, grp) for each document; rows (range, block) of postings (prefix element, group, size, place, reduced); and
     for what a task has settled of long postings, pairs (a, b) of groups and members (posting, a: group, b: place, n)."""
-    kinds = {"id": to_arrow_type(rows.schema["id"].dataType), "sig": pa.binary(), "range": pa.int32(), "block": pa.binary()}
+    kinds = {"id": to_arrow_type(rows.schema["id"].dataType), "sig": pa.binary(), "odd": pa.binary(), "range": pa.int32(), "block": pa.binary()}
     kinds = {c: kinds.get(c, pa.int64()) for c in _MARKED}
-    shape = T.StructType([T.StructField("id", rows.schema["id"].dataType)] + [T.StructField(c, {"sig": T.BinaryType(), "block": T.BinaryType(), "range": T.IntegerType()}.get(c, T.LongType())) for c in _MARKED[1:]])
+    shape = T.StructType([T.StructField("id", rows.schema["id"].dataType)] + [T.StructField(c, {"sig": T.BinaryType(), "odd": T.BinaryType(), "block": T.BinaryType(), "range": T.IntegerType()}.get(c, T.LongType())) for c in _MARKED[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, levels = frequent.value
@@ -242,11 +250,12 @@ def _mark(rows: DataFrame, bits: int, frequent) -> DataFrame:
 
         held = _Ranges(min(bits, COARSE_BITS), hubs_only)
         for batch in batches:
-            sizes, sigs, groups = [], [], []
+            sizes, sigs, odd, groups = [], [], [], []
             for found in shingle_sets([x or b"" for x in batch.column("body").to_pylist()]):
                 n = len(found)
                 sizes.append(n)
                 sigs.append(_signature(found))
+                odd.append(_parities(found))
                 if not n:
                     groups.append(0)
                     continue
@@ -263,7 +272,7 @@ def _mark(rows: DataFrame, bits: int, frequent) -> DataFrame:
                 group = np.frombuffer(xxhash.xxh3_64_digest(prefix.tobytes(), n), ">u8")[0]
                 groups.append(int(group.astype(np.int64)))
                 held.add(prefix, np.full(len(prefix), group, np.uint64), np.full(len(prefix), n, np.uint64), place.astype(np.uint64))
-            yield _marked_batch(kinds, batch.num_rows, id=batch.column("id"), row=batch.column("row"), n=pa.array(sizes, pa.int64()), sig=pa.array(sigs, pa.binary()), grp=pa.array(groups, pa.int64()))
+            yield _marked_batch(kinds, batch.num_rows, id=batch.column("id"), row=batch.column("row"), n=pa.array(sizes, pa.int64()), sig=pa.array(sigs, pa.binary()), odd=pa.array(odd, pa.binary()), grp=pa.array(groups, pa.int64()))
             if held.size >= HELD_POSTINGS:
                 yield from handed_out()
         yield from handed_out()
@@ -278,6 +287,12 @@ def _can_link(n1: np.ndarray, place1: np.ndarray, n2: np.ndarray, place2: np.nda
     return np.minimum(n1 - place1, n2 - place2) >= least
 
 
+def _near_enough(n1: np.ndarray, odd1: np.ndarray, n2: np.ndarray, odd2: np.ndarray) -> np.ndarray:
+    """Whether two sets can have the similarity by their parities (rows of 64-bit words): a bucket of unlike parity holds an element of only one of them."""
+    least = -(-PERCENT * (n1 + n2) // (100 + PERCENT))
+    return np.bitwise_count(odd1 ^ odd2).sum(axis=-1, dtype=np.int64) <= n1 + n2 - 2 * least
+
+
 def _starred(element: np.ndarray, group: np.ndarray, n: np.ndarray, place: np.ndarray, reduced: np.ndarray, all_short: bool):
     """Pairs (a, b) of groups that share an element, members (posting, a: group, b: place, n) of long postings, and the columns of
     what is left once of each long posting only its hub is.
@@ -339,10 +354,12 @@ def _apart(frame: pd.DataFrame) -> pd.DataFrame:
     for (_, x, y), own in frame.groupby(["posting", "x", "y"], sort=False):
         label, sig = pd.factorize(own["label"])[0], own["sig"].to_numpy()
         n, place, block = (own[c].to_numpy() for c in ("n", "place", "block"))
+        odd = np.frombuffer(b"".join(own["odd"]), np.uint64).reshape(len(own), -1)
         one, two = np.flatnonzero(block == x), np.flatnonzero(block == y)
         for i in one:
             js = two[two > i] if x == y else two
             js = js[(label[js] != label[i]) & _can_link(n[i], place[i], n[js], place[js])]
+            js = js[_near_enough(n[i], odd[i], n[js], odd[js])]
             found.append(np.stack([np.full(len(js), sig[i], object), sig[js]], axis=1))
     pairs = np.concatenate(found)
     low = [(min(u, v), max(u, v)) for u, v in pairs.tolist()]
@@ -350,7 +367,7 @@ def _apart(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _between_components(held: DataFrame) -> DataFrame | None:
-    """Pairs (u, v) of members of held (posting, sig, n, place, label), a cut table, that share a posting but no component and can link.
+    """Pairs (u, v) of members of held (posting, sig, n, odd, place, label), a cut table, that share a posting but no component and can link.
 
     The members of a posting stand in blocks of about ROUND_BLOCK: a component with more has blocks of its own, the others share
     some. Only blocks of different components meet, each pair of blocks as one group. None if no posting has two components."""
@@ -362,13 +379,13 @@ def _between_components(held: DataFrame) -> DataFrame | None:
         return None
     own = F.concat(F.hex("label"), F.lit("/"), F.pmod(F.xxhash64("sig"), F.ceil(F.col("members") / ROUND_BLOCK)))
     block = F.when(large, own).otherwise(F.concat(F.lit("/"), F.pmod(F.xxhash64("label"), F.greatest("_shared", F.lit(1)))))
-    members = cut(held.join(sizes, ["posting", "label"]).select("posting", "sig", "n", "place", "label", block.alias("block"), F.when(large, F.col("label")).alias("_whose")), "members")
+    members = cut(held.join(sizes, ["posting", "label"]).select("posting", "sig", "n", "odd", "place", "label", block.alias("block"), F.when(large, F.col("label")).alias("_whose")), "members")
     blocks = cut(members.groupBy("posting", "block").agg(F.first("_whose").alias("_whose")), "blocks")
     one, two = blocks.select("posting", F.col("block").alias("x"), F.col("_whose").alias("_x")), blocks.select("posting", F.col("block").alias("y"), F.col("_whose").alias("_y"))
     meet = one.join(two, "posting").where((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("_x") == F.col("_y"), F.lit(False))).select("posting", "x", "y")
     meet = cut(meet, "meet")
     sides = members.join(meet.select("posting", F.col("x").alias("block"), "x", "y"), ["posting", "block"]).unionByName(members.join(meet.where("x <> y").select("posting", F.col("y").alias("block"), "x", "y"), ["posting", "block"]))
-    sides = cut(sides.select("posting", "x", "y", "sig", "n", "place", "label", "block"), "sides")
+    sides = cut(sides.select("posting", "x", "y", "sig", "n", "odd", "place", "label", "block"), "sides")
     parts = max(1, sides.count() // ROUND_ROWS)
     return sides.withColumn("part", F.pmod(F.xxhash64("posting", "x", "y"), F.lit(parts))).groupBy("part").applyInPandas(_apart, "u binary, v binary").distinct()
 
@@ -434,12 +451,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     frequent = spark.sparkContext.broadcast(_frequent(rows, bits))
     marked = cut(_mark(rows, bits, frequent), "marked")
     frequent.unpersist()  # the table is written
-    members = marked.where("sig is not null").select("id", "row", "n", "sig", "grp")
+    members = marked.where("sig is not null").select("id", "row", "n", "sig", "odd", "grp")
     blocks = marked.where("range is not null").select("range", "block")
     blocks = _finer(blocks, bits) if bits > COARSE_BITS else blocks
     met = cut(blocks.groupBy("range").applyInPandas(_meet, "posting bigint, a bigint, b bigint, n bigint"), "met")
     met = met.select("posting", "a", "b").unionByName(marked.where("a is not null").select("posting", "a", "b"))
-    classes = cut(members.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "row")).alias("one"), F.min("id").alias("least"), F.count("*").alias("rows"), F.first("grp").alias("grp"), F.first("n").alias("n")), "classes")
+    classes = cut(members.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "row")).alias("one"), F.min("id").alias("least"), F.count("*").alias("rows"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("odd").alias("odd")), "classes")
     groups = cut(classes.groupBy("grp").agg(F.min("sig").alias("sig"), F.count("*").alias("many")), "groups")
 
     pairs = met.where("posting is null").select("a", "b").distinct()
@@ -453,7 +470,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     mixed = pairs.join(several.select(F.col("grp").alias("a")), "a", "left_semi").unionByName(pairs.join(several.select(F.col("grp").alias("b")), "b", "left_semi")).distinct()
     mixed = mixed.select(F.xxhash64("a", "b").alias("posting"), F.explode(F.array("a", "b")).alias("grp")).unionByName(several.select(F.col("grp").alias("posting"), "grp"))
     posted = met.where("posting is not null").select("posting", F.col("a").alias("grp"), F.col("b").alias("place")).unionByName(mixed.withColumn("place", F.lit(0).cast("bigint")))
-    held = posted.join(classes.select("grp", "sig", "n"), "grp").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select("posting", "sig", "n", "place", F.coalesce("label", "sig").alias("label"))
+    held = posted.join(classes.select("grp", "sig", "n", "odd"), "grp").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select("posting", "sig", "n", "odd", "place", F.coalesce("label", "sig").alias("label"))
     held = cut(held, "held")
     again = _between_components(held)
     if again is not None:
