@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgrove.functions.scalars import duration_ok, duration_parts, excerpt, older_version, token_state, whole_word
+from inkgrove.functions.scalars import duration_ok, duration_parts, excerpt, older_version, query_hash, token_state, whole_word
 from inkgrove.plans.shared import cut, join_sized
 
 QUIET_HOURS = 48
@@ -59,6 +59,17 @@ def subject_access(blocks: DataFrame, log: DataFrame, subject: str) -> DataFrame
     return b.unionByName(a)
 
 
+def subject_access_by_hash(log: DataFrame, forms: DataFrame, key: str) -> DataFrame:
+    """(subject, kind, ref, form): log rows (seq, detail) that hold only a keyed hash of a form by which a subject was searched for.
+
+    forms (subject, form) are the names, addresses and the like of each subject; case and runs of blanks make no difference, and forms alike
+    count once, the least of them. Empty or null forms, and rows without a hash, match nothing. A row may answer several subjects. Few forms are broadcast,
+    so a form that most rows hold is no hot key; many are joined by a shuffle that splits skewed partitions."""
+    hashed = forms.where(F.trim("form") != "").groupBy("subject", query_hash(F.col("form"), key).alias("_hash")).agg(F.min("form").alias("form"))
+    rows = log.select(F.col("seq").cast("string").alias("ref"), F.get_json_object("detail", "$.query").alias("_hash")).where("_hash is not null")
+    return join_sized(rows, cut(hashed, "forms"), ["_hash"], "inner").select("subject", F.lit("audit-hash").alias("kind"), "ref", "form")
+
+
 def erasure_receipt(notes: DataFrame, targets: DataFrame, left: DataFrame) -> DataFrame:
     """(id, found, residue): which targets there were, and rows of them still left after erasure."""
     found = notes.select("id", F.lit(True).alias("f"))

@@ -341,3 +341,12 @@ def doctor_all(spark, sf_dir):
         session_start_size=n.where("ring <= 1 and bereich is not null").groupBy("bereich").agg(size.alias("c")).where("c > 4000"), index_integrity=rings.join(n.select("id", F.col("ring").alias("r")), "id").where("ring <> r"),
         embedding_profile=table(spark, sf_dir, "embeddings").where("label % 4 = 0"), audit_chain=A.verify_chain(sealed).where("first_break is not null"), retention=Y.retention(n, _now()).where("status = 'due'"),
     )
+
+
+@query("""WITH f AS (SELECT DISTINCT lang AS subject, source AS form FROM documents WHERE lang IS NOT NULL AND trim(source) <> '')
+    SELECT f.subject, 'audit-hash' AS kind, CAST(d.doc_id AS VARCHAR) AS ref, f.form FROM documents d JOIN f ON lower(trim(f.form)) = lower(trim(d.source))""")
+def subject_access_by_hash(spark, sf_dir):
+    """A log of searches for sources that holds only their hashes, asked for the sources of each language."""
+    d = table(spark, sf_dir, "documents")
+    log = d.select(F.col("doc_id").alias("seq"), F.to_json(F.struct(S.query_hash(F.concat(F.lit("  "), F.upper("source"), F.lit(" ")), "k").alias("query"))).alias("detail"))
+    return Y.subject_access_by_hash(log, d.where("lang is not null").select(F.col("lang").alias("subject"), F.col("source").alias("form")).distinct(), "k")
