@@ -2,12 +2,15 @@
 
 Two smoothed variable-order Markov models over bytes, one of URLs that rules allow and one of URLs that
 rules block, give the mean log-likelihood ratio per byte of a URL. Contexts of whole bytes are counted
-sparsely, so the models grow with the URLs; where a context is rare they lean on models over SYMBOLS classes of
-bytes. The threshold is calibrated on ruled URLs held out from the models; then these are counted in too.
+sparsely, so the models grow with the URLs: they stay tables, partitioned by gram and by context. Different URLs are
+dealt to chunks; each chunk asks once for each of its grams, the answers are joined to it and its URLs scored. Where a
+context is rare the models lean on ones over SYMBOLS classes of bytes, which no number of URLs makes larger: only these
+pass through the driver. The threshold is calibrated on ruled URLs held out from the models; then these are counted in too.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgrove.plans.shared import tune_arrow
+from inkgrove.plans.shared import cut, join_back, tune_arrow
 
 #: The rules (host, path, verdict) are fixed values.
 RULES = (
@@ -32,6 +35,11 @@ ORDER = 3
 #: Every FOLDS-th ruled URL, by hash, calibrates; the others train. Scores are binned in BINS over [-SPAN, SPAN] nats a character.
 FOLDS, BINS, SPAN = 5, 4096, 8.0
 
+#: Different URLs, and bytes of URLs, of a chunk on average.
+CHUNK_URLS, CHUNK_BYTES = 1 << 14, 1 << 20
+#: Models: of the ruled URLs that are not held out, blocked and allowed, and of all ruled ones, likewise.
+_MODELS = ("t0", "t1", "f0", "f1")
+
 _FOLD = np.full(256, len(_CLASSES), np.uint8)
 for _i, _c in enumerate(_CLASSES):
     _FOLD[ord(_c)] = _FOLD[ord(_c.upper())] = _i
@@ -63,13 +71,14 @@ def rule_of(host: Column, path: Column) -> Column:
     return out
 
 
-def _grams(urls: list[bytes], table: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    pad = [np.full(ORDER, table[_BOUND])]
-    data = np.concatenate([x for u in urls for x in (*pad, table[np.frombuffer(u, np.uint8)], table[[_BOUND]])]).astype(np.int64)
+def byte_grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of ORDER + 1 bytes, _BITS bits each, at each byte and the closing boundary, and where each URL's begin."""
+    before, after = np.full(ORDER, _BOUND, np.int64), np.full(1, _BOUND, np.int64)
+    data = np.concatenate([x for u in urls for x in (before, np.frombuffer(u, np.uint8), after)])
     sizes = np.array([len(u) + ORDER + 1 for u in urls])
     grams = np.zeros(len(data), np.int64)
     for back in range(ORDER, -1, -1):
-        grams *= base
+        grams <<= _BITS
         grams[ORDER:] += data[ORDER - back : len(data) - back]
     starts = np.cumsum(sizes) - sizes
     keep = np.ones(len(data), bool)
@@ -78,16 +87,6 @@ def _grams(urls: list[bytes], table: np.ndarray, base: int) -> tuple[np.ndarray,
     return grams[keep], starts - np.arange(len(urls)) * ORDER
 
 
-def coded(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of ORDER + 1 classes at each byte and the closing boundary, and where each URL's begin."""
-    return _grams(urls, _CLASS_OF, SYMBOLS)
-
-
-def byte_grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The same of whole bytes, _BITS bits each."""
-    return _grams(urls, np.arange(_BOUND + 1), 1 << _BITS)
-
-
 def folded(grams: np.ndarray) -> np.ndarray:
     """The grams of classes of grams of bytes."""
     out = np.zeros(len(grams), np.int64)
@@ -110,62 +109,73 @@ def class_chances(counts: np.ndarray) -> np.ndarray:
     return p.ravel()
 
 
-def log_ratio(counts: dict[int, np.ndarray]) -> np.ndarray:
-    """log p(class | context) of the allowed classes less that of the blocked ones, for every gram."""
-    return (np.log(class_chances(counts[1])) - np.log(class_chances(counts[0]))).astype(np.float32)
-
-
-def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0)
-
-
-class ByteModel:
-    """p(byte | the ORDER bytes before) from the counts of grams of bytes, which must not be empty.
-
-    A context trusts its own counts Witten-Bell fashion and leaves the rest to p(class | context of classes) times
-    p(byte | class), and that to a uniform one within the class."""
+class ClassModel:
+    """p(byte | classes of the ORDER bytes before): p(class | context of classes) times p(byte | class), that leaning on a uniform one within the class."""
 
-    def __init__(self, grams: np.ndarray, n: np.ndarray):
-        self.keys, where = np.unique(grams, return_inverse=True)
-        self.n = np.bincount(where, weights=n)
-        self.contexts, where = np.unique(self.keys >> _BITS, return_inverse=True)
-        self.total, self.kinds = np.bincount(where, weights=self.n), np.bincount(where)
-        classes = np.zeros(SYMBOLS ** (ORDER + 1))
-        np.add.at(classes, folded(self.keys), self.n)
+    def __init__(self, classes: np.ndarray, single: np.ndarray):
         self.classes = class_chances(classes).astype(np.float32)
-        single = np.bincount(self.keys & ((1 << _BITS) - 1), weights=self.n, minlength=_BOUND + 1)
         of_class, kinds = np.bincount(_CLASS_OF, weights=single), np.bincount(_CLASS_OF, weights=single > 0)
         known = (single + (kinds / _SHARING)[_CLASS_OF]) / np.maximum(of_class + kinds, 1)[_CLASS_OF]
         self.within = np.where(of_class[_CLASS_OF] > 0, known, 1 / _SHARING[_CLASS_OF])
 
-    def logs(self, grams: np.ndarray) -> np.ndarray:
+    def logs(self, grams: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """log p(byte | the ORDER bytes before) of grams, by their counts and the sums and numbers of counts of their contexts.
+
+        A context trusts its own counts Witten-Bell fashion and leaves the rest to the classes."""
         p = self.classes[folded(grams)] * self.within[grams & ((1 << _BITS) - 1)]
-        total, kinds = _looked_up(self.contexts, self.total, grams >> _BITS), _looked_up(self.contexts, self.kinds, grams >> _BITS)
-        return np.log((_looked_up(self.keys, self.n, grams) + kinds * p) / np.maximum(total + kinds, 1) + (total == 0) * p)
+        return np.log((n + kinds * p) / np.maximum(total + kinds, 1) + (total == 0) * p)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        label, held = (np.array(batch.column(c).to_pylist(), bool) for c in ("label", "held"))
-        urls = batch.column("url").to_pylist()
-        for k, h in ((0, False), (0, True), (1, False), (1, True)):
-            if own := [u for u, x, y in zip(urls, label, held) if x == bool(k) and y == h]:
-                grams, n = np.unique(byte_grams(own)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.array(np.full(len(n), h)), pa.array(grams), pa.array(n)], ["label", "held", "gram", "n"])
-
-
-def scores(model: np.ndarray | dict[int, ByteModel], urls: list[bytes | None]) -> np.ndarray:
-    """Mean log-likelihood ratio per byte, by models of bytes or by log_ratio() of classes; 0 for a null or empty URL."""
-    out = np.zeros(len(urls))
-    if there := [i for i, u in enumerate(urls) if u]:
-        of_classes = isinstance(model, np.ndarray)
-        grams, starts = (coded if of_classes else byte_grams)([urls[i] for i in there])
-        each = model[grams].astype(np.float64) if of_classes else model[1].logs(grams) - model[0].logs(grams)
-        out[there] = np.add.reduceat(each, starts) / np.diff(np.append(starts, len(grams)))
+        if not batch.num_rows:
+            continue
+        label, held, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "held", "n"))
+        grams, starts = byte_grams(batch.column("url").to_pylist())
+        sizes = np.diff(np.append(starts, len(grams)))
+        kinds, where = np.unique(grams, return_inverse=True)
+        kept = {f"{m}{k}": np.where((label == k) & of, n, 0) for m, of in (("t", ~held.astype(bool)), ("f", True)) for k in (0, 1)}
+        sums = (np.bincount(where, weights=np.repeat(kept[m], sizes)).astype(np.int64) for m in _MODELS)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), *map(pa.array, sums)], ["gram", *_MODELS])
+
+
+def _of_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of counts by gram of classes, and by byte as -1 - byte."""
+    for batch in batches:
+        grams = batch.column("gram").to_numpy()
+        keys, where = np.unique(np.concatenate([folded(grams), -1 - (grams & ((1 << _BITS) - 1))]), return_inverse=True)
+        sums = (np.bincount(where, weights=np.tile(batch.column(m).to_numpy(), 2), minlength=len(keys)).astype(np.int64) for m in _MODELS)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, sums)], ["key", *_MODELS])
+
+
+def class_models(sums: pa.Table) -> dict[str, ClassModel]:
+    """The models of classes that have any URLs, from the sums of _of_classes(): at most SYMBOLS ** (ORDER + 1) + 257 rows."""
+    keys, out = sums.column("key").to_numpy(), {}
+    for m in _MODELS:
+        n = sums.column(m).to_numpy()
+        if n.any():
+            classes, single = np.zeros(SYMBOLS ** (ORDER + 1)), np.zeros(_BOUND + 1)
+            classes[keys[keys >= 0]], single[-1 - keys[keys < 0]] = n[keys >= 0], n[keys < 0]
+            out[m] = ClassModel(classes, single)
     return out
 
 
+def _asked(chunk: pa.Table) -> pa.Table:
+    grams = np.unique(byte_grams(chunk.column("url").to_pylist())[0])
+    return pa.table({"chunk": np.full(len(grams), chunk.column("chunk")[0].as_py(), np.int64), "gram": grams})
+
+
+def _scored(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+    """Mean log ratios per byte of a chunk's URLs, by the models without the held-out URLs and by those with them."""
+    known = answers.column("gram").to_numpy()
+    order = np.argsort(known)
+    urls = chunk.column("url").to_pylist()
+    grams, starts = byte_grams(urls) if urls else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    at, sizes = order[np.searchsorted(known, grams, sorter=order)], np.diff(np.append(starts, len(grams)))
+    means = {c: np.add.reduceat(answers.column(c).to_numpy()[at], starts) / sizes if urls else np.zeros(0) for c in ("trained", "final")}
+    return pa.table({**{c: chunk.column(c) for c in ("_ink_key", "n", "label", "held")}, **means})
+
+
 def threshold_from(allowed: np.ndarray, blocked: np.ndarray) -> float:
     """The score below which to block: the bin edge where missed blocks plus false blocks, as shares, are fewest;
     the middle of the first stretch of such edges."""
@@ -182,46 +192,49 @@ def judge(pages: DataFrame, url: str = "url", id_col: str = "page_id") -> DataFr
 
     The verdict is the longest fitting rule's; else the models': block if the score, by all ruled URLs, is under
     the threshold calibrated on the held-out ones (0 where the others are all of one kind). Null and empty URLs, and all unruled ones where either kind of ruled URL is missing, are
-    allowed for want of evidence. Repeated rows are judged alike; an empty table gives an empty result;
+    allowed for want of evidence. Repeated URLs are scored once and judged alike, ties of a score with the threshold are allowed; an empty table gives an empty result;
     other columns are not read."""
     spark = pages.sparkSession
     tune_arrow(spark)
-    host, path = host_of(F.col(url)), path_of(F.col(url))
-    rows = pages.select(F.col(id_col).alias("_ink_id"), F.col(url).alias("_ink_url"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("_ink_rule", rule_of(F.col("host"), F.col("path")))
-    ruled = rows.where("_ink_rule is not null").select((F.col("_ink_rule.verdict") == "allow").alias("label"), F.col("_ink_url").cast("binary").alias("url"), (F.pmod(F.xxhash64("_ink_url"), F.lit(FOLDS)) == 0).alias("held"))
-    counted = ruled.mapInArrow(_count, "label int, held boolean, gram bigint, n bigint").groupBy("label", "held", "gram").agg(F.sum("n").alias("n")).toArrow()
-    label, of_held, gram, n = (counted.column(c).to_numpy() for c in ("label", "held", "gram", "n"))
-
-    def models(of: np.ndarray) -> dict[int, ByteModel] | None:
-        return {k: ByteModel(gram[of & (label == k)], n[of & (label == k)]) for k in (0, 1)} if {0, 1} <= {*label[of]} else None
-
-    trained, final = models(~of_held.astype(bool)), models(np.ones(len(label), bool))
-    model = spark.sparkContext.broadcast(final)
+    read = pages.select(F.col(id_col).alias("_ink_id"), F.col(url).alias("_ink_url")).withColumn("host", host_of(F.col("_ink_url"))).withColumn("path", path_of(F.col("_ink_url")))
+    read = read.withColumn("_ink_rule", rule_of(F.col("host"), F.col("path"))).withColumn("_ink_key", F.when(F.col("_ink_url") != "", F.unhex(F.sha2("_ink_url", 256))))
+    rows = cut(read.select("_ink_id", "host", "path", F.col("_ink_rule.rule").alias("rule"), F.col("_ink_rule.verdict").alias("own"), "_ink_key"), "url-rows")
+    each = cut(read.where("_ink_key is not null").groupBy("_ink_key").agg(
+        F.first(F.col("_ink_url").cast("binary")).alias("url"), F.count("*").alias("n"),
+        F.max((F.col("_ink_rule.verdict") == "allow").cast("int")).alias("label"), F.max(F.pmod(F.xxhash64("_ink_url"), F.lit(FOLDS)) == 0).alias("held")), "url-each")
+    size = each.agg(F.count("*").alias("urls"), F.sum(F.length("url")).alias("bytes"), F.sum("n").alias("rows")).first()
+    chunks = max(1, math.ceil(size.urls / CHUNK_URLS), math.ceil((size.bytes or 0) / CHUNK_BYTES))
+    dealt = each.withColumn("chunk", F.pmod(F.xxhash64("_ink_key"), F.lit(chunks)))
+
+    ruled = each.where("label is not null").select("label", "held", "n", "url")
+    grams = cut(ruled.mapInArrow(_count, "gram bigint, " + ", ".join(f"{m} bigint" for m in _MODELS)).groupBy("gram").agg(*(F.sum(m).alias(m) for m in _MODELS)), "url-grams")
+    context = F.shiftright("gram", _BITS)
+    contexts = cut(grams.groupBy(context.alias("context")).agg(*(F.sum(m).alias(f"total_{m}") for m in _MODELS), *(F.sum((F.col(m) > 0).cast("long")).alias(f"kinds_{m}") for m in _MODELS)), "url-contexts")
+    classes = class_models(grams.mapInArrow(_of_classes, "key bigint, " + ", ".join(f"{m} bigint" for m in _MODELS)).groupBy("key").agg(*(F.sum(m).alias(m) for m in _MODELS)).toArrow())
+    if not {"f0", "f1"} <= {*classes}:
+        return rows.select(F.col("_ink_id").alias(id_col), "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
+    of_classes = spark.sparkContext.broadcast(classes)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = of_classes.value
+        for batch in batches:
+            of = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+            logs = {m: models[m].logs(of["gram"], of[m], of[f"total_{m}"], of[f"kinds_{m}"]) for m in models}
+            ratios = (logs[f"{x}1"] - logs[f"{x}0"] if {f"{x}0", f"{x}1"} <= {*logs} else np.zeros(batch.num_rows) for x in "tf")
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("gram"), *map(pa.array, ratios)], ["chunk", "gram", "trained", "final"])
+
+    asked = dealt.select("chunk", "url").groupBy("chunk").applyInArrow(_asked, "chunk bigint, gram bigint")
+    found = asked.join(grams, "gram", "left").withColumn("context", context).join(contexts, "context", "left").drop("context").na.fill(0)
+    answers = found.mapInArrow(answer, "chunk bigint, gram bigint, trained double, final double")
+    scored = cut(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored, "_ink_key binary, n bigint, label int, held boolean, trained double, final double"), "url-scores")
+    of_classes.destroy()
     cut_at = 0.0
-    if trained is not None:
-        without_held = spark.sparkContext.broadcast(trained)
-
-        def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((2, BINS), np.int64)
-            for batch in batches:
-                at = np.clip((scores(without_held.value, batch.column("url").to_pylist()) + SPAN) / (2 * SPAN) * BINS, 0, BINS - 1).astype(int)
-                np.add.at(total, (np.array(batch.column("label").to_pylist(), int), at), 1)
-            label, at = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[label, at])], ["label", "bin", "n"])
-
+    if {"t0", "t1"} <= {*classes}:
         held = np.zeros((2, BINS))
-        for r in ruled.where("held").select("label", "url").mapInArrow(bins, "label int, bin int, n bigint").groupBy("label", "bin").agg(F.sum("n").alias("n")).collect():
+        place = F.least(F.greatest(F.floor((F.col("trained") + SPAN) / (2 * SPAN) * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
+        for r in scored.where("held and label is not null").groupBy("label", place.alias("bin")).agg(F.sum("n").alias("n")).collect():
             held[r.label, r.bin] = r.n
         cut_at = threshold_from(held[1], held[0])
-    shape = f"_ink_id {rows.schema['_ink_id'].dataType.simpleString()}, host string, path string, rule string, verdict string, score double"
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            urls, own = batch.column("_ink_body").to_pylist(), batch.column("own").to_pylist()
-            s = scores(model.value, urls) if model.value is not None else np.zeros(len(urls))
-            verdict = [o or ("block" if u and model.value is not None and x < cut_at else "allow") for o, u, x in zip(own, urls, s)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_ink_id", "host", "path", "rule")), pa.array(verdict), pa.array(s)], ["_ink_id", "host", "path", "rule", "verdict", "score"])
-
-    ready = rows.select("_ink_id", "host", "path", F.col("_ink_rule.rule").alias("rule"), F.col("_ink_rule.verdict").alias("own"), F.col("_ink_url").cast("binary").alias("_ink_body"))
-    return ready.mapInArrow(decide, shape).withColumnRenamed("_ink_id", id_col)
+    judged = join_back(rows, scored.select("_ink_key", "n", "final"), ["_ink_key"], "n", size.rows or 0)
+    verdict = F.coalesce("own", F.when(F.col("final") < cut_at, "block").otherwise("allow"))
+    return judged.select(F.col("_ink_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.coalesce("final", F.lit(0.0)).alias("score"))

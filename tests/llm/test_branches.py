@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkgrove.llm import disclosure, exact, hostrules, jaccard, languages, lines, mixing, packing, queries, tokenfile, urls
 from inkgrove.plans import shared
+from tests.llm.plain_urls import PlainModel, score
 from tests.llm.test_ops import BYTE_BPE, WORD_BPE, check_packing, components, thue_morse
 from tests.oracle import SF, connection, same
 
@@ -185,16 +186,7 @@ def test_op6_verdicts_by_a_plain_version(spark, monkeypatch):
     label = {i: int("/fr/" in u) for i, u in enumerate(us[:240])}
 
     def model(of):
-        out = {}
-        for k in (0, 1):
-            grams = urls.byte_grams([us[i].encode() for i in of if label[i] == k])[0]
-            out[k] = urls.ByteModel(grams, np.ones(len(grams)))
-        return out
-
-    def score(m, u):
-        data = [256] * 3 + list(u.encode()) + [256]
-        grams = [((data[i - 3] * 512 + data[i - 2]) * 512 + data[i - 1]) * 512 + data[i] for i in range(3, len(data))]
-        return float(np.mean(m[1].logs(np.array(grams)) - m[0].logs(np.array(grams))))
+        return {k: PlainModel([us[i] for i in of if label[i] == k]) for k in (0, 1)}
 
     trained, final = model([i for i in label if not held[i]]), model(label)
     calibrating = [(score(trained, us[i]), label[i]) for i in label if held[i]]
@@ -207,7 +199,7 @@ def test_op6_verdicts_by_a_plain_version(spark, monkeypatch):
     verdicts = Counter()
     for i in range(240, len(us)):
         s = score(final, us[i])
-        assert abs(got[i].score - s) < 1e-9 and (abs(s - cut_at) < 1e-9 or got[i].verdict == ("block" if s < cut_at else "allow"))
+        assert abs(got[i].score - s) < 1e-5 and (abs(s - cut_at) < 1e-5 or got[i].verdict == ("block" if s < cut_at else "allow"))
         verdicts[got[i].verdict] += 1
     assert len(verdicts) == 2
 

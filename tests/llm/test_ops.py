@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from inkgrove.llm import disclosure, exact, hostrules, jaccard, languages, lines, mixing, packing, queries, tokenfile, urls
 from inkgrove.llm.vocab import encoder
+from tests.llm.plain_urls import PlainModel, score
 from tests.oracle import SF, connection, same
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -281,13 +282,18 @@ def test_op6(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
-def test_op6_scores_are_log_ratios():
-    counts = {0: np.zeros(urls.SYMBOLS ** (urls.ORDER + 1), np.int64), 1: np.zeros(urls.SYMBOLS ** (urls.ORDER + 1), np.int64)}
-    np.add.at(counts[1], urls.coded([b"good", b"goods"])[0], 1)
-    np.add.at(counts[0], urls.coded([b"bad"])[0], 1)
-    ratio = urls.log_ratio(counts)
-    s = urls.scores(ratio, [b"good", None, b"bad", b""])
-    assert s[0] > 0 > s[2] and s[1] == s[3] == 0
+def test_op6_hot_urls_many_chunks_and_clashes(spark, monkeypatch):
+    us = [f"http://x{i % 30}.com/{'fr' if i % 2 else 'de'}/{i % 30}" for i in range(300)] + ["http://hot.net/fr/1"] * 200 + ["http://long.net/" + "ab/" * 50_000, None, "", None, ""]
+    df = spark.createDataFrame([(None if i % 50 == 0 else i, u) for i, u in enumerate(us)], "page_id long, url string")
+    whole = urls.judge(df).collect()
+    monkeypatch.setattr(urls, "CHUNK_URLS", 4)
+    clashing = df.select("page_id", "url", *(F.lit("clash").alias(c) for c in ("_ink_id", "_ink_key", "_ink_url", "n", "label", "held", "chunk", "own", "rule", "score")))
+    parts = urls.judge(clashing).collect()
+    key = lambda r: (r.page_id or -1, r.host, r.path, str(r.rule), r.verdict, round(r.score, 9))
+    assert len(whole) == len(us) and sorted(map(key, whole)) == sorted(map(key, parts))
+    assert all(r.score == 0 and r.verdict == "allow" for r in whole if not r.host) and len({r.score for r in whole if r.host == "hot.net"}) == 1
+    one_kind = urls.judge(df.where("url like '%/fr/%'")).collect()
+    assert one_kind and all(r.verdict == "allow" and r.score == 0 for r in one_kind)
 
 
 def test_op6_digits_bytes_and_case_stay_apart(spark):
@@ -303,13 +309,9 @@ def test_op6_digits_bytes_and_case_stay_apart(spark):
 def test_op6_counts_all_ruled_urls(spark):
     us = [f"http://x{i}.com/{'fr' if i % 2 else 'de'}/{i}" for i in range(80)]
     got = [r.score for r in urls.judge(spark.createDataFrame(list(enumerate(us)), "page_id long, url string")).orderBy("page_id").collect()]
-    models = {}
-    for k in (0, 1):
-        grams = urls.byte_grams([u.encode() for i, u in enumerate(us) if i % 2 == k])[0]
-        models[k] = urls.ByteModel(grams, np.ones(len(grams)))
-    assert np.allclose(got, urls.scores(models, [u.encode() for u in us]))
-    every = (ord("n") << 18 | ord("e") << 9 | ord("t")) << 9 | np.arange(257)
-    assert all(abs(np.exp(m.logs(x)).sum() - 1) < 1e-5 for m in models.values() for x in (every, (ord("c") << 18 | ord("o") << 9 | ord("m")) << 9 | np.arange(257)))
+    models = {k: PlainModel([u for i, u in enumerate(us) if i % 2 == k]) for k in (0, 1)}
+    assert np.allclose(got, [score(models, u) for u in us], rtol=1e-5, atol=1e-6)
+    assert all(abs(sum(m.chance(tuple(before), x) for x in range(257)) - 1) < 1e-9 for m in models.values() for before in (b"net", b"com"))
 
 
 def test_op7(docs, odd, empty):
