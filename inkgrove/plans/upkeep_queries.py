@@ -13,6 +13,7 @@ from inkgrove.operators import fleet as L
 from inkgrove.operators import index as I
 from inkgrove.operators import ingest as G
 from inkgrove.operators import ledger as LEDGER
+from inkgrove.operators import migrations as M
 from inkgrove.operators import notes as N
 from inkgrove.operators import policy as Y
 from inkgrove.operators import usage as U
@@ -350,3 +351,25 @@ def subject_access_by_hash(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     log = d.select(F.col("doc_id").alias("seq"), F.to_json(F.struct(S.query_hash(F.concat(F.lit("  "), F.upper("source"), F.lit(" ")), "k").alias("query"))).alias("detail"))
     return Y.subject_access_by_hash(log, d.where("lang is not null").select(F.col("lang").alias("subject"), F.col("source").alias("form")).distinct(), "k")
+
+
+@query(f"""{with_sql('notes', 'blocks')}, f AS (SELECT id, min(idx) AS idx FROM blocks GROUP BY id)
+    SELECT n.ring, count(DISTINCT n.id) AS notes, count(b.citation) AS blocks, count(*) FILTER (b.idx = f.idx) AS named, count(DISTINCT n.name) FILTER (b.idx = f.idx) AS names,
+           CAST(0 AS BIGINT) AS with_department, CAST(0 AS BIGINT) AS with_successor, CAST(0 AS BIGINT) AS replacing, CAST(0 AS BIGINT) AS bounded, CAST(0 AS BIGINT) AS located,
+           CAST(coalesce(sum(length(b.text)), 0) AS BIGINT) AS letters
+    FROM notes n LEFT JOIN blocks b USING (id) LEFT JOIN f USING (id) GROUP BY n.ring""")
+def migrated_store(spark, sf_dir):
+    """All notes and blocks written to a store of the first version, which is then brought to the present one: what each ring holds."""
+    root = f"{shared_root(spark)}/inkgrove/store-{uuid.uuid4().hex}"
+    held, lines = notes(spark, sf_dir).select("id", "name", "ring", "created", "updated", "retention"), cut(blocks(spark, sf_dir).select("citation", "id", "idx", "text", "ring"), "lines")
+    M.migrate(spark, root, 1)
+    M.insert(spark, root, {"notes": held, "blocks": lines, "searched": lines}, version=1)
+    M.migrate(spark, root)
+    n, b, s = (M.read(spark, root, t) for t in ("notes", "blocks", "searched"))
+    per_note = n.groupBy("ring").agg(
+        F.count("*").alias("notes"), F.count("bereich").alias("with_department"), F.count("superseded_by").alias("with_successor"),
+        F.count_if(F.size("supersedes") != 0).alias("replacing"), F.count_if(F.col("valid_from").isNotNull() | F.col("invalid_at").isNotNull()).alias("bounded"))
+    found = s.groupBy("ring").agg(F.count("*").alias("blocks"), F.count("name").alias("named"), F.count_distinct("name").alias("names"), F.sum(F.length("text")).alias("letters"))
+    placed = b.join(n.select("id", "ring"), "id").groupBy("ring").agg(F.count("locator").alias("located"))
+    whole = per_note.join(found, "ring", "left").join(placed, "ring", "left")
+    return whole.select("ring", "notes", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("blocks", "named", "names", "with_department", "with_successor", "replacing", "bounded", "located", "letters")))
