@@ -3,13 +3,15 @@
 A text is cut at blanks into pieces on which the tokenizer gives the same ids as inside the text. Pieces repeat
 often: all of a block's pieces are hashed at once and looked up in an open-addressed table of id runs, which also holds
 their bytes; what the table lacks, and every long piece, goes through the tokenizer, and so does a piece whose bytes are not
-those found under its hash. Texts that hold the string of a special token go through the tokenizer whole.
+those found under its hash. Texts that hold the string of a special token go through the tokenizer whole. Where the
+tokenizer lower-cases anyway, A-Z are lower-cased before the pieces are hashed, so that a word is held once.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -26,6 +28,11 @@ _loaded: dict[tuple[str, bool], "PieceEncoder"] = {}
 _ODD_BLANK = re.compile(r"[^\S\n ]")
 _LETTERS = np.zeros(256, bool)
 _LETTERS[65:91] = _LETTERS[97:123] = True
+#: Lower-case letters up to U+00FF, and the characters by which byte-level vocabularies write the bytes of such letters.
+_LOWER = "".join(c for c in map(chr, range(256)) if c.isalpha() and c.islower())
+_WRITTEN = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+#: ASCII characters that are neither letters, digits, blanks nor controls.
+_SIGNS = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 _BLANKS = np.zeros(256, bool)
 _BLANKS[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that may begin a blank other than space and line end.
@@ -145,6 +152,9 @@ class PieceEncoder:
         self.specials = [] if plain_specials else [x.content.encode() for x in known]
         self.caseless = any(x.normalized for x in known)
         self.spaced = self.tokenizer.normalizer is None  # byte-level: a word takes the space before it
+        self.lowers = not self.spaced and self.tokenizer.normalizer.normalize_str(_LOWER[:26].upper() + _LOWER) == _LOWER[:26] + _LOWER
+        # Normalizer and pre-tokenizer, most of the work on a word, can be left out if they leave a word of these letters as it is.
+        self.direct = self.lowers and self._modelled([_LOWER])[0] == self.tokenizer.encode(_LOWER, add_special_tokens=False).ids
         self.cache = PieceCache()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -174,6 +184,10 @@ class PieceEncoder:
 
     def _block(self, texts: list[bytes], held: list[int], out: list) -> None:
         data = np.frombuffer(b"".join([texts[i] for i in held]), np.uint8)
+        if self.lowers:
+            upper = (data >= 65) & (data <= 90)
+            upper[:-1] &= (data[1:] < 128) | (data[1:] == 0xC3)  # a mark that follows may make one character with its letter
+            data = data + upper.astype(np.uint8) * np.uint8(32)
         sizes = np.array([len(texts[i]) for i in held])
         ends = np.cumsum(sizes)
         starts = ends - sizes
@@ -197,6 +211,7 @@ class PieceEncoder:
             awkward = np.add.reduceat(twin, starts, dtype=np.int64) > 0
             slow = {k for k in np.flatnonzero(awkward | odd) if awkward[k] or _ODD_BLANK.search(texts[held[k]].decode())}
         else:
+            mark |= _SIGNS[data] & np.concatenate([[False], letter[:-1]]) & ~first[:-1]  # so is any sign after such a letter here
             before = np.concatenate([[True], blank[:-1]]) | first[:-1] | mark
             after = last | np.append(mark[1:], False)
             cut, until = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
@@ -233,16 +248,24 @@ class PieceEncoder:
     def _each(self, pieces: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for at in range(0, len(pieces), 4096) for x in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
 
+    def _modelled(self, words: list[str]) -> list[list[int]]:
+        """The ids that the tokenizer's model gives for each word of lower-case letters up to U+00FF."""
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(_WRITTEN))] for x in words]
+
     def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """An order of the pieces, their ids in that order, and how many each has. Words of Latin letters are
-        encoded many at a time: between such words the tokenizers' own splitting always cuts."""
+        """An order of the pieces, their ids in that order, and how many each has. Words of lower-case Latin letters go to the
+        model at once, where that is the same; others are encoded many at a time: between such words the tokenizers' own splitting always cuts."""
         lead = " " if self.spaced else ""
         latin = [x.isascii() or max(x) <= "\xff" for x in pieces]
         words = [i for i, x in enumerate(pieces) if latin[i] and (x[0] == " " and x[1:].isalpha() if lead else x.isalpha())]
         bare = [i for i, x in enumerate(pieces) if lead and latin[i] and x.isalpha()]
         chosen = {*words, *bare}
+        plain = [i for i in words if pieces[i].islower()] if self.direct else []
+        words = [i for i in words if not pieces[i].islower()] if self.direct else words
         others = [i for i in range(len(pieces)) if i not in chosen]
-        ids, sizes, glue = [], [], "" if lead else " "
+        modelled, glue = self._modelled([pieces[i] for i in plain]), "" if lead else " "
+        ids, sizes = [np.fromiter(chain.from_iterable(modelled), np.uint32)], [np.array([len(x) for x in modelled], np.int64)]
         groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
         for at in range(0, len(groups), 64):
             part = groups[at : at + 64]
@@ -258,7 +281,7 @@ class PieceEncoder:
         for found in self._each([pieces[i] for i in others]):
             ids.append(found)
             sizes.append(np.array([len(found)]))
-        return np.array(words + bare + others, np.int64), np.concatenate(ids), np.concatenate(sizes).astype(np.int32)
+        return np.array(plain + words + bare + others, np.int64), np.concatenate(ids), np.concatenate(sizes).astype(np.int32)
 
 
 def forget_encoders() -> None:
