@@ -154,7 +154,8 @@ class PieceEncoder:
         self.spaced = self.tokenizer.normalizer is None  # byte-level: a word takes the space before it
         self.lowers = not self.spaced and self.tokenizer.normalizer.normalize_str(_LOWER[:26].upper() + _LOWER) == _LOWER[:26] + _LOWER
         # Normalizer and pre-tokenizer, most of the work on a word, can be left out if they leave a word of these letters as it is.
-        self.direct = self.lowers and self._modelled([_LOWER])[0] == self.tokenizer.encode(_LOWER, add_special_tokens=False).ids
+        word = " " + _LOWER[:26].upper() + _LOWER if self.spaced else _LOWER
+        self.direct = (self.spaced or self.lowers) and self._modelled([word])[0] == self.tokenizer.encode(word, add_special_tokens=False).ids
         self.cache = PieceCache()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -195,10 +196,10 @@ class PieceEncoder:
         first = np.zeros(len(data) + 1, bool)
         first[starts] = True
         last = np.concatenate([blank[1:], [True]]) | first[1:]
-        # A stop or comma that ends a word of Latin letters is always cut off by the tokenizers themselves.
+        # A sign that follows a Latin letter is always cut off by the tokenizers themselves.
         letter = _LETTERS[data]
         letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # U+00C0 to U+00FF but for two signs
-        mark = ((data == 46) | (data == 44)) & last & np.concatenate([[False], letter[:-1]]) & ~first[:-1]
+        mark = _SIGNS[data] & np.concatenate([[False], letter[:-1]]) & ~first[:-1]
         if self.spaced:
             begins = blank | first[:-1]
             begins[1:] |= data[:-1] == 10
@@ -211,7 +212,6 @@ class PieceEncoder:
             awkward = np.add.reduceat(twin, starts, dtype=np.int64) > 0
             slow = {k for k in np.flatnonzero(awkward | odd) if awkward[k] or _ODD_BLANK.search(texts[held[k]].decode())}
         else:
-            mark |= _SIGNS[data] & np.concatenate([[False], letter[:-1]]) & ~first[:-1]  # so is any sign after such a letter here
             before = np.concatenate([[True], blank[:-1]]) | first[:-1] | mark
             after = last | np.append(mark[1:], False)
             cut, until = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
@@ -249,20 +249,22 @@ class PieceEncoder:
         return [np.array(x.ids, np.uint32) for at in range(0, len(pieces), 4096) for x in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
 
     def _modelled(self, words: list[str]) -> list[list[int]]:
-        """The ids that the tokenizer's model gives for each word of lower-case letters up to U+00FF."""
-        tokenize = self.tokenizer.model.tokenize
-        return [[t.id for t in tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(_WRITTEN))] for x in words]
+        """The ids that the tokenizer's model gives for each word of letters up to U+00FF, after a space or not."""
+        tokenize, space = self.tokenizer.model.tokenize, chr(_WRITTEN[32])
+        written = (x if x.isascii() else x.encode().decode("latin-1").translate(_WRITTEN) for x in words)
+        return [[t.id for t in tokenize(space + x[1:] if x[0] == " " else x)] for x in written]
 
     def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """An order of the pieces, their ids in that order, and how many each has. Words of lower-case Latin letters go to the
-        model at once, where that is the same; others are encoded many at a time: between such words the tokenizers' own splitting always cuts."""
+        """An order of the pieces, their ids in that order, and how many each has. Words of Latin letters (in lower case, if
+        the tokenizer lower-cases) go to the model at once, where that is the same; others are encoded many at a time: between such words the tokenizers' own splitting always cuts."""
         lead = " " if self.spaced else ""
         latin = [x.isascii() or max(x) <= "\xff" for x in pieces]
         words = [i for i, x in enumerate(pieces) if latin[i] and (x[0] == " " and x[1:].isalpha() if lead else x.isalpha())]
         bare = [i for i, x in enumerate(pieces) if lead and latin[i] and x.isalpha()]
         chosen = {*words, *bare}
-        plain = [i for i in words if pieces[i].islower()] if self.direct else []
-        words = [i for i in words if not pieces[i].islower()] if self.direct else words
+        plain = [i for i in words + bare if self.spaced or pieces[i].islower()] if self.direct else []
+        if self.direct:
+            words, bare = [i for i in words if not self.spaced and not pieces[i].islower()], []
         others = [i for i in range(len(pieces)) if i not in chosen]
         modelled, glue = self._modelled([pieces[i] for i in plain]), "" if lead else " "
         ids, sizes = [np.fromiter(chain.from_iterable(modelled), np.uint32)], [np.array([len(x) for x in modelled], np.int64)]
