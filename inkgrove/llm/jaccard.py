@@ -459,22 +459,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     classes = cut(members.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "row")).alias("one"), F.min("id").alias("least"), F.count("*").alias("rows"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("odd").alias("odd")), "classes")
     groups = cut(classes.groupBy("grp").agg(F.min("sig").alias("sig"), F.count("*").alias("many")), "groups")
 
-    pairs = met.where("posting is null").select("a", "b").distinct()
+    pairs = cut(met.where("posting is null").select("a", "b").distinct(), "group_pairs")
     across = pairs.join(groups.select(F.col("grp").alias("a"), F.col("sig").alias("u")), "a").join(groups.select(F.col("grp").alias("b"), F.col("sig").alias("v")), "b").select("u", "v")
     inside = classes.select("grp", F.col("sig").alias("v")).join(groups.where("many > 1").select("grp", F.col("sig").alias("u")), "grp").where("u <> v").select("u", "v")
-    links = _verified(cut(across.unionByName(inside).distinct(), "pairs"), classes, rows)
+    tried = cut(across.unionByName(inside).distinct(), "pairs")
+    links = _verified(tried, classes, rows)
     labels = cut(components(links), "labels")
 
     # What the first round has not joined: long postings, groups with several sets, and pairs with such a group.
     several = groups.where("many > 1").select("grp")
-    mixed = pairs.join(several.select(F.col("grp").alias("a")), "a", "left_semi").unionByName(pairs.join(several.select(F.col("grp").alias("b")), "b", "left_semi")).distinct()
+    marks = lambda c: several.select(F.col("grp").alias(c), F.lit(True).alias(f"several_{c}"))
+    mixed = pairs.join(marks("a"), "a", "left").join(marks("b"), "b", "left").where("several_a or several_b").select("a", "b")
     mixed = mixed.select(F.xxhash64("a", "b").alias("posting"), F.explode(F.array("a", "b")).alias("grp")).unionByName(several.select(F.col("grp").alias("posting"), "grp"))
     posted = met.where("posting is not null").select("posting", F.col("a").alias("grp"), F.col("b").alias("place")).unionByName(mixed.withColumn("place", F.lit(0).cast("bigint")))
     held = posted.join(classes.select("grp", "sig", "n", "odd"), "grp").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select("posting", "sig", "n", "odd", "place", F.coalesce("label", "sig").alias("label"))
     held = cut(held, "held")
     again = _between_components(held)
     if again is not None:
-        tried = across.unionByName(inside).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        tried = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         more = _verified(cut(again.join(tried, ["u", "v"], "left_anti"), "pairs"), classes, rows)
         if not more.isEmpty():
             labels = cut(components(links.unionByName(more)), "labels")
