@@ -75,7 +75,8 @@ def subject_occurrences(spark, sf_dir):
     return _docs(spark, sf_dir).where(F.contains(F.lower(t), F.lit("license"))).select("doc_id", S.occurrences(t, "license").cast("bigint").alias("n"), S.whole_word(t, "license").alias("whole"))
 
 
-_V = "CASE WHEN p_partkey % 11 = 0 THEN p_brand ELSE p_size || '.' || p_partkey % 17 || '.' || CAST(p_retailprice AS BIGINT) % 9 || CASE WHEN p_partkey % 5 = 0 THEN '-rc1' ELSE '' END END"
+#: The price is rounded to the nearest whole number, half to even, as the SQL's cast does; Spark's cast alone would cut it off.
+_V = "CASE WHEN p_partkey % 11 = 0 THEN p_brand ELSE p_size || '.' || p_partkey % 17 || '.' || CAST(rint(p_retailprice) AS BIGINT) % 9 || CASE WHEN p_partkey % 5 = 0 THEN '-rc1' ELSE '' END END"
 
 
 @query("SELECT p_partkey AS id, p_partkey % 11 <> 0 AND [p_size, p_partkey % 17, CAST(p_retailprice AS BIGINT) % 9] < [20, 5, 4] AS older FROM part")

@@ -7,7 +7,8 @@ from inkgrove.operators import blocks as B
 from inkgrove.operators import pii as P
 from inkgrove.operators import symbols as Y
 from inkgrove.sources import readers as R
-from inkgrove.plans.catalogue import QUERIES
+from inkgrove.plans.catalogue import ORACLES, QUERIES
+from tests.oracle import same
 
 
 def one(spark, column, **values):
@@ -189,3 +190,9 @@ def test_canaries_match_in_any_case_and_punctuation(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "The quick brown fox jumps."), (8, "is short"), (9, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [tuple(r) for r in QUERIES["canary_match"](spark, str(tmp_path)).select("query", "doc").collect()] == [(7, 1)]
+
+
+def test_version_compare_rounds_prices_as_its_sql(spark, tmp_path):
+    rows = [(17 * k + 5, "p", "b", "t", 20, 900 + k / 10) for k in range(120)] + [(11 * 17 + 5, "p", "b", "t", 20, 904.5), (39, "p", "b", "t", 20, 903.5)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    same(spark, QUERIES["version_compare"], ORACLES["version_compare"], str(tmp_path))
