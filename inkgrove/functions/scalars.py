@@ -85,7 +85,7 @@ def slugify(text: Column) -> Column:
 
 def name_problem(name: Column) -> Column:
     """Why a string is no note name (null if it is one)."""
-    letters = r"^[a-z0-9\-\u00DF-\u00F6\u00F8-\u00FF\u0100-\u024F\u1E00-\u1EFF]*$"
+    letters = r"^[a-z0-9\-\u00DF-\u00F6\u00F8-\u00FF\u0100-\u024F\u1E00-\u1EFF]*\z"  # $ would let a last line end pass
     return (
         F.when(name.isNull() | (name == ""), "empty")
         .when(F.length(name) > MAX_NAME, "long")

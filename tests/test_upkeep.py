@@ -1,6 +1,7 @@
 """Lookups, replacing and deleting notes, the embedder, appends, bundles and reports on small tables."""
 
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from inkgrove.operators import ingest as G
 from inkgrove.operators import notes as N
 from inkgrove.functions import scalars as S
 from inkgrove.operators import usage as U
+from inkgrove.plans.catalogue import ORACLES, QUERIES
 from inkgrove.plans.shared import cut
 from inkgrove.sources import readers as R
+from tests.oracle import SF, same
 
 
 def log(spark, n=30, devices=2):
@@ -166,3 +169,17 @@ def test_source_walk_keeps_to_ignore_rules(spark, tmp_path, monkeypatch):
     out = {r.path.split(str(tmp_path) + "/")[1]: (r.skipped, r.content) for r in R.source_files(spark, str(tmp_path), rules).collect()}
     assert {k: v[0] for k, v in out.items()} == {"a.py": None, "target/b.py": "ignored", "deep/target/c.py": "ignored", "docs/keep.log": None, "docs/no.log": "ignored", "big.txt": "too large", "Cargo.lock": "lock file", "bin.dat": "binary"}
     assert out["a.py"][1] == "x = 1" and out["big.txt"][1] is None and R.counted_apart(spark, str(tmp_path)) == len(out)
+
+
+def test_doctor_counts_names_as_its_sql(spark, tmp_path):
+    """Names of Latin letters with accents are no problem; capitals among these, a line end and an empty name are."""
+    for path in Path(SF).glob("*.parquet"):
+        if path.name != "documents.parquet":
+            (tmp_path / path.name).symlink_to(path)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for i, text in enumerate(("enenréoution and more", "ÉNENRéoution and more", "elevensigns\nand more", "a-b-\u00df-d-\u017c-f and", "", "has space and more")):
+        docs = docs.withColumn("text", F.when(F.col("doc_id") == i, F.lit(text)).otherwise(F.col("text")))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    same(spark, QUERIES["doctor_all"], ORACLES["doctor_all"], str(tmp_path))
+    names = spark.createDataFrame([("für",), ("FÜR",), ("für\n",), ("",)], "name string")
+    assert [r[0] for r in names.select(S.name_problem(F.col("name"))).collect()] == [None, "characters", "characters", "empty"]
