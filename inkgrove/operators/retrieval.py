@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from inkgrove.functions.scalars import STRIPPED_FROM, STRIPPED_TO, cosine, dedup_key, recency_weight, ring_weight, tokens
-from inkgrove.plans.shared import cut
+from inkgrove.plans.shared import scratch_path
 
 #: Fixed values of the retrieval model.
 RRF_K, K_LEXICAL, K_SEMANTIC, TOP_N, MAX_N, MAX_TERMS, PREFIX_CHARS, NEWER_LINKS = 60, 50, 50, 8, 1000, 32, 4, 3
@@ -48,16 +49,15 @@ def in_scope(df: DataFrame, scope: list[str] | None = None, bereich: str | None
     return df.where(admits(scope, bereich, ring))
 
 
-#: Columns of blocks that the index keeps, as far as there are any.
+#: Columns of blocks that the index keeps, as far as there are any, and what names a block in it.
 PLACE = ("citation", "id", "idx", "ring", "bereich")
-#: Parts that a term's postings are dealt to, so that a frequent term does not fill one task.
-TERM_PARTS = 16
+BLOCK = ("origin", "block")
 
 
 @dataclass
 class LexicalIndex:
-    """postings (term, citation, id, idx, ring, bereich, tf, dl) sorted by term within files, so that a reader skips what its terms do not
-    need; places (citation, id, idx, ring, bereich, dl) of all blocks; their number and mean length; the generation of an index that grows by segments."""
+    """postings (term, origin, block), a row for each word, sorted by term within files, so that a reader skips what its terms do not need; places
+    (origin, block, citation, id, idx, ring, bereich, dl) of the blocks that count; their number and mean length; the generation of an index that grows by segments."""
 
     postings: DataFrame
     places: DataFrame
@@ -66,16 +66,36 @@ class LexicalIndex:
     generation: int = 0
 
 
-def build_index(blocks: DataFrame) -> LexicalIndex:
-    """Two tables in the shared folder. Blocks are tokenised for each; postings take one shuffle."""
+def write_index(blocks: DataFrame, path: str) -> None:
+    """One table of a row for each word (term, origin, block) and one for each block, which has no term but its place.
+
+    Blocks are tokenised and numbered once; each task sorts and writes its own, nothing is shuffled, and no posting repeats its block's place. origin tells
+    the numbers of one such table from those of others."""
     kept = [c for c in PLACE if c in blocks.columns]
-    words = blocks.select(*kept, tokens(F.col("text")).alias("_w")).withColumn("dl", F.size("_w"))
-    places = cut(words.drop("_w"), "places")
-    each = words.select(*kept, "dl", F.explode("_w").alias("term")).withColumn("_part", F.pmod(F.xxhash64("citation"), F.lit(TERM_PARTS)))
-    counted = each.repartition("term", "_part").groupBy("term", "_part", *kept, "dl").agg(F.count("*").alias("tf"))
-    postings = cut(counted.sortWithinPartitions("term").drop("_part"), "postings")
+    words = blocks.select(F.monotonically_increasing_id().alias("block"), *kept, tokens(F.coalesce("text", F.lit(""))).alias("_w"))
+    each = words.select("block", *kept, F.size("_w").alias("dl"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "_w")).alias("_pos", "term"))
+    rows = each.select("term", "block", F.when(F.col("_pos") == 0, F.struct(*kept, "dl")).alias("_place")).sortWithinPartitions("term", "block")
+    origin = F.lit(uuid.uuid4().int >> 65).alias("origin")
+    rows.select("term", origin, "block", *[F.col("_place")[c].alias(c) for c in (*kept, "dl")]).write.option("compression", "zstd").parquet(path)
+
+
+def written_places(rows: DataFrame) -> DataFrame:
+    return rows.where("term is null").drop("term")
+
+
+def written_postings(rows: DataFrame) -> DataFrame:
+    return rows.where("term is not null").select("term", *BLOCK)
+
+
+def build_index(blocks: DataFrame) -> LexicalIndex:
+    """The index of blocks as they are, in the shared folder."""
+    spark = blocks.sparkSession
+    path = scratch_path(spark, "index")
+    write_index(blocks, path)
+    rows = spark.read.parquet(path)
+    places = written_places(rows)
     total = places.agg(F.count("*").cast("double"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
-    return LexicalIndex(postings, places, total[0], total[1])
+    return LexicalIndex(written_postings(rows), places, total[0], total[1])
 
 
 def bm25(index: LexicalIndex | DataFrame, query: str, k: int = K_LEXICAL, admitted: Column | None = None, visible: DataFrame | None = None) -> DataFrame:
@@ -86,15 +106,14 @@ def bm25(index: LexicalIndex | DataFrame, query: str, k: int = K_LEXICAL, admitt
     index = index if isinstance(index, LexicalIndex) else build_index(index)
     place = [c for c in PLACE if c in index.places.columns]
     shown = [c for c in place if c not in ("ring", "bereich")]
-    own = index.postings
     if not terms:
-        return own.select(*shown, F.lit(0.0).alias("score")).limit(0)
+        return index.places.select(*shown, F.lit(0.0).alias("score")).limit(0)
     hits = [_matching(term, prefix) for term, prefix in terms]
     any_hit = hits[0]
     for hit in hits[1:]:
         any_hit = any_hit | hit
-    tf = [F.sum(F.when(hit, F.col("tf")).otherwise(0)).cast("double").alias(f"_tf{i}") for i, hit in enumerate(hits)]
-    rows = own.where(any_hit).groupBy(*place, "dl").agg(*tf)
+    tf = [F.count_if(hit).cast("double").alias(f"_tf{i}") for i, hit in enumerate(hits)]
+    rows = index.postings.where(any_hit).groupBy(*BLOCK).agg(*tf).join(index.places.select(*BLOCK, *place, "dl"), [*BLOCK])
     stats = rows.agg(*[F.sum((F.col(f"_tf{i}") > 0).cast("double")).alias(f"_n{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):

@@ -1,6 +1,6 @@
 """A lexical index that grows by segments: a change indexes only what changed.
 
-Every change writes one immutable segment (blocks with their places, and postings) and the list of the notes that it replaces or removes. A manifest names the
+Every change writes one immutable segment (a table of its blocks' words and places) and the list of the notes that it replaces or removes. A manifest names the
 segments in force, the lists, and the number and total length of the live blocks, so that a ranking has the statistics of a whole index. A block
 is dead if its note is on a list younger than its segment. Compaction copies what is alive into one segment. A manifest's number is the index's generation:
 readers that hold an older one keep reading its files until they are removed.
@@ -13,43 +13,35 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrove.functions.scalars import tokens
-from inkgrove.operators.retrieval import PLACE, TERM_PARTS, LexicalIndex
+from inkgrove.operators.retrieval import BLOCK, LexicalIndex, write_index, written_places, written_postings
 from inkgrove.plans import manifests
 from inkgrove.plans.shared import BROADCAST_ROWS
 
 #: Compaction is due with more segments than this, or more dead blocks than this share.
 MAX_SEGMENTS, MAX_DEAD = 16, 0.3
-PLACES = (*PLACE, "dl")
 
 
 def _segment(blocks: DataFrame, path: str) -> dict:
-    """Write the words of blocks once, and postings from them."""
-    spark = blocks.sparkSession
-    kept = [c for c in PLACE if c in blocks.columns]
-    blocks.select(*kept, tokens(F.coalesce("text", F.lit(""))).alias("words")).withColumn("dl", F.size("words")).write.parquet(f"{path}/blocks")
-    held = spark.read.parquet(f"{path}/blocks")
-    each = held.select(*kept, "dl", F.explode("words").alias("term")).withColumn("_part", F.pmod(F.xxhash64("citation"), F.lit(_parts(spark))))
-    counted = each.repartition("term", "_part").groupBy("term", "_part", *kept, "dl").agg(F.count("*").alias("tf"))
-    counted.sortWithinPartitions("term").drop("_part").write.parquet(f"{path}/postings")
-    rows, words = held.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    """Write the words and places of blocks."""
+    write_index(blocks, f"{path}/rows")
+    rows, words = written_places(blocks.sparkSession.read.parquet(f"{path}/rows")).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     return {"path": path, "rows": rows, "words": words}
 
 
-def _parts(spark: SparkSession) -> int:
-    """Parts that a term's postings are dealt to, so that a word of every block fills no task."""
-    return max(TERM_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _read(spark: SparkSession, body: dict, what: str) -> DataFrame | None:
-    """The rows of all segments with the generation of each, the dead ones left out."""
+def _read(spark: SparkSession, body: dict) -> DataFrame:
+    """The places of all segments, with the generation of each."""
     out = None
-    for s in body.get("segments", []):
-        rows = spark.read.parquet(f"{s['path']}/{what}").withColumn("_generation", F.lit(s["generation"]))
+    for s in body["segments"]:
+        rows = written_places(spark.read.parquet(f"{s['path']}/rows")).withColumn("_generation", F.lit(s["generation"]))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def _rows(spark: SparkSession, body: dict) -> DataFrame:
+    """Words and places of all segments, of dead blocks too."""
+    return spark.read.parquet(*[f"{s['path']}/rows" for s in body["segments"]])
+
+
 def _gone(spark: SparkSession, body: dict) -> DataFrame | None:
     """(id, _until): each replaced note's blocks of an earlier generation than _until are dead."""
     out = None
@@ -59,18 +51,19 @@ def _gone(spark: SparkSession, body: dict) -> DataFrame | None:
     return None if out is None else out.groupBy("id").agg(F.max("_until").alias("_until"))
 
 
-def _alive(spark: SparkSession, body: dict, rows: DataFrame) -> DataFrame:
+def _judged(spark: SparkSession, body: dict, how: str) -> DataFrame:
+    """Places that a list names (left_semi) or that none does (left_anti)."""
     gone = _gone(spark, body)
     if gone is None:
-        return rows
+        return _read(spark, body) if how == "left_anti" else _read(spark, body).limit(0)
     few = sum(g["rows"] for g in body["gone"]) <= BROADCAST_ROWS
     gone = gone.withColumnRenamed("id", "_gone")
-    return rows.join(F.broadcast(gone) if few else gone, (F.col("id") == F.col("_gone")) & (F.col("_generation") < F.col("_until")), "left_anti")
+    return _read(spark, body).join(F.broadcast(gone) if few else gone, (F.col("id") == F.col("_gone")) & (F.col("_generation") < F.col("_until")), how)
 
 
-def live(spark: SparkSession, body: dict, what: str = "blocks") -> DataFrame:
-    """Rows of the live blocks or postings of a manifest, which must have a segment."""
-    return _alive(spark, body, _read(spark, body, what))
+def live(spark: SparkSession, body: dict) -> DataFrame:
+    """Places of the live blocks of a manifest, which must have a segment."""
+    return _judged(spark, body, "left_anti").drop("_generation")
 
 
 def open_index(spark: SparkSession, root: str) -> LexicalIndex:
@@ -78,8 +71,7 @@ def open_index(spark: SparkSession, root: str) -> LexicalIndex:
     number, body = manifests.latest(spark, root)
     if not body.get("segments"):
         raise FileNotFoundError(f"no index at {root}")
-    places = live(spark, body)
-    return LexicalIndex(live(spark, body, "postings").drop("_generation"), places.drop("words", "_generation"), float(body["rows"]), body["words"] / body["rows"] if body["rows"] else 0.0, number)
+    return LexicalIndex(written_postings(_rows(spark, body)), live(spark, body), float(body["rows"]), body["words"] / body["rows"] if body["rows"] else 0.0, number)
 
 
 def upsert(root: str, blocks: DataFrame, ids: DataFrame, mark: dict | None = None) -> int:
@@ -122,8 +114,10 @@ def compact(spark: SparkSession, root: str) -> int:
         if not body.get("segments") or len(body["segments"]) == 1 and not body["gone"]:
             return None
         path = f"{root}/segments/{uuid.uuid4().hex}"
-        live(spark, body).drop("_generation").write.parquet(f"{path}/blocks")
-        live(spark, body, "postings").drop("_generation").repartitionByRange("term", "citation").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        dead = _judged(spark, body, "left_semi").select(*BLOCK)
+        few = sum(s["rows"] for s in body["segments"]) - body["rows"] <= BROADCAST_ROWS
+        kept = _rows(spark, body).join(F.broadcast(dead) if few else dead, [*BLOCK], "left_anti")
+        kept.sortWithinPartitions("term", *BLOCK).write.option("compression", "zstd").parquet(f"{path}/rows")
         return {"segments": [{"path": path, "rows": body["rows"], "words": body["words"], "generation": number + 1}], "gone": [], "rows": body["rows"], "words": body["words"], **_marks(body, None)}
 
     return manifests.commit(spark, root, attempt)

@@ -32,7 +32,7 @@ _opened: dict[tuple, R.LexicalIndex] = {}
 def index_of(spark, sf_dir) -> R.LexicalIndex:
     """The lexical index of the documents, kept in the shared folder outside of any scratch(). A change of any of the table's files
     makes the index catch up: only documents whose text is new or changed are indexed."""
-    root = f"{shared_root(spark)}/inkgrove/lexical-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    root = f"{shared_root(spark)}/inkgrove/lexical2-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
     state = table_state(spark, table(spark, sf_dir, "documents").inputFiles())
     _, body = manifests.latest(spark, root)
     if (body.get("mark") or {}).get("source") != state:

@@ -36,14 +36,20 @@ def shared_root(spark: SparkSession) -> str:
     return f"file:/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which scratch() deletes."""
+    path = f"{shared_root(spark)}/inkgrove/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there,
     and a lost executor costs a reread, not a recomputation. scratch() deletes such tables."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/inkgrove/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out

@@ -109,3 +109,27 @@ def test_the_query_index_survives_scratch_and_follows_the_table(spark, tmp_path)
     spark.catalog.refreshByPath(str(tmp_path / "documents.parquet"))
     second = index_of(spark, str(tmp_path))
     assert second.generation > first.generation and any(r.id % 3 == 1 for r in R.bm25(second, "Licensed").collect())
+
+
+def test_a_segment_takes_less_than_its_texts(spark, root):
+    """A posting repeats nothing of its block's place: words and places together take less disk than the table of texts."""
+    from inkgrove.plans.shared import _status
+    from inkgrove.sources import corpus
+    from tests.oracle import SF
+
+    held = corpus.blocks(spark, SF)
+    SEG.upsert(root, held, held.select("id").limit(0))
+    assert _status(spark, f"{root}/segments").getLength() < _status(spark, f"{SF}/documents.parquet").getLength()
+
+
+def test_postings_name_their_segment_and_compaction_keeps_it(spark, root):
+    """Blocks have the same numbers in every segment; equal rows are ranked one by one."""
+    SEG.upsert(root, blocks(spark, {1: "alpha", 2: "beta beta"}), ids(spark, []))
+    SEG.upsert(root, blocks(spark, {3: "beta", 4: "alpha alpha"}), ids(spark, [2]))
+    same_as_anew(spark, root, {1: "alpha", 3: "beta", 4: "alpha alpha"})
+    SEG.compact(spark, root)
+    same_as_anew(spark, root, {1: "alpha", 3: "beta", 4: "alpha alpha"})
+    twice = blocks(spark, {1: "alpha", 2: "gamma delta"})
+    index = R.build_index(twice.union(twice))
+    found = R.bm25(index, "alpha").collect()
+    assert index.rows == 4 and [r.citation for r in found] == ["c1-0", "c1-0"] and found[0].score == found[1].score
