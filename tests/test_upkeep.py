@@ -171,6 +171,36 @@ def test_source_walk_keeps_to_ignore_rules(spark, tmp_path, monkeypatch):
     assert out["a.py"][1] == "x = 1" and out["big.txt"][1] is None and R.counted_apart(spark, str(tmp_path)) == len(out)
 
 
+def test_numbered_embedder_adds_up_in_slices(spark, monkeypatch):
+    """Vectors in many slices, texts in many chunks: as every token's vector looked up one by one, with repeated, short and missing vectors and repeated, null and empty texts."""
+    vectors = [(i, [float(i), 1.0 - i]) for i in range(40)] + [(7, [0.5, 0.25]), (8, None), (9, [3.0]), (None, [9.0, 9.0])]
+    texts = [(i, " ".join(f"w{(i * k) % 60}" for k in range(i % 25))) for i in range(90)] + [(3, "w7 w9"), (None, "w1"), (100, None), (101, ""), (102, "w55"), (103, "w8"), (104, "w7 W7, w7")]
+    want = {}
+    for i, text in texts:
+        total = want.setdefault(i, [0, 0.0, 0.0])
+        for word in (text or "").replace(",", "").lower().split():
+            for number, v in vectors if i is not None else []:
+                if number == int(word[1:]):
+                    total[0], total[1], total[2] = total[0] + 1, total[1] + (v[0] if v else 0), total[2] + (v[1] if v and len(v) > 1 else 0)
+    held, table = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(vectors, "vec_id long, vector array<float>")
+    for slice_bytes, chars in ((64 << 20, 96_000_000), (80, 40)):
+        monkeypatch.setattr(E, "SLICE_BYTES", slice_bytes)
+        monkeypatch.setattr(E, "SLICE_CHARS", chars)
+        out = E.embed_numbered(held, table, 2, lambda words: [int(w[1:]) for w in words]).collect()
+        assert sorted(str(r.id) for r in out) == sorted(str(i) for i, _ in texts)
+        for r in out:
+            known, a, b = want[r.id]
+            size = math.hypot(a, b)
+            assert r.known == known and all(abs(x - (y / size if size else 0.0)) < 1e-9 for x, y in zip(r.vector, (a, b)))
+
+
+def test_embed_documents_keeps_no_table_of_tokens(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(E, "cut", lambda df, label: kept.append(label) or cut(df, label))
+    out = QUERIES["embed_documents"](spark, SF)
+    assert kept == [] and out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 def test_doctor_counts_names_as_its_sql(spark, tmp_path):
     """Names of Latin letters with accents are no problem; capitals among these, a line end and an empty name are."""
     for path in Path(SF).glob("*.parquet"):
